@@ -198,6 +198,11 @@ class LogIndex:
         columns = [values[f.name].cast(f.dataType).alias(f.name) for f in RUN_SCHEMA.fields]
         self.spark.range(1).coalesce(1).select(*columns).write.mode("append").parquet(f"{self.path}/runs")
 
+    def log_report(self, kind: str, mode: str, started: str, report: dict) -> None:
+        """Record the whole-number counters of a finished run."""
+        state = self._state()
+        self._log_run(state["seq"] + 1, kind, mode, "finished", started, state["last_id"], self._counters(report))
+
     def _begin(self) -> tuple[int, int, str, bool]:
         """Number of the next run, ids used so far, current version folder, and if the last run broke off."""
         state = self._state()

@@ -13,14 +13,36 @@ _BLOCK = 64 * 1024
 _BATCH_LINES = 20_000
 
 
+def locate(prefix: str, path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and its own path; ``prefix`` is ``scheme://authority`` or empty for local files."""
+    if not prefix:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(prefix.replace("s3a://", "s3://") + quote(path))
+
+
 def open_file(prefix: str, path: str):
-    """Random-access file; ``prefix`` is ``scheme://authority`` or empty for local files."""
-    if not prefix or prefix.startswith("file:"):
-        return pafs.LocalFileSystem().open_input_file(path)
-    filesystem, inner = pafs.FileSystem.from_uri(prefix.replace("s3a://", "s3://") + quote(path))
+    filesystem, inner = locate(prefix, path)
     return filesystem.open_input_file(inner)
 
 
+def copy_file(source_prefix: str, source: str, target_prefix: str, target: str) -> int:
+    """Copy one file in blocks and return the bytes written; missing folders are made."""
+    target_fs, target_path = locate(target_prefix, target)
+    target_fs.create_dir(target_path.rpartition("/")[0], recursive=True)
+    with open_file(source_prefix, source) as reader, target_fs.open_output_stream(target_path) as writer:
+        while block := reader.read(4 * 1024 * 1024):
+            writer.write(block)
+        return writer.tell()
+
+
+def delete_file(prefix: str, path: str) -> bool:
+    """Delete a file; true also if a repeated task finds it already gone."""
+    filesystem, inner = locate(prefix, path)
+    if filesystem.get_file_info(inner).type == pafs.FileType.File:
+        filesystem.delete_file(inner)
+    return True
+
+
 def next_line_start(source, position: int, end: int) -> int:
     """First byte after the newline at or behind ``position``; ``end`` if there is none."""
     while position < end:
