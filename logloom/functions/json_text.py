@@ -18,8 +18,18 @@ def js_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(JS_WHITESPACE))
 
 
+def bind(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row and then only referred to.
+
+    A plain projection may be merged into the filters and projections above it, which would
+    repeat an expensive expression in each. A one-row generator is never merged.
+    """
+    values = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return rows.select("*", F.inline(F.array(values)))
+
+
 def with_parsed(lines: DataFrame, text: str, out: str = "parsed") -> DataFrame:
-    """Add variant ``out`` holding ``[value]`` when ``text`` is exactly one JSON value, else NULL.
+    """Add variant ``out`` holding the value of ``text`` if that is exactly one JSON value, else NULL.
 
     ``try_parse_json`` ignores what follows the first complete value. The line is
     therefore parsed inside an array closed by a sentinel: the sentinel is the second and
@@ -27,10 +37,10 @@ def with_parsed(lines: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     line that does not itself contain the sentinel text.
     """
     raw = f"_{out}_array"
-    line = F.col(text)
+    line, array = F.col(text), F.col(f"_{out}_array")
     array_text = F.concat(F.lit("["), line, F.lit(f',"{_SENTINEL}"]'))
-    whole = (F.try_variant_get(F.col(raw), "$[1]", "string") == _SENTINEL) & F.try_variant_get(
-        F.col(raw), "$[2]", "variant"
+    whole = (F.try_variant_get(array, "$[1]", "string") == _SENTINEL) & F.try_variant_get(
+        array, "$[2]", "variant"
     ).isNull()
     wrapped = F.concat(F.lit("["), line, F.lit("]"))
     whole_slow = (
@@ -39,11 +49,8 @@ def with_parsed(lines: DataFrame, text: str, out: str = "parsed") -> DataFrame:
         & F.try_parse_json(F.concat(F.lit('{"r":'), line, F.lit("}"))).isNotNull()
     )
     is_one_value = F.when(line.contains(_SENTINEL), whole_slow).otherwise(whole)
-    return (
-        lines.withColumn(raw, F.try_parse_json(array_text))
-        .withColumn(out, F.when(F.coalesce(is_one_value, F.lit(False)), F.col(raw)))
-        .drop(raw)
-    )
+    value = F.when(F.coalesce(is_one_value, F.lit(False)), F.try_variant_get(array, "$[0]", "variant"))
+    return bind(lines.withColumn(raw, F.try_parse_json(array_text)), **{out: value}).drop(raw)
 
 
 def json_kind(value: Column) -> Column:
@@ -52,7 +59,7 @@ def json_kind(value: Column) -> Column:
 
 
 def is_json_null(parsed: str) -> Column:
-    return F.is_variant_null(F.try_variant_get(F.col(parsed), "$[0]", "variant"))
+    return F.is_variant_null(F.col(parsed))
 
 
 def js_number_text(number: Column) -> Column:

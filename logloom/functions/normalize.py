@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.json_text import (
+    bind,
     is_json_null,
     js_trim,
     json_kind,
@@ -30,7 +31,7 @@ def is_audit_file(path: Column) -> Column:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """Add ``parsed`` (variant ``[value]`` or NULL) and ``line_kind``; ``line`` becomes trimmed.
+    """Add ``parsed`` (variant or NULL) and ``line_kind``; ``line`` becomes trimmed.
 
     A bare ``null`` is counted as a parse error.
     """
@@ -49,11 +50,12 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
     Reads ``line``, ``parsed`` and ``path``; other columns pass through. ``now`` is the ISO
     text used where a record has no timestamp of its own.
     """
-    typed = (
-        records.withColumn("_members", F.try_variant_get(F.col("parsed"), "$[0]", "map<string,variant>"))
-        .drop("parsed")
-        .withColumn("_kinds", F.transform_values("_members", lambda _, value: json_kind(value)))
-    )
+    typed = bind(
+        records.withColumn("_members", F.try_variant_get(F.col("parsed"), "$", "map<string,variant>")).drop("parsed"),
+        _names=F.map_keys("_members"),
+        _values=F.map_values("_members"),
+        _value_kinds=F.transform(F.map_values("_members"), json_kind),
+    ).withColumn("_kinds", F.map_from_arrays("_names", "_value_kinds"))
 
     def kind(name: str) -> Column:
         return F.coalesce(F.try_element_at("_kinds", F.lit(name)), F.lit("ABSENT"))
@@ -83,7 +85,7 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
         )
         .when(audit_kind == "STRING", text_to_boolean(member("audit").cast("string")))
     )
-    texts = F.map_zip_with("_members", "_kinds", lambda _, value, value_kind: scalar_text(value, value_kind))
+    texts = F.map_from_arrays("_names", F.zip_with("_values", "_value_kinds", scalar_text))
     fields = F.coalesce(
         F.map_filter(texts, lambda _, text: text.isNotNull()),
         F.create_map().cast("map<string,string>"),
@@ -100,7 +102,7 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
         .withColumn("data_json", F.col("line"))
         .withColumn("fields", fields)
         .withColumn("event_date", date_prefix(F.col("timestamp")))
-        .drop("_members", "_kinds", "line")
+        .drop("_members", "_kinds", "_names", "_values", "_value_kinds", "line")
     )
 
 

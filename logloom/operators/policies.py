@@ -84,7 +84,7 @@ def parse_policy_updates(updates: DataFrame, allow_empty: bool = False, label: s
     """
     parsed = with_parsed(updates.withColumn("payload", js_trim(F.col("payload"))), "payload", "_parsed")
     typed = (
-        parsed.withColumn("_members", F.try_variant_get("_parsed", "$[0]", "map<string,variant>"))
+        parsed.withColumn("_members", F.try_variant_get("_parsed", "$", "map<string,variant>"))
         .drop("_parsed")
         .withColumn("_kinds", F.transform_values("_members", lambda _, value: json_kind(value)))
         .withColumn("given", F.coalesce(F.map_keys("_members"), F.array().cast("array<string>")))

@@ -45,7 +45,7 @@ def parse_requests(requests: DataFrame, max_bytes: int = DEFAULT_MAX_BODY_BYTES)
     def array_at(path: str) -> Column:
         return F.try_variant_get(F.col("_parsed"), path, "array<variant>")
 
-    records = F.coalesce(array_at("$[0].logs"), array_at("$[0]"))
+    records = F.coalesce(array_at("$.logs"), array_at("$"))
     status = (
         F.when(F.col("producer_id").isNull(), F.lit(UNAUTHORIZED))
         .when(too_large, F.lit(TOO_LARGE))
