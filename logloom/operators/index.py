@@ -39,7 +39,7 @@ from logloom.sources.files import (
     list_files,
     path_exists,
 )
-from logloom.sources.lines import scan_lines
+from logloom.sources.lines import running_base, scan_lines
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 Partition = tuple[bool, date | None]
@@ -395,6 +395,71 @@ class LogIndex:
         self._log_run(seq, "index", "incremental", "finished", started, id_base + total, self._counters(report))
         return report
 
+    def index_tail_batch(self, batch: DataFrame, now: str | None = None) -> dict:
+        """Index one micro-batch of the ``logloom_tail`` source.
+
+        Repeating a batch adds nothing: parts the ledger already has are left out, and after a
+        run that broke off in between rows are compared with the index.
+        """
+        started = utc_now()
+        now = now or started
+        seq, id_base, home, broken = self._begin()
+        work = f"{home}/work/{seq}"
+        history = self._ledger_at(home).select(
+            "source_file",
+            F.col("byte_offset").alias("_offset"),
+            F.col("lines").alias("_lines"),
+            F.col("generation").alias("_generation"),
+        )
+        known = F.col("_offset").isNotNull()
+        unread = F.col("restart") | ~known | (F.col("first") >= F.col("_offset"))
+        (
+            batch.join(history, "source_file", "left")
+            .where(unread)
+            .withColumn("lines_before", F.when(known & ~F.col("restart"), F.col("_lines")).otherwise(F.lit(0)))
+            .withColumn(
+                "generation", (F.coalesce("_generation", F.lit(0)) + F.col("restart").cast("int")).cast("int")
+            )
+            .drop("_offset", "_lines", "_generation")
+            .write.mode("overwrite")
+            .parquet(f"{work}/lines")
+        )
+        staged = self.spark.read.parquet(f"{work}/lines")
+        restarted = staged.where("restart").select("source_file").distinct()
+        if not restarted.isEmpty():
+            self._delete_sources(home, restarted, seq)
+        texts = staged.where(F.col("line").isNotNull())
+        ranges = texts.groupBy("source_file", "start").agg(F.count("*").alias("range_lines"))
+        ranges = running_base(ranges, ["source_file", "start"], "range_lines", "seq_base", f"{work}/ranges")
+        bases = ranges.groupBy("source_file").agg(F.min("seq_base").alias("file_base"))
+        numbered = texts.join(ranges.join(bases, "source_file"), ["source_file", "start"])
+        line_seq = F.col("seq_base") + F.col("position")
+        lines = numbered.select(
+            "source_file",
+            "path",
+            "generation",
+            (F.col("lines_before") + line_seq - F.col("file_base")).alias("line_number"),
+            line_seq.alias("line_seq"),
+            "line",
+        )
+        state = staged.groupBy("source_file").agg(
+            F.max("limit").alias("byte_offset"),
+            F.max("size").alias("file_size"),
+            F.timestamp_millis(F.max("modified_ms")).alias("modified_at"),
+            (F.max("lines_before") + F.count("line")).alias("lines"),
+            F.max("generation").alias("generation"),
+        )
+        totals = staged.agg(F.count("line").alias("lines"), F.count_distinct("source_file").alias("files")).head()
+        new = {INGESTED: 0, BAD: 0, BLANK: 0}
+        if totals["lines"]:
+            self._log_run(seq, "index", "stream", "started", started, id_base + totals["lines"])
+            new = self._append(lines, home, now, id_base, broken)
+        self._append_ledger(home, state.withColumns({"present": F.lit(True), "run_seq": F.lit(seq)}))
+        delete_path(self.spark, work)
+        report = self._report("stream", started, totals["files"], totals["lines"], new)
+        self._log_run(seq, "index", "stream", "finished", started, id_base + totals["lines"], self._counters(report))
+        return report
+
     def reindex(self, root: str, now: str | None = None, glob: str = NDJSON_GLOB) -> dict:
         """Build a new version of the index from the files and publish it in place of the old one."""
         seq, id_base, old_home, _ = self._begin()

@@ -1,0 +1,149 @@
+"""Streaming source ``logloom_tail``: lines appended to the files below a folder.
+
+    spark.dataSource.register(TailSource)
+    spark.readStream.format("logloom_tail").option("path", root).load()
+
+The stream offset holds one small entry per file, so this source suits the files that are
+being written now. ``LogIndex.index_incremental`` does the same work from a distributed
+listing and a stored ledger, for any number of files.
+"""
+
+from __future__ import annotations
+
+import fnmatch
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+from logloom.sources.byte_ranges import (
+    RANGE_BYTES,
+    last_line_end,
+    line_batches,
+    locate,
+    open_file,
+    range_bytes,
+    split_lines,
+)
+
+MAX_TRACKED_FILES = 100_000
+TAIL_SCHEMA = (
+    "source_file string, path string, restart boolean, first bigint, limit bigint, size bigint, "
+    "modified_ms bigint, start bigint, position bigint, line string"
+)
+_ARROW = pa.schema(
+    [
+        ("source_file", pa.string()),
+        ("path", pa.string()),
+        ("restart", pa.bool_()),
+        ("first", pa.int64()),
+        ("limit", pa.int64()),
+        ("size", pa.int64()),
+        ("modified_ms", pa.int64()),
+        ("start", pa.int64()),
+        ("position", pa.int64()),
+        ("line", pa.string()),
+    ]
+)
+
+
+@dataclass
+class ByteRange(InputPartition):
+    """Part of one file's unread bytes; ``end <= start`` only announces a restarted file."""
+
+    path: str
+    source_file: str
+    restart: bool
+    first: int
+    limit: int
+    size: int
+    modified_ms: int
+    start: int
+    end: int
+
+
+class TailReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        path = options["path"]
+        scheme, found, rest = path.partition("://")
+        if found and scheme != "file":
+            authority, _, inner = rest.partition("/")
+            self.prefix, self.root = f"{scheme}://{authority}", "/" + inner.rstrip("/")
+        else:
+            self.prefix, self.root = "", (rest if found else path.removeprefix("file:")).rstrip("/")
+        self.pattern = options.get("glob", "*.ndjson").lower()
+        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
+        self.known: dict[str, list[int]] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        """path → [end of its last complete line, size, modification time in ms]."""
+        filesystem, base = locate(self.prefix, self.root)
+        selector = pafs.FileSelector(base, allow_not_found=True, recursive=True)
+        offset = {}
+        for info in filesystem.get_file_info(selector):
+            if info.type != pafs.FileType.File or not fnmatch.fnmatch(info.base_name.lower(), self.pattern):
+                continue
+            relative = info.path[len(base.rstrip("/")) + 1 :]
+            if any(part.startswith(("_", ".")) for part in relative.split("/")):
+                continue
+            if len(offset) >= MAX_TRACKED_FILES:
+                raise RuntimeError("too many files to follow as one stream; use LogIndex.index_incremental")
+            modified = info.mtime_ns // 1_000_000
+            before = self.known.get(relative)
+            if before and before[1:] == [info.size, modified]:
+                offset[relative] = before
+                continue
+            with open_file(self.prefix, f"{self.root}/{relative}") as source:
+                offset[relative] = [last_line_end(source, 0, info.size), info.size, modified]
+        self.known = offset
+        return offset
+
+    def partitions(self, start: dict, end: dict) -> list[ByteRange]:
+        found = []
+        for name, (limit, size, modified) in end.items():
+            old = start.get(name)
+            restart = old is not None and (size < old[0] or (size == old[0] and modified != old[2]))
+            first = 0 if old is None or restart else old[0]
+            common = (f"{self.root}/{name}", name, restart, first, limit, size, modified)
+            if restart:
+                found.append(ByteRange(*common, first, first))
+            for at in range(first, limit, self.range_bytes):
+                found.append(ByteRange(*common, at, min(at + self.range_bytes, limit)))
+        return found
+
+    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        p = partition
+
+        def batch(positions: list[int], text: pa.Array) -> pa.RecordBatch:
+            n = len(text)
+            fixed = (p.source_file, p.path, p.restart, p.first, p.limit, p.size, p.modified_ms, p.start)
+            arrays = [pa.array([value] * n, field.type) for value, field in zip(fixed, _ARROW)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(positions, pa.int64()), text], schema=_ARROW)
+
+        if p.end <= p.start:
+            yield batch([0], pa.array([None], pa.string()))
+            return
+        with open_file(self.prefix, p.path) as source:
+            lines = split_lines(range_bytes(source, p.start, p.end, p.first, p.limit))
+        for at, text in line_batches(lines):
+            yield batch(list(range(at + 1, at + len(text) + 1)), text)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class TailSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "logloom_tail"
+
+    def schema(self) -> str:
+        return TAIL_SCHEMA
+
+    def streamReader(self, schema) -> TailReader:
+        return TailReader(self.options)
