@@ -65,8 +65,16 @@ def is_json_null(parsed: str) -> Column:
 def js_number_text(number: Column) -> Column:
     """Shortest decimal text of a double, plain below 1e21 and down to 1e-6."""
     magnitude = F.abs(number)
-    text = number.cast("string")
-    exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E-", "e-"), "E", "e+")
+    # The built-in text is exact but sometimes longer than needed; take fewer digits if they round-trip.
+    fifteen, sixteen = F.format_string("%.14e", number), F.format_string("%.15e", number)
+    text = F.lower(
+        F.when(fifteen.cast("double") == number, fifteen)
+        .when(sixteen.cast("double") == number, sixteen)
+        .otherwise(number.cast("string"))
+    )
+    mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "")
+    power = F.substring_index(text, "e", -1).cast("int")
+    exponent = F.concat(mantissa, F.when(power > 0, "e+").otherwise("e"), power)
 
     def plain(scale: int) -> Column:
         return F.regexp_replace(text.cast(f"decimal(38,{scale})").cast("string"), r"\.?0+$", "")

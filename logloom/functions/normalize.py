@@ -14,6 +14,7 @@ from logloom.functions.json_text import (
     with_parsed,
 )
 from logloom.functions.times import date_prefix
+from logloom.schema import PROMOTED_FIELDS
 
 DEFAULT_LEVEL = "INFO"
 DEFAULT_EVENT = "log.event"
@@ -102,6 +103,7 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
         .withColumn("data_json", F.col("line"))
         .withColumn("fields", fields)
         .withColumn("event_date", date_prefix(F.col("timestamp")))
+        .withColumns({column: F.try_element_at("fields", F.lit(name)) for name, column in PROMOTED_FIELDS.items()})
         .drop("_members", "_kinds", "_names", "_values", "_value_kinds", "line")
     )
 

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.operators.filters import DEFAULT_BUCKET_LIMIT, LogQuery, clamp_limit
+from logloom.operators.filters import DEFAULT_BUCKET_LIMIT, LogQuery, clamp_limit, field_value
 
 MISSING = "(missing)"
 GROUP_MODES = ("level", "event", "correlation", "field")
 
 
-def field_value(name: str) -> Column:
-    return F.try_element_at("fields", F.lit(name))
-
-
 def bucket_key(group_by: str, group_field: str | None = None) -> Column:
     if group_by in ("level", "event"):
         return F.col(group_by)

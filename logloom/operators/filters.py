@@ -13,6 +13,8 @@ from operator import and_
 
 from pyspark.sql import Column, functions as F
 
+from logloom.schema import PROMOTED_FIELDS
+
 MAX_LIMIT = 1000
 DEFAULT_PAGE_LIMIT = 100
 DEFAULT_BUCKET_LIMIT = 25
@@ -89,13 +91,20 @@ class LogQuery:
         if self.audit is not None:
             found.append(F.col("is_audit") == F.lit(self.audit))
         if with_field and self.filters_on_field:
-            found.append(F.try_element_at("fields", F.lit(self.field)) == self.value)
+            found.append(field_value(self.field) == self.value)
         return found
 
     def predicate(self) -> Column:
         return all_of(self.conditions())
 
 
+def field_value(name: str) -> Column:
+    """Text of a top-level field, NULL where an entry lacks it."""
+    if name in PROMOTED_FIELDS:
+        return F.col(PROMOTED_FIELDS[name])
+    return F.try_element_at("fields", F.lit(name))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(and_, conditions) if conditions else F.lit(True)
 

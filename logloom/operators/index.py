@@ -15,17 +15,24 @@ publishes the new version. One writer at a time; readers need no lock.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from logloom.functions.normalize import BAD, BLANK, INGESTED, classify_lines, normalize
-from logloom.functions.times import utc_now
+from logloom.functions.times import from_iso, utc_now
 from logloom.operators.aggregate import aggregate_logs
 from logloom.operators.fields import field_rows
 from logloom.operators.filters import LogQuery, expired
 from logloom.operators.search import LogPage, count_logs, fetch_page_by_day
-from logloom.schema import ENTRY_COLUMNS, ENTRY_SCHEMA, LEDGER_SCHEMA, PARTITION_COLUMNS, RUN_SCHEMA
+from logloom.schema import (
+    ENTRY_COLUMNS,
+    ENTRY_SCHEMA,
+    LEDGER_SCHEMA,
+    PARTITION_COLUMNS,
+    PROMOTED_FIELDS,
+    RUN_SCHEMA,
+)
 from logloom.session import configure
 from logloom.sources.appended import read_appended
 from logloom.sources.files import (
@@ -35,6 +42,7 @@ from logloom.sources.files import (
     UNCHANGED,
     VANISHED,
     classify_changes,
+    count_files,
     delete_path,
     list_files,
     path_exists,
@@ -215,10 +223,12 @@ class LogIndex:
     def _write_rows(self, rows: DataFrame, location: str, mode: str = "append", only_partitions: bool = False) -> None:
         # Rebalancing keeps files of a day together, merges small days and splits big ones.
         keys = ["line_kind", *PARTITION_COLUMNS]
+        bloom = {f"parquet.bloom.filter.enabled#{column}": "true" for column in PROMOTED_FIELDS.values()}
         (
             rows.hint("rebalance", *keys)
             .sortWithinPartitions(*keys, "timestamp")
             .write.mode(mode)
+            .options(**bloom)
             .option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
             .partitionBy(*keys)
             .parquet(location)
@@ -226,14 +236,22 @@ class LogIndex:
 
     def _append(self, lines: DataFrame, home: str, now: str, id_base: int, dedupe: bool) -> dict[str, int]:
         """Add lines to the table; counts come from what was committed, so retries cannot skew them."""
+        started = utc_now()
         rows = to_rows(lines, now, id_base)
         if dedupe:
             rows = ignore_known(rows, self._entries_at(home))
         self._write_rows(rows, f"{home}/rows")
-        return self._count_new(home, id_base)
-
-    def _count_new(self, home: str, id_base: int) -> dict[str, int]:
-        written = self.spark.read.schema("id bigint, line_kind string").parquet(f"{home}/rows")
+        return self._count_new(home, started, id_base)
+
+    def _count_new(self, home: str, started: str, id_base: int) -> dict[str, int]:
+        """Rows of this run by kind; files older than the run (less an hour of clock skew) stay closed."""
+        since = from_iso(started) - timedelta(hours=1)
+        written = (
+            self.spark.read.schema("id bigint, line_kind string")
+            .option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
+            .option("timeZone", "UTC")
+            .parquet(f"{home}/rows")
+        )
         row = (
             written.where(F.col("id") > id_base)
             .agg(*[F.count_if(F.col("line_kind") == kind).alias(kind) for kind in (INGESTED, BAD, BLANK)])
@@ -265,23 +283,15 @@ class LogIndex:
 
     def _full_run(self, root: str, now: str, glob: str, home: str, seq: int, id_base: int, kind: str) -> dict:
         started = utc_now()
-        files = list_files(self.spark, root, glob).count()
+        files = count_files(self.spark, root, glob)
         work = f"{home}/work/{seq}"
         new, total = {INGESTED: 0, BAD: 0, BLANK: 0}, 0
         if files:
-            lines = scan_lines(self.spark, root, glob, f"{work}/splits")
+            lines = scan_lines(self.spark, root, glob, f"{work}/splits", self._ledger_at(home))
             splits = self.spark.read.parquet(f"{work}/splits")
             total = splits.agg(F.coalesce(F.sum("split_lines"), F.lit(0))).head()[0]
             self._log_run(seq, kind, "full", "started", started, id_base + total)
             dedupe = path_exists(self.spark, f"{home}/rows/line_kind={INGESTED}")
-            lines = lines.withColumn("generation", F.lit(0))
-            if dedupe:
-                known = self._ledger_at(home).select("source_file", F.col("generation").alias("_known_generation"))
-                lines = (
-                    lines.join(known, "source_file", "left")
-                    .withColumn("generation", F.coalesce("_known_generation", "generation"))
-                    .drop("_known_generation")
-                )
             if total:
                 new = self._append(lines, home, now, id_base, dedupe)
             self._append_ledger(home, self._scanned_state(splits, home, seq))
@@ -331,21 +341,25 @@ class LogIndex:
         old = history.select(
             "source_file", F.col("present").alias("_was_present"), F.col("generation").alias("_last_generation")
         )
-        listing = list_files(self.spark, root, glob)
-        (
-            classify_changes(listing, history.where("present"))
-            .join(old, "source_file", "left")
-            .write.mode("overwrite")
-            .parquet(f"{work}/changes")
-        )
-        changes = self.spark.read.parquet(f"{work}/changes")
-        seen = changes.agg(
-            F.count_if(F.col("status") != VANISHED).alias("files"),
-            F.count_if(F.col("status") == REWRITTEN).alias("rewritten"),
-            F.count_if(~F.col("status").isin(UNCHANGED, VANISHED)).alias("changed"),
-            F.count_if((F.col("status") == NEW) & F.col("_was_present").isNotNull()).alias("returned"),
-            F.count_if(F.col("status") == VANISHED).alias("vanished"),
-        ).head()
+
+        def look(with_empty: bool) -> tuple[DataFrame, Row]:
+            listing = list_files(self.spark, root, glob, with_empty)
+            compared = classify_changes(listing, history.where("present")).join(old, "source_file", "left")
+            compared.write.mode("overwrite").parquet(f"{work}/changes")
+            changes = self.spark.read.parquet(f"{work}/changes")
+            returned = (F.col("status") == NEW) & F.col("_was_present").isNotNull()
+            counts = changes.agg(
+                F.count_if(F.col("status") != VANISHED).alias("files"),
+                F.count_if(F.col("status") == REWRITTEN).alias("rewritten"),
+                F.count_if(~F.col("status").isin(UNCHANGED, VANISHED)).alias("changed"),
+                F.count_if(returned).alias("returned"),
+                F.count_if(F.col("status") == VANISHED).alias("vanished"),
+            )
+            return changes, counts.head()
+
+        changes, seen = look(with_empty=False)
+        if count_files(self.spark, root, glob) > seen["files"]:
+            changes, seen = look(with_empty=True)
 
         new, total = {INGESTED: 0, BAD: 0, BLANK: 0}, 0
         is_rewritten = F.col("status") == REWRITTEN

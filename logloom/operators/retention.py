@@ -11,9 +11,8 @@ from logloom.functions.normalize import is_audit_file
 from logloom.functions.times import iso_minus, utc_now
 from logloom.operators.filters import expired
 from logloom.operators.index import LogIndex
-from logloom.sources.appended import path_prefix
 from logloom.sources.byte_ranges import copy_file, delete_file
-from logloom.sources.files import NDJSON_GLOB, list_files, root_path
+from logloom.sources.files import NDJSON_GLOB, list_files, path_prefix, root_path
 
 DEFAULT_DAYS = 30
 DEFAULT_AUDIT_DAYS = 365
@@ -113,7 +112,8 @@ def clean_up_files(
     deleted only if the plan says so and its copy is complete.
     """
     plan_path = f"{work_dir}/expired"
-    expired_files(list_files(spark, root, glob), now, days, audit_days).write.mode("overwrite").parquet(plan_path)
+    listing = list_files(spark, root, glob, with_empty=True)
+    expired_files(listing, now, days, audit_days).write.mode("overwrite").parquet(plan_path)
     plan = spark.read.parquet(plan_path)
     if backup:
         copies_path = f"{work_dir}/copies"

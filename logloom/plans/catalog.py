@@ -288,7 +288,7 @@ def audit_classify(w: Workspace) -> DataFrame:
 
 @query
 def insert_ignore_counts(w: Workspace) -> DataFrame:
-    rows = to_rows(w.lines().withColumn("generation", F.lit(0)), NOW, 0)
+    rows = to_rows(w.lines(), NOW, 0)
     known = rows.where((F.col("line_kind") == INGESTED) & (_day() <= SPLIT_DAY))
     added = ignore_known(rows, known)
 

@@ -10,6 +10,8 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("event", T.StringType()),
         T.StructField("message", T.StringType()),
         T.StructField("data_json", T.StringType()),
+        T.StructField("correlation_id", T.StringType()),
+        T.StructField("request_id", T.StringType()),
         T.StructField("fields", T.MapType(T.StringType(), T.StringType())),
         T.StructField("field_count", T.IntegerType()),
         T.StructField("source_file", T.StringType()),
@@ -23,6 +25,10 @@ ENTRY_SCHEMA = T.StructType(
 PARTITION_COLUMNS = ["is_audit", "event_date"]
 ENTRY_COLUMNS = [f.name for f in ENTRY_SCHEMA.fields]
 
+# Fields that also have a column of their own: Parquet can skip data by a column, not by a map
+# key, and reading it does not touch the map.
+PROMOTED_FIELDS = {"correlationId": "correlation_id", "requestId": "request_id"}
+
 # One row per file and run; the newest row of a file is its state.
 LEDGER_SCHEMA = T.StructType(
     [

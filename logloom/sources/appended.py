@@ -15,19 +15,12 @@ from logloom.sources.byte_ranges import (
     range_bytes,
     split_lines,
 )
+from logloom.sources.files import path_prefix
 from logloom.sources.lines import running_base
 
 _RANGE_COLUMNS = ["source_file", "path", "generation", "lines_before", "first", "limit", "start", "end"]
 
 
-def path_prefix(spark: SparkSession, root: str) -> str:
-    """``scheme://authority`` of a folder, empty for the local file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
-    scheme, authority = uri.getScheme() or "", uri.getAuthority() or ""
-    return "" if scheme in ("", "file") else f"{scheme}://{authority}"
-
-
 def _limits(prefix: str, include_unterminated: bool):
     """Replace each file's end by the end of its last complete line."""
 

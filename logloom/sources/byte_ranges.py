@@ -35,6 +35,12 @@ def copy_file(source_prefix: str, source: str, target_prefix: str, target: str)
         return writer.tell()
 
 
+def modified_millis(prefix: str, path: str) -> int | None:
+    filesystem, inner = locate(prefix, path)
+    modified = filesystem.get_file_info(inner).mtime_ns
+    return None if modified is None else modified // 1_000_000
+
+
 def delete_file(prefix: str, path: str) -> bool:
     """Delete a file; true also if a repeated task finds it already gone."""
     filesystem, inner = locate(prefix, path)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from logloom.sources.byte_ranges import modified_millis
+
 NDJSON_GLOB = "*.[nN][dD][jJ][sS][oO][nN]"
 # Spark's text sink always writes .txt files.
 SINK_GLOB = "*.{txt,[nN][dD][jJ][sS][oO][nN]}"
 
 NEW, APPENDED, UNCHANGED, REWRITTEN, VANISHED = "new", "appended", "unchanged", "rewritten", "vanished"
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 _LISTING = "path string, source_file string, length bigint, modified_at timestamp"
 
 
@@ -39,37 +45,68 @@ def root_path(spark: SparkSession, root: str) -> str:
     return fs.makeQualified(path).toUri().getPath().rstrip("/")
 
 
+def path_prefix(spark: SparkSession, root: str) -> str:
+    """``scheme://authority`` of a folder, empty for the local file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    scheme, authority = uri.getScheme() or "", uri.getAuthority() or ""
+    return "" if scheme in ("", "file") else f"{scheme}://{authority}"
+
+
 def plain_path(uri: Column) -> Column:
     """Decoded path of a file URI, without scheme and authority."""
     decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
-    return F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.regexp_replace(decoded, _SCHEME, "")
 
 
 def relative_to(path: Column, root: str) -> Column:
     return F.substring(path, len(root) + 2, 1_000_000)
 
 
-def list_files(spark: SparkSession, root: str, glob: str = NDJSON_GLOB) -> DataFrame:
+def _file_source(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", glob).load(root)
+
+
+def count_files(spark: SparkSession, root: str, glob: str = NDJSON_GLOB) -> int:
+    """Number of matching files, empty ones included."""
+    return len(_file_source(spark, root, glob)._jdf.inputFiles()) if path_exists(spark, root) else 0
+
+
+def _times(prefix: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            millis = [modified_millis(prefix, path) for path in batch.column("path").to_pylist()]
+            yield batch.append_column("modified_ms", pa.array(millis, pa.int64()))
+
+    return run
+
+
+def list_files(spark: SparkSession, root: str, glob: str = NDJSON_GLOB, with_empty: bool = False) -> DataFrame:
     """One row per matching file under ``root``: path, source_file, length, modified_at.
 
-    File contents are not read. A missing root gives an empty result.
+    File contents are not read. A missing root gives an empty result. Spark's scans leave out
+    empty files; ``with_empty`` adds them from the names in the file index.
     """
     if not path_exists(spark, root):
         return spark.createDataFrame([], _LISTING)
     base = root_path(spark, root)
+    source = _file_source(spark, root, glob)
     # This source reports paths as they are, unlike _metadata.file_path.
-    path = F.regexp_replace(F.col("path"), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .select(
-            path.alias("path"),
-            relative_to(path, base).alias("source_file"),
-            F.col("length"),
-            F.col("modificationTime").alias("modified_at"),
+    listing = source.select(
+        F.regexp_replace(F.col("path"), _SCHEME, "").alias("path"),
+        "length",
+        F.col("modificationTime").alias("modified_at"),
+    )
+    if with_empty:
+        names = spark.createDataFrame([(uri,) for uri in source.inputFiles()], "value string")
+        empty = names.select(plain_path(F.col("value")).alias("path")).join(listing, "path", "left_anti")
+        timed = empty.mapInArrow(_times(path_prefix(spark, root)), "path string, modified_ms bigint")
+        listing = listing.unionByName(
+            timed.select("path", F.lit(0).cast("bigint").alias("length"), F.timestamp_millis("modified_ms").alias("modified_at"))
         )
+    return listing.withColumn("source_file", relative_to(F.col("path"), base)).select(
+        "path", "source_file", "length", "modified_at"
     )
 
 

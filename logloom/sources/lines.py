@@ -10,7 +10,7 @@ from logloom.sources.files import NDJSON_GLOB, path_exists, plain_path, relative
 # A split row takes about 300 bytes; beyond this many the split table is joined by shuffle.
 MAX_BROADCAST_SPLITS = 200_000
 
-_LINES = "source_file string, path string, line_number bigint, line_seq bigint, line string"
+_LINES = "source_file string, path string, generation int, line_number bigint, line_seq bigint, line string"
 
 
 def running_base(table: DataFrame, order: list[str], amount: str, out: str, path: str) -> DataFrame:
@@ -47,11 +47,14 @@ def scan_lines(
     root: str,
     glob: str = NDJSON_GLOB,
     work_dir: str | None = None,
+    generations: DataFrame | None = None,
 ) -> DataFrame:
-    """Every line below ``root`` as source_file, path, line_number, line_seq, line.
+    """Every line below ``root`` as source_file, path, generation, line_number, line_seq, line.
 
     ``line_number`` starts at 1 in each file and counts blank lines. ``line_seq`` numbers all
     lines in file-name order. The text is read twice; only one row per split is shuffled.
+    ``generations`` (source_file, generation) names the version of files known already; it
+    meets the split table, not the lines, so a huge file is no skewed key.
     """
     if not path_exists(spark, root):
         return spark.createDataFrame([], _LINES)
@@ -83,8 +86,20 @@ def scan_lines(
     target = work_dir or scratch_path(spark, "splits")
     splits = running_base(counted, ["source_file", "split_start"], "split_lines", "seq_base", target)
     file_bases = splits.groupBy("source_file").agg(F.min("seq_base").alias("file_base"))
-    splits = splits.join(file_bases, "source_file").select(
-        "uri", "split_start", "source_file", "path", "first_row_id", "seq_base", "file_base"
+    splits = splits.join(file_bases, "source_file")
+    if generations is None:
+        splits = splits.withColumn("generation", F.lit(0))
+    else:
+        splits = splits.join(generations.select("source_file", "generation"), "source_file", "left")
+    splits = splits.select(
+        "uri",
+        "split_start",
+        "source_file",
+        "path",
+        F.coalesce("generation", F.lit(0)).alias("generation"),
+        "first_row_id",
+        "seq_base",
+        "file_base",
     )
     if spark.read.parquet(target).count() <= MAX_BROADCAST_SPLITS:
         splits = F.broadcast(splits)
@@ -97,6 +112,7 @@ def scan_lines(
     return numbered.select(
         "source_file",
         "path",
+        "generation",
         (line_seq - F.col("file_base")).alias("line_number"),
         line_seq.alias("line_seq"),
         "line",

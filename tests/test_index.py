@@ -106,6 +106,20 @@ def test_rewritten_file_replaces_its_entries(spark, tmp_path):
     assert events(index) == ["order.rewrItten", "kept"]
 
 
+def test_file_emptied_in_place(spark, tmp_path):
+    log = tmp_path / "logs" / "a.ndjson"
+    write_lines(log, line(event="one"))
+    index = LogIndex(spark, str(tmp_path / "index"))
+    index.index_incremental(str(log.parent), NOW)
+    log.write_text("")
+    assert counts(index.index_incremental(str(log.parent), NOW)) == (1, 0, 0, 0, 0)
+    assert index.count(LogQuery()) == 0
+    assert counts(index.index_incremental(str(log.parent), NOW)) == (1, 0, 0, 0, 0)
+    write_lines(log, line(event="two"))
+    assert counts(index.index_incremental(str(log.parent), NOW)) == (1, 1, 1, 0, 0)
+    assert events(index) == ["two"]
+
+
 def test_vanished_file_keeps_entries_and_is_skipped_when_back(spark, tmp_path):
     log = tmp_path / "logs" / "a.ndjson"
     write_lines(log, line(event="one"), line(event="two"))
