@@ -91,20 +91,19 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
         F.map_filter(texts, lambda _, text: text.isNotNull()),
         F.create_map().cast("map<string,string>"),
     )
-    return (
-        typed.withColumn("timestamp", F.coalesce(non_empty_string("timestamp"), F.lit(now)))
-        .withColumn("level", F.coalesce(F.upper(non_empty_string("level")), F.lit(DEFAULT_LEVEL)))
-        .withColumn(
-            "event",
-            F.coalesce(non_empty_string("event"), non_empty_string("message"), F.lit(DEFAULT_EVENT)),
-        )
-        .withColumn("message", message)
-        .withColumn("is_audit", F.coalesce(audit_value, has_audit_segment(F.col("path"))))
-        .withColumn("data_json", F.col("line"))
-        .withColumn("fields", fields)
-        .withColumn("event_date", date_prefix(F.col("timestamp")))
-        .withColumns({column: F.try_element_at("fields", F.lit(name)) for name, column in PROMOTED_FIELDS.items()})
-        .drop("_members", "_kinds", "_names", "_values", "_value_kinds", "line")
+    derived = {
+        "timestamp": F.coalesce(non_empty_string("timestamp"), F.lit(now)),
+        "level": F.coalesce(F.upper(non_empty_string("level")), F.lit(DEFAULT_LEVEL)),
+        "event": F.coalesce(non_empty_string("event"), non_empty_string("message"), F.lit(DEFAULT_EVENT)),
+        "message": message,
+        "is_audit": F.coalesce(audit_value, has_audit_segment(F.col("path"))),
+        "data_json": F.col("line"),
+        "fields": fields,
+    }
+    kept = [name for name in records.columns if name not in ("parsed", "line", *derived)]
+    promoted = {column: F.try_element_at("fields", F.lit(name)) for name, column in PROMOTED_FIELDS.items()}
+    return typed.select(*kept, *[value.alias(name) for name, value in derived.items()]).withColumns(
+        {"event_date": date_prefix(F.col("timestamp")), **promoted}
     )
 
 

@@ -104,7 +104,10 @@ class Workspace:
         return made
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table. One of fewer files than cores is dealt out before costly parsing."""
+        found = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return found if len(found._jdf.inputFiles()) >= cores else found.repartition(cores)
 
     @cached_property
     def logs(self) -> str:
