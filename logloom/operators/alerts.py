@@ -278,7 +278,7 @@ def deliver(payload: dict, policy: AlertPolicy, send: Sender, sleep: Callable[[f
         reply = send(policy.webhookUrl, payload, policy.webhookTimeoutMs)
         if 200 <= reply.status <= 299:
             return attempt, None
-        error = reply.text if reply.status == 0 else f"Alert webhook failed ({reply.status})"
+        error = (reply.text or "no reply") if reply.status == 0 else f"Alert webhook failed ({reply.status})"
         if reply.status and reply.text:
             error += f": {reply.text[:240]}"
         retryable = reply.status in (0, 408, 429) or reply.status >= 500
