@@ -95,7 +95,7 @@ def main() -> None:
     for name, query in pages.items():
         times[name] = timed(lambda query=query: index.page(query))
     times["alert_cycle_counts"] = timed(
-        lambda: alerts.cycle_counts(index.entries(), alert_policy(), "2024-01-20T00:00:00.000Z").collect()
+        lambda: alerts.cycle_counts(index.entries(LogQuery(from_="2024-01-19")), alert_policy(), NOW).collect()
     )
     for name in TABLE_QUERIES:
         times[name] = timed(lambda name=name: sink(queries()[name](spark, sf_dir)))

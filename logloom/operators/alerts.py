@@ -13,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.functions.times import from_iso, iso_from_millis, iso_minus, to_iso, utc_now
-from logloom.operators.filters import LogQuery, all_of
+from logloom.operators.filters import LogQuery
 from logloom.operators.index import LogIndex
 from logloom.operators.policies import AlertPolicy
 from logloom.operators.running import running
@@ -339,16 +339,19 @@ class AlertLog:
         return {row["rule"]: row["at"] for row in sent.groupBy("rule").agg(F.max("sent_at").alias("at")).collect()}
 
 
+def _window_starts(policy: AlertPolicy, now: str) -> tuple[str, str]:
+    return iso_minus(now, minutes=policy.windowMinutes), iso_minus(now, minutes=policy.noLogsThresholdMinutes)
+
+
 def cycle_counts(entries: DataFrame, policy: AlertPolicy, now: str) -> DataFrame:
     """The counts of one live evaluation, in one pass over the days the windows reach.
 
     Windows have no upper end: entries stamped in the future count.
     """
-    window = iso_minus(now, minutes=policy.windowMinutes)
-    quiet = iso_minus(now, minutes=policy.noLogsThresholdMinutes)
+    window, quiet = _window_starts(policy, now)
     timestamp = F.col("timestamp")
     in_window = timestamp >= window
-    return entries.where(all_of(LogQuery(from_=min(window, quiet)).conditions())).agg(
+    return entries.where(LogQuery(from_=min(window, quiet)).predicate()).agg(
         F.count_if(in_window & (F.col("level") == "ERROR")).alias("error_count"),
         F.count_if(in_window).alias("total_count"),
         F.count_if(timestamp >= quiet).alias("silence_count"),
@@ -374,7 +377,8 @@ def run_cycle(
     if not policy.enabled or not policy.webhookUrl:
         return []
     now = now or utc_now()
-    fired = triggers(cycle_counts(index.entries(), policy, now), policy).collect()  # at most two rows
+    recent = index.entries(LogQuery(from_=min(_window_starts(policy, now))))
+    fired = triggers(cycle_counts(recent, policy, now), policy).collect()  # at most two rows
     last_sent = log.last_sent(policy.policy_id) if fired else {}
     rows = []
     for row in sorted(fired, key=lambda r: r["rule"] != ERROR_THRESHOLD):

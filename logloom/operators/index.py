@@ -23,8 +23,8 @@ from logloom.functions.normalize import BAD, BLANK, INGESTED, classify_lines, no
 from logloom.functions.times import from_iso, utc_now
 from logloom.operators.aggregate import aggregate_logs
 from logloom.operators.fields import field_rows
-from logloom.operators.filters import LogQuery, expired
-from logloom.operators.search import LogPage, count_logs, fetch_page_by_day
+from logloom.operators.filters import LogQuery, day_prefix, expired
+from logloom.operators.search import LogPage, count_logs, fetch_page_by_day, page_frame_by_day
 from logloom.schema import (
     ENTRY_COLUMNS,
     ENTRY_SCHEMA,
@@ -129,13 +129,35 @@ class LogIndex:
     def _home_of(self, version: int) -> str:
         return f"{self.path}/v{version}"
 
-    def entries(self) -> DataFrame:
-        """All entries, partitioned by is_audit and event_date."""
-        return self._entries_at(self._home())
+    def entries(self, query: LogQuery | None = None) -> DataFrame:
+        """All entries, partitioned by is_audit and event_date.
+
+        With a query, only the partition folders it can match are listed and read; the query
+        itself is not applied.
+        """
+        home = self._home()
+        if query is None:
+            return self._entries_at(home)
+        lower, upper = day_prefix(query.from_ or ""), day_prefix(query.to or "")
+
+        def wanted(audit: bool, day: date | None) -> bool:
+            if query.audit is not None and audit != query.audit:
+                return False
+            return day is None or ((lower is None or day >= lower) and (upper is None or day <= upper))
+
+        found = self._partitions_at(home)
+        chosen = [p for p in found if wanted(*p)]
+        return self._entries_at(home) if len(chosen) == len(found) else self._entries_in(home, chosen)
 
     def _entries_at(self, home: str) -> DataFrame:
         return self._read(f"{home}/rows/line_kind={INGESTED}", ENTRY_SCHEMA)
 
+    def _entries_in(self, home: str, chosen: list[Partition]) -> DataFrame:
+        if not chosen:
+            return self.spark.createDataFrame([], ENTRY_SCHEMA)
+        reader = self.spark.read.schema(ENTRY_SCHEMA).option("basePath", f"{home}/rows/line_kind={INGESTED}")
+        return reader.parquet(*[self._folder(home, *p) for p in chosen])
+
     def fields(self) -> DataFrame:
         return field_rows(self.entries())
 
@@ -166,15 +188,30 @@ class LogIndex:
 
     # ---- search -------------------------------------------------------------------
 
+    def _by_day(self, query: LogQuery) -> tuple[Callable[[date | None], DataFrame], list[date]]:
+        home = self._home()
+        found = [p for p in self._partitions_at(home) if query.audit is None or p[0] == query.audit]
+
+        def read(oldest: date | None) -> DataFrame:
+            recent = [(a, d) for a, d in found if oldest is None or d is None or d >= oldest]
+            return self._entries_in(home, recent)
+
+        return read, sorted({day for _, day in found if day is not None})
+
     def page(self, query: LogQuery) -> LogPage:
-        days = sorted({day for _, day in self.partitions() if day is not None})
-        return fetch_page_by_day(self.entries(), query, days)
+        read, days = self._by_day(query)
+        return fetch_page_by_day(read, query, days)
+
+    def page_frame(self, query: LogQuery) -> DataFrame:
+        """The page as a DataFrame."""
+        read, days = self._by_day(query)
+        return page_frame_by_day(read, query, days)
 
     def count(self, query: LogQuery) -> int:
-        return count_logs(self.entries(), query).head()[0]
+        return count_logs(self.entries(query), query).head()[0]
 
     def aggregate(self, query: LogQuery, group_by: str, group_field: str | None = None) -> DataFrame:
-        return aggregate_logs(self.entries(), query, group_by, group_field)
+        return aggregate_logs(self.entries(query), query, group_by, group_field)
 
     def stats(self) -> DataFrame:
         """One row: entry_count, field_count, approximate_size_bytes."""
@@ -529,8 +566,8 @@ class LogIndex:
                 dropped.append((audit, day))
         gone = expired(normal_cutoff, audit_cutoff)
         row = (
-            self._entries_at(home)
-            .where(self._in_partitions(dropped + partly) & gone)
+            self._entries_in(home, dropped + partly)
+            .where(gone)
             .agg(
                 F.count_if(~F.col("is_audit")).alias("normal"),
                 F.count_if("is_audit").alias("audit"),
@@ -578,18 +615,6 @@ class LogIndex:
         name = day.isoformat() if day else _NULL_PARTITION
         return f"{home}/rows/line_kind={INGESTED}/is_audit={str(audit).lower()}/event_date={name}"
 
-    @staticmethod
-    def _in_partitions(chosen: list[Partition]) -> Column:
-        found = F.lit(False)
-        for flag in (False, True):
-            days = [day for audit, day in chosen if audit == flag]
-            dated = [F.lit(day) for day in days if day is not None]
-            hit = F.col("event_date").isin(*dated) if dated else F.lit(False)
-            if None in days:
-                hit = hit | F.col("event_date").isNull()
-            found = found | ((F.col("is_audit") == F.lit(flag)) & hit)
-        return found
-
     def _rewrite(self, home: str, chosen: list[Partition], seq: int, keep: Callable[[DataFrame], DataFrame]) -> None:
         """Replace partitions by what ``keep`` leaves of them.
 
@@ -601,7 +626,7 @@ class LogIndex:
         stage = f"{home}/rewrites/{seq}"
         targets = self.spark.createDataFrame(chosen, "is_audit boolean, event_date date")
         targets.coalesce(1).write.mode("overwrite").parquet(f"{stage}/targets")
-        rows = keep(self._entries_at(home).where(self._in_partitions(chosen)))
+        rows = keep(self._entries_in(home, chosen))
         rows = rows.withColumn("line_kind", F.lit(INGESTED))
         self._write_rows(rows.select("line_kind", *ENTRY_COLUMNS), f"{stage}/rows", "overwrite")
         self._apply_rewrite(home, stage)

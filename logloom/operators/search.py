@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date
 
@@ -56,24 +57,39 @@ def fetch_page(entries: DataFrame, query: LogQuery) -> LogPage:
     return build_page(page_frame(entries, query, look_ahead=1).collect(), limit)
 
 
-def fetch_page_by_day(entries: DataFrame, query: LogQuery, days: list[date]) -> LogPage:
+def fetch_page_by_day(read: Callable[[date | None], DataFrame], query: LogQuery, days: list[date]) -> LogPage:
     """``fetch_page`` over a table partitioned by day, reading the newest days first.
 
+    ``read(day)`` gives the entries from that day on and the undated ones, ``read(None)`` all.
     The look-back doubles until the page is full, so a page costs the days it needs rather
-    than the whole history. Undated entries take part in every step; a step counts only if
-    its last row is at least as new as every day left out.
+    than the whole history. A step counts only if its last row is at least as new as every
+    day left out; undated rows alone do not show that.
     """
     limit = clamp_limit(query.limit, DEFAULT_PAGE_LIMIT)
+    for oldest in look_backs(days):
+        rows = page_frame(read(oldest), query, look_ahead=1).collect()
+        if len(rows) > limit and rows[-1]["timestamp"] >= oldest.isoformat():
+            return build_page(rows, limit)
+    return fetch_page(read(None), query)
+
+
+def page_frame_by_day(read: Callable[[date | None], DataFrame], query: LogQuery, days: list[date]) -> DataFrame:
+    """``page_frame`` over the newest days that fill it, found by looking at timestamps only."""
+    limit = clamp_limit(query.limit, DEFAULT_PAGE_LIMIT)
+    for oldest in look_backs(days):
+        enough = matching(read(oldest), query).where(F.col("timestamp") >= oldest.isoformat()).select("timestamp")
+        if len(enough.limit(limit).collect()) == limit:
+            return page_frame(read(oldest), query)
+    return page_frame(read(None), query)
+
+
+def look_backs(days: list[date]) -> Iterator[date]:
+    """First days of look-backs over 1, 2, 4, ... of the days present, short of all of them."""
     newest = sorted(days, reverse=True)
     taken = 1
     while taken < len(newest):
-        oldest = newest[taken - 1]
-        recent = entries.where((F.col("event_date") >= F.lit(oldest)) | F.col("event_date").isNull())
-        rows = page_frame(recent, query, look_ahead=1).collect()
-        if len(rows) > limit and rows[-1]["timestamp"] >= oldest.isoformat():
-            return build_page(rows, limit)
+        yield newest[taken - 1]
         taken *= 2
-    return fetch_page(entries, query)
 
 
 def count_logs(entries: DataFrame, query: LogQuery) -> DataFrame:

@@ -160,7 +160,8 @@ def _found(entries: DataFrame) -> DataFrame:
 
 
 def _search(w: Workspace, **options) -> DataFrame:
-    return _found(search.matching(w.index.entries(), LogQuery(**options)))
+    wanted = LogQuery(**options)
+    return _found(search.matching(w.index.entries(wanted), wanted))
 
 
 @query
@@ -210,22 +211,23 @@ def _page(entries: DataFrame) -> DataFrame:
 
 @query
 def page_first(w: Workspace) -> DataFrame:
-    return _page(search.page_frame(w.index.entries(), LogQuery(limit=100)))
+    return _page(w.index.page_frame(LogQuery(limit=100)))
 
 
 @query
 def page_next(w: Workspace) -> DataFrame:
     first = w.index.page(LogQuery(limit=100))
-    return _page(search.page_frame(w.index.entries(), LogQuery(limit=100, cursor=first.next_cursor)))
+    return _page(w.index.page_frame(LogQuery(limit=100, cursor=first.next_cursor)))
 
 
 @query
 def count_filtered(w: Workspace) -> DataFrame:
-    return search.count_logs(w.index.entries(), LogQuery(**COMBINED))
+    wanted = LogQuery(**COMBINED)
+    return search.count_logs(w.index.entries(wanted), wanted)
 
 
 def _buckets(w: Workspace, group_by: str, group_field: str | None = None, **options) -> DataFrame:
-    return aggregate_logs(w.index.entries(), LogQuery(**options), group_by, group_field)
+    return w.index.aggregate(LogQuery(**options), group_by, group_field)
 
 
 @query

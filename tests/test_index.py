@@ -210,6 +210,8 @@ def test_paging(spark, tmp_path):
     index.index_directory(str(log.parent), NOW)
     expected = ["undated", "event.2", "event.1", "event.0", "older", "low"]
     assert events(index) == expected
+    frame = index.page_frame(LogQuery(limit=2)).collect()
+    assert [r["event"] for r in frame] == expected[:2]
     seen, cursor = [], None
     while True:
         page = index.page(LogQuery(limit=1, cursor=cursor))
