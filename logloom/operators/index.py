@@ -35,6 +35,7 @@ from logloom.schema import (
 )
 from logloom.session import configure
 from logloom.sources.appended import read_appended
+from logloom.sources.byte_ranges import RANGE_BYTES
 from logloom.sources.files import (
     NDJSON_GLOB,
     NEW,
@@ -53,15 +54,14 @@ _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 Partition = tuple[bool, date | None]
 
 
-def ignore_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+def ignore_known(rows: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
     """Drop record rows whose (source_file, line_number) is already in ``known``.
 
     Rejected lines always stay, they are counted in every run. ``known`` is first cut down
-    to the files of the batch.
+    to the ``files`` of the batch, given as a table so that rows need not be made twice.
     """
     key = ["source_file", "line_number"]
-    files = rows.select("source_file").distinct()
-    held = known.select(*key).join(files, "source_file", "left_semi").withColumn("_known", F.lit(True))
+    held = known.select(*key).join(files.select("source_file").distinct(), "source_file", "left_semi").withColumn("_known", F.lit(True))
     marked = rows.join(held, key, "left")
     return marked.where(F.col("_known").isNull() | (F.col("line_kind") != INGESTED)).drop("_known")
 
@@ -271,12 +271,17 @@ class LogIndex:
             .parquet(location)
         )
 
-    def _append(self, lines: DataFrame, home: str, now: str, id_base: int, dedupe: bool) -> dict[str, int]:
-        """Add lines to the table; counts come from what was committed, so retries cannot skew them."""
+    def _append(
+        self, lines: DataFrame, home: str, now: str, id_base: int, dedupe: bool, files: DataFrame
+    ) -> dict[str, int]:
+        """Add the lines of ``files`` to the table, with ``dedupe`` only those not there yet.
+
+        Counts come from what was committed, so retries cannot skew them.
+        """
         started = utc_now()
         rows = to_rows(lines, now, id_base)
         if dedupe:
-            rows = ignore_known(rows, self._entries_at(home))
+            rows = ignore_known(rows, self._entries_at(home), files)
         self._write_rows(rows, f"{home}/rows")
         return self._count_new(home, started, id_base)
 
@@ -330,7 +335,7 @@ class LogIndex:
             self._log_run(seq, kind, "full", "started", started, id_base + total)
             dedupe = path_exists(self.spark, f"{home}/rows/line_kind={INGESTED}")
             if total:
-                new = self._append(lines, home, now, id_base, dedupe)
+                new = self._append(lines, home, now, id_base, dedupe, splits)
             self._append_ledger(home, self._scanned_state(splits, home, seq))
             delete_path(self.spark, work)
         report = self._report("full", started, files, total, new)
@@ -365,10 +370,12 @@ class LogIndex:
         now: str | None = None,
         glob: str = NDJSON_GLOB,
         include_unterminated: bool = False,
+        range_bytes: int = RANGE_BYTES,
     ) -> dict:
         """Read only what was appended since the last run; replace files rewritten in place.
 
         A last line without a newline waits for the next run unless ``include_unterminated``.
+        Files are read in pieces of ``range_bytes``.
         """
         started = utc_now()
         now = now or started
@@ -423,11 +430,11 @@ class LogIndex:
                 F.when(fresh, F.lit(0)).otherwise(F.col("old_lines")).cast("bigint").alias("lines_before"),
                 F.when(is_rewritten, last + 1).otherwise(last).cast("int").alias("generation"),
             )
-            lines, state = read_appended(todo, seen["changed"], root, work, include_unterminated)
+            lines, state = read_appended(todo, seen["changed"], root, work, include_unterminated, range_bytes)
             total = state.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
             if total:
                 self._log_run(seq, "index", "incremental", "started", started, id_base + total)
-                new = self._append(lines, home, now, id_base, broken or bool(seen["returned"]))
+                new = self._append(lines, home, now, id_base, broken or bool(seen["returned"]), todo)
             states = states.unionByName(
                 todo.join(state, "source_file").select(
                     "source_file",
@@ -504,7 +511,7 @@ class LogIndex:
         new = {INGESTED: 0, BAD: 0, BLANK: 0}
         if totals["lines"]:
             self._log_run(seq, "index", "stream", "started", started, id_base + totals["lines"])
-            new = self._append(lines, home, now, id_base, broken)
+            new = self._append(lines, home, now, id_base, broken, staged)
         self._append_ledger(home, state.withColumns({"present": F.lit(True), "run_seq": F.lit(seq)}))
         delete_path(self.spark, work)
         report = self._report("stream", started, totals["files"], totals["lines"], new)

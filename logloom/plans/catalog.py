@@ -292,7 +292,7 @@ def audit_classify(w: Workspace) -> DataFrame:
 def insert_ignore_counts(w: Workspace) -> DataFrame:
     rows = to_rows(w.lines(), NOW, 0)
     known = rows.where((F.col("line_kind") == INGESTED) & (_day() <= SPLIT_DAY))
-    added = ignore_known(rows, known)
+    added = ignore_known(rows, known, files.list_files(w.spark, w.logs, GLOB))
 
     def by_folder(table: DataFrame, out: str) -> DataFrame:
         is_record = F.col("line_kind") == INGESTED

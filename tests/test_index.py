@@ -1,4 +1,5 @@
 import os
+import random
 
 from conftest import line, write_lines
 
@@ -276,3 +277,34 @@ def test_prune_and_compact(spark, tmp_path):
     after = sorted(tuple(r[c] for c in ("id", "event", "line_number")) for r in index.entries().collect())
     assert after == before
     assert len(list((tmp_path / "index" / "v0" / "rows").glob("*/is_audit=false/event_date=2026-02-17/*.parquet"))) == 1
+
+
+def test_appends_equal_one_scan(spark, tmp_path):
+    """However a file grows, the index ends up the same as after one full scan."""
+    rng = random.Random(7)
+    kinds = ["", "oops", "null"]
+    for name in ("a.ndjson", "deep/b.ndjson"):
+        lines = [line(event=f"e{n}", text="x" * rng.randrange(60)) if rng.random() < 0.8 else rng.choice(kinds) for n in range(120)]
+        (tmp_path / "final" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "final" / name).write_bytes("\r\n".join(lines).encode() + b"\r\n")
+    grown = LogIndex(spark, str(tmp_path / "grown"))
+    totals = [0] * 4
+    for step in range(1, 4):
+        for name in ("a.ndjson", "deep/b.ndjson"):
+            data = (tmp_path / "final" / name).read_bytes()
+            end = len(data) if step == 3 else rng.randrange(len(data) * step // 3)
+            target = tmp_path / "logs" / name
+            target.parent.mkdir(parents=True, exist_ok=True)
+            old = target.stat().st_size if target.exists() else 0
+            with open(target, "ab") as out:
+                out.write(data[old : max(old, end)])
+        report = grown.index_incremental(str(tmp_path / "logs"), NOW, range_bytes=500)
+        totals = [a + b for a, b in zip(totals, counts(report)[1:])]
+    whole = LogIndex(spark, str(tmp_path / "whole"))
+    assert totals == list(counts(whole.index_directory(str(tmp_path / "final"), NOW))[1:])
+
+    def content(index):
+        names = ("source_file", "line_number", "event", "data_json", "fields")
+        return sorted(tuple(str(row[name]) for name in names) for row in index.entries().collect())
+
+    assert content(grown) == content(whole)
