@@ -172,7 +172,8 @@ def apply_cooldown(fired: DataFrame, policy: AlertPolicy) -> DataFrame:
     keys = ["policy_id", "rule"]
     marked = running(fired, keys, "tick", {"_previous": ("max", F.col("tick"))}, include_current=False)
     fresh = F.col("_previous").isNull() | (F.col("tick") - F.col("_previous") >= gap)
-    marked = running(marked.withColumn("_start", F.when(fresh, F.col("tick"))), keys, "tick", {"_spell": ("max", F.col("_start"))})
+    marked = marked.withColumn("_start", F.when(fresh, F.col("tick")))
+    marked = running(marked, keys, "tick", {"_spell": ("max", F.col("_start"))})
     start = F.struct(F.lit(-gap).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sends"))
 
     def send(state: Column, tick: Column) -> Column:
@@ -231,7 +232,8 @@ def delivery_plan(alerts: DataFrame, policy: AlertPolicy) -> DataFrame:
     padded = F.slice(F.concat("replies", F.array_repeat(F.lit(0), limit)), 1, limit)
     final = F.transform(padded, lambda status, at: F.when(~is_retryable(status), at + 1))
     attempts = F.coalesce(F.array_min(final), F.lit(limit))
-    waits = F.transform(F.sequence(F.lit(1), F.lit(limit)), lambda n: F.floor(F.lit(backoff) * F.pow(F.lit(2.0), n - 1) + 0.5))
+    attempt_numbers = F.sequence(F.lit(1), F.lit(limit))
+    waits = F.transform(attempt_numbers, lambda n: F.floor(F.lit(backoff) * F.pow(F.lit(2.0), n - 1) + 0.5))
     waited = F.aggregate(F.slice(waits, 1, F.col("attempts") - 1), F.lit(0).cast("bigint"), lambda a, b: a + b)
     last = F.element_at(padded, F.col("attempts"))
     return (
@@ -271,7 +273,9 @@ def http_sender(url: str, payload: dict, timeout_ms: float) -> Reply:
         return Reply(0, str(error))
 
 
-def deliver(payload: dict, policy: AlertPolicy, send: Sender, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str | None]:
+def deliver(
+    payload: dict, policy: AlertPolicy, send: Sender, sleep: Callable[[float], None] = time.sleep
+) -> tuple[int, str | None]:
     """Send one alert with retries: attempts made, and the error of the last one or None."""
     limit = int(policy.webhookRetryAttempts)
     for attempt in range(1, limit + 1):

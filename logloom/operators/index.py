@@ -61,7 +61,8 @@ def ignore_known(rows: DataFrame, known: DataFrame, files: DataFrame) -> DataFra
     to the ``files`` of the batch, given as a table so that rows need not be made twice.
     """
     key = ["source_file", "line_number"]
-    held = known.select(*key).join(files.select("source_file").distinct(), "source_file", "left_semi").withColumn("_known", F.lit(True))
+    named = files.select("source_file").distinct()
+    held = known.select(*key).join(named, "source_file", "left_semi").withColumn("_known", F.lit(True))
     marked = rows.join(held, key, "left")
     return marked.where(F.col("_known").isNull() | (F.col("line_kind") != INGESTED)).drop("_known")
 

@@ -25,10 +25,13 @@ def running(
         "_block", F.floor(F.col(index) / block_rows)
     )
     group = [*keys, "_block"]
-    totals = rows.groupBy(*group).agg(*[pick[how](f"_v_{out}").alias(f"_t_{out}") for out, (how, _) in values.items()])
+    sums = [pick[how](f"_v_{out}").alias(f"_t_{out}") for out, (how, _) in values.items()]
+    totals = rows.groupBy(*group).agg(*sums)
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*group, *[pick[how](f"_t_{out}").over(earlier).alias(f"_c_{out}") for out, (how, _) in values.items()])
-    inside = Window.partitionBy(*group).orderBy(index).rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    before_block = [pick[how](f"_t_{out}").over(earlier).alias(f"_c_{out}") for out, (how, _) in values.items()]
+    carried = totals.select(*group, *before_block)
+    last_row = 0 if include_current else -1
+    inside = Window.partitionBy(*group).orderBy(index).rowsBetween(Window.unboundedPreceding, last_row)
     merged = rows.join(carried, group)
     for out, (how, _) in values.items():
         here, before = pick[how](f"_v_{out}").over(inside), F.col(f"_c_{out}")

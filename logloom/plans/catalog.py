@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.functions.normalize import (
     INGESTED,
@@ -130,7 +130,7 @@ def file_scan_report(w: Workspace) -> DataFrame:
     )
 
 
-def _day() -> F.Column:
+def _day() -> Column:
     return F.regexp_extract("source_file", r"day=([0-9-]{10})", 1)
 
 

@@ -27,7 +27,7 @@ def events(index: LogIndex, **options) -> list[str]:
 def test_index_and_filters(spark, tmp_path):
     logs = tmp_path / "logs"
     write_lines(
-        logs / "orderbutler.ndjson",
+        logs / "orders.ndjson",
         line(timestamp=stamp(0, 0), level="INFO", event="order.created", message="order.created", customerId="CUST-1"),
         "this-is-not-json",
         line(timestamp=stamp(0, 1), level="ERROR", event="order.failed", message="order.failed", customerId="CUST-1"),
@@ -48,9 +48,9 @@ def test_index_and_filters(spark, tmp_path):
     assert index.count(LogQuery(field="customerId", value="CUST-1")) == 2
     assert index.count(LogQuery(field="customerId")) == 3
     row = result_json(index.entries().where("level = 'ERROR'")).head()
-    assert '"customerId":"CUST-1"' in row["entry_json"] and '"sourceFile":"orderbutler.ndjson"' in row["entry_json"]
+    assert '"customerId":"CUST-1"' in row["entry_json"] and '"sourceFile":"orders.ndjson"' in row["entry_json"]
     order = [(r["source_file"], r["line_number"]) for r in index.entries().orderBy("id").collect()]
-    assert order == [("nested/supplier.ndjson", 1), ("orderbutler.ndjson", 1), ("orderbutler.ndjson", 3)]
+    assert order == [("nested/supplier.ndjson", 1), ("orders.ndjson", 1), ("orders.ndjson", 3)]
 
 
 def test_missing_folder(spark, tmp_path):
