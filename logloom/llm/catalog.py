@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import mixing, oracle, warc
+from logloom.llm import mixing, oracle, prefix_bpe, token_files, warc
 from logloom.llm.common import table
 from logloom.session import scratch_path
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, folder)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
 def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return rows.drop("url", "payload")
