@@ -7,11 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import mixing, oracle, prefix_bpe, token_files, warc
+from logloom.llm import language, mixing, oracle, prefix_bpe, token_files, warc
 from logloom.llm.common import table
 from logloom.session import scratch_path
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(language.learnable(F.col("doc_id"))))
+    held_out = (~language.learnable(F.col("doc_id"))).alias("held_out")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
