@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import language, mixing, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
+from logloom.llm import language, line_templates, mixing, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
 from logloom.llm.common import table
 from logloom.llm.url_filter import Rule
 from logloom.session import scratch_path
@@ -21,6 +21,11 @@ URL_RULES = (
 )
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.without_recurring_lines(docs)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(language.learnable(F.col("doc_id"))))

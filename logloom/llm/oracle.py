@@ -1,6 +1,49 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
 SQL = {
+    "op1_line_dedup": r"""
+WITH split AS (
+    SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), exploded AS (
+    SELECT doc_id, text, unnest(lines) AS raw, unnest(range(len(lines))) AS pos FROM split WHERE text IS NOT NULL
+), plain AS (
+    SELECT doc_id, text, pos, string_split(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS tokens FROM exploded
+), masked AS (
+    SELECT *, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS generic
+    FROM plain WHERE tokens <> ['']
+), parsed AS (
+    SELECT doc_id, text, pos,
+           CASE WHEN len(list_filter(generic, lambda t: t <> '<*>')) >= 0.7 * len(generic) THEN generic ELSE tokens END AS line
+    FROM masked
+), kinds AS (
+    SELECT line, len(line) AS size, list_slice(line, 1, 3) AS lead, COUNT(*) AS n FROM parsed GROUP BY ALL
+), candidates AS (
+    SELECT *, COUNT(*) OVER leaf AS kinds FROM kinds
+    WINDOW leaf AS (PARTITION BY size, lead) QUALIFY SUM(n) OVER leaf >= 5
+), placed AS (
+    SELECT *, unnest(line) AS token, unnest(range(size)) AS pos FROM candidates WHERE kinds > 1
+), supported AS (
+    SELECT *, SUM(n) OVER (PARTITION BY size, lead, pos, token) >= 5 AND token <> '<*>' AS constant FROM placed
+), generalised AS (
+    SELECT line, list(CASE WHEN constant THEN token ELSE '<*>' END ORDER BY pos) AS template
+    FROM supported GROUP BY line HAVING COUNT(*) FILTER (WHERE constant) >= 0.7 * COUNT(*)
+), templates AS (
+    SELECT c.line, COALESCE(g.template, c.line) AS template FROM candidates c LEFT JOIN generalised g ON c.line = g.line
+), found AS (
+    SELECT p.doc_id, p.text, p.pos, t.template FROM parsed p JOIN templates t ON p.line = t.line
+), recurring AS (
+    SELECT template, MIN(doc_id) AS first FROM found GROUP BY template
+    HAVING COUNT(DISTINCT doc_id) + MAX(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5
+), dropped AS (
+    SELECT doc_id, text, list(DISTINCT pos) AS gone FROM found JOIN recurring USING (template)
+    WHERE doc_id IS DISTINCT FROM first GROUP BY doc_id, text
+)
+SELECT s.doc_id,
+       CASE WHEN d.gone IS NULL THEN s.text
+            ELSE array_to_string(list_filter(s.lines, lambda line, nth: NOT list_contains(d.gone, nth - 1)), chr(10)) END AS text,
+       CAST(COALESCE(len(s.lines), 0) AS BIGINT) AS n_lines, CAST(COALESCE(len(d.gone), 0) AS BIGINT) AS n_dropped
+FROM split s LEFT JOIN dropped d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.text = d.text
+""",
     "op4_source_mixing": r"""
 WITH sized AS (
     SELECT doc_id, source, md5('mix:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS key,
