@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import language, line_templates, mixing, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
+from logloom.llm import language, line_templates, minhash, mixing, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
 from logloom.llm.common import table
 from logloom.llm.url_filter import Rule
 from logloom.session import scratch_path
@@ -59,6 +59,11 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, minhash.Options(shingle_words=2)).drop("text_key")
+
+
 def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return rows.drop("url", "payload")
