@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import language, line_templates, minhash, mixing, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
+from logloom.llm import language, line_templates, minhash, mixing, neighbours, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
 from logloom.llm.common import table
 from logloom.llm.url_filter import Rule
 from logloom.session import scratch_path
@@ -64,6 +64,10 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, minhash.Options(shingle_words=2)).drop("text_key")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = warc.archived(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return rows.drop("url", "payload")
