@@ -21,31 +21,52 @@ def parts(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-class PartCache:
-    """Encoded parts, as bytes of their ids. Forgets all when it holds ``limit`` parts."""
+class Recent:
+    """Values by key, made in bulk. Forgets what was not asked for while ``limit`` newer ones came."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000):
-        self.encode = encode
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], limit: int):
+        self.make = make
         self.limit = limit
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, wanted: set[str]) -> Callable[[str], bytes]:
+        """How to look up all of ``wanted``, until the next call."""
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        wanted = wanted.difference(new)
+        again = {key: old[key] for key in wanted if key in old}
+        new.update(again)
+        unknown = list(wanted.difference(again))
+        new.update(zip(unknown, self.make(unknown), strict=True))
+        return new.__getitem__
+
+
+class PartCache:
+    """Encodes texts by their parts, the parts by the pieces that a pattern finds, and both but once.
+
+    ``encode_pieces`` gives the ids of pieces as bytes. Twice ``limit`` of them are remembered at most,
+    in some 200 bytes each.
+    """
+
+    def __init__(self, pattern, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int):
+        self.find = pattern.findall
+        self.pieces = Recent(encode_pieces, limit)
+        self.first = Recent(self.cut, limit // 10)
+        self.later = Recent(lambda found: self.cut([" " + p for p in found]), limit)
+
+    def cut(self, texts: list[str]) -> list[bytes]:
+        found = [self.find(t) for t in texts]
+        ids = self.pieces.of(set().union(*found))
+        return [ids(one[0]) if len(one) == 1 else b"".join(map(ids, one)) for one in found]
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cut = [parts(t) for t in texts]
-        whole = [n for n, p in enumerate(cut) if p is None]
-        for n, ids in zip(whole, self.encode([texts[n] for n in whole])):
-            cut[n] = ids
-        known = [p for p in cut if isinstance(p, list)]
-        self._learn(self.first, {p[0] for p in known}, "")
-        self._learn(self.later, set().union(*(p[1:] for p in known)), " ")
-        later = self.later.__getitem__
-        found = [p if isinstance(p, bytes) else self.first[p[0]] + b"".join(map(later, p[1:])) for p in cut]
-        for kept in (self.first, self.later):
-            if len(kept) > self.limit:
-                kept.clear()
-        return found
-
-    def _learn(self, kept: dict[str, bytes], wanted: set[str], before: str) -> None:
-        new = [p for p in wanted if p not in kept]
-        kept.update(zip(new, self.encode([before + p for p in new])))
+        found = [parts(t) for t in texts]
+        uncut = [n for n, one in enumerate(found) if one is None]
+        whole = dict(zip(uncut, self.cut([texts[n] for n in uncut])))
+        known = [one for one in found if one is not None]
+        first = self.first.of({one[0] for one in known})
+        later = self.later.of(set().union(*(one[1:] for one in known)))
+        return [whole[n] if one is None else first(one[0]) + b"".join(map(later, one[1:])) for n, one in enumerate(found)]

@@ -33,6 +33,7 @@ from logloom.llm.pieces import PartCache
 from logloom.llm.token_files import groups
 
 NEVER = 1 << 40  # a rank beyond all
+REMEMBERED = 350_000  # pieces of text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -188,28 +189,15 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
 class Codec:
     """Texts to ids and back, each match of the pattern by itself."""
 
-    def __init__(self, path: str, pattern: str, piece_limit: int = 600_000):
+    def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(load_ranks(path))
-        self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.limit = piece_limit
-        self.cache = PartCache(self._encode)
+        self.cache = PartCache(regex.compile(pattern), self._pieces, REMEMBERED)
         self.token_bytes = [self.vocabulary.bytes_of.get(n, b"") for n in range(max(self.vocabulary.bytes_of) + 1)]
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        pieces, vocabulary = self.pieces, self.vocabulary
-        for text in texts:
-            found = []
-            for match in self.pattern.finditer(text):
-                piece = match.group()
-                known = pieces.get(piece)
-                if known is None:
-                    if len(pieces) > self.limit:
-                        pieces.clear()
-                    ids = encode_piece(vocabulary, piece.encode())
-                    known = pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-                found.append(known)
-            yield b"".join(found)
+    def _pieces(self, found: list[str]) -> Iterator[bytes]:
+        for piece in found:
+            ids = encode_piece(self.vocabulary, piece.encode())
+            yield struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

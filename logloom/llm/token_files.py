@@ -20,11 +20,12 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,8 +36,12 @@ from logloom.llm.pieces import PartCache
 END_ID = 2
 NO_ID = -(1 << 63)
 TEXTS_AT_ONCE = 256
-CHARS_AT_ONCE = 4 << 20
-LINES_AT_ONCE = 20_000
+REMEMBERED = 150_000  # pieces of text
+CHARS_AT_ONCE = 2 << 20
+# How byte-level tokenizers split text, and the characters they write bytes as.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
 
 def load_tokenizer(path: str):
@@ -52,36 +57,35 @@ def id_type(tokenizer, end_id: int) -> str:
     return "<u2" if max(tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4"
 
 
-def part_cache(path: str, dtype: str) -> PartCache:
-    tokenizer = load_tokenizer(path)
-    line_feed = tokenizer.encode("\n", add_special_tokens=False).ids
-
-    def each(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+def is_byte_level(tokenizer) -> bool:
+    """Whether the tokenizer splits text by the pattern and then merges bytes, and does nothing else."""
+    said = json.loads(tokenizer.to_str())
+    split = said["pre_tokenizer"] or {}
+    plain = said["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+    return plain and not split["add_prefix_space"] and said["model"]["type"] == "BPE"
 
-    def lines(texts: list[str]) -> list[bytes]:
-        """Texts that begin with a space before a visible character, as lines of one text.
 
-        A line feed between such texts is always a token by itself, so its id marks their ends.
-        """
-        ids = np.array(tokenizer.encode("\n".join(texts), add_special_tokens=False).ids, dtype)
-        ends = np.flatnonzero(ids == line_feed[0]).tolist()
-        data, size = ids.tobytes(), ids.itemsize
-        return [data[a * size : b * size] for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(ids)])]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        plain = [n for n, t in enumerate(texts) if len(line_feed) == 1 and t[:1] == " " != t[1:2] != "" and "\n" not in t]
-        found: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(plain), LINES_AT_ONCE):
-            some = plain[at : at + LINES_AT_ONCE]
-            for n, ids in zip(some, lines([texts[n] for n in some]), strict=True):
-                found[n] = ids
-        others = sorted(set(range(len(texts))) - set(plain))
-        for n, ids in zip(others, each([texts[n] for n in others])):
-            found[n] = ids
-        return found
+def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
+    """What gives the ids of texts as bytes."""
+    tokenizer = load_tokenizer(path)
+    tokenize, size = tokenizer.model.tokenize, np.dtype(dtype).itemsize
+
+    def pieces(found: list[str]) -> list[bytes]:
+        """Words straight from the tokenizer's model; it makes no merges across them."""
+        written = "\0".join(found).encode().decode("latin-1").translate(BYTE_CHARS).split(chr(BYTE_CHARS[0]))
+        if len(written) != len(found):  # some have that byte themselves
+            written = [piece.encode().decode("latin-1").translate(BYTE_CHARS) for piece in found]
+        ids, ends = [], []
+        for word in written:
+            ids += [token.id for token in tokenize(word)]
+            ends.append(len(ids) * size)
+        data = np.array(ids, dtype).tobytes()
+        return [data[start:end] for start, end in zip([0, *ends], ends)]
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    return PartCache(encode)
+    return PartCache(regex.compile(PATTERN), pieces, REMEMBERED).texts if is_byte_level(tokenizer) else whole
 
 
 def groups(texts: list[str]) -> Iterator[list[str]]:
@@ -107,7 +111,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     dtype = id_type(load_tokenizer(tokenizer_path), end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_state(("part-cache", tokenizer_path, dtype), lambda: part_cache(tokenizer_path, dtype))
+        encoded = worker_state(("token-files", tokenizer_path, dtype), lambda: text_encoder(tokenizer_path, dtype))
         end = np.array([end_id], dtype).tobytes()
         shard, count, tokens = TaskContext.get().partitionId(), 0, 0
         first = next((b for b in batches if b.num_rows), None)
@@ -121,7 +125,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                 doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8")
                 names.write(doc_ids.tobytes())
                 for texts in groups([t or "" for t in batch.column("text").to_pylist()]):
-                    found = [one + end for one in cache.texts(texts)]
+                    found = [one + end for one in encoded(texts)]
                     ids.write(b"".join(found))
                     sizes = np.fromiter(map(len, found), "<u8", len(found)) // np.dtype(dtype).itemsize
                     lengths.write(sizes.tobytes())
