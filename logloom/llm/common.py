@@ -32,6 +32,19 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def packed(frame: DataFrame, *names: str) -> DataFrame:
+    """Whole rows as ``_row`` beside the named columns, so that no other column's name can clash."""
+    row = F.struct(*(F.col(f"`{c}`") for c in frame.columns))
+    return frame.select(row.alias("_row"), *names)
+
+
+def unpacked(frame: DataFrame, columns: list[str], added: dict[str, Column] | None = None) -> DataFrame:
+    """The packed columns again; ``added`` ones come in place of, or after, those of their names."""
+    added = added or {}
+    own = [added.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns]
+    return frame.select(*own, *(column.alias(name) for name, column in added.items() if name not in columns))
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

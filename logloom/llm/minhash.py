@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import small, stored, worker_state
+from logloom.llm.common import packed, small, stored, unpacked, worker_state
 from logloom.llm.components import components
 
 K = 64
@@ -285,4 +285,4 @@ def one_of_each(docs: DataFrame, options: Options = Options()) -> DataFrame:
     gone = near_duplicates(docs, options).where("not kept").select("doc_id", "text_key").distinct()
     gone = _sized(stored(gone, "duplicates")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & F.unhex(F.md5("text")).eqNullSafe(F.col("_gone_key"))
-    return docs.join(gone, same, "left_anti")
+    return unpacked(packed(docs, "doc_id", "text").join(gone, same, "left_anti"), docs.columns)

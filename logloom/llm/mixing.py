@@ -20,7 +20,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm.common import stored, word_count
+from logloom.llm.common import packed, stored, unpacked, word_count
 
 MAX_SOURCES = 100_000  # weights are set per source, so sources are few; more are refused, not dropped
 BUCKET_DIGITS = 3  # 4096 slices of the seeded order find the place where a source's last pass ends
@@ -152,24 +152,23 @@ def mix_sources(
         (F.substring("_key", 1, BUCKET_DIGITS) == F.col("_share.slice"))
         & (F.struct(F.col("_key").alias("key"), F.col("doc_id"), size.alias("size")) <= F.col("_share.edge"))
     )
-    return (
-        docs.withColumn("_size", word_count(F.col("text")))
+    rows = (
+        packed(docs, "doc_id", "text", "source")
+        .withColumn("_size", word_count(F.col("text")))
         .withColumn("_key", key)
         .join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_share.share_source")))
-        .withColumns(
-            {
-                "size": size,
-                "source_size": F.col("_share.source_size"),
-                "target": F.col("_share.target"),
-                "repeats": (F.col("_share.whole") + F.coalesce(once_more, F.lit(False)).cast("long")),
-            }
-        )
-        .drop("_size", "_key", "_share")
     )
+    added = {
+        "size": size,
+        "source_size": F.col("_share.source_size"),
+        "target": F.col("_share.target"),
+        "repeats": F.col("_share.whole") + F.coalesce(once_more, F.lit(False)).cast("long"),
+    }
+    return unpacked(rows, docs.columns, added)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as the mix takes them."""
-    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     copies = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("_copy")
-    return mix_sources(rows, **options).where("repeats > 0").select("_row", copies).select("_row.*")
+    taken = mix_sources(packed(docs, "doc_id", "text", "source"), **options).where("repeats > 0")
+    return unpacked(taken.select("_row", copies), docs.columns)

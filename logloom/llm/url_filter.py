@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import stored
+from logloom.llm.common import packed, stored, unpacked
 
 TRAINING_ROWS = 20_000
 SMOOTHING = 20.0
@@ -166,22 +166,17 @@ def train(labelled: DataFrame, training_rows: int = TRAINING_ROWS) -> UrlModel:
 
 def judge(urls: DataFrame, rules: Sequence[Rule], model: UrlModel) -> DataFrame:
     """``urls`` (url) with host, path, rule, verdict and block_probability."""
-    rows = model.probability(with_features(urls))
+    rows = model.probability(with_features(packed(urls, "url")))
     rule = fitting_rule(rules, F.col("_url.host"), F.col("_url.path"))
     learned = F.when(F.col("_block") > 0.5, "block").otherwise("allow")
-    return (
-        rows.withColumn("_rule", rule)
-        .withColumns(
-            {
-                "host": F.col("_url.host"),
-                "path": F.col("_url.path"),
-                "rule": F.col("_rule.text"),
-                "verdict": F.coalesce(F.col("_rule.verdict"), learned),
-                "block_probability": F.col("_block"),
-            }
-        )
-        .drop("_url", "_rule", "_block")
-    )
+    added = {
+        "host": F.col("_url.host"),
+        "path": F.col("_url.path"),
+        "rule": F.col("_rule.text"),
+        "verdict": F.coalesce(F.col("_rule.verdict"), learned),
+        "block_probability": F.col("_block"),
+    }
+    return unpacked(rows.withColumn("_rule", rule), urls.columns, added)
 
 
 def labelled_by(rules: Sequence[Rule], urls: DataFrame) -> DataFrame:

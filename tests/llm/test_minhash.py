@@ -1,0 +1,123 @@
+import random
+import re
+
+import pytest
+from cases import DOCUMENTS, documents
+
+from logloom.llm import minhash
+from logloom.llm.components import components
+from logloom.llm.minhash import Options
+
+
+def shingles(text, size):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[n : n + size]) for n in range(max(1, len(words) - size + 1)))
+
+
+def brute_force(rows, options):
+    """Component (smallest id) of each row's set, over all pairs of sets."""
+    sets = {shingles(t, options.shingle_words) for _, t in rows} - {frozenset()}
+    parent = {s: s for s in sets}
+
+    def root(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    listed = list(sets)
+    for n, a in enumerate(listed):
+        for b in listed[:n]:
+            if 100 * len(a & b) >= options.percent * len(a | b):
+                parent[root(a)] = root(b)
+    smallest = {}
+    for doc_id, text in rows:
+        s = shingles(text, options.shingle_words)
+        if s and doc_id is not None:
+            smallest[root(s)] = min(doc_id, smallest.get(root(s), doc_id))
+    for doc_id, text in rows:
+        s = shingles(text, options.shingle_words)
+        owner = smallest.get(root(s)) if s else doc_id
+        yield doc_id, len(s), owner, doc_id == owner
+
+
+def near_copies(seed, groups=6, size=40, words=120, edits=9):
+    rnd = random.Random(seed)
+    vocabulary = [f"w{n}" for n in range(900)]
+    passage = rnd.choices(vocabulary, k=60)
+    rows = []
+    for group in range(groups):
+        base = rnd.choices(vocabulary, k=words)
+        for _ in range(size if group == 0 else rnd.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rnd.randint(0, edits)):
+                copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
+            rows.append((len(rows) * 7 % 1000, " ".join(copy)))
+    for _ in range(40):  # many share a passage and are no copies
+        rows.append((1000 + len(rows), " ".join(rnd.choices(vocabulary, k=50) + passage)))
+    return rows
+
+
+def check(spark, rows, options):
+    docs = documents(spark, [(d, t, "en", "s") for d, t in rows])
+    found = minhash.near_duplicates(docs, options).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, brute_force(rows, options)))
+
+
+@pytest.mark.parametrize("seed,small_list,words", [(1, 24, 2), (2, 3, 2), (3, 3, 5), (4, 8, 1)])
+def test_equals_brute_force(spark, monkeypatch, seed, small_list, words):
+    monkeypatch.setattr(minhash, "SMALL_LIST", small_list)  # long lists go by pivots
+    check(spark, near_copies(seed), Options(shingle_words=words))
+
+
+def test_limit_is_exact(spark):
+    words = [f"x{n}" for n in range(40)]
+    rows = [(1, " ".join(words[:36])), (2, " ".join(words[4:])), (3, " ".join(words[:37])), (4, " ".join(words[:9])), (5, " ".join(words[:10] + ["y"]))]
+    check(spark, rows, Options(shingle_words=1))
+
+
+def test_awkward_rows(spark):
+    rows = [(d, t) for d, t, *_ in DOCUMENTS if d is not None] + [(20, "one"), (21, "ONE"), (22, "one one"), (23, "Ünlike"), (24, "ünlike")]
+    check(spark, rows, Options())
+    check(spark, rows, Options(shingle_words=2))
+
+
+def test_rows_without_ids(spark):
+    text = "some words that are the same in every copy"
+    docs = documents(spark, [(None, text, "en", "s"), (5, text, "en", "s"), (None, "other words", "en", "s"), (None, None, "en", "s")])
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert found == {(None, 5, 5, False), (5, 5, 5, True), (None, 1, None, True), (None, 0, None, True)}
+
+
+def test_one_of_each_keeps_columns(spark):
+    docs = documents(spark)
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 1 in ids and 8 not in ids and len(ids) == len(DOCUMENTS) - 2
+
+
+def test_empty_table(spark):
+    assert minhash.near_duplicates(documents(spark, [])).collect() == []
+    assert minhash.one_of_each(documents(spark, [])).collect() == []
+
+
+def test_components_of_chains_and_stars(spark):
+    rnd = random.Random(4)
+    chain = [(n, n + 1) for n in range(100, 300)]
+    star = [(1000, 1001 + n) for n in range(200)]
+    loose = [(rnd.randrange(2000, 2100), rnd.randrange(2000, 2100)) for _ in range(60)]
+    links = [(a, b) for a, b in chain + star + loose if a != b]
+    parent = {x: x for link in links for x in link}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(parent[a], parent[b])
+            if parent[a] != low or parent[b] != low:
+                parent[a] = parent[b] = low
+                changed = True
+    found = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == parent
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
