@@ -70,10 +70,11 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
     message_kind = kind("message")
     message = (
         F.when(message_kind.isin("ABSENT", "VOID"), F.lit(""))
-        # Nested values keep the key order of the line, which a variant does not.
+        # Nested values keep the key order of the line, which a variant does not. Of repeated
+        # members this reads the last, as the parser does.
         .when(
             message_kind.startswith("OBJECT") | message_kind.startswith("ARRAY"),
-            F.get_json_object("line", "$.message"),
+            F.from_json("line", "message string")["message"],
         )
         .otherwise(scalar_text(member("message"), message_kind))
     )

@@ -48,7 +48,8 @@ from logloom.sources.files import (
     list_files,
     path_exists,
 )
-from logloom.sources.lines import running_base, scan_lines
+from logloom.sources.lines import scan_lines
+from logloom.sources.numbering import running_base
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 Partition = tuple[bool, date | None]
@@ -454,46 +455,40 @@ class LogIndex:
         self._log_run(seq, "index", "incremental", "finished", started, id_base + total, self._counters(report))
         return report
 
-    def index_tail_batch(self, batch: DataFrame, now: str | None = None) -> dict:
-        """Index one micro-batch of the ``logloom_tail`` source.
+    def index_tail_batch(self, batch: DataFrame, now: str | None = None, root: str = "/") -> dict:
+        """Index one micro-batch of the ``logloom_tail`` source over ``root``.
 
-        Repeating a batch adds nothing: parts the ledger already has are left out, and after a
-        run that broke off in between rows are compared with the index.
+        What has been read of a file is what the ledger says, not what the stream says: a batch
+        that begins elsewhere, as after a bulk run, with a new checkpoint or when it is repeated,
+        is read again from the ledger's offset up to the batch's end. A file that comes back is
+        compared with the entries it had.
         """
         started = utc_now()
         now = now or started
         seq, id_base, home, broken = self._begin()
         work = f"{home}/work/{seq}"
-        history = self._ledger_at(home).select(
-            "source_file",
-            F.col("byte_offset").alias("_offset"),
-            F.col("lines").alias("_lines"),
-            F.col("generation").alias("_generation"),
-        )
-        known = F.col("_offset").isNotNull()
-        unread = F.col("restart") | ~known | (F.col("first") >= F.col("_offset"))
-        (
-            batch.join(history, "source_file", "left")
-            .where(unread)
-            .withColumn("lines_before", F.when(known & ~F.col("restart"), F.col("_lines")).otherwise(F.lit(0)))
-            .withColumn(
-                "generation", (F.coalesce("_generation", F.lit(0)) + F.col("restart").cast("int")).cast("int")
-            )
-            .drop("_offset", "_lines", "_generation")
-            .write.mode("overwrite")
-            .parquet(f"{work}/lines")
-        )
-        staged = self.spark.read.parquet(f"{work}/lines")
-        restarted = staged.where("restart").select("source_file").distinct()
-        if not restarted.isEmpty():
-            self._delete_sources(home, restarted, seq)
-        texts = staged.where(F.col("line").isNotNull())
+        batch.write.mode("overwrite").parquet(f"{work}/batch")
+        staged = self.spark.read.parquet(f"{work}/batch")
+        self._tail_plan(staged, home).write.mode("overwrite").parquet(f"{work}/plan")
+        plan = self.spark.read.parquet(f"{work}/plan")
+        kinds = plan.agg(
+            F.count_if("rewritten").alias("rewritten"),
+            F.count_if("returned").alias("returned"),
+            F.count_if("unread").alias("unread"),
+            F.count_if(F.col("unread") & (F.col("first") != F.col("from"))).alias("again"),
+            F.count_if(~F.col("vanished")).alias("files"),
+        ).head()
+        if kinds["rewritten"]:
+            self._delete_sources(home, plan.where("rewritten").select("source_file"), seq)
+
+        ready = plan.where(F.col("unread") & (F.col("first") == F.col("from")))
+        texts = staged.where(F.col("line").isNotNull()).select("source_file", "path", "start", "position", "line")
+        texts = texts.join(ready.select("source_file", "lines_before", "generation"), "source_file")
         ranges = texts.groupBy("source_file", "start").agg(F.count("*").alias("range_lines"))
         ranges = running_base(ranges, ["source_file", "start"], "range_lines", "seq_base", f"{work}/ranges")
         bases = ranges.groupBy("source_file").agg(F.min("seq_base").alias("file_base"))
-        numbered = texts.join(ranges.join(bases, "source_file"), ["source_file", "start"])
         line_seq = F.col("seq_base") + F.col("position")
-        lines = numbered.select(
+        lines = texts.join(ranges.join(bases, "source_file"), ["source_file", "start"]).select(
             "source_file",
             "path",
             "generation",
@@ -501,24 +496,89 @@ class LogIndex:
             line_seq.alias("line_seq"),
             "line",
         )
-        state = staged.groupBy("source_file").agg(
-            F.max("limit").alias("byte_offset"),
-            F.max("size").alias("file_size"),
-            F.timestamp_millis(F.max("modified_ms")).alias("modified_at"),
-            (F.max("lines_before") + F.count("line")).alias("lines"),
-            F.max("generation").alias("generation"),
-        )
-        totals = staged.agg(F.count("line").alias("lines"), F.count_distinct("source_file").alias("files")).head()
+        counts = self.spark.read.parquet(f"{work}/ranges").groupBy("source_file").agg(F.sum("range_lines").alias("new_lines"))
+        total = counts.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
+        if kinds["again"]:
+            todo = plan.where(F.col("unread") & (F.col("first") != F.col("from"))).select(
+                "source_file",
+                "path",
+                "generation",
+                "lines_before",
+                F.col("limit").alias("length"),
+                F.col("from").alias("first"),
+            )
+            more, state = read_appended(todo, kinds["again"], root, f"{work}/again", include_unterminated=True)
+            lines = lines.unionByName(more.withColumn("line_seq", F.col("line_seq") + total))
+            counts = counts.unionByName(state.select("source_file", "new_lines"))
+            total += state.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
+
         new = {INGESTED: 0, BAD: 0, BLANK: 0}
-        if totals["lines"]:
-            self._log_run(seq, "index", "stream", "started", started, id_base + totals["lines"])
-            new = self._append(lines, home, now, id_base, broken, staged)
-        self._append_ledger(home, state.withColumns({"present": F.lit(True), "run_seq": F.lit(seq)}))
+        if total:
+            self._log_run(seq, "index", "stream", "started", started, id_base + total)
+            new = self._append(lines, home, now, id_base, broken or bool(kinds["returned"]), plan)
+        states = plan.where("unread or vanished").join(counts, "source_file", "left").select(
+            "source_file",
+            F.when(F.col("vanished"), F.col("old_offset")).otherwise(F.col("limit")).alias("byte_offset"),
+            F.when(F.col("vanished"), F.col("old_offset")).otherwise(F.col("size")).alias("file_size"),
+            F.when(F.col("vanished"), F.col("old_modified_at")).otherwise(F.timestamp_millis("modified_ms")).alias("modified_at"),
+            F.when(F.col("vanished"), F.col("old_lines"))
+            .otherwise(F.col("lines_before") + F.coalesce("new_lines", F.lit(0)))
+            .alias("lines"),
+            "generation",
+            (~F.col("vanished")).alias("present"),
+            F.lit(seq).alias("run_seq"),
+        )
+        self._append_ledger(home, states)
         delete_path(self.spark, work)
-        report = self._report("stream", started, totals["files"], totals["lines"], new)
-        self._log_run(seq, "index", "stream", "finished", started, id_base + totals["lines"], self._counters(report))
+        report = self._report("stream", started, kinds["files"], total, new)
+        self._log_run(seq, "index", "stream", "finished", started, id_base + total, self._counters(report))
         return report
 
+    def _tail_plan(self, staged: DataFrame, home: str) -> DataFrame:
+        """What is to be done with each file of a tail batch.
+
+        ``from`` and ``lines_before`` tell where reading goes on; it is ``unread`` from there.
+        """
+        files = staged.groupBy("source_file").agg(
+            F.max("path").alias("path"),
+            F.bool_or("restart").alias("restart"),
+            F.min("first").alias("first"),
+            F.max("limit").alias("limit"),
+            F.max("size").alias("size"),
+            F.max("modified_ms").alias("modified_ms"),
+        )
+        history = self._ledger_at(home).select(
+            "source_file",
+            F.col("byte_offset").alias("old_offset"),
+            F.col("lines").alias("old_lines"),
+            F.col("generation").alias("old_generation"),
+            F.col("modified_at").alias("old_modified_at"),
+            F.col("present").alias("was_present"),
+        )
+        offset = F.col("old_offset")
+        vanished = F.col("size") < 0
+        known = offset.isNotNull() & ~vanished
+        here = known & F.col("was_present")
+        touched = F.unix_millis("old_modified_at") != F.col("modified_ms")
+        done = here & (offset >= F.col("limit")) & (F.col("size") >= offset) & ~touched
+        replaced = (F.col("size") < offset) | ((F.col("size") == offset) & touched)
+        rewritten = known & ~done & (F.col("restart") | (here & replaced))
+        goes_on = here & ~rewritten
+        return (
+            files.join(history, "source_file", "left")
+            .withColumns(
+                {
+                    "vanished": vanished & offset.isNotNull(),
+                    "rewritten": F.coalesce(rewritten, F.lit(False)),
+                    "returned": F.coalesce(known & ~F.col("was_present") & ~rewritten, F.lit(False)),
+                    "from": F.when(goes_on, offset).otherwise(F.lit(0)).cast("bigint"),
+                    "lines_before": F.when(goes_on, F.col("old_lines")).otherwise(F.lit(0)).cast("bigint"),
+                }
+            )
+            .withColumn("generation", (F.coalesce("old_generation", F.lit(0)) + F.col("rewritten").cast("int")).cast("int"))
+            .withColumn("unread", ~vanished & ((F.col("limit") > F.col("from")) | F.col("rewritten")))
+        )
+
     def reindex(self, root: str, now: str | None = None, glob: str = NDJSON_GLOB) -> dict:
         """Build a new version of the index from the files and publish it in place of the old one."""
         seq, id_base, old_home, _ = self._begin()

@@ -17,7 +17,7 @@ from logloom.operators import alerts, fields, ingest, policies, reports, retenti
 from logloom.operators.aggregate import aggregate_logs
 from logloom.operators.filters import LogQuery
 from logloom.operators.index import ignore_known, to_rows
-from logloom.plans.base_logs import GLOB, NOW, Workspace, event_lines, folder_of, log_id, write_lines
+from logloom.plans.base_logs import GLOB, MAX_BYTES, NOW, Workspace, event_lines, folder_of, log_id, write_lines
 from logloom.schema import RUN_SCHEMA
 from logloom.session import scratch_path
 from logloom.sources import files, payloads
@@ -36,7 +36,6 @@ COMBINED = {
 }
 CUTOFFS = ("2024-01-16T06:30:00.000Z", "2024-01-26T00:00:00.000Z")
 FIRST_TICK, TICKS = "2024-01-01T00:30:00.000Z", 1500
-MAX_BYTES = 2048
 SPLIT_DAY = "2024-01-15"
 
 
@@ -538,9 +537,9 @@ def policy_apply_updates(w: Workspace) -> DataFrame:
         F.col("user_id").cast("string").alias("policy_id"),
         F.replace(form, F.lit("{u}"), F.col("user_id").cast("string")).alias("payload"),
     )
-    return policies.apply_policy_updates(current, policies.parse_policy_updates(updates)).withColumn(
-        "masked_url", F.when(F.col("webhookUrl").isNotNull(), F.lit(policies.MASK))
-    )
+    updated = policies.apply_policy_updates(current, policies.parse_policy_updates(updates))
+    shown = policies.masked(updated.withColumn("_url", F.col("webhookUrl")))
+    return shown.withColumnsRenamed({"webhookUrl": "masked_url", "_url": "webhookUrl"})
 
 
 # ---- reports ---------------------------------------------------------------------

@@ -81,12 +81,12 @@ parts AS (
 requests AS (
   SELECT user_id, part, user_id || '-' || part AS request_id, last, (user_id + part) % 10 AS kind,
     CASE (user_id + part) % 10 WHEN 1 THEN '{"logs":' || body || '}' WHEN 2 THEN '{"logs":' || body
-      WHEN 3 THEN '{"items":' || body || '}' WHEN 4 THEN '  ' ELSE body END AS payload,
+      WHEN 3 THEN '{"items":' || body || '}' WHEN 4 THEN '  ' WHEN 5 THEN body || repeat(' ', 4096) ELSE body END AS payload,
     CASE WHEN user_id % 11 = 0 THEN 'basic-' || user_id
       WHEN user_id % 7 <> 0 AND user_id % 4 < 3 THEN 'producer-' || (user_id % 4) END AS producer_id
   FROM parts),
 checked AS (
-  SELECT *, CASE WHEN producer_id IS NULL THEN 'unauthorized' WHEN strlen(payload) > 2048 THEN 'too_large'
+  SELECT *, CASE WHEN producer_id IS NULL THEN 'unauthorized' WHEN strlen(payload) > 4096 THEN 'too_large'
     WHEN kind = 2 THEN 'invalid_json' WHEN kind = 3 THEN 'invalid_payload' ELSE 'ok' END AS status FROM requests),
 records AS (
   SELECT c.request_id, c.producer_id, c.last, e.event_id, e.event_type, e.event_id % 13 <> 0 AS is_object,

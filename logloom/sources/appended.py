@@ -16,7 +16,7 @@ from logloom.sources.byte_ranges import (
     split_lines,
 )
 from logloom.sources.files import path_prefix
-from logloom.sources.lines import running_base
+from logloom.sources.numbering import running_base
 
 _RANGE_COLUMNS = ["source_file", "path", "generation", "lines_before", "first", "limit", "start", "end"]
 

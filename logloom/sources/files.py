@@ -60,7 +60,7 @@ def plain_path(uri: Column) -> Column:
 
 
 def relative_to(path: Column, root: str) -> Column:
-    return F.substring(path, len(root) + 2, 1_000_000)
+    return F.substr(path, F.lit(len(root) + 2))
 
 
 def _file_source(spark: SparkSession, root: str, glob: str) -> DataFrame:

@@ -1,45 +1,12 @@
-"""Line scan with line numbers that continue across the splits of a file."""
+"""Line scan with line numbers that continue across the parts of a file."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.session import scratch_path
-from logloom.sources.files import NDJSON_GLOB, path_exists, plain_path, relative_to, root_path
-
-# A split row takes about 300 bytes; beyond this many the split table is joined by shuffle.
-MAX_BROADCAST_SPLITS = 200_000
-
-_LINES = "source_file string, path string, generation int, line_number bigint, line_seq bigint, line string"
-
-
-def running_base(table: DataFrame, order: list[str], amount: str, out: str, path: str) -> DataFrame:
-    """Write ``table`` to ``path`` in ``order`` and add ``out``, the sum of ``amount`` over all earlier rows.
-
-    Rows are range-partitioned, summed inside each slice, and shifted by the totals of the
-    slices before it, so the only unpartitioned window runs over one row per slice.
-    """
-    spark = table.sparkSession
-    (
-        table.repartitionByRange(*order)
-        .withColumn("_slice", F.spark_partition_id())
-        .write.mode("overwrite")
-        .parquet(path)
-    )
-    stored = spark.read.parquet(path)
-    inside = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        stored.groupBy("_slice")
-        .agg(F.sum(amount).alias("_total"))
-        .select("_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
-    )
-    return (
-        stored.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .join(F.broadcast(slices), "_slice")  # one row per shuffle partition
-        .withColumn(out, F.col("_inside") + F.col("_shift"))
-        .drop("_slice", "_inside", "_shift")
-    )
+from logloom.sources.appended import read_appended
+from logloom.sources.files import NDJSON_GLOB, list_files
 
 
 def scan_lines(
@@ -52,68 +19,27 @@ def scan_lines(
     """Every line below ``root`` as source_file, path, generation, line_number, line_seq, line.
 
     ``line_number`` starts at 1 in each file and counts blank lines. ``line_seq`` numbers all
-    lines in file-name order. The text is read twice; only one row per split is shuffled.
-    ``generations`` (source_file, generation) names the version of files known already; it
-    meets the split table, not the lines, so a huge file is no skewed key.
+    lines in file-name order. Files are cut into byte ranges once: one pass counts the lines of
+    each range, the next one reads it from its known number on, so numbers depend on nothing
+    that may differ between two reads, and no text is shuffled. ``work_dir`` then holds a table
+    of the files: source_file, file_size, file_modified_at, split_lines.
+    ``generations`` (source_file, generation) names the version of files known already.
     """
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], _LINES)
-    base = root_path(spark, root)
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("uri"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.col("_metadata.file_size").alias("size"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-            F.monotonically_increasing_id().alias("row_id"),
-            F.col("value").alias("line"),
-        )
-    )
-    counted = (
-        raw.groupBy("uri", "split_start")
-        .agg(
-            F.count("*").alias("split_lines"),
-            F.min("row_id").alias("first_row_id"),
-            F.max("size").alias("file_size"),
-            F.max("modified").alias("file_modified_at"),
-        )
-        .withColumn("path", plain_path(F.col("uri")))
-        .withColumn("source_file", relative_to(F.col("path"), base))
-    )
     target = work_dir or scratch_path(spark, "splits")
-    splits = running_base(counted, ["source_file", "split_start"], "split_lines", "seq_base", target)
-    file_bases = splits.groupBy("source_file").agg(F.min("seq_base").alias("file_base"))
-    splits = splits.join(file_bases, "source_file")
-    if generations is None:
-        splits = splits.withColumn("generation", F.lit(0))
-    else:
-        splits = splits.join(generations.select("source_file", "generation"), "source_file", "left")
-    splits = splits.select(
-        "uri",
-        "split_start",
-        "source_file",
-        "path",
-        F.coalesce("generation", F.lit(0)).alias("generation"),
-        "first_row_id",
-        "seq_base",
-        "file_base",
-    )
-    if spark.read.parquet(target).count() <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
-    numbered = raw.drop("size", "modified").join(splits, ["uri", "split_start"], "left")
-    # A row without its split would mean that both reads were cut differently.
-    checked_base = F.coalesce(
-        F.col("seq_base"), F.raise_error(F.lit("input splits changed between two reads")).cast("bigint")
-    )
-    line_seq = checked_base + F.col("row_id") - F.col("first_row_id") + 1
-    return numbered.select(
+    listing = list_files(spark, root, glob)
+    whole = listing.select(
         "source_file",
         "path",
-        "generation",
-        (line_seq - F.col("file_base")).alias("line_number"),
-        line_seq.alias("line_seq"),
-        "line",
-    )
+        F.lit(0).alias("generation"),
+        F.lit(0).cast("bigint").alias("lines_before"),
+        F.lit(0).cast("bigint").alias("first"),
+        "length",
+    )
+    if generations is not None:
+        own = generations.select("source_file", F.col("generation").alias("_own"))
+        whole = whole.join(own, "source_file", "left").withColumn("generation", F.coalesce("_own", "generation")).drop("_own")
+    lines, state = read_appended(whole, listing.count(), root, f"{target}-read", include_unterminated=True)
+    files = listing.select("source_file", F.col("length").alias("file_size"), F.col("modified_at").alias("file_modified_at"))
+    state = state.select("source_file", F.col("new_lines").alias("split_lines"))
+    files.join(state, "source_file").write.mode("overwrite").parquet(target)
+    return lines

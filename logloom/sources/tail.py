@@ -29,6 +29,7 @@ from logloom.sources.byte_ranges import (
 )
 
 MAX_TRACKED_FILES = 100_000
+GONE = -1  # size of a file that is no longer there
 TAIL_SCHEMA = (
     "source_file string, path string, restart boolean, first bigint, limit bigint, size bigint, "
     "modified_ms bigint, start bigint, position bigint, line string"
@@ -51,7 +52,7 @@ _ARROW = pa.schema(
 
 @dataclass
 class ByteRange(InputPartition):
-    """Part of one file's unread bytes; ``end <= start`` only announces a restarted file."""
+    """Part of one file's unread bytes; ``end <= start`` only announces a restarted or vanished file."""
 
     path: str
     source_file: str
@@ -114,6 +115,8 @@ class TailReader(DataSourceStreamReader):
                 found.append(ByteRange(*common, first, first))
             for at in range(first, limit, self.range_bytes):
                 found.append(ByteRange(*common, at, min(at + self.range_bytes, limit)))
+        for name in start.keys() - end.keys():
+            found.append(ByteRange(f"{self.root}/{name}", name, False, 0, 0, GONE, 0, 0, 0))
         return found
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,6 +31,8 @@ from logloom.operators.policies import AlertPolicy
 TRIGGER_DDL = "rule string, tick_ms bigint, error_count bigint, total_count bigint"
 ALERT_STREAM_DDL = "rule string, severity string, tick_ms bigint, error_count bigint, total_count bigint, status string"
 
+_STATE_DDL = "last_sent bigint, last_tick bigint, held string"
+
 
 def alert_cycles(
     ticks: DataFrame,
@@ -94,9 +97,26 @@ def read_triggers(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(TRIGGER_DDL).parquet(path)
 
 
-def with_cooldown(triggers: DataFrame, policy: AlertPolicy) -> DataFrame:
+def _in_order(
+    held: str | None, arrived: list[list[int]], done: int | None, max_delay_ms: int
+) -> tuple[list[list[int]], str, int | None]:
+    """Rows to evaluate now, rows to hold, and the last tick evaluated; a row begins with its tick.
+
+    Ticks wait until one that is ``max_delay_ms`` later has come, and go in order. A tick that
+    comes after a later one was evaluated is skipped, and so is the second of two equal ticks.
+    """
+    rows = sorted({row[0]: row for row in [*arrived, *json.loads(held or "[]")]}.values())
+    ready = rows[-1][0] - max_delay_ms if rows else 0
+    due = [row for row in rows if row[0] <= ready and (done is None or row[0] > done)]
+    return due, json.dumps([row for row in rows if row[0] > ready]), due[-1][0] if due else done
+
+
+def with_cooldown(triggers: DataFrame, policy: AlertPolicy, max_delay_ms: int = 0) -> DataFrame:
     """Mark each trigger sent or suppressed; the state of a rule is the time of its last send.
 
+    Triggers may come up to ``max_delay_ms`` out of order and are held for so long; later ones
+    are skipped.
+
     Custom state cannot follow an aggregation in one streaming query, so triggers of
     ``lookback_windows`` pass through a table: ``write_triggers``, then ``read_triggers``.
     Triggers are at most one row per tick and rule, so a group stays small.
@@ -105,31 +125,29 @@ def with_cooldown(triggers: DataFrame, policy: AlertPolicy) -> DataFrame:
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (rule,) = key
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("tick_ms")
+        last, done, held = state.get if state.exists else (None, None, None)
+        arrived = pd.concat(list(frames))[["tick_ms", "error_count", "total_count"]].astype(int).values.tolist()
+        due, held, done = _in_order(held, arrived, done, max_delay_ms)
         statuses = []
-        for tick in rows["tick_ms"]:
+        for tick, *_ in due:
             ready = last is None or tick - last >= cooldown
             statuses.append(SENT if ready else SUPPRESSED)
-            last = int(tick) if ready else last
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(
-            {
-                "rule": rule,
-                "severity": SEVERITY[rule],
-                "tick_ms": rows["tick_ms"],
-                "error_count": rows["error_count"],
-                "total_count": rows["total_count"],
-                "status": statuses,
-            }
-        )
+            last = tick if ready else last
+        state.update((last, done, held))
+        yield _alert_frame(rule, due, statuses)
 
     return triggers.groupBy("rule").applyInPandasWithState(
-        decide, ALERT_STREAM_DDL, "last_sent bigint", "append", GroupStateTimeout.NoTimeout
+        decide, ALERT_STREAM_DDL, _STATE_DDL, "append", GroupStateTimeout.NoTimeout
     )
 
 
+def _alert_frame(rule: str, due: list[list[int]], statuses: list[str]) -> pd.DataFrame:
+    numbers = {name: pd.Series([row[n] for row in due], dtype="int64") for n, name in enumerate(("tick_ms", "error_count", "total_count"))}
+    texts = {"rule": [rule] * len(due), "severity": [SEVERITY[rule]] * len(due), "status": statuses}
+    columns = numbers | {name: pd.Series(values, dtype="object") for name, values in texts.items()}
+    return pd.DataFrame({name: columns[name] for name in ("rule", "severity", "tick_ms", "error_count", "total_count", "status")})
+
+
 def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per task and kind instead of one per entry."""
     newest: int | None = None
@@ -151,9 +169,12 @@ def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def silence_alerts(entries: DataFrame, ticks: DataFrame, policy: AlertPolicy) -> DataFrame:
+def silence_alerts(entries: DataFrame, ticks: DataFrame, policy: AlertPolicy, max_delay_ms: int = 0) -> DataFrame:
     """Alert at each tick that follows a silence, with cooldown.
 
+    Ticks may come up to ``max_delay_ms`` out of order and are held for so long; later ones are
+    skipped.
+
     A silent input produces no batches of its own, so a stream of ticks (column ``timestamp``,
     for example the rate source) is merged in. Each task first reduces its entries to the
     newest time; the stateful step sees those few rows and the ticks.
@@ -165,33 +186,23 @@ def silence_alerts(entries: DataFrame, ticks: DataFrame, policy: AlertPolicy) ->
     merged = logs.unionByName(clock).mapInArrow(_newest, "rule string, at_ms bigint, is_tick boolean")
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, last = state.get if state.exists else (None, None)
+        newest, last, done, held = state.get if state.exists else (None, None, None, None)
         rows = pd.concat(list(frames))
         seen = rows.loc[~rows["is_tick"], "at_ms"]
         if len(seen):
             newest = int(seen.max()) if newest is None else max(newest, int(seen.max()))
-        fired, statuses = [], []
-        for tick in sorted(rows.loc[rows["is_tick"], "at_ms"].astype(int)):
-            if newest is not None and newest >= tick - silence:
-                continue
+        arrived = [[tick, 0, 0] for tick in rows.loc[rows["is_tick"], "at_ms"].astype(int).tolist()]
+        due, held, done = _in_order(held, arrived, done, max_delay_ms)
+        fired, statuses = [row for row in due if newest is None or newest < row[0] - silence], []
+        for tick, *_ in fired:
             ready = last is None or tick - last >= cooldown
-            fired.append(tick)
             statuses.append(SENT if ready else SUPPRESSED)
             last = tick if ready else last
-        state.update((newest, last))
-        yield pd.DataFrame(
-            {
-                "rule": pd.Series([NO_LOGS] * len(fired), dtype="object"),
-                "severity": pd.Series([SEVERITY[NO_LOGS]] * len(fired), dtype="object"),
-                "tick_ms": pd.Series(fired, dtype="int64"),
-                "error_count": pd.Series([0] * len(fired), dtype="int64"),
-                "total_count": pd.Series([0] * len(fired), dtype="int64"),
-                "status": pd.Series(statuses, dtype="object"),
-            }
-        )
+        state.update((newest, last, done, held))
+        yield _alert_frame(NO_LOGS, fired, statuses)
 
     return merged.groupBy("rule").applyInPandasWithState(
-        decide, ALERT_STREAM_DDL, "newest bigint, last_sent bigint", "append", GroupStateTimeout.NoTimeout
+        decide, ALERT_STREAM_DDL, f"newest bigint, {_STATE_DDL}", "append", GroupStateTimeout.NoTimeout
     )
 
 

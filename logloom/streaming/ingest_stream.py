@@ -30,12 +30,12 @@ def follow_files(
     trigger: dict | None = None,
     now: Callable[[], str] = utc_now,
 ) -> StreamingQuery:
-    """Index what is appended to files below ``root``; batches never overlap."""
+    """Index what is appended to files below ``root``, from where the index has read them to."""
     index.spark.dataSource.register(TailSource)
     lines = index.spark.readStream.format("logloom_tail").option("path", root).option("glob", glob).load()
 
     def add(batch: DataFrame, _: int) -> None:
-        index.index_tail_batch(batch, now())
+        index.index_tail_batch(batch, now(), root)
 
     writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DEFAULT_INGEST_TRIGGER)).start()

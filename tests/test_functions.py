@@ -215,6 +215,20 @@ def test_line_numbers_over_many_splits(spark, tmp_path, split_bytes):
     assert sizes.keys() == files.keys() and sizes["sub dir/empty.ndjson"] == 0
 
 
+def test_line_numbers_do_not_depend_on_packing(spark, tmp_path):
+    for n in range(30):
+        write_lines(tmp_path / "logs" / f"{n:02d}.ndjson", *[line(n=k) for k in range(1, 6)])
+    lines = scan_lines(spark, str(tmp_path / "logs"))
+    spark.conf.set("spark.sql.files.minPartitionNum", "3")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10m")
+    try:
+        rows = lines.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 150 and all(row["line_number"] == json.loads(row["line"])["n"] for row in rows)
+
+
 def test_running_over_blocks(spark):
     table = spark.range(100).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 7 % 11).alias("v"))
     columns = {"total": ("sum", F.col("v")), "top": ("max", F.when(F.col("v") < 5, F.col("id")))}

@@ -1,5 +1,7 @@
 import json
+import os
 
+import pytest
 from conftest import line, write_lines
 from pyspark.sql import functions as F
 
@@ -59,6 +61,56 @@ def test_follow_files_equals_batch(spark, tmp_path):
     assert index.index_incremental(str(logs), NOW)["records_inserted"] == 1
 
 
+def _lines_from(first: int, count: int) -> list[str]:
+    return [line(event=f"e{n}") for n in range(first, first + count)]
+
+
+@pytest.mark.parametrize("checkpoint", ["same", "new"])
+def test_tail_goes_on_where_the_index_is(spark, tmp_path, checkpoint):
+    """Bulk run, appends, files that vanish and return longer, and rotation: as one full scan."""
+    logs = tmp_path / "logs"
+    a, b = logs / "a.ndjson", logs / "b.ndjson"
+    index = LogIndex(spark, str(tmp_path / "index"))
+    runs = 0
+
+    def run():
+        nonlocal runs
+        runs += 1
+        place = tmp_path / (f"checkpoint{runs}" if checkpoint == "new" else "checkpoint")
+        query = follow_files(index, str(logs), str(place), trigger=ONCE, now=lambda: NOW)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    def check(*expected):
+        assert content(index) == sorted(expected)
+
+    write_lines(a, *_lines_from(1, 2))
+    index.index_directory(str(logs), NOW)
+    write_lines(a, *_lines_from(3, 1), append=True)
+    run()
+    check(*[("a.ndjson", n, f"e{n}", 0) for n in (1, 2, 3)])
+    write_lines(a, *_lines_from(4, 1), append=True)
+    write_lines(b, *_lines_from(1, 4))
+    run()
+    run()
+    both = [("a.ndjson", n, f"e{n}", 0) for n in range(1, 5)] + [("b.ndjson", n, f"e{n}", 0) for n in range(1, 5)]
+    check(*both)
+    b.unlink()
+    run()
+    check(*both)
+    write_lines(b, *_lines_from(1, 6))
+    run()
+    both += [("b.ndjson", n, f"e{n}", 0) for n in (5, 6)]
+    check(*both)
+    write_lines(a, *_lines_from(9, 1))  # rotation: shorter than what was read
+    run()
+    check(("a.ndjson", 1, "e9", 1), *[row for row in both if row[0] == "b.ndjson"])
+    write_lines(a, *_lines_from(10, 2), append=True)
+    index.index_incremental(str(logs), NOW)
+    run()
+    check(*[("a.ndjson", n, f"e{n + 8}", 1) for n in (1, 2, 3)], *[row for row in both if row[0] == "b.ndjson"])
+
+
 def test_request_stream(spark, tmp_path):
     schema = "request_id string, token string, basic_user string, payload string, received_at timestamp"
     inbox = tmp_path / "inbox"
@@ -146,18 +198,34 @@ def test_threshold_stream_equals_replay(spark, tmp_path):
     assert live and live == batch
 
 
-def test_silence_stream(spark, tmp_path):
+def _silence(spark, tmp_path, minutes, files_at_once, **options):
+    """Alerts of a clock whose files hold the given minutes, read in that order."""
     policy = create_policy("p", "http://x", noLogsThresholdMinutes=1, cooldownMs=120_000)
     logs, clock = tmp_path / "logs", tmp_path / "clock"
     write_lines(logs / "1.ndjson", line(timestamp="2026-02-17T10:00:00.000Z"))
-    for n in range(7):
-        write_lines(clock / f"{n}.json", json.dumps({"timestamp": f"2026-02-17T10:0{n}:00.000Z"}))
+    for n, minute in enumerate(minutes):
+        write_lines(clock / f"{n}.json", json.dumps({"timestamp": f"2026-02-17T10:{minute:02d}:00.000Z"}))
+        os.utime(clock / f"{n}.json", (1_700_000_000 + n, 1_700_000_000 + n))
     stream = _entries(spark.readStream.text(str(logs)))
-    ticks = spark.readStream.schema("timestamp timestamp").option("maxFilesPerTrigger", 3).json(str(clock))
-    rows = _run_to_table(silence_alerts(stream, ticks, policy), "silence_alerts", tmp_path)
-    base = 1771322400000
-    got = sorted(((r["tick_ms"] - base) // 60_000, r["status"]) for r in rows)
-    assert got == [(2, "sent"), (3, "suppressed"), (4, "sent"), (5, "suppressed"), (6, "sent")]
+    ticks = spark.readStream.schema("timestamp timestamp").option("maxFilesPerTrigger", files_at_once).json(str(clock))
+    rows = _run_to_table(silence_alerts(stream, ticks, policy, **options), f"silence_{tmp_path.name}", tmp_path)
+    return sorted(((r["tick_ms"] - 1771322400000) // 60_000, r["status"]) for r in rows)
+
+
+REPLAYED = [(2, "sent"), (3, "suppressed"), (4, "sent"), (5, "suppressed"), (6, "sent")]
+
+
+def test_silence_stream(spark, tmp_path):
+    assert _silence(spark, tmp_path, range(7), 3) == REPLAYED
+
+
+def test_silence_stream_with_ticks_out_of_order(spark, tmp_path):
+    found = _silence(spark, tmp_path, [1, 0, 3, 5, 2, 4, 6, 59], 1, max_delay_ms=180_000)
+    assert found == REPLAYED  # the last tick is held
+
+
+def test_a_tick_that_comes_too_late_is_skipped(spark, tmp_path):
+    assert _silence(spark, tmp_path, [0, 5, 2, 6, 7], 1) == [(5, "sent"), (6, "suppressed"), (7, "sent")]
 
 
 def test_alert_cycles(spark, tmp_path):
