@@ -12,7 +12,8 @@ stay, white space around and between tokens does not matter, and kept lines are
 
 A null text stays null and has no lines; an empty text is one blank line. Rows with one doc_id are one
 document; null ids count together as one document and are the first only if there is no other. Long
-texts and lines are read whole. All columns but ``text`` pass through. An empty table gives no rows.
+texts and lines are read whole. Columns but ``text`` pass through,
+except that ``n_lines`` and ``n_dropped`` replace columns of these names. An empty table gives no rows.
 
 Only DataFrame functions are used. Lines travel as digests; a hot line or template is counted before it
 is moved, and joins of a hot line have one row of it on the other side.
@@ -21,17 +22,19 @@ is moved, and joins of a hot line have one row of it on the other side.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import small, stored
+from logloom.llm.common import packed, small, stored, unpacked
 
 WILDCARD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
 LEADING = 3
 SIMILARITY = 0.7
 MIN_DOCUMENTS = 5
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -60,18 +63,21 @@ def _text_key() -> Column:
 
 def parsed(docs: DataFrame, options: Options) -> DataFrame:
     """doc_id, text_key, pos and masked line of every line that is not blank."""
-    plain = F.trim(F.regexp_replace("line", SPACE, " "))
+    # Runs of white space become one space; most lines have no other than single spaces.
+    uneven = reduce(or_, (F.contains("line", F.lit(c)) for c in ("  ", "\t", "\v", "\f", "\r")))
+    plain = F.trim(F.when(uneven, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")))
     # A token with a digit; the look-behind and the possessive runs keep this linear in any line.
-    masked = F.when(F.rlike("plain", F.lit("[0-9]")), F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILDCARD))
+    masked = F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILDCARD)
     variable = (F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(WILDCARD), F.lit("")))) / len(WILDCARD)
     usable = _tokens(F.col("masked")) - variable >= options.similarity * _tokens(F.col("masked"))
     return (
         docs.where("text is not null")
-        .select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")  # once a document
+        .select("doc_id", "text_key", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+        .where(F.rlike("line", F.lit(r"[^\x20\x09-\x0D]")))
         .select("doc_id", "text_key", "pos", plain.alias("plain"))
-        .where("plain <> ''")
-        .select("doc_id", "text_key", "pos", "plain", masked.alias("masked"))
-        .select("doc_id", "text_key", "pos", F.when(usable, F.col("masked")).otherwise(F.col("plain")).alias("line"))
+        .select("doc_id", "text_key", "pos", "plain", F.when(F.rlike("plain", F.lit("[0-9]")), masked).alias("masked"))
+        .select("doc_id", "text_key", "pos", F.when(F.col("masked").isNotNull() & usable, F.col("masked")).otherwise(F.col("plain")).alias("line"))
     )
 
 
@@ -167,9 +173,10 @@ def without_recurring_lines(docs: DataFrame, options: Options = Options()) -> Da
     kept = F.filter(lines, lambda line, at: ~F.coalesce(F.get(dropped, at), F.lit(False)))
     rest = F.when(dropped.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     same = F.col("_key").eqNullSafe(F.col("_marks.text_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_marks.doc_id"))
-    joined = docs.withColumn("_key", _text_key()).join(_sized(marks), same, "left")
-    counts = {
+    joined = packed(docs, "doc_id", "text").withColumn("_key", _text_key()).join(marks.hint("merge"), same, "left")
+    added = {
+        "text": rest,
         "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
         "n_dropped": F.coalesce(F.size(F.filter(dropped, lambda gone: gone)), F.lit(0)).cast("long"),
     }
-    return joined.withColumns(counts | {"text": rest}).drop("_key", "_marks")
+    return unpacked(joined, docs.columns, added)
