@@ -48,7 +48,7 @@ def brute_force(rows, options):
 def rows():
     found = []
     for n in range(60):
-        lines = [f"Unique words here {n} and {'abc'[n % 3]} more of {chr(97 + n % 26)}{n} end"]
+        lines = ["Unique " + " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + n * k % 26)}" for k in range(9))]
         if n % 2:
             lines.append("Copyright   2021 by\tthe Example Company")
         if n % 3 == 0:
