@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
 import time
 from collections.abc import Callable
@@ -20,7 +21,8 @@ from logloom.plans.base_logs import GLOB, NOW, Workspace, event_lines, write_lin
 from logloom.plans.catalog import alert_policy, queries  # noqa: E402
 from logloom.session import local_session, scratch_path  # noqa: E402
 
-REPEATS = 2
+REPEATS = 3
+PAGE_REPEATS = 5
 TABLE_QUERIES = [
     "filter_level",
     "filter_field_value",
@@ -46,13 +48,13 @@ TABLE_QUERIES = [
 
 
 def timed(run: Callable[[], object], repeats: int = REPEATS) -> float:
-    """Best seconds after one warm-up run."""
+    """Median seconds after one warm-up run."""
     seconds = []
     for _ in range(repeats + 1):
         start = time.perf_counter()
         run()
         seconds.append(time.perf_counter() - start)
-    return round(min(seconds[1:]), 3)
+    return round(statistics.median(seconds[1:]), 3)
 
 
 def main() -> None:
@@ -79,12 +81,13 @@ def main() -> None:
     write_lines(lines, f"{root}/base")
     grown.index_incremental(root, NOW, GLOB)
     seconds = []
-    for n in range(2):
+    for n in range(3):
         write_lines(lines.where(f"event_id >= {n * 2500} and event_id < {(n + 1) * 2500}"), f"{root}/more{n}")
         start = time.perf_counter()
         grown.index_incremental(root, NOW, GLOB)
         seconds.append(time.perf_counter() - start)
-    times["incremental_append_2500"] = round(min(seconds), 3)
+    times["incremental_append_2500"] = round(statistics.median(seconds), 3)
+    times["incremental_nothing_new"] = timed(lambda: grown.index_incremental(root, NOW, GLOB))
 
     index = workspace.index
     pages = {
@@ -93,7 +96,7 @@ def main() -> None:
         "page_by_range_250": LogQuery(from_="2024-01-10", to="2024-01-11", limit=250),
     }
     for name, query in pages.items():
-        times[name] = timed(lambda query=query: index.page(query))
+        times[name] = timed(lambda query=query: index.page(query), PAGE_REPEATS)
     times["alert_cycle_counts"] = timed(
         lambda: alerts.cycle_counts(index.entries(LogQuery(from_="2024-01-19")), alert_policy(), NOW).collect()
     )

@@ -23,7 +23,7 @@ from logloom.functions.normalize import BAD, BLANK, INGESTED, classify_lines, no
 from logloom.functions.times import from_iso, utc_now
 from logloom.operators.aggregate import aggregate_logs
 from logloom.operators.fields import field_rows
-from logloom.operators.filters import LogQuery, day_prefix, expired
+from logloom.operators.filters import Cursor, LogQuery, day_prefix, expired
 from logloom.operators.search import LogPage, count_logs, fetch_page_by_day, page_frame_by_day
 from logloom.schema import (
     ENTRY_COLUMNS,
@@ -191,8 +191,19 @@ class LogIndex:
     # ---- search -------------------------------------------------------------------
 
     def _by_day(self, query: LogQuery) -> tuple[Callable[[date | None], DataFrame], list[date]]:
+        """Reads the days from one on, of those that the range and the cursor leave, and those days."""
         home = self._home()
-        found = [p for p in self._partitions_at(home) if query.audit is None or p[0] == query.audit]
+        cursor = Cursor.decode(query.cursor)
+        lower = day_prefix(query.from_ or "")
+        ends = [day_prefix(text) for text in (query.to or "", cursor.timestamp if cursor else "")]
+        upper = min((day for day in ends if day is not None), default=None)
+
+        def wanted(audit: bool, day: date | None) -> bool:
+            if query.audit is not None and audit != query.audit:
+                return False
+            return day is None or ((lower is None or day >= lower) and (upper is None or day <= upper))
+
+        found = [p for p in self._partitions_at(home) if wanted(*p)]
 
         def read(oldest: date | None) -> DataFrame:
             recent = [(a, d) for a, d in found if oldest is None or d is None or d >= oldest]

@@ -1,9 +1,11 @@
 import os
 import random
+from datetime import date
 
 from conftest import line, write_lines
 
 from logloom import LogIndex, LogQuery
+from logloom.operators.filters import Cursor
 from logloom.operators.search import result_json
 from pyspark.sql import functions as F
 
@@ -222,6 +224,12 @@ def test_paging(spark, tmp_path):
             assert cursor is None
             break
     assert seen == expected
+    # Only the days that the range and the cursor leave are looked at.
+    assert events(index, limit=1, from_="2026-02-09", to="2026-02-11") == ["older"]
+    at_older = Cursor("2026-02-10T00:00:00Z", 10**9)
+    for query in (LogQuery(to="2026-02-11"), LogQuery(cursor=at_older.encode())):
+        assert index._by_day(query)[1] == [date(2026, 2, 10)]
+    assert events(index, cursor=at_older.encode()) == ["older", "low"]
     assert events(index, limit=1, cursor="not-a-valid-cursor") == ["undated"]
     assert index.page(LogQuery(limit=99999)).limit == 1000
     assert index.page(LogQuery(limit=0)).limit == 100
