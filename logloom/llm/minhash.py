@@ -11,10 +11,10 @@ length of the value's list, shortest first, so lists of frequent values are hard
 other class retains stand first and make no list.
 
 A list of up to ``SMALL_LIST`` members compares all its pairs. A longer one, such as a large group of
-near copies makes, compares its members with a pivot. Jaccard distance is a metric, so with distances
-from the pivot known only those need more work that are no link but nearer than twice the limit
-(against the pivot's links), and those that are no link (among each other, with the next pivot). What
-is left after ``PIVOTS`` rounds compares all pairs whose components differ by then. No list is cut.
+near copies makes, compares its members with a pivot first. What that leaves unconnected is compared in
+blocks: each task holds the sets of two blocks of the pivot's members and returns the links that connect
+them, never all pairs. Jaccard distance is a metric, so classes beyond twice the limit from the pivot need
+no comparison with its links. No list is cut.
 
 The estimate from the union's sketch drops pairs that are clearly apart; the others are confirmed on
 their full sets. Components come from confirmed links.
@@ -34,14 +34,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from logloom.llm.common import packed, small, stored, unpacked, worker_state
 from logloom.llm.components import components
 
 K = 64
 SMALL_LIST = 24
-PIVOTS = 3
+BLOCK_MEMBERS = 400  # classes and shingles of one of the two blocks that meet in a task, on average
+BLOCK_SHINGLES = 400_000
+NEAR, UNSURE, FAR = 1, 2, 4  # how a class stands to its pivot: linked, perhaps near a link, or neither
 BROADCAST_ROWS = 300_000
 WORDS_KEPT = 300_000  # words whose hashes a worker remembers
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -132,7 +134,7 @@ def _sized(frame: DataFrame) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, options: Options) -> DataFrame:
-    """value and node: the lists that have two classes or more."""
+    """value, node, n and members (of the list): the lists that have two classes or more."""
     retained = classes.select("node", "n", F.explode("sketch").alias("value"))
     lengths = retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     shared = (
@@ -145,112 +147,166 @@ def inverted_lists(classes: DataFrame, options: Options) -> DataFrame:
     first = F.greatest(F.size("shared") - needed + 1, F.lit(0)).cast("int")  # others stand before the shared ones
     first = F.least(first, (held - needed + 1).cast("int"))
     postings = stored(
-        shared.select("node", F.explode(F.slice("shared", F.lit(1), first)).alias("entry")).select("node", "entry.value"),
+        shared.select("node", "n", F.explode(F.slice("shared", F.lit(1), first)).alias("entry")).select("node", "n", "entry.value"),
         "postings",
     )
     several = postings.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
-    return stored(postings.join(several, "value").select("value", "node", "members"), "inverted-lists")
+    return stored(postings.join(several, "value").select("value", "node", "n", "members"), "inverted-lists")
 
 
 class Comparison:
-    """Confirms pairs of the classes that are in some list."""
+    """Compares pairs of classes: by their sketches, and those that may be links by their full sets."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, lists: DataFrame, options: Options):
+    def __init__(self, docs: DataFrame, classes: DataFrame, options: Options):
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.classes = classes
         self.options = options
-        nodes = stored(lists.select("node").distinct(), "listed")
-        listed = classes.join(_sized(nodes), "node")
-        self.sketches = stored(listed.select("node", "n", "sketch"), "listed-sketches")
-        keys = stored(listed.select("node", "rep", F.col("set_key").alias("key")), "listed-keys")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        rows = rows.join(_sized(keys.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        sets = full_sets(rows, options).join(keys, F.col("set_key") == F.col("key"))
-        self.sets = stored(sets.groupBy("node").agg(F.any_value("members").alias("members")), "listed-sets")
-
-    def _with(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        self.sets = classes.sparkSession.createDataFrame([], "node long, members array<long>")
+
+    def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        """The columns of both classes of each pair; other classes' rows are not moved."""
         for side in ("a", "b"):
-            own = table.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+            nodes = _sized(pairs.select(F.col(side).alias("node")).distinct())
+            own = table.join(nodes, "node", "left_semi")
+            own = own.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
             pairs = pairs.join(own, side)
         return pairs
 
-    def similarities(self, pairs: DataFrame, percent: float) -> DataFrame:
-        """a, b, shared and united (counts of shingles) of the pairs that may reach ``percent``."""
-        k = self.options.k
-        sized = self._with(pairs, self.sketches, ["n", "sketch"])
-        sized = sized.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
+    def learn(self, nodes: DataFrame) -> None:
+        """Make the full sets of classes (``node``) that are not known yet."""
+        nodes = nodes.distinct()
+        missing = stored(nodes.join(self.sets.select("node"), "node", "left_anti"), "set-nodes")
+        if missing.isEmpty():
+            return
+        keys = stored(self.classes.join(_sized(missing), "node").select("node", "rep", F.col("set_key").alias("key")), "set-keys")
+        rows = self.docs.join(_sized(keys.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        sets = full_sets(rows, self.options).join(_sized(keys), F.col("set_key") == F.col("key")).select("node", "members")
+        sets = stored(sets.dropDuplicates(["node"]), "sets")  # rows may share an id or a text
+        self.sets = self.sets.union(sets)
+
+    def estimates(self, pairs: DataFrame, percent: float) -> DataFrame:
+        """a, b, n_a, n_b and the estimated similarity of pairs that may reach ``percent``."""
+        union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, self.options.k)
         both = F.array_intersect("sketch_a", "sketch_b")
-        near = (
-            sized.withColumn("union", union)
+        found = (
+            self._beside(pairs, self.classes, ["n", "sketch"])
+            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            .withColumn("union", union)
             .withColumn("estimate", F.size(F.array_intersect("union", both)) / F.size("union"))
-            .where(F.col("estimate") >= self.options.likely(percent))
-            .select("a", "b", "n_a", "n_b")
         )
-        shared = F.size(F.array_intersect("members_a", "members_b")).cast("long")
+        return stored(found.where(F.col("estimate") >= self.options.likely(percent)).select("a", "b", "n_a", "n_b", "estimate"), "estimates")
+
+    def links(self, estimated: DataFrame) -> DataFrame:
+        """The pairs that are links; full sets decide."""
+        near = estimated.where(F.col("estimate") >= self.options.likely(self.options.percent)).select("a", "b", "n_a", "n_b")
+        self.learn(near.select(F.col("a").alias("node")).union(near.select("b")))
+        shared = F.size(F.array_intersect("members_a", "members_b")).cast("long").alias("shared")
+        united = F.col("n_a") + F.col("n_b") - F.col("shared")
         return (
-            self._with(near, self.sets, ["members"])
-            .select("a", "b", shared.alias("shared"), "n_a", "n_b")
-            .select("a", "b", "shared", (F.col("n_a") + F.col("n_b") - F.col("shared")).alias("united"))
+            self._beside(near, self.sets, ["members"])
+            .select("a", "b", "n_a", "n_b", shared)
+            .where(100 * F.col("shared") >= self.options.percent * united)
+            .select("a", "b")
         )
 
-    def linked(self) -> Column:
-        return 100 * F.col("shared") >= self.options.percent * F.col("united")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        return self.similarities(pairs, self.options.percent).where(self.linked()).select("a", "b")
-
-
-def _pairs(lists: DataFrame) -> DataFrame:
-    """All pairs within each list, each once."""
-    other = lists.select("value", F.col("node").alias("b"))
-    return lists.select("value", F.col("node").alias("a")).join(other, "value").where("a < b").select("a", "b").distinct()
-
 
-def _members(lists: DataFrame) -> DataFrame:
-    counts = lists.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
-    return lists.drop("members").join(counts, "value")
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs within each list, each once; sizes too different for a link are left out."""
+    one = lists.select("value", F.col("node").alias("a"), F.col("n").alias("own"))
+    other = lists.select("value", F.col("node").alias("b"), F.col("n").alias("its"))
+    fits = (F.col("a") < F.col("b")) & (100 * F.least("own", "its") >= percent * F.greatest("own", "its"))
+    return one.join(other, "value").where(fits).select("a", "b").distinct()
 
 
 def confirmed_links(lists: DataFrame, comparison: Comparison) -> DataFrame:
     """Links (a, b) that connect what is to be connected."""
     options = comparison.options
-    # Beyond twice the limit from a pivot, none can be within the limit of the pivot's links.
-    doubtful = max(0, 2 * options.percent - 100)
-    found = stored(comparison.links(_pairs(lists.where(F.col("members") <= SMALL_LIST))), "links")
-    rest, rounds = lists.where(F.col("members") > SMALL_LIST), []
-    for _ in range(PIVOTS):
-        if rest.isEmpty():
-            break
-        pivots = rest.groupBy("value").agg(F.min("node").alias("pivot"))
-        placed = rest.join(pivots, "value").where("node <> pivot").select("value", "node", "pivot")
-        placed = stored(placed, "pivots")
-        pairs = placed.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        near = stored(comparison.similarities(pairs, doubtful).withColumn("link", comparison.linked()), "pivot-pairs")
-        found = found.union(near.where("link").select("a", "b"))
-        rounds.append(near)
-        linked = near.where("link").select(F.col("a").alias("node"), F.col("b").alias("pivot"))
-        rest = stored(_members(placed.join(linked, ["node", "pivot"], "left_anti").select("value", "node")), "unlinked")
-    if not rounds:
+    pairs = stored(_pairs(lists.where(F.col("members") <= SMALL_LIST), options.percent), "pairs")
+    found = stored(comparison.links(comparison.estimates(pairs, options.percent)), "links")
+    long = lists.where(F.col("members") > SMALL_LIST)
+    if long.isEmpty():
         return found
-    found = stored(found, "links")
-    groups = _sized(stored(components(found), "components"))
-
-    def placed_in(frame: DataFrame, node: str) -> DataFrame:
-        own = groups.select(F.col("node").alias(node), F.col("component").alias(f"group_{node}"))
-        return frame.join(own, node, "left").withColumn(f"group_{node}", F.coalesce(f"group_{node}", node))
-
-    mixed = placed_in(rest, "node").groupBy("value").agg(F.min("group_node").alias("low"), F.max("group_node").alias("high"))
-    left = _pairs(rest.join(mixed.where("low <> high"), "value"))
-    distance = 1 - F.col("shared") / F.col("united")
-    for near in rounds:
-        unsure = near.where("not link").where(100 * F.col("shared") >= doubtful * F.col("united"))
-        unsure = placed_in(placed_in(unsure, "a"), "b").where("group_a <> group_b")
-        unsure = unsure.select("a", F.col("b").alias("pivot"), distance.alias("far"))
-        linked = near.where("link").select(F.col("a").alias("other"), F.col("b").alias("pivot"), distance.alias("near"))
-        close = F.col("far") - F.col("near") <= 1 - options.percent / 100 + 1e-9
-        left = left.union(unsure.join(linked, "pivot").where(close).select("a", F.col("other").alias("b")))
-    left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = placed_in(placed_in(left, "a"), "b").where("group_a <> group_b").select("a", "b")
-    return found.union(comparison.links(left))
+    pivots = long.groupBy("value").agg(F.min("node").alias("pivot"))
+    pairs = long.join(pivots, "value").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs = stored(pairs.distinct(), "pairs")
+    # Beyond twice the limit from a pivot, none can be within the limit of the pivot's links.
+    estimated = comparison.estimates(pairs, max(0, 2 * options.percent - 100))
+    linked = stored(comparison.links(estimated), "pivot-links")
+    found = stored(found.union(linked), "links")
+    return found.union(stored(among_members(pairs, estimated, linked, found, comparison), "member-links"))
+
+
+def among_members(
+    pairs: DataFrame, estimated: DataFrame, linked: DataFrame, found: DataFrame, comparison: Comparison
+) -> DataFrame:
+    """Links between members (a) of one pivot (b) that are not connected yet.
+
+    A pivot's members are dealt into blocks, and every two blocks meet in one task, which holds their
+    sets and returns no more links than connect them.
+    """
+    own = stored(components(found), "components").select(F.col("node").alias("a"), F.col("component").alias("own"))
+    placed = (
+        pairs.join(linked.select("a", "b", F.lit(NEAR).alias("near")), ["a", "b"], "left")
+        .join(estimated.select("a", "b", F.lit(UNSURE).alias("unsure")), ["a", "b"], "left")
+        .join(own, "a", "left")
+        .select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.coalesce("near", "unsure", F.lit(FAR)).alias("kind"), F.coalesce("own", "a").alias("own"))
+    )
+    placed = placed.join(comparison.classes.select("node", "n"), "node")
+    groups = (
+        placed.groupBy("pivot")
+        .agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("own").alias("low"), F.max("own").alias("high"))
+        .where("low <> high")
+    )
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    placed = stored(placed.join(groups.select("pivot", blocks.alias("blocks")), "pivot"), "members")
+    if placed.isEmpty():
+        return found.where("false")
+    comparison.learn(placed.select("node"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meetings = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
+    )
+    dealt = placed.withColumn("block", block).select("pivot", "node", "kind", "own", "n", "block", F.explode(meetings).alias("at"))
+    dealt = dealt.join(comparison.sets, "node").select("pivot", "at.i", "at.j", "block", "node", "kind", "own", "n", "members")
+    percent = comparison.options.percent
+
+    def compare(table: pa.Table) -> pa.Table:
+        links = block_links(table, percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return dealt.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of the two blocks in ``table`` that connect what has not been connected."""
+    block, kind, sizes = (table[c].to_numpy() for c in ("block", "kind", "n"))
+    nodes, group = table["node"].to_pylist(), table["own"].to_numpy().copy()
+    members = table["members"].combine_chunks()
+    values, starts = members.flatten().to_numpy(), np.concatenate([[0], np.cumsum(members.value_lengths().to_numpy())])
+    # Rows by value, so that one row's intersections with all others are counted at once.
+    order = np.argsort(values, kind="stable")
+    ranked, holders = values[order], np.repeat(np.arange(len(nodes)), np.diff(starts))[order]
+    first_block = block == block.min()
+    two_blocks = not first_block.all()
+    found = []
+    for row in np.flatnonzero(first_block):
+        open_ = (group != group[row]) & (100 * np.minimum(sizes, sizes[row]) >= percent * np.maximum(sizes, sizes[row]))
+        open_ &= ~first_block if two_blocks else np.arange(len(nodes)) > row
+        open_ &= (kind + kind[row]) != NEAR + FAR
+        if not open_.any():
+            continue
+        own = values[starts[row] : starts[row + 1]]
+        low, high = np.searchsorted(ranked, own, "left"), np.searchsorted(ranked, own, "right")
+        counts = high - low
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        shared = np.bincount(holders[places], minlength=len(nodes))
+        alike = open_ & (100 * shared >= percent * (sizes + sizes[row] - shared))
+        for other in np.flatnonzero(alike):
+            if group[other] != group[row]:
+                found.append((nodes[row], nodes[other]))
+                group[group == group[other]] = group[row]
+    return found
 
 
 def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -264,7 +320,7 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     )
     classes = stored(classes, "classes")
     lists = inverted_lists(classes, options)
-    links = confirmed_links(lists, Comparison(docs, classes, lists, options))
+    links = confirmed_links(lists, Comparison(docs, classes, options))
     grouped = stored(components(links), "components")
     reps = classes.select("node", "rep")
     smallest = grouped.join(reps, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
