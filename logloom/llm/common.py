@@ -55,8 +55,10 @@ def small(frame: DataFrame, limit: int) -> bool:
 
 
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
-    """Something that a Python worker makes once and keeps for its later tasks."""
-    box = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state"))
-    if key not in box.__dict__:
-        box.__dict__[key] = make()
-    return box.__dict__[key]
+    """Something that a Python worker makes once and keeps for its later tasks, until it is asked for another."""
+    box = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
+    if box.get("key") != key:
+        box.update(key=None, made=None)
+        box["made"] = make()
+        box["key"] = key
+    return box["made"]

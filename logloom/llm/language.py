@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import stored
+from logloom.llm.common import stored, worker_state
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -207,6 +207,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language", dict)  # other operators' memory is free now
         for batch in batches:
             found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             scores = np.array([s for _, s in found], float)
@@ -227,6 +228,7 @@ def understood(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("language", dict)  # other operators' memory is free now
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = (shared.value.predict(t) for t in texts)
