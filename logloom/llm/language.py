@@ -169,13 +169,12 @@ def train(docs: DataFrame, documents_per_language: int = DOCUMENTS_PER_LANGUAGE)
 
 def calibrated(model: Model, rows: DataFrame) -> Model:
     """The model with each bit's usual margin and each classifier's accuracy on each language."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
     bits = model.code.shape[1]
 
     def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = (batch.column(c).to_pylist() for c in ("text", "lang"))
-            pairs = [(lang, shared.value.margins(ngram_counts(t)).tolist()) for t, lang in zip(texts, langs) if has_letter(t)]
+            pairs = [(lang, model.margins(ngram_counts(t)).tolist()) for t, lang in zip(texts, langs) if has_letter(t)]
             yield pa.RecordBatch.from_pydict(
                 {"lang": pa.array([p[0] for p in pairs], pa.string()), "margins": pa.array([p[1] for p in pairs], pa.list_(pa.float64()))}
             )
@@ -204,12 +203,11 @@ def learnable(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text's lang_pred, score and ambiguous, a row for each of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("language", dict)  # other operators' memory is free now
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+            found = [model.predict(t) for t in batch.column("text").to_pylist()]
             scores = np.array([s for _, s in found], float)
             columns = {
                 "doc_id": batch.column("doc_id"),
@@ -225,13 +223,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def understood(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language; other columns are kept as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("language", dict)  # other operators' memory is free now
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = (shared.value.predict(t) for t in texts)
+            found = (model.predict(t) for t in texts)
             yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -157,10 +157,9 @@ def nearest(rows: DataFrame, is_query: Column, neighbours: int = 10) -> DataFram
     share = min(parts, math.ceil(parts * wanted / total))
     sampled = vectors.where(F.pmod(F.xxhash64("uid"), F.lit(parts)) < share).select("uid", "vector").limit(2 * wanted).orderBy("uid").toArrow()
     forest = grown(_matrix(sampled["vector"], size), sampled["uid"].to_numpy(), total)
-    shared = spark.sparkContext.broadcast(forest)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = forest
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,7 +170,7 @@ def nearest(rows: DataFrame, is_query: Column, neighbours: int = 10) -> DataFram
                 yield pa.RecordBatch.from_arrays(places + batch.columns, ["tree", "page", "leaf", *batch.schema.names])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = forest
         least = math.ceil(4 * (neighbours + 1) / LEAF_ROWS) * len(own.directions) + 4
         for batch in batches:
             if not batch.num_rows:
