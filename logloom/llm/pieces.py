@@ -1,72 +1,51 @@
-"""Cut text where no token of a byte-level vocabulary can cross, so that equal parts are encoded once."""
+"""Encode the pieces that a pattern splits text into, equal ones but once."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-# White space other than the space and the line feed.
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+import regex
 
+SLICE = 1 << 20  # characters of a text that are split at once
+_CUT = regex.compile(r"(?<=\S) (?=\S)")
 
-def parts(text: str) -> list[str] | None:
-    """The text cut before each of its spaces (which are left out), or None where that could cut a token.
 
-    A token may begin with white space but never has a space after something else, so a space that
-    follows a visible character begins a token. Runs of white space are more than that; texts that
-    have other runs than one line feed and its spaces are not cut.
-    """
-    if "  " in text or "\n \n" in text or _RARE_SPACE.search(text):
-        return None
-    return text.split(" ")
+def slices(text: str) -> Iterator[str]:
+    """The text in parts that no piece crosses: a single space between visible characters begins one."""
+    start = 0
+    while len(text) - start > SLICE and (found := _CUT.search(text, start + SLICE)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
 
+class PieceCache:
+    """The ids of texts as bytes. ``encode_pieces`` gives those of pieces that are not remembered.
 
-class Recent:
-    """Values by key, made in bulk. Forgets what was not asked for while ``limit`` newer ones came."""
+    A piece is forgotten when ``limit`` other new ones have come since it was asked for; at most
+    twice ``limit``, and those of one call, are remembered, in some 200 bytes each.
+    """
 
-    def __init__(self, make: Callable[[list[str]], Iterable[bytes]], limit: int):
-        self.make = make
+    def __init__(self, pattern, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int):
+        self.find = pattern.findall
+        self.encode_pieces = encode_pieces
         self.limit = limit
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def of(self, wanted: set[str]) -> Callable[[str], bytes]:
+    def texts(self, texts: list[str]) -> list[bytes]:
+        found = [[self.find(part) for part in slices(text)] for text in texts]
+        ids = self._known(set().union(*(pieces for parts in found for pieces in parts)))
+        return [b"".join([b"".join(map(ids, pieces)) for pieces in parts]) for parts in found]
+
+    def _known(self, wanted: set[str]) -> Callable[[str], bytes]:
         """How to look up all of ``wanted``, until the next call."""
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         wanted = wanted.difference(new)
-        again = {key: old[key] for key in wanted if key in old}
+        again = {piece: old[piece] for piece in wanted if piece in old}
         new.update(again)
         unknown = list(wanted.difference(again))
-        new.update(zip(unknown, self.make(unknown), strict=True))
+        new.update(zip(unknown, self.encode_pieces(unknown), strict=True))
         return new.__getitem__
-
-
-class PartCache:
-    """Encodes texts by their parts, the parts by the pieces that a pattern finds, and both but once.
-
-    ``encode_pieces`` gives the ids of pieces as bytes. Twice ``limit`` of them are remembered at most,
-    in some 200 bytes each.
-    """
-
-    def __init__(self, pattern, encode_pieces: Callable[[list[str]], Iterable[bytes]], limit: int):
-        self.find = pattern.findall
-        self.pieces = Recent(encode_pieces, limit)
-        self.first = Recent(self.cut, limit // 10)
-        self.later = Recent(lambda found: self.cut([" " + p for p in found]), limit)
-
-    def cut(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t) for t in texts]
-        ids = self.pieces.of(set().union(*found))
-        return [ids(one[0]) if len(one) == 1 else b"".join(map(ids, one)) for one in found]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        found = [parts(t) for t in texts]
-        uncut = [n for n, one in enumerate(found) if one is None]
-        whole = dict(zip(uncut, self.cut([texts[n] for n in uncut])))
-        known = [one for one in found if one is not None]
-        first = self.first.of({one[0] for one in known})
-        later = self.later.of(set().union(*(one[1:] for one in known)))
-        return [whole[n] if one is None else first(one[0]) + b"".join(map(later, one[1:])) for n, one in enumerate(found)]

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm.common import stored, worker_state
 from logloom.llm.files import mapped, opened, written
-from logloom.llm.pieces import PartCache
+from logloom.llm.pieces import PieceCache
 
 END_ID = 2
 NO_ID = -(1 << 63)
 TEXTS_AT_ONCE = 256
-REMEMBERED = 150_000  # pieces of text
-CHARS_AT_ONCE = 2 << 20
+REMEMBERED = 250_000  # pieces of text
+CHARS_AT_ONCE = 1 << 20
 # How byte-level tokenizers split text, and the characters they write bytes as.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -85,7 +85,7 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    return PartCache(regex.compile(PATTERN), pieces, REMEMBERED).texts if is_byte_level(tokenizer) else whole
+    return PieceCache(regex.compile(PATTERN), pieces, REMEMBERED).texts if is_byte_level(tokenizer) else whole
 
 
 def groups(texts: list[str]) -> Iterator[list[str]]:
