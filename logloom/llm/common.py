@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logloom.session import configure, scratch_path
@@ -54,11 +58,20 @@ def small(frame: DataFrame, limit: int) -> bool:
     return frame.limit(limit + 1).count() <= limit
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; workers live on beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
     """Something that a Python worker makes once and keeps for its later tasks, until it is asked for another."""
     box = sys.modules.setdefault("_llm_worker_state", types.ModuleType("_llm_worker_state")).__dict__
     if box.get("key") != key:
         box.update(key=None, made=None)
+        give_back()
         box["made"] = make()
         box["key"] = key
     return box["made"]

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import stored, worker_state
+from logloom.llm.common import give_back, stored, worker_state
 
 UNKNOWN = "und"
 BUCKETS = 1 << 14
@@ -230,5 +230,6 @@ def understood(docs: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = (model.predict(t) for t in texts)
             yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.common import packed, small, stored, unpacked, worker_state
+from logloom.llm.common import give_back, packed, small, stored, unpacked, worker_state
 from logloom.llm.components import components
 
 K = 64
@@ -45,7 +45,7 @@ BLOCK_MEMBERS = 400  # classes and shingles of one of the two blocks that meet i
 BLOCK_SHINGLES = 400_000
 NEAR, UNSURE, FAR = 1, 2, 4  # how a class stands to its pivot: linked, perhaps near a link, or neither
 BROADCAST_ROWS = 300_000
-WORDS_KEPT = 300_000  # words whose hashes a worker remembers
+WORDS_KEPT = 100_000  # words whose hashes a worker remembers
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,6 +112,7 @@ def sketches(docs: DataFrame, options: Options) -> DataFrame:
                 "sketch": pa.array([f[2] for f in found], pa.list_(pa.int64())),
             }
             yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("text_key"), "text")
     return rows.mapInArrow(run, "doc_id long, text_key binary, n long, set_key binary, sketch array<long>")
@@ -125,6 +126,7 @@ def full_sets(docs: DataFrame, options: Options) -> DataFrame:
             sets = [shingle_set(t, options.shingle_words) for t in batch.column("text").to_pylist()]
             keys = pa.array([set_key(s) for s in sets], pa.binary())
             yield pa.RecordBatch.from_pydict({"set_key": keys, "members": pa.array(sets, pa.list_(pa.int64()))})
+        give_back()
 
     return docs.select("text").mapInArrow(run, "set_key binary, members array<long>")
 

@@ -27,13 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.common import worker_state
+from logloom.llm.common import give_back, worker_state
 from logloom.llm.files import opened
-from logloom.llm.pieces import PartCache
+from logloom.llm.pieces import PieceCache
 from logloom.llm.token_files import groups
 
 NEVER = 1 << 40  # a rank beyond all
-REMEMBERED = 350_000  # pieces of text
+PAIRS_REMEMBERED = 250_000
+REMEMBERED = 80_000  # pieces of text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +62,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int, int]]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.size = max(ranks.values()) + 1
         self.starts: dict[bytes, int] = {}  # longest token by its first three bytes
         for token in ranks:
             self.starts[token[:3]] = max(self.starts.get(token[:3], 0), len(token))
@@ -90,11 +92,12 @@ class Vocabulary:
 
     def may_follow(self, first: bytes, second: bytes) -> bool:
         """Whether both tokens stay as they are side by side."""
-        known = self.pairs.get((first, second))
+        key = self.ranks[first] * self.size + self.ranks[second]
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > PAIRS_REMEMBERED:
                 self.pairs.clear()
-            known = self.pairs[first, second] = self._apart(first, second)
+            known = self.pairs[key] = self._apart(first, second)
         return known
 
     def _apart(self, first: bytes, second: bytes) -> bool:
@@ -169,14 +172,16 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     last: list[bytes | None] = [None] * (size + 1)
     for start in range(size):
         before = last[start]
+        base = ranks[before] * vocabulary.size if start else 0
         for end in range(start + 1, min(size, start + starts.get(piece[start : start + 3], 2)) + 1):
             if last[end] is None:
                 token = piece[start:end]
-                if token in made:
-                    if before is None:
+                rank = made.get(token)
+                if rank is not None:
+                    if not start:
                         last[end] = token
                     else:
-                        known = pairs.get((before, token))
+                        known = pairs.get(base + rank)
                         if may_follow(before, token) if known is None else known:
                             last[end] = token
     found, end = [], size
@@ -191,7 +196,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = Vocabulary(load_ranks(path))
-        self.cache = PartCache(regex.compile(pattern), self._pieces, REMEMBERED)
+        self.cache = PieceCache(regex.compile(pattern), self._pieces, REMEMBERED)
         self.token_bytes = [self.vocabulary.bytes_of.get(n, b"") for n in range(max(self.vocabulary.bytes_of) + 1)]
 
     def _pieces(self, found: list[str]) -> Iterator[bytes]:
@@ -229,6 +234,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
                     columns["ids"] = pa.array(ids, pa.binary())
                 at += len(ids)
                 yield pa.RecordBatch.from_pydict(columns)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, {outputs}")
