@@ -11,7 +11,8 @@ and ``index.json`` names the shards in order with their documents and tokens. A
 from the prefix sums of the shards' token counts; offsets are written when those are known. Readers map
 the files into memory; ``TokenFile`` does so for single documents.
 
-A null or empty text is the end id alone. Texts that hold a special token's name are ordinary text.
+A null or empty text is the end id alone. Ids are those of the library without special tokens at the ends;
+an added token's name inside a text becomes that token's id, as there.
 Repeated rows are documents of their own. An empty table is an index without shards.
 """
 
@@ -48,9 +49,7 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def id_type(tokenizer, end_id: int) -> str:
@@ -85,7 +84,24 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    return PieceCache(regex.compile(PATTERN), pieces, REMEMBERED).texts if is_byte_level(tokenizer) else whole
+    if not is_byte_level(tokenizer):
+        return whole
+    split = PieceCache(regex.compile(PATTERN), pieces, REMEMBERED).texts
+    names = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    if not names:
+        return split
+    named = regex.compile("|".join(map(regex.escape, names)))
+
+    def texts(given: list[str]) -> list[bytes]:
+        """The library reads texts that may hold an added token; the others go by pieces."""
+        library = [named.search(t) is not None for t in given]
+        if not any(library):
+            return split(given)
+        by_pieces = iter(split([t for t, own in zip(given, library) if not own]))
+        by_library = iter(whole([t for t, own in zip(given, library) if own]))
+        return [next(by_library if own else by_pieces) for own in library]
+
+    return texts
 
 
 def groups(texts: list[str]) -> Iterator[list[str]]:

@@ -70,3 +70,16 @@ def test_other_tokenizers_encode_whole_texts():
     texts = ["Hello there  World", "", "a b"]
     found = tf.text_encoder(path, "<u2")(texts)
     assert [np.frombuffer(f, "<u2").tolist() for f in found] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_added_tokens_are_read_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no marker", "<|endoftext|><|endoftext|>x", "<|endoftext", "<|ENDOFTEXT|>", "", "last"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    found = tf.text_encoder(PATH, "<u2")(texts)
+    assert [np.frombuffer(f, "<u2").tolist() for f in found] == want and want[0] == [64, 220, 50256, 275]
+    folder = scratch_path(spark, "tokens-test")
+    tf.write_tokens(documents(spark, [(n, t, "en", "a") for n, t in enumerate(texts)]), folder, PATH)
+    assert [r["n_tokens"] for r in tf.read_tokens(spark, folder).orderBy("doc_id").collect()] == [len(ids) + 1 for ids in want]
