@@ -11,7 +11,15 @@ all documents but the first (the smallest doc_id), so that no content is lost al
 stay, white space around and between tokens does not matter, and kept lines are returned as they were.
 
 A null text stays null and has no lines; an empty text is one blank line. Rows with one doc_id are one
-document; null ids count together as one document and are the first only if there is no other. Long
+document; null ids count together as one document and are the first only if there is no other.
+
+``Options(levels=True)`` makes this hold at any size of the table: a token is then constant at each
+``level`` of support in turn (``MIN_DOCUMENTS`` documents, ``STEP`` times as many, and so on, as far as the
+leaf goes), every level gives the line a template, and the line is recurring if one of them is. So a
+variable field is generalised although each of its values is frequent by itself, however many other lines
+share the leaf. Support then counts the documents of a line, not its occurrences.
+
+Long
 texts and lines are read whole. Columns but ``text`` pass through,
 except that ``n_lines`` and ``n_dropped`` replace columns of these names. An empty table gives no rows.
 
@@ -34,6 +42,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 LEADING = 3
 SIMILARITY = 0.7
 MIN_DOCUMENTS = 5
+STEP = 4  # from one level of support to the next
 BROADCAST_ROWS = 300_000
 
 
@@ -42,6 +51,7 @@ class Options:
     leading: int = LEADING
     similarity: float = SIMILARITY
     min_documents: int = MIN_DOCUMENTS
+    levels: bool = False
 
 
 def digest(text: Column) -> Column:
@@ -89,8 +99,21 @@ def _sized(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if small(frame, BROADCAST_ROWS) else frame
 
 
+def _templates(options: Options) -> Column:
+    """Templates of a line at all levels, from its ``tokens`` (at, token, n); n is null if the token is variable."""
+    most = F.coalesce(F.array_max(F.transform("tokens", lambda t: t["n"])), F.lit(0))
+    levels = F.filter(F.array(*(F.lit(options.min_documents * STEP**k).cast("long") for k in range(20))), lambda level: level <= most)
+
+    def template(level: Column) -> Column:
+        named = F.transform("tokens", lambda t: F.when(t["n"] >= level, t["token"]).otherwise(F.lit(WILDCARD)))
+        constants = F.size(F.filter("tokens", lambda t: t["n"] >= level))
+        return F.when(constants >= options.similarity * F.size("tokens"), digest(F.array_join(named, " ")))
+
+    return F.array_distinct(F.filter(F.transform(levels, template), lambda t: t.isNotNull()))
+
+
 def generalised(docs: DataFrame, candidates: DataFrame, options: Options) -> DataFrame:
-    """line_key and template of the lines that share a leaf with others."""
+    """line_key and template of the lines that share a leaf with others; with levels, a row for each template."""
     shared = candidates.where("kinds > 1").select("line_key", "leaf", "n")
     texts = (
         parsed(docs, options)
@@ -105,8 +128,16 @@ def generalised(docs: DataFrame, candidates: DataFrame, options: Options) -> Dat
     )
     constant = (
         tokens.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= options.min_documents)
-    ).select("leaf", "at", "token", F.lit(True).alias("constant"))
-    constant = constant.where(F.col("token") != WILDCARD)
+    ).where(F.col("token") != WILDCARD)
+    if options.levels:
+        return (
+            tokens.drop("n")
+            .join(constant, ["leaf", "at", "token"], "left")
+            .groupBy("line_key")
+            .agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("tokens"))
+            .select("line_key", F.explode(_templates(options)).alias("template"))
+        )
+    constant = constant.select("leaf", "at", "token", F.lit(True).alias("constant"))
     named = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(WILDCARD))
     return (
         tokens.join(constant, ["leaf", "at", "token"], "left")
@@ -124,10 +155,15 @@ def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, text_key and ``dropped``: a flag for each line up to the last that goes."""
     line = F.col("line")
     lines = stored(
-        parsed(docs, options).select("doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf")),
+        parsed(docs, options).select(
+            "doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf")
+        ),
         "lines",
     )
-    kinds = lines.groupBy("leaf", "line_key").agg(F.count("*").alias("n"))
+    groups = ["leaf", "line_key"]
+    kinds = (lines.select("doc_id", *groups).distinct() if options.levels else lines).groupBy(*groups).agg(F.count("*").alias("n"))
+    if options.levels:
+        kinds = stored(kinds, "line-kinds")
     leaves = (
         kinds.groupBy("leaf")
         .agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))

@@ -1,8 +1,10 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from cases import CLASHES, LONG, documents
 
+import corpus_pipeline
 from logloom.llm import line_templates as lt
 from logloom.llm.line_templates import Options
 
@@ -98,3 +100,25 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = lt.without_recurring_lines(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+WORDS = [f"{chr(97 + n % 26)}{chr(98 + n // 26)}word" for n in range(60)]
+
+
+def left(spark, texts):
+    docs = documents(spark, [(d, t, "en", "s") for d, t in texts])
+    return {r["doc_id"]: r["text"] for r in lt.without_recurring_lines(docs, corpus_pipeline.LINES).collect()}
+
+
+@pytest.mark.parametrize("size", [60, 1000, 4000])
+def test_the_pipeline_drops_a_template_at_any_size(spark, size):
+    posted = lambda n: f"Posted in the {WORDS[n * 7 % 40]} section by {WORDS[n * 13 % 50]} on our public web site today"
+    other = lambda n: "Posted in the " + " ".join(WORDS[n * k % 59] for k in range(2, 14))
+    kept = left(spark, [(n, f"{posted(n)}\n{other(n)}") for n in range(size)])
+    assert [n for n, text in sorted(kept.items()) if "section" in text] == [0]
+
+
+def test_support_counts_documents(spark):
+    texts = [(n, f"Read in the {WORDS[n]} section of our public web site") for n in range(4)]
+    kept = left(spark, [*texts, (9, "\n".join([texts[0][1]] * 200))])
+    assert kept == {0: texts[0][1], 1: "", 2: "", 3: "", 9: ""}
