@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logloom.llm import language, line_templates, minhash, mixing, prefix_bpe
 from logloom.llm.common import prepare, stored, table
 
-LINES = line_templates.Options(levels=True)
+LINES = line_templates.Options(levels=True, long_tokens=50)
 ORACLE_SQL = None  # the first stage learns a model; tests compare the stages with brute force
 
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates from all documents but the first; documents stay."""
+    """Drops lines of recurring templates, and long lines that recur at all, from all documents but the first; documents stay."""
     prepare(spark)
     rest = line_templates.without_recurring_lines(docs, LINES).drop("n_lines", "n_dropped")
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -19,6 +19,9 @@ leaf goes), every level gives the line a template, and the line is recurring if
 variable field is generalised although each of its values is frequent by itself, however many other lines
 share the leaf. Support then counts the documents of a line, not its occurrences.
 
+``Options(long_tokens=n)`` lets lines of n tokens or more, with no more than their digits masked, recur from
+two documents on; shorter lines and generalised ones still need ``MIN_DOCUMENTS``, which protects clean text.
+
 Long
 texts and lines are read whole. Columns but ``text`` pass through,
 except that ``n_lines`` and ``n_dropped`` replace columns of these names. An empty table gives no rows.
@@ -52,6 +55,11 @@ class Options:
     similarity: float = SIMILARITY
     min_documents: int = MIN_DOCUMENTS
     levels: bool = False
+    long_tokens: int | None = None
+
+    @property
+    def long_documents(self) -> int:
+        return min(2, self.min_documents)
 
 
 def digest(text: Column) -> Column:
@@ -154,15 +162,16 @@ def generalised(docs: DataFrame, candidates: DataFrame, options: Options) -> Dat
 def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, text_key and ``dropped``: a flag for each line up to the last that goes."""
     line = F.col("line")
+    is_long = [] if options.long_tokens is None else [(_tokens(line) >= options.long_tokens).alias("long")]
     lines = stored(
         parsed(docs, options).select(
-            "doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf")
+            "doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf"), *is_long
         ),
         "lines",
     )
-    groups = ["leaf", "line_key"]
+    groups = ["leaf", "line_key", *(["long"] if is_long else [])]
     kinds = (lines.select("doc_id", *groups).distinct() if options.levels else lines).groupBy(*groups).agg(F.count("*").alias("n"))
-    if options.levels:
+    if options.levels or is_long:
         kinds = stored(kinds, "line-kinds")
     leaves = (
         kinds.groupBy("leaf")
@@ -171,24 +180,27 @@ def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
     )
     candidates = stored(kinds.join(leaves, "leaf").select("line_key", "leaf", "n", "kinds"), "line-candidates")
     templates = candidates.join(generalised(docs, candidates, options), "line_key", "left").select(
-        "line_key", F.coalesce("template", "line_key").alias("template")
+        "line_key", F.coalesce("template", "line_key").alias("template"), F.lit(options.min_documents).alias("needed")
     )
+    if is_long:
+        own = kinds.where(F.col("long") & (F.col("n") >= options.long_documents))
+        templates = templates.union(own.select("line_key", "line_key", F.lit(options.long_documents)))
     found = stored(
-        lines.join(_sized(stored(templates, "line-templates")), "line_key").select("doc_id", "text_key", "pos", "template"),
+        lines.join(_sized(stored(templates, "line-templates")), "line_key").select("doc_id", "text_key", "pos", "template", "needed"),
         "template-lines",
     )
     recurring = (
-        found.groupBy("template")
+        found.groupBy("template", "needed")
         .agg(
             (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("documents"),
             F.min("doc_id").alias("first"),
         )
-        .where(F.col("documents") >= options.min_documents)
-        .select("template", "first")
+        .where(F.col("documents") >= F.col("needed"))
+        .select("template", "needed", "first")
     )
     positions = F.sort_array(F.collect_set("pos"))
     dropped = (
-        found.join(_sized(stored(recurring, "recurring-templates")), "template")
+        found.join(_sized(stored(recurring, "recurring-templates")), ["template", "needed"])
         .where(~F.col("doc_id").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "text_key")
         .agg(positions.alias("positions"))

@@ -122,3 +122,9 @@ def test_support_counts_documents(spark):
     texts = [(n, f"Read in the {WORDS[n]} section of our public web site") for n in range(4)]
     kept = left(spark, [*texts, (9, "\n".join([texts[0][1]] * 200))])
     assert kept == {0: texts[0][1], 1: "", 2: "", 3: "", 9: ""}
+
+
+def test_the_pipeline_drops_long_lines_from_the_second_document_on(spark):
+    long, short = (" ".join(WORDS[(n * n + n) % 60] for n in range(size)) for size in (50, 49))
+    kept = left(spark, [(1, f"one\n{long}"), (2, f"two\n{long}\n{short}"), (3, f"three\n{short}"), (4, f"{long}\n{long}"), (5, f"five\n{long} 7")])
+    assert kept == {1: f"one\n{long}", 2: f"two\n{short}", 3: f"three\n{short}", 4: "", 5: f"five\n{long} 7"}
