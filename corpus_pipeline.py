@@ -18,9 +18,9 @@ ORACLE_SQL = None  # the first stage learns a model; tests compare the stages wi
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no learned language: null ones and those without a letter."""
+    """Rejects texts in no learned language or in an ambiguous one, null ones and those without a letter."""
     prepare(spark)
-    return language.understood(docs, language.train(docs))
+    return language.understood(docs, language.train(docs, limits=True))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,11 @@ go to the language that comes first by code points. A text that is null or has n
 with score 0. A single learned language is always chosen, with score 1; without labelled rows every
 text is ``und``. Whole texts count, of any length.
 
+``train(docs, limits=True)`` also measures how far the learned rows, and their beginnings, lie from their own
+codewords. ``understood`` then rejects a text whose nearest codeword is farther than the limit of its language
+and length, or that is ambiguous. Texts with fewer than ``LENGTHS[0]`` bytes of letters are too short to tell and
+stay, and so does every text with a letter if there are fewer than two languages to tell apart.
+
 Classifiers learn from at most about ``documents_per_language`` labelled rows of each language, picked
 by a hash of doc_id, so reruns agree. More than ``MAX_LANGUAGES`` labels are refused. Extra columns,
 repeated rows and null ids do no harm; an empty table gives no rows.
@@ -37,6 +42,9 @@ MAX_LANGUAGES = 500
 DOCUMENTS_PER_LANGUAGE = 2000
 EXHAUSTIVE = 7  # up to so many languages get all bits there are
 AMBIGUOUS = 0.55
+LENGTHS = (16, 64, 256)  # bytes of letters from which a text is measured with others of its length
+FARTHER = 3  # times the distance that 99 of 100 learned rows keep within is clearly farther than usual
+NEAR = 0.25  # distances below are never far: the bits agree well
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -98,6 +106,7 @@ class Model:
     weights: np.ndarray  # bucket, bit
     scale: np.ndarray  # bit: what makes a usual margin 1
     trust: np.ndarray  # language, bit: sums to 1 for each language
+    limits: np.ndarray | None = None  # language, length: the largest distance of texts in that language
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         seen = np.flatnonzero(counts)
@@ -118,6 +127,22 @@ class Model:
         first, second = np.sort(distances)[:2]
         return self.languages[best], float(second / (first + second)) if second else 0.5
 
+    def knows(self, text: str | None) -> bool:
+        """Whether a text has letters and, where that can be told, is in a learned language."""
+        if not has_letter(text) or self.limits is None:
+            return has_letter(text)
+        counts = ngram_counts(text)
+        if (band := length_band(counts)) < 0:
+            return True
+        distances = self.distances(self.margins(counts))
+        first, second = np.sort(distances)[:2]
+        return bool(second * (1 - AMBIGUOUS) >= AMBIGUOUS * first and first <= self.limits[distances.argmin(), band])
+
+
+def length_band(counts: np.ndarray) -> int:
+    """Which of LENGTHS a text has reached; -1 for none. Each byte begins about one n-gram of each size."""
+    return int(np.searchsorted(LENGTHS, counts.sum() / len(SIZES), "right")) - 1
+
 
 def labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
     """text and lang of the labelled rows to learn from."""
@@ -144,7 +169,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(seen), "bucket": seen, "n": counts[seen]})
 
 
-def train(docs: DataFrame, documents_per_language: int = DOCUMENTS_PER_LANGUAGE) -> Model:
+def train(docs: DataFrame, documents_per_language: int = DOCUMENTS_PER_LANGUAGE, limits: bool = False) -> Model:
     """A model from the labelled rows of ``docs`` (doc_id, text, lang)."""
     sample = stored(labelled_sample(docs, documents_per_language), "language-sample")
     rows = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, F.xxhash64("text"))
@@ -164,7 +189,10 @@ def train(docs: DataFrame, documents_per_language: int = DOCUMENTS_PER_LANGUAGE)
             ahead = code[:, bit] > 0
             weights[:, bit] = np.log(chances[ahead].mean(0)) - np.log(chances[~ahead].mean(0))
     model = Model(languages, code, weights, np.ones(bits), np.full((len(languages), bits), 1 / max(1, bits)))
-    return calibrated(model, rows) if len(languages) > 1 else model
+    if len(languages) < 2:
+        return model
+    model = calibrated(model, rows)
+    return limited(model, rows) if limits else model
 
 
 def calibrated(model: Model, rows: DataFrame) -> Model:
@@ -196,6 +224,32 @@ def calibrated(model: Model, rows: DataFrame) -> Model:
     return Model(model.languages, model.code, model.weights, scale, trust / trust.sum(1, keepdims=True))
 
 
+def limited(model: Model, rows: DataFrame) -> Model:
+    """The model with the limits of each language, from the learned rows that it gets right."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                for part in (text, *(text[: 2 * n] for n in LENGTHS if 2 * n < len(text))):
+                    if has_letter(part) and (band := length_band(counts := ngram_counts(part))) >= 0:
+                        distances = model.distances(model.margins(counts))
+                        if model.languages[distances.argmin()] == lang:
+                            found.append((lang, band, float(distances.min())))
+            columns = zip(*found) if found else ([], [], [])
+            kinds = (pa.string(), pa.int64(), pa.float64())
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["lang", "band", "distance"])
+
+    far = rows.mapInArrow(measured, "lang string, band long, distance double").groupBy("lang", "band")
+    limits = np.full((len(model.languages), len(LENGTHS)), np.inf)
+    for row in far.agg(F.percentile("distance", F.lit(0.99)).alias("far")).collect():  # rows: languages x lengths
+        limits[model.languages.index(row["lang"]), row["band"]] = max(NEAR, FARTHER * row["far"])
+    for band in range(1, len(LENGTHS)):  # a length that no row has: what holds for shorter ones
+        limits[:, band] = np.where(np.isinf(limits[:, band]), limits[:, band - 1], limits[:, band])
+    return Model(model.languages, model.code, model.weights, model.scale, model.trust, limits)
+
+
 def learnable(doc_id: Column) -> Column:
     """Whether a document may be learned from; the others are held out to measure accuracy."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 != 1
@@ -222,14 +276,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def understood(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language; other columns are kept as they are."""
+    """The rows of ``docs`` whose text the model knows; other columns are kept as they are."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state("language", dict)  # other operators' memory is free now
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = (model.predict(t) for t in texts)
-            yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
+            yield batch.filter(pa.array([model.knows(t) for t in texts], pa.bool_()))
         give_back()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from cases import documents
 
+import corpus_pipeline
 from logloom.llm import language
 
 WORDS = {"en": "the and of with that which for house", "fr": "le la les et dans pour avec maison", "de": "der die das und mit nicht haus für", "es": "el los las y con para que casa"}
@@ -75,3 +76,17 @@ def test_few_labels(spark):
 
 def test_the_sample_is_bounded(spark):
     assert language.labelled_sample(documents(spark, labelled()), 10).count() <= 80
+
+
+def test_unlearned_and_ambiguous_texts_are_rejected(spark):
+    english, mixed = "the house of that and which for the house", "the and of with " * 10 + "le la les et avec dans " * 9
+    texts = ["это обычный русский текст о жизни в городе", "这是一个关于城市生活的普通中文文本", "xqzv wkjh qpwz zzkx vbnm qwrt plkj", mixed, english, "house", "12 34", None]
+    rows = [*labelled(), *((1000 + n, text, None, "s") for n, text in enumerate(texts))]
+    docs = documents(spark, rows).select("doc_id", "text", "lang", "source")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {*range(400), 1004, 1005}
+
+
+def test_without_labels_every_text_with_a_letter_stays(spark):
+    docs = documents(spark, [(1, "some words", None, "a"), (2, "12", None, "a"), (3, None, None, "a")])
+    assert [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, "").collect()] == [1]
