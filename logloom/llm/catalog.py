@@ -7,7 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logloom.llm import language, line_templates, minhash, mixing, neighbours, oracle, prefix_bpe, syncmers, token_files, url_filter, warc
+from logloom.llm import (
+    fill_in_middle,
+    language,
+    line_templates,
+    minhash,
+    mixing,
+    neighbours,
+    oracle,
+    phrases,
+    pii,
+    prefix_bpe,
+    syncmers,
+    token_files,
+    url_filter,
+    warc,
+)
 from logloom.llm.common import table
 from logloom.llm.url_filter import Rule
 from logloom.session import scratch_path
@@ -73,6 +88,25 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("url", "payload")
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(f"{name}_sha256") for name, c in (("output", F.col("output")), ("restored", restored))]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = pii.personal_data(docs, pii.train(docs))
+    counts = [column.alias(f"n_{kind}") for kind, column in pii.counts(F.col("base")).items()]
+    digest = F.sha2(pii.written_out(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", *counts, digest, pii.written_out(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -94,5 +94,67 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN original IS NULL OR page_id IS NOT DISTINCT FROM original THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to
 FROM grouped
+""",
+    "op11_phrase_mining": r"""
+WITH pieces AS (
+    SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS words FROM pieces
+), places AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM worded
+), counted AS (
+    SELECT lang, size, array_to_string(list_slice(words, pos, pos + size - 1), ' ') AS phrase, CAST(COUNT(*) AS BIGINT) AS f
+    FROM places CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) sizes WHERE pos + size - 1 <= len(words) GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(SUM(f) AS BIGINT) AS n FROM counted WHERE size = 1 GROUP BY lang
+), frequent AS (
+    SELECT * FROM counted WHERE f >= 10
+), cuts AS (
+    SELECT lang, phrase, f AS a, k, array_to_string(list_slice(string_split(phrase, ' '), 1, k), ' ') AS head,
+           array_to_string(list_slice(string_split(phrase, ' '), k + 1, size), ' ') AS tail
+    FROM frequent CROSS JOIN (SELECT unnest([1, 2]) AS k) ks WHERE k < size
+), scores AS (
+    SELECT c.lang, c.phrase, a, k, h.f AS l, t.f AS r,
+           CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+    FROM cuts c JOIN frequent h ON h.lang = c.lang AND h.phrase = c.head JOIN frequent t ON t.lang = c.lang AND t.phrase = c.tail
+), lowest AS (
+    SELECT * FROM scores QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), covers AS (
+    SELECT lang, phrase, MAX(f) AS held FROM (
+        SELECT lang, f, array_to_string(list_slice(string_split(phrase, ' '), 1, 2), ' ') AS phrase FROM frequent WHERE size = 3
+        UNION ALL SELECT lang, f, array_to_string(list_slice(string_split(phrase, ' '), 2, 3), ' ') FROM frequent WHERE size = 3
+    ) inside GROUP BY lang, phrase
+), ranked AS (
+    SELECT l.*, ROW_NUMBER() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, l.phrase) AS rank
+    FROM lowest l LEFT JOIN covers c ON c.lang = l.lang AND c.phrase = l.phrase
+    WHERE c.held IS NULL OR 100 * c.held < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op12_fill_in_middle": r"""
+WITH cut AS (
+    SELECT doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\n]*\n|[^\n]+') AS units,
+           sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS draw
+    FROM documents
+), drawn AS (
+    SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % (len(units) + 1) AS one,
+           CAST('0x' || substr(draw, 9, 8) AS BIGINT) % (len(units) + 1) AS two, CAST('0x' || substr(draw, 25, 8) AS BIGINT) % 100 AS form
+    FROM cut
+), parts AS (
+    SELECT doc_id, text, n,
+           CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN form < 50 THEN 'spm' ELSE 'psm' END AS form,
+           array_to_string(list_slice(units, 1, LEAST(one, two)), '') AS prefix,
+           array_to_string(list_slice(units, LEAST(one, two) + 1, GREATEST(one, two)), '') AS middle,
+           array_to_string(list_slice(units, GREATEST(one, two) + 1, n), '') AS suffix
+    FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                        ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
 """,
 }
