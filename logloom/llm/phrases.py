@@ -33,7 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logloom.llm.common import give_back, small, stored
 
@@ -48,6 +48,7 @@ BUCKET = 400_000  # word occurrences that a bucket is meant for
 BLOCK = 4_000_000  # suffixes that are sorted at once at most
 HOT_LEAST, HOT_SHARE = 20_000, 50_000  # a word is very frequent above the least, and a share of all words
 BROADCAST_ROWS = 300_000
+HEATS = 16  # parts of a language that are ranked by themselves first
 # The characters that end a piece.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TABLE = bytes(0xFF if c in PIECE_ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -390,6 +391,11 @@ def scored(candidates: DataFrame, singles: DataFrame, options: Options) -> DataF
     return _mapped(cuts, "lang string, phrase binary, a long, l long, r long, score long", kinds_out, lowest)
 
 
+def _best(rows: DataFrame, top: int, *groups: Column | str) -> DataFrame:
+    order = Window.partitionBy(*groups).orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases in ``docs`` (text, lang)."""
     docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
@@ -410,8 +416,8 @@ def collocations(docs: DataFrame, options: Options = Options()) -> DataFrame:
     singles = counts.where(F.col("f") >= options.min_count)
     held = F.coalesce(100 * F.col("held") >= options.held_percent * F.col("a"), F.lit(False))
     left = stored(scored(candidates, singles, options), "scored").join(_sized(stored(covered, "covered")), ["lang", "phrase"], "left").where(~held)
-    best = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    ranked = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= options.top)
+    ranked = _best(left, options.top, "lang", F.pmod(F.xxhash64("phrase"), F.lit(HEATS)))  # few of each heat meet again
+    ranked = _best(ranked, options.top, "lang")
     return ranked.join(F.broadcast(totals) if small(totals, BROADCAST_ROWS) else totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score"
     )
