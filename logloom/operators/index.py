@@ -2,36 +2,44 @@
 
 Layout below the index path::
 
-    runs/                      one row per finished step of a run
-    v<N>/rows/line_kind=record/is_audit=../event_date=../   entries
-    v<N>/rows/line_kind=<other>/                            rejected lines, for the reports
-    v<N>/ledger/               what has been read of each file
-    v<N>/rewrites/<run>/       survivors staged while partitions are rewritten
-
-``N`` is the number of the last finished reindex run, so that appending its row to ``runs``
-publishes the new version. One writer at a time; readers need no lock.
+    log/<number>.json      commits, see ``commit_log``
+    meta/<table>-<id>/     parts of the metadata tables that commits name
+    data/<id>/             data files of one write, by kind of line, class and day; never changed
+
+The metadata tables are ``files`` (the manifest), ``removed`` (data files that are no longer part of the table),
+``tombstones`` (source files whose entries up to an id are gone), ``ledger`` (what has been read of each
+source file) and ``runs``. A write adds parts to them and becomes visible as a whole with its commit, so
+readers need no lock and see nothing of a write that broke off. Parts are merged, small ones first, when
+there are more than ``MAX_PARTS`` of a table. Of two writers at a time one fails with ``ConcurrentWrite``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import date, timedelta
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from dataclasses import dataclass, field, replace
+from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from logloom.functions.normalize import BAD, BLANK, INGESTED, classify_lines, normalize
 from logloom.functions.times import from_iso, utc_now
+from logloom.operators import manifest
 from logloom.operators.aggregate import aggregate_logs
+from logloom.operators.commit_log import CommitLog, ConcurrentWrite
 from logloom.operators.fields import field_rows
-from logloom.operators.filters import Cursor, LogQuery, day_prefix, expired
-from logloom.operators.search import LogPage, count_logs, fetch_page_by_day, page_frame_by_day
+from logloom.operators.filters import DEFAULT_PAGE_LIMIT, LogQuery, all_of, clamp_limit, expired
+from logloom.operators.search import PAGE_COLUMNS, LogPage, Zone, build_page, count_logs, newest_rows
 from logloom.schema import (
     ENTRY_COLUMNS,
     ENTRY_SCHEMA,
     LEDGER_SCHEMA,
-    PARTITION_COLUMNS,
     PROMOTED_FIELDS,
+    REMOVED_SCHEMA,
     RUN_SCHEMA,
+    TOMBSTONE_SCHEMA,
 )
 from logloom.session import configure
 from logloom.sources.appended import read_appended
@@ -43,16 +51,29 @@ from logloom.sources.files import (
     UNCHANGED,
     VANISHED,
     classify_changes,
-    count_files,
+    delete_listed,
     delete_path,
     list_files,
-    path_exists,
 )
 from logloom.sources.lines import scan_lines
-from logloom.sources.numbering import running_base
 
-_NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 Partition = tuple[bool, date | None]
+FILES, REMOVED, TOMBSTONES, LEDGER, RUNS = "files", "removed", "tombstones", "ledger", "runs"
+SCHEMAS = {
+    FILES: manifest.FILE_SCHEMA,
+    REMOVED: REMOVED_SCHEMA,
+    TOMBSTONES: TOMBSTONE_SCHEMA,
+    LEDGER: LEDGER_SCHEMA,
+    RUNS: RUN_SCHEMA,
+}
+MAX_PARTS = 16  # of a metadata table; more are merged
+MAX_RUNS = 64  # run records in a commit; older ones are kept in a table
+ROWS_PER_FILE = 2_000_000
+BROADCAST_ROWS = 100_000
+ZONES_AT_ONCE = 2048  # manifest rows that a page looks at in one step
+NOTHING = {"entries": 0, "fields": 0}
+NO_ROWS = {INGESTED: 0, BAD: 0, BLANK: 0}
+KEEP_SECONDS = 3600  # how long files of no commit may still be read, or be about to be committed
 
 
 def ignore_known(rows: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:
@@ -90,135 +111,250 @@ def to_rows(lines: DataFrame, now: str, id_base: int) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Part:
+    """A folder of a metadata table and how many rows it has."""
+
+    path: str
+    rows: int
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """The table as one commit says it is."""
+
+    number: int = 0
+    version: int = 0
+    last_id: int = 0
+    parts: dict[str, list[Part]] = field(default_factory=dict)
+    runs: list[dict] = field(default_factory=list)
+    hidden: dict[str, int] = field(default_factory=lambda: dict(NOTHING))  # entries that tombstones hide
+
+    @staticmethod
+    def of(commit: dict) -> Snapshot:
+        parts = {name: [Part(**p) for p in own] for name, own in commit["parts"].items()}
+        return Snapshot(commit["number"], commit["version"], commit["last_id"], parts, commit["runs"], commit["hidden"])
+
+    def commit(self) -> dict:
+        parts = {name: [vars(p) for p in own] for name, own in self.parts.items()}
+        return {"number": self.number, "version": self.version, "last_id": self.last_id, "parts": parts, "runs": self.runs, "hidden": self.hidden}
+
+    def of_table(self, name: str) -> list[Part]:
+        return self.parts.get(name, [])
+
+    def rows(self, name: str) -> int:
+        return sum(p.rows for p in self.of_table(name))
+
+    def with_parts(self, name: str, parts: list[Part]) -> Snapshot:
+        return replace(self, parts={**self.parts, name: parts})
+
+    def plus(self, name: str, part: Part | None) -> Snapshot:
+        return self.with_parts(name, [*self.of_table(name), part]) if part else self
+
+
 class LogIndex:
     """An index of log entries stored at ``path``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = configure(spark)
         self.path = path.rstrip("/")
+        self.log = CommitLog(spark, f"{self.path}/log")
+
+    # ---- metadata -----------------------------------------------------------------
 
-    # ---- tables -------------------------------------------------------------------
+    def snapshot(self) -> Snapshot:
+        number = self.log.newest()
+        return Snapshot.of(self.log.read(number)) if number else Snapshot()
 
-    def _read(self, location: str, schema) -> DataFrame:
-        if not path_exists(self.spark, location):
+    def _read(self, schema, paths: list[str]) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(location)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{p}" for p in paths))
+
+    def _table(self, snapshot: Snapshot, name: str) -> DataFrame:
+        return self._read(SCHEMAS[name], [p.path for p in snapshot.of_table(name)])
+
+    def _part(self, name: str, rows: DataFrame) -> Part | None:
+        """Write rows of a metadata table; None if there are none."""
+        path = f"meta/{name}-{uuid.uuid4().hex}"
+        columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields]
+        rows.select(*columns).write.parquet(f"{self.path}/{path}")
+        count = self._read(SCHEMAS[name], [path]).count()
+        return Part(path, count) if count else None
+
+    def _run_rows(self, runs: list[dict]) -> DataFrame:
+        return self.spark.createDataFrame([tuple(r.get(f.name) for f in RUN_SCHEMA.fields) for r in runs], RUN_SCHEMA)
 
     def runs(self) -> DataFrame:
-        return self._read(f"{self.path}/runs", RUN_SCHEMA)
-
-    def _state(self) -> Row:
-        """One row from the run table: seq, last_id, version, broken (last run did not finish)."""
-        done = F.col("status") == "finished"
-        published = F.when(done & (F.col("kind") == "reindex"), F.col("run_seq"))
-        return (
-            self.runs()
-            .agg(
-                F.coalesce(F.max("run_seq"), F.lit(0)).alias("seq"),
-                F.coalesce(F.max("last_id"), F.lit(0)).alias("last_id"),
-                F.coalesce(F.max(published), F.lit(0)).alias("version"),
-                F.coalesce(~F.max_by(done, F.struct("run_seq", done)), F.lit(False)).alias("broken"),
-            )
-            .head()
-        )
+        """One row per finished or failed run."""
+        snapshot = self.snapshot()
+        return self._table(snapshot, RUNS).unionByName(self._run_rows(snapshot.runs))
 
     def version(self) -> int:
-        return self._state()["version"]
+        return self.snapshot().version
 
-    def _home(self) -> str:
-        return self._home_of(self.version())
+    def _live(self, snapshot: Snapshot) -> DataFrame:
+        """The manifest without the files that were removed."""
+        files = self._table(snapshot, FILES)
+        if not snapshot.of_table(REMOVED):
+            return files
+        gone = self._table(snapshot, REMOVED).select("path").distinct()
+        return files.join(self._small(gone, snapshot.rows(REMOVED)), "path", "left_anti")
 
-    def _home_of(self, version: int) -> str:
-        return f"{self.path}/v{version}"
+    @staticmethod
+    def _small(rows: DataFrame, count: int) -> DataFrame:
+        return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
 
-    def entries(self, query: LogQuery | None = None) -> DataFrame:
-        """All entries, partitioned by is_audit and event_date.
+    def ledger(self) -> DataFrame:
+        """Newest state of each file that was present in the last run."""
+        return self._ledger(self.snapshot()).where("present")
 
-        With a query, only the partition folders it can match are listed and read; the query
-        itself is not applied.
-        """
-        home = self._home()
-        if query is None:
-            return self._entries_at(home)
-        lower, upper = day_prefix(query.from_ or ""), day_prefix(query.to or "")
+    def _ledger(self, snapshot: Snapshot) -> DataFrame:
+        return self._newest_states(self._table(snapshot, LEDGER))
 
-        def wanted(audit: bool, day: date | None) -> bool:
-            if query.audit is not None and audit != query.audit:
-                return False
-            return day is None or ((lower is None or day >= lower) and (upper is None or day <= upper))
+    @staticmethod
+    def _newest_states(history: DataFrame) -> DataFrame:
+        columns = [f.name for f in LEDGER_SCHEMA.fields]
+        newest = history.groupBy("source_file").agg(F.max_by(F.struct(*columns), "run_seq").alias("s"))
+        return newest.select("s.*")
 
-        found = self._partitions_at(home)
-        chosen = [p for p in found if wanted(*p)]
-        return self._entries_at(home) if len(chosen) == len(found) else self._entries_in(home, chosen)
+    def _merged(self, snapshot: Snapshot) -> Snapshot:
+        """The same table with fewer parts, and with few run records in the commit itself."""
+        if len(snapshot.runs) > MAX_RUNS:
+            snapshot = replace(snapshot.plus(RUNS, self._part(RUNS, self._run_rows(snapshot.runs))), runs=[])
+        if 4 * snapshot.rows(REMOVED) > max(snapshot.rows(FILES), 4 * MAX_PARTS):
+            live = self._part(FILES, self._live(snapshot))
+            snapshot = snapshot.with_parts(FILES, [live] if live else []).with_parts(REMOVED, [])
+        for name in SCHEMAS:
+            parts = sorted(snapshot.of_table(name), key=lambda p: p.rows)
+            if len(parts) <= MAX_PARTS:
+                continue
+            few, rest = parts[: MAX_PARTS // 2 + 1], parts[MAX_PARTS // 2 + 1 :]  # large parts are seldom written again
+            rows = self._read(SCHEMAS[name], [p.path for p in few])
+            rows = self._newest_states(rows) if name == LEDGER else rows.distinct() if name == REMOVED else rows
+            merged = self._part(name, rows)
+            snapshot = snapshot.with_parts(name, [*rest, *([merged] if merged else [])])
+        return snapshot
+
+    def _commit(self, snapshot: Snapshot, run: dict) -> None:
+        """Publish ``snapshot``, which was made from the commit before it, with the record of its run."""
+        number = snapshot.number + 1
+        record = {**run, "run_seq": number, "last_id": snapshot.last_id}
+        merged = self._merged(replace(snapshot, number=number, runs=[*snapshot.runs, record]))
+        self.log.create(number, merged.commit())
 
-    def _entries_at(self, home: str) -> DataFrame:
-        return self._read(f"{home}/rows/line_kind={INGESTED}", ENTRY_SCHEMA)
+    @staticmethod
+    def _record(kind: str, mode: str, started: str, counters: dict | None = None, error: str | None = None) -> dict:
+        finished = utc_now()
+        took = from_iso(finished) - from_iso(started)
+        return {
+            "kind": kind,
+            "mode": mode,
+            "status": "finished" if error is None else "failed",
+            "started_at": started,
+            "finished_at": finished,
+            "duration_ms": max(0, round(took.total_seconds() * 1000)),
+            "counters": counters or {},
+            "error": error,
+        }
 
-    def _entries_in(self, home: str, chosen: list[Partition]) -> DataFrame:
-        if not chosen:
-            return self.spark.createDataFrame([], ENTRY_SCHEMA)
-        reader = self.spark.read.schema(ENTRY_SCHEMA).option("basePath", f"{home}/rows/line_kind={INGESTED}")
-        return reader.parquet(*[self._folder(home, *p) for p in chosen])
+    def log_run(self, kind: str, mode: str, started: str, counters: dict | None = None, error: str | None = None) -> None:
+        """Record a run that changed nothing in the table; tried again if another commit comes first."""
+        for attempt in range(20):
+            try:
+                return self._commit(self.snapshot(), self._record(kind, mode, started, counters, error))
+            except ConcurrentWrite:
+                if attempt == 19:
+                    raise
 
-    def fields(self) -> DataFrame:
-        return field_rows(self.entries())
+    def log_report(self, kind: str, mode: str, started: str, report: dict) -> None:
+        """Record the whole-number counters of a finished run."""
+        self.log_run(kind, mode, started, self._counters(report))
 
-    def ledger(self) -> DataFrame:
-        """Newest state of each file that was present in the last run."""
-        return self._ledger_at(self._home()).where("present")
+    @contextmanager
+    def _journal(self, kind: str, mode: str) -> Iterator[str]:
+        """Gives the start time of a run, and records the run if it fails."""
+        started = utc_now()
+        try:
+            yield started
+        except Exception as error:
+            with suppress(Exception):  # what went wrong first is what is raised
+                self.log_run(kind, mode, started, error=f"{type(error).__name__}: {error}".split("\n")[0])
+            raise
 
-    def _ledger_at(self, home: str) -> DataFrame:
-        columns = [f.name for f in LEDGER_SCHEMA.fields]
-        history = self._read(f"{home}/ledger", LEDGER_SCHEMA)
-        newest = history.groupBy("source_file").agg(F.max_by(F.struct(*columns), "run_seq").alias("s"))
-        return newest.select("s.*")
+    # ---- reading ------------------------------------------------------------------
 
-    def partitions(self) -> list[Partition]:
-        """Partitions present on disk, from a listing of the partition folders."""
-        return self._partitions_at(self._home())
-
-    def _partitions_at(self, home: str) -> list[Partition]:
-        pattern = f"{home}/rows/line_kind={INGESTED}/is_audit=*/event_date=*"
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(pattern)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: list[Partition] = []
-        for status in fs.globStatus(path) or []:
-            day = status.getPath().getName().partition("=")[2]
-            audit = status.getPath().getParent().getName().partition("=")[2]
-            found.append((audit == "true", None if day == _NULL_PARTITION else date.fromisoformat(day)))
-        return sorted(found, key=lambda p: (p[0], p[1] or date.min))
+    def entries(self, query: LogQuery | None = None) -> DataFrame:
+        """All entries. With a query, only the data files it can match are read; the query itself is not applied."""
+        return self._entries(self.snapshot(), query)
 
-    # ---- search -------------------------------------------------------------------
+    def _entries(self, snapshot: Snapshot, query: LogQuery | None = None) -> DataFrame:
+        return self._entries_of(snapshot, self._paths(snapshot, manifest.reachable(query or LogQuery())))
+
+    def _paths(self, snapshot: Snapshot, conditions: list[Column]) -> list[str]:
+        chosen = self._live(snapshot).where(all_of(conditions)).select("path").collect()  # as Spark lists any table
+        return [row["path"] for row in chosen]
+
+    def _entries_of(self, snapshot: Snapshot, paths: list[str]) -> DataFrame:
+        """The entries of data files, without those that tombstones hide."""
+        rows = self._read(ENTRY_SCHEMA, paths)
+        if not paths or not snapshot.of_table(TOMBSTONES):
+            return rows
+        return rows.join(self._hiding(snapshot), self._is_hidden(), "left_anti")
 
-    def _by_day(self, query: LogQuery) -> tuple[Callable[[date | None], DataFrame], list[date]]:
-        """Reads the days from one on, of those that the range and the cursor leave, and those days."""
-        home = self._home()
-        cursor = Cursor.decode(query.cursor)
-        lower = day_prefix(query.from_ or "")
-        ends = [day_prefix(text) for text in (query.to or "", cursor.timestamp if cursor else "")]
-        upper = min((day for day in ends if day is not None), default=None)
+    def _hiding(self, snapshot: Snapshot) -> DataFrame:
+        stones = self._table(snapshot, TOMBSTONES)
+        newest = stones.groupBy(F.col("source_file").alias("_gone")).agg(F.max("max_id").alias("_max_id"))
+        return self._small(newest, snapshot.rows(TOMBSTONES))
 
-        def wanted(audit: bool, day: date | None) -> bool:
-            if query.audit is not None and audit != query.audit:
-                return False
-            return day is None or ((lower is None or day >= lower) and (upper is None or day <= upper))
+    @staticmethod
+    def _is_hidden() -> Column:
+        return (F.col("source_file") == F.col("_gone")) & (F.col("id") <= F.col("_max_id"))
+
+    def fields(self) -> DataFrame:
+        return field_rows(self.entries())
 
-        found = [p for p in self._partitions_at(home) if wanted(*p)]
+    def partitions(self) -> list[Partition]:
+        """Classes and days that have entries."""
+        found = self._live(self.snapshot()).where(F.col("line_kind") == INGESTED).select("is_audit", "event_date").distinct()
+        return sorted(((r["is_audit"], r["event_date"]) for r in found.collect()), key=lambda p: (p[0], p[1] or date.min))
 
-        def read(oldest: date | None) -> DataFrame:
-            recent = [(a, d) for a, d in found if oldest is None or d is None or d >= oldest]
-            return self._entries_in(home, recent)
+    # ---- search -------------------------------------------------------------------
 
-        return read, sorted({day for _, day in found if day is not None})
+    def zones(self, query: LogQuery) -> Iterator[list[Zone]]:
+        """The data files that a query can match, those with the newest entries first, in bounded lists."""
+        return self._zones(self.snapshot(), query)
+
+    def _zones(self, snapshot: Snapshot, query: LogQuery) -> Iterator[list[Zone]]:
+        files = self._live(snapshot).where(all_of(manifest.reachable(query))).select("path", "max_time", "rows")
+        last: Zone | None = None
+        while True:
+            after = files
+            if last is not None:
+                newest = F.col("max_time")
+                after = files.where((newest < last.max_time) | ((newest == last.max_time) & (F.col("path") > last.path)))
+            found = after.orderBy(F.col("max_time").desc(), "path").limit(ZONES_AT_ONCE).collect()
+            if found:
+                yield [Zone(r["path"], r["max_time"], r["rows"]) for r in found]
+                last = Zone(found[-1]["path"], found[-1]["max_time"], found[-1]["rows"])
+            if len(found) < ZONES_AT_ONCE:
+                return
+
+    def _page_rows(self, query: LogQuery, count: int) -> list[Row]:
+        snapshot = self.snapshot()
+        cores = self.spark.sparkContext.defaultParallelism
+        return newest_rows(self._zones(snapshot, query), lambda paths: self._entries_of(snapshot, paths), query, count, cores)
 
     def page(self, query: LogQuery) -> LogPage:
-        read, days = self._by_day(query)
-        return fetch_page_by_day(read, query, days)
+        limit = clamp_limit(query.limit, DEFAULT_PAGE_LIMIT)
+        return build_page(self._page_rows(query, limit + 1), limit)
 
     def page_frame(self, query: LogQuery) -> DataFrame:
-        """The page as a DataFrame."""
-        read, days = self._by_day(query)
-        return page_frame_by_day(read, query, days)
+        """The page (at most 1000 rows) as a DataFrame."""
+        rows = self._page_rows(query, clamp_limit(query.limit, DEFAULT_PAGE_LIMIT))
+        schema = [ENTRY_SCHEMA[name] for name in PAGE_COLUMNS]
+        frame = self.spark.createDataFrame([tuple(r) for r in rows], type(ENTRY_SCHEMA)(schema))
+        return frame.orderBy(F.col("timestamp").desc(), F.col("id").desc())
 
     def count(self, query: LogQuery) -> int:
         return count_logs(self.entries(query), query).head()[0]
@@ -227,92 +363,35 @@ class LogIndex:
         return aggregate_logs(self.entries(query), query, group_by, group_field)
 
     def stats(self) -> DataFrame:
-        """One row: entry_count, field_count, approximate_size_bytes."""
-        home = self._home()
-        counts = self._entries_at(home).agg(
-            F.count("*").alias("entry_count"),
-            F.coalesce(F.sum("field_count"), F.lit(0)).alias("field_count"),
-        )
-        sizes = list_files(self.spark, f"{home}/rows/line_kind={INGESTED}", "*.parquet").agg(
-            F.coalesce(F.sum("length"), F.lit(0)).alias("approximate_size_bytes")
-        )
-        return counts.join(sizes)  # one row each
-
-    # ---- runs ---------------------------------------------------------------------
-
-    def _log_run(self, seq: int, kind: str, mode: str, status: str, started: str, last_id: int, counters=None) -> None:
-        pairs = [F.lit(item) for pair in (counters or {}).items() for item in pair]
-        values = {
-            "run_seq": F.lit(seq),
-            "kind": F.lit(kind),
-            "mode": F.lit(mode),
-            "status": F.lit(status),
-            "started_at": F.lit(started),
-            "finished_at": F.lit(utc_now() if status == "finished" else None),
-            "last_id": F.lit(last_id),
-            "counters": F.create_map(*pairs),
-            "error": F.lit(None),
-        }
-        columns = [values[f.name].cast(f.dataType).alias(f.name) for f in RUN_SCHEMA.fields]
-        self.spark.range(1).coalesce(1).select(*columns).write.mode("append").parquet(f"{self.path}/runs")
-
-    def log_report(self, kind: str, mode: str, started: str, report: dict) -> None:
-        """Record the whole-number counters of a finished run."""
-        state = self._state()
-        self._log_run(state["seq"] + 1, kind, mode, "finished", started, state["last_id"], self._counters(report))
-
-    def _begin(self) -> tuple[int, int, str, bool]:
-        """Number of the next run, ids used so far, current version folder, and if the last run broke off."""
-        state = self._state()
-        home = self._home_of(state["version"])
-        self._recover(home)
-        return state["seq"] + 1, state["last_id"], home, state["broken"]
+        """One row: entry_count, field_count, approximate_size_bytes, from the manifest alone."""
+        snapshot = self.snapshot()
+        hidden = snapshot.hidden
+        total = {"entry_count": ("rows", hidden["entries"]), "field_count": ("fields", hidden["fields"]), "approximate_size_bytes": ("bytes", 0)}
+        entries = self._live(snapshot).where(F.col("line_kind") == INGESTED)
+        return entries.agg(*[(F.coalesce(F.sum(c), F.lit(0)) - less).alias(name) for name, (c, less) in total.items()])
 
     # ---- writing ------------------------------------------------------------------
 
-    def _write_rows(self, rows: DataFrame, location: str, mode: str = "append", only_partitions: bool = False) -> None:
-        # Rebalancing keeps files of a day together, merges small days and splits big ones.
-        keys = ["line_kind", *PARTITION_COLUMNS]
+    def _write_rows(self, rows: DataFrame) -> tuple[Part | None, dict[str, int]]:
+        """Write data files; returns their part of the manifest, and how many rows there are of each kind of line."""
+        folder, part = f"data/{uuid.uuid4().hex}", f"meta/{FILES}-{uuid.uuid4().hex}"
+        keys = ["line_kind", "audit", "day"]
         bloom = {f"parquet.bloom.filter.enabled#{column}": "true" for column in PROMOTED_FIELDS.values()}
+        # Rebalancing keeps files of a day together, merges small days and splits big ones.
         (
-            rows.hint("rebalance", *keys)
+            rows.withColumns({"audit": F.col("is_audit"), "day": F.col("event_date")})
+            .hint("rebalance", *keys)
             .sortWithinPartitions(*keys, "timestamp")
-            .write.mode(mode)
-            .options(**bloom)
-            .option("partitionOverwriteMode", "dynamic" if only_partitions else "static")
+            .write.options(**bloom)
+            .option("maxRecordsPerFile", ROWS_PER_FILE)
             .partitionBy(*keys)
-            .parquet(location)
-        )
-
-    def _append(
-        self, lines: DataFrame, home: str, now: str, id_base: int, dedupe: bool, files: DataFrame
-    ) -> dict[str, int]:
-        """Add the lines of ``files`` to the table, with ``dedupe`` only those not there yet.
-
-        Counts come from what was committed, so retries cannot skew them.
-        """
-        started = utc_now()
-        rows = to_rows(lines, now, id_base)
-        if dedupe:
-            rows = ignore_known(rows, self._entries_at(home), files)
-        self._write_rows(rows, f"{home}/rows")
-        return self._count_new(home, started, id_base)
-
-    def _count_new(self, home: str, started: str, id_base: int) -> dict[str, int]:
-        """Rows of this run by kind; files older than the run (less an hour of clock skew) stay closed."""
-        since = from_iso(started) - timedelta(hours=1)
-        written = (
-            self.spark.read.schema("id bigint, line_kind string")
-            .option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
-            .option("timeZone", "UTC")
-            .parquet(f"{home}/rows")
-        )
-        row = (
-            written.where(F.col("id") > id_base)
-            .agg(*[F.count_if(F.col("line_kind") == kind).alias(kind) for kind in (INGESTED, BAD, BLANK)])
-            .head()
+            .parquet(f"{self.path}/{folder}")
         )
-        return row.asDict()
+        manifest.described(self.spark, self.path, folder).write.parquet(f"{self.path}/{part}")
+        sums = [F.coalesce(F.sum(F.when(F.col("line_kind") == kind, F.col("rows"))), F.lit(0)).alias(kind) for kind in NO_ROWS]
+        found = self._read(manifest.FILE_SCHEMA, [part]).agg(F.count("*").alias("_files"), *sums).head().asDict()
+        files = found.pop("_files")
+        return (Part(part, files) if files else None), found
 
     @staticmethod
     def _report(mode: str, started: str, files: int, lines: int, new: dict[str, int]) -> dict:
@@ -331,52 +410,47 @@ class LogIndex:
     def _counters(report: dict) -> dict[str, int]:
         return {key: value for key, value in report.items() if isinstance(value, int)}
 
+    def _work(self) -> str:
+        return f"{self.path}/work/{uuid.uuid4().hex}"
+
     def index_directory(self, root: str, now: str | None = None, glob: str = NDJSON_GLOB) -> dict:
         """Scan every file below ``root`` and add the lines not yet indexed."""
-        seq, id_base, home, _ = self._begin()
-        return self._full_run(root, now or utc_now(), glob, home, seq, id_base, "index")
-
-    def _full_run(self, root: str, now: str, glob: str, home: str, seq: int, id_base: int, kind: str) -> dict:
-        started = utc_now()
-        files = count_files(self.spark, root, glob)
-        work = f"{home}/work/{seq}"
-        new, total = {INGESTED: 0, BAD: 0, BLANK: 0}, 0
-        if files:
-            lines = scan_lines(self.spark, root, glob, f"{work}/splits", self._ledger_at(home))
-            splits = self.spark.read.parquet(f"{work}/splits")
-            total = splits.agg(F.coalesce(F.sum("split_lines"), F.lit(0))).head()[0]
-            self._log_run(seq, kind, "full", "started", started, id_base + total)
-            dedupe = path_exists(self.spark, f"{home}/rows/line_kind={INGESTED}")
-            if total:
-                new = self._append(lines, home, now, id_base, dedupe, splits)
-            self._append_ledger(home, self._scanned_state(splits, home, seq))
-            delete_path(self.spark, work)
+        with self._journal("index", "full") as started:
+            return self._full_run(root, now or utc_now(), glob, self.snapshot(), started, "index")
+
+    def _full_run(self, root: str, now: str, glob: str, known: Snapshot, started: str, kind: str) -> dict:
+        """Add what is new to ``known``, the table as it was read (or, for a reindex, emptied)."""
+        work = self._work()
+        lines = scan_lines(self.spark, root, glob, f"{work}/splits", self._ledger(known))
+        splits = self.spark.read.parquet(f"{work}/splits")
+        files, total = splits.agg(F.count("*"), F.coalesce(F.sum("split_lines"), F.lit(0))).head()
+        part, new = None, dict(NO_ROWS)
+        if total:
+            rows = to_rows(lines, now, known.last_id)
+            if known.of_table(FILES):
+                rows = ignore_known(rows, self._entries(known), splits)
+            part, new = self._write_rows(rows)
         report = self._report("full", started, files, total, new)
-        self._log_run(seq, kind, "full", "finished", started, id_base + total, self._counters(report))
+        after = replace(known.plus(FILES, part), last_id=known.last_id + total)
+        if files:
+            after = after.plus(LEDGER, self._part(LEDGER, self._scanned_state(splits, known)))
+        self._commit(after, self._record(kind, "full", started, self._counters(report)))
+        delete_path(self.spark, work)
         return report
 
-    def _scanned_state(self, splits: DataFrame, home: str, seq: int) -> DataFrame:
-        scanned = splits.groupBy("source_file").agg(
-            F.max("file_size").alias("byte_offset"),
-            F.max("file_modified_at").alias("modified_at"),
-            F.sum("split_lines").alias("lines"),
-        )
-        old = self._ledger_at(home).select("source_file", "generation")
-        return scanned.join(old, "source_file", "left").select(
+    def _scanned_state(self, splits: DataFrame, known: Snapshot) -> DataFrame:
+        old = self._ledger(known).select("source_file", "generation")
+        return splits.join(old, "source_file", "left").select(
             "source_file",
             "byte_offset",
-            F.col("byte_offset").alias("file_size"),
-            "modified_at",
-            "lines",
+            "file_size",
+            F.col("file_modified_at").alias("modified_at"),
+            F.col("split_lines").alias("lines"),
             F.coalesce("generation", F.lit(0)).alias("generation"),
             F.lit(True).alias("present"),
-            F.lit(seq).cast("bigint").alias("run_seq"),
+            F.lit(known.number + 1).alias("run_seq"),
         )
 
-    def _append_ledger(self, home: str, rows: DataFrame) -> None:
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER_SCHEMA.fields]
-        rows.select(*columns).write.mode("append").parquet(f"{home}/ledger")
-
     def index_incremental(
         self,
         root: str,
@@ -384,360 +458,231 @@ class LogIndex:
         glob: str = NDJSON_GLOB,
         include_unterminated: bool = False,
         range_bytes: int = RANGE_BYTES,
+        folders: DataFrame | None = None,
+        quiet: bool = False,
     ) -> dict:
         """Read only what was appended since the last run; replace files rewritten in place.
 
         A last line without a newline waits for the next run unless ``include_unterminated``.
-        Files are read in pieces of ``range_bytes``.
+        Files are read in pieces of ``range_bytes``. ``folders`` (column ``path``) limits the run to folders
+        below ``root``; files elsewhere are then not looked for. A ``quiet`` run leaves no record if nothing changed.
         """
-        started = utc_now()
-        now = now or started
-        seq, id_base, home, broken = self._begin()
-        work = f"{home}/work/{seq}"
-        history = self._ledger_at(home)
-        old = history.select(
-            "source_file", F.col("present").alias("_was_present"), F.col("generation").alias("_last_generation")
-        )
-
-        def look(with_empty: bool) -> tuple[DataFrame, Row]:
-            listing = list_files(self.spark, root, glob, with_empty)
-            compared = classify_changes(listing, history.where("present")).join(old, "source_file", "left")
-            compared.write.mode("overwrite").parquet(f"{work}/changes")
+        with self._journal("index", "incremental") as started:
+            known, work = self.snapshot(), self._work()
+            changes = self._changes(known, list_files(self.spark, root, glob, folders), folders is None)
+            changes.write.parquet(f"{work}/changes")
             changes = self.spark.read.parquet(f"{work}/changes")
-            returned = (F.col("status") == NEW) & F.col("_was_present").isNotNull()
-            counts = changes.agg(
-                F.count_if(F.col("status") != VANISHED).alias("files"),
-                F.count_if(F.col("status") == REWRITTEN).alias("rewritten"),
-                F.count_if(~F.col("status").isin(UNCHANGED, VANISHED)).alias("changed"),
-                F.count_if(returned).alias("returned"),
-                F.count_if(F.col("status") == VANISHED).alias("vanished"),
-            )
-            return changes, counts.head()
-
-        changes, seen = look(with_empty=False)
-        if count_files(self.spark, root, glob) > seen["files"]:
-            changes, seen = look(with_empty=True)
-
-        new, total = {INGESTED: 0, BAD: 0, BLANK: 0}, 0
-        is_rewritten = F.col("status") == REWRITTEN
-        if seen["rewritten"]:
-            self._delete_sources(home, changes.where(is_rewritten).select("source_file"), seq)
-        states = changes.where(F.col("status") == VANISHED).select(
-            "source_file",
-            F.col("old_offset").alias("byte_offset"),
-            F.col("old_offset").alias("file_size"),
-            F.col("old_modified_at").alias("modified_at"),
-            F.col("old_lines").alias("lines"),
-            F.col("old_generation").alias("generation"),
-            F.lit(False).alias("present"),
-        )
-        if seen["changed"]:
-            fresh = is_rewritten | (F.col("status") == NEW)
-            last = F.coalesce("_last_generation", F.lit(0))
-            todo = changes.where(~F.col("status").isin(UNCHANGED, VANISHED)).select(
+            status = F.col("status")
+            seen = changes.agg(
+                F.count_if(status != VANISHED).alias("files"),
+                F.count_if(status == REWRITTEN).alias("rewritten"),
+                F.count_if(~status.isin(UNCHANGED, VANISHED)).alias("changed"),
+                F.count_if((status == NEW) & F.col("_was_present").isNotNull()).alias("returned"),
+                F.count_if(status == VANISHED).alias("vanished"),
+            ).head()
+            after, total, part, new = known, 0, None, dict(NO_ROWS)
+            if seen["rewritten"]:
+                after, _ = self._hidden(after, changes.where(status == REWRITTEN).select("source_file"))
+            states = changes.where(status == VANISHED).select(
                 "source_file",
-                "path",
-                "length",
-                "modified_at",
-                F.when(fresh, F.lit(0)).otherwise(F.col("old_offset")).cast("bigint").alias("first"),
-                F.when(fresh, F.lit(0)).otherwise(F.col("old_lines")).cast("bigint").alias("lines_before"),
-                F.when(is_rewritten, last + 1).otherwise(last).cast("int").alias("generation"),
+                F.col("old_offset").alias("byte_offset"),
+                F.col("old_offset").alias("file_size"),
+                F.col("old_modified_at").alias("modified_at"),
+                F.col("old_lines").alias("lines"),
+                F.col("old_generation").alias("generation"),
+                F.lit(False).alias("present"),
             )
-            lines, state = read_appended(todo, seen["changed"], root, work, include_unterminated, range_bytes)
-            total = state.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
-            if total:
-                self._log_run(seq, "index", "incremental", "started", started, id_base + total)
-                new = self._append(lines, home, now, id_base, broken or bool(seen["returned"]), todo)
-            states = states.unionByName(
-                todo.join(state, "source_file").select(
-                    "source_file",
-                    "byte_offset",
-                    F.col("length").alias("file_size"),
-                    "modified_at",
-                    "lines",
-                    "generation",
-                    F.lit(True).alias("present"),
+            if seen["changed"]:
+                todo = self._todo(changes)
+                lines, state = read_appended(todo, seen["changed"], root, work, include_unterminated, range_bytes)
+                total = state.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
+                if total:
+                    rows = to_rows(lines, now or started, known.last_id)
+                    if seen["returned"]:
+                        rows = ignore_known(rows, self._entries(after), todo)
+                    part, new = self._write_rows(rows)
+                states = states.unionByName(
+                    todo.join(state, "source_file").select(
+                        "source_file",
+                        "byte_offset",
+                        F.col("length").alias("file_size"),
+                        "modified_at",
+                        "lines",
+                        "generation",
+                        F.lit(True).alias("present"),
+                    )
                 )
-            )
-        if seen["changed"] or seen["vanished"]:
-            self._append_ledger(home, states.withColumn("run_seq", F.lit(seq)))
-        delete_path(self.spark, work)
-        report = self._report("incremental", started, seen["files"], total, new)
-        self._log_run(seq, "index", "incremental", "finished", started, id_base + total, self._counters(report))
-        return report
+            report = self._report("incremental", started, seen["files"], total, new)
+            if seen["changed"] or seen["vanished"]:
+                after = after.plus(LEDGER, self._part(LEDGER, states.withColumn("run_seq", F.lit(known.number + 1))))
+            if after is not known or not quiet:
+                after = replace(after.plus(FILES, part), last_id=known.last_id + total)
+                self._commit(after, self._record("index", "incremental", started, self._counters(report)))
+            delete_path(self.spark, work)
+            return report
 
-    def index_tail_batch(self, batch: DataFrame, now: str | None = None, root: str = "/") -> dict:
-        """Index one micro-batch of the ``logloom_tail`` source over ``root``.
+    def _changes(self, known: Snapshot, listing: DataFrame, whole: bool) -> DataFrame:
+        history = self._ledger(known)
+        if not whole:
+            history = history.join(listing.select("source_file"), "source_file", "left_semi")
+        old = history.select("source_file", F.col("present").alias("_was_present"), F.col("generation").alias("_last_generation"))
+        return classify_changes(listing, history.where("present")).join(old, "source_file", "left")
 
-        What has been read of a file is what the ledger says, not what the stream says: a batch
-        that begins elsewhere, as after a bulk run, with a new checkpoint or when it is repeated,
-        is read again from the ledger's offset up to the batch's end. A file that comes back is
-        compared with the entries it had.
-        """
-        started = utc_now()
-        now = now or started
-        seq, id_base, home, broken = self._begin()
-        work = f"{home}/work/{seq}"
-        batch.write.mode("overwrite").parquet(f"{work}/batch")
-        staged = self.spark.read.parquet(f"{work}/batch")
-        self._tail_plan(staged, home).write.mode("overwrite").parquet(f"{work}/plan")
-        plan = self.spark.read.parquet(f"{work}/plan")
-        kinds = plan.agg(
-            F.count_if("rewritten").alias("rewritten"),
-            F.count_if("returned").alias("returned"),
-            F.count_if("unread").alias("unread"),
-            F.count_if(F.col("unread") & (F.col("first") != F.col("from"))).alias("again"),
-            F.count_if(~F.col("vanished")).alias("files"),
-        ).head()
-        if kinds["rewritten"]:
-            self._delete_sources(home, plan.where("rewritten").select("source_file"), seq)
-
-        ready = plan.where(F.col("unread") & (F.col("first") == F.col("from")))
-        texts = staged.where(F.col("line").isNotNull()).select("source_file", "path", "start", "position", "line")
-        texts = texts.join(ready.select("source_file", "lines_before", "generation"), "source_file")
-        ranges = texts.groupBy("source_file", "start").agg(F.count("*").alias("range_lines"))
-        ranges = running_base(ranges, ["source_file", "start"], "range_lines", "seq_base", f"{work}/ranges")
-        bases = ranges.groupBy("source_file").agg(F.min("seq_base").alias("file_base"))
-        line_seq = F.col("seq_base") + F.col("position")
-        lines = texts.join(ranges.join(bases, "source_file"), ["source_file", "start"]).select(
+    @staticmethod
+    def _todo(changes: DataFrame) -> DataFrame:
+        """The files to read, from where and with which generation."""
+        rewritten = F.col("status") == REWRITTEN
+        fresh = rewritten | (F.col("status") == NEW)
+        last = F.coalesce("_last_generation", F.lit(0))
+        return changes.where(~F.col("status").isin(UNCHANGED, VANISHED)).select(
             "source_file",
             "path",
-            "generation",
-            (F.col("lines_before") + line_seq - F.col("file_base")).alias("line_number"),
-            line_seq.alias("line_seq"),
-            "line",
-        )
-        counts = self.spark.read.parquet(f"{work}/ranges").groupBy("source_file").agg(F.sum("range_lines").alias("new_lines"))
-        total = counts.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
-        if kinds["again"]:
-            todo = plan.where(F.col("unread") & (F.col("first") != F.col("from"))).select(
-                "source_file",
-                "path",
-                "generation",
-                "lines_before",
-                F.col("limit").alias("length"),
-                F.col("from").alias("first"),
-            )
-            more, state = read_appended(todo, kinds["again"], root, f"{work}/again", include_unterminated=True)
-            lines = lines.unionByName(more.withColumn("line_seq", F.col("line_seq") + total))
-            counts = counts.unionByName(state.select("source_file", "new_lines"))
-            total += state.agg(F.coalesce(F.sum("new_lines"), F.lit(0))).head()[0]
-
-        new = {INGESTED: 0, BAD: 0, BLANK: 0}
-        if total:
-            self._log_run(seq, "index", "stream", "started", started, id_base + total)
-            new = self._append(lines, home, now, id_base, broken or bool(kinds["returned"]), plan)
-        states = plan.where("unread or vanished").join(counts, "source_file", "left").select(
-            "source_file",
-            F.when(F.col("vanished"), F.col("old_offset")).otherwise(F.col("limit")).alias("byte_offset"),
-            F.when(F.col("vanished"), F.col("old_offset")).otherwise(F.col("size")).alias("file_size"),
-            F.when(F.col("vanished"), F.col("old_modified_at")).otherwise(F.timestamp_millis("modified_ms")).alias("modified_at"),
-            F.when(F.col("vanished"), F.col("old_lines"))
-            .otherwise(F.col("lines_before") + F.coalesce("new_lines", F.lit(0)))
-            .alias("lines"),
-            "generation",
-            (~F.col("vanished")).alias("present"),
-            F.lit(seq).alias("run_seq"),
-        )
-        self._append_ledger(home, states)
-        delete_path(self.spark, work)
-        report = self._report("stream", started, kinds["files"], total, new)
-        self._log_run(seq, "index", "stream", "finished", started, id_base + total, self._counters(report))
-        return report
-
-    def _tail_plan(self, staged: DataFrame, home: str) -> DataFrame:
-        """What is to be done with each file of a tail batch.
-
-        ``from`` and ``lines_before`` tell where reading goes on; it is ``unread`` from there.
-        """
-        files = staged.groupBy("source_file").agg(
-            F.max("path").alias("path"),
-            F.bool_or("restart").alias("restart"),
-            F.min("first").alias("first"),
-            F.max("limit").alias("limit"),
-            F.max("size").alias("size"),
-            F.max("modified_ms").alias("modified_ms"),
-        )
-        history = self._ledger_at(home).select(
-            "source_file",
-            F.col("byte_offset").alias("old_offset"),
-            F.col("lines").alias("old_lines"),
-            F.col("generation").alias("old_generation"),
-            F.col("modified_at").alias("old_modified_at"),
-            F.col("present").alias("was_present"),
-        )
-        offset = F.col("old_offset")
-        vanished = F.col("size") < 0
-        known = offset.isNotNull() & ~vanished
-        here = known & F.col("was_present")
-        touched = F.unix_millis("old_modified_at") != F.col("modified_ms")
-        done = here & (offset >= F.col("limit")) & (F.col("size") >= offset) & ~touched
-        replaced = (F.col("size") < offset) | ((F.col("size") == offset) & touched)
-        rewritten = known & ~done & (F.col("restart") | (here & replaced))
-        goes_on = here & ~rewritten
-        return (
-            files.join(history, "source_file", "left")
-            .withColumns(
-                {
-                    "vanished": vanished & offset.isNotNull(),
-                    "rewritten": F.coalesce(rewritten, F.lit(False)),
-                    "returned": F.coalesce(known & ~F.col("was_present") & ~rewritten, F.lit(False)),
-                    "from": F.when(goes_on, offset).otherwise(F.lit(0)).cast("bigint"),
-                    "lines_before": F.when(goes_on, F.col("old_lines")).otherwise(F.lit(0)).cast("bigint"),
-                }
-            )
-            .withColumn("generation", (F.coalesce("old_generation", F.lit(0)) + F.col("rewritten").cast("int")).cast("int"))
-            .withColumn("unread", ~vanished & ((F.col("limit") > F.col("from")) | F.col("rewritten")))
+            "length",
+            "modified_at",
+            F.when(fresh, F.lit(0)).otherwise(F.col("old_offset")).cast("bigint").alias("first"),
+            F.when(fresh, F.lit(0)).otherwise(F.col("old_lines")).cast("bigint").alias("lines_before"),
+            F.when(rewritten, last + 1).otherwise(last).cast("int").alias("generation"),
         )
 
     def reindex(self, root: str, now: str | None = None, glob: str = NDJSON_GLOB) -> dict:
-        """Build a new version of the index from the files and publish it in place of the old one."""
-        seq, id_base, old_home, _ = self._begin()
-        removed = self._totals(self._entries_at(old_home))
-        report = self._full_run(root, now or utc_now(), glob, f"{self.path}/v{seq}", seq, id_base, "reindex")
-        delete_path(self.spark, old_home)
-        return {"report": report, "reset": removed}
+        """Build the index anew from the files and publish it in place of the old one, with one commit."""
+        with self._journal("reindex", "full") as started:
+            known = self.snapshot()
+            totals = self.stats().head()
+            kept = {RUNS: known.of_table(RUNS)}
+            empty = replace(known, version=known.version + 1, parts=kept, hidden=dict(NOTHING))
+            report = self._full_run(root, now or utc_now(), glob, empty, started, "reindex")
+            return {"report": report, "reset": {"entries_deleted": totals["entry_count"], "fields_deleted": totals["field_count"]}}
+
+    # ---- deleting -----------------------------------------------------------------
 
     @staticmethod
     def _totals(entries: DataFrame) -> dict[str, int]:
-        return (
-            entries.agg(
-                F.count("*").alias("entries_deleted"),
-                F.coalesce(F.sum("field_count"), F.lit(0)).alias("fields_deleted"),
-            )
-            .head()
-            .asDict()
-        )
-
-    # ---- deleting -----------------------------------------------------------------
+        row = entries.agg(F.count("*"), F.coalesce(F.sum("field_count"), F.lit(0))).head()
+        return {"entries_deleted": row[0], "fields_deleted": row[1]}
 
     def delete_source_files(self, files: DataFrame) -> dict[str, int]:
-        """Delete the entries of the files named in column ``source_file``."""
-        seq, id_base, home, _ = self._begin()
-        started = utc_now()
-        report = self._delete_sources(home, files, seq)
-        self._log_run(seq, "delete", "sources", "finished", started, id_base, report)
-        return report
+        """Delete the entries of the files named in column ``source_file``; nothing is rewritten."""
+        with self._journal("delete", "sources") as started:
+            after, report = self._hidden(self.snapshot(), files)
+            self._commit(after, self._record("delete", "sources", started, report))
+            return report
 
-    def _delete_sources(self, home: str, files: DataFrame, seq: int) -> dict[str, int]:
-        doomed = self._entries_at(home).join(files.distinct(), "source_file", "left_semi")
-        report = self._totals(doomed)
-        touched = [(row[0], row[1]) for row in doomed.select(*PARTITION_COLUMNS).distinct().collect()]
-        self._rewrite(home, touched, seq, lambda rows: rows.join(files.distinct(), "source_file", "left_anti"))
-        return report
+    def _hidden(self, known: Snapshot, files: DataFrame) -> tuple[Snapshot, dict[str, int]]:
+        """The table with tombstones for source files, and what they hide.
+
+        Only data files that may hold their entries are read. New entries have greater ids, so the
+        tombstone of a file does not hide what is read from it later.
+        """
+        part = self._part(TOMBSTONES, files.select("source_file").distinct().withColumn("max_id", F.lit(known.last_id)))
+        if part is None:
+            return known, {"entries_deleted": 0, "fields_deleted": 0}
+        stones = self._read(TOMBSTONE_SCHEMA, [part.path]).select("source_file")
+        conditions = manifest.reachable(LogQuery())
+        if part.rows <= manifest.MAX_NAMED:
+            conditions.append(manifest.may_hold([(manifest.SOURCE, r["source_file"]) for r in stones.collect()]))
+        held = self._entries_of(known, self._paths(known, conditions))
+        report = self._totals(held.join(self._small(stones, part.rows), "source_file", "left_semi"))
+        hidden = {"entries": known.hidden["entries"] + report["entries_deleted"], "fields": known.hidden["fields"] + report["fields_deleted"]}
+        return replace(known.plus(TOMBSTONES, part), hidden=hidden), report
+
+    def _rewritten(self, known: Snapshot, gone: list[Row], keep: Callable[[DataFrame], DataFrame] | None) -> Snapshot:
+        """The table with data files replaced by what ``keep`` leaves of their entries, None for nothing."""
+        if not gone:
+            return known
+        paths = [r["path"] for r in gone]
+        live = self._entries_of(known, paths)
+        after = known
+        if keep is not None:
+            kept = keep(live).withColumn("line_kind", F.lit(INGESTED)).select("line_kind", *ENTRY_COLUMNS)
+            after = after.plus(FILES, self._write_rows(kept)[0])
+        if known.of_table(TOMBSTONES):  # what tombstones hide in these files is gone for good
+            left = self._totals(live)
+            entries = known.hidden["entries"] - sum(r["rows"] for r in gone) + left["entries_deleted"]
+            fields = known.hidden["fields"] - sum(r["fields"] for r in gone) + left["fields_deleted"]
+            after = replace(after, hidden={"entries": entries, "fields": fields})
+        removed = self.spark.createDataFrame([(p,) for p in paths], REMOVED_SCHEMA)
+        return after.plus(REMOVED, self._part(REMOVED, removed))
 
     def prune(self, normal_cutoff: str, audit_cutoff: str) -> dict:
         """Delete entries older than the cutoff of their class (text comparison, strict).
 
-        Days that lie wholly before the cutoff are dropped as folders. Only the day the
-        cutoff falls in and the undated partition are rewritten.
+        Data files that lie wholly before the cutoff are taken off the table. Only those whose range the
+        cutoff falls in are rewritten.
         """
-        seq, id_base, home, _ = self._begin()
-        started = utc_now()
-        dropped: list[Partition] = []
-        partly: list[Partition] = []
-        for audit, day in self._partitions_at(home):
-            cutoff = (audit_cutoff if audit else normal_cutoff)[:10]
-            prefix = day.isoformat()[: len(cutoff)] if day else None
-            if prefix is None or prefix == cutoff:
-                partly.append((audit, day))
-            elif prefix < cutoff:
-                dropped.append((audit, day))
-        gone = expired(normal_cutoff, audit_cutoff)
-        row = (
-            self._entries_in(home, dropped + partly)
-            .where(gone)
-            .agg(
-                F.count_if(~F.col("is_audit")).alias("normal"),
-                F.count_if("is_audit").alias("audit"),
-                F.coalesce(F.sum("field_count"), F.lit(0)).alias("fields"),
-                F.collect_set(F.struct(*PARTITION_COLUMNS)).alias("touched"),
+        with self._journal("prune", "retention") as started:
+            known = self.snapshot()
+            cutoff = F.when(F.col("is_audit"), F.lit(audit_cutoff)).otherwise(F.lit(normal_cutoff))
+            whole = (F.col("max_time") < cutoff).alias("whole")
+            touched = (
+                self._live(known)
+                .where((F.col("line_kind") == INGESTED) & (F.col("min_time") < cutoff))
+                .select("path", "rows", "fields", "is_audit", whole)
+                .collect()  # the names of files that go
             )
-            .head()
-        )
-        touched = {(p["is_audit"], p["event_date"]) for p in row["touched"]}
-        self._rewrite(home, [p for p in partly if p in touched], seq, lambda rows: rows.where(~gone))
-        for audit, day in dropped:
-            delete_path(self.spark, self._folder(home, audit, day))
-        report = {
-            "normal_cutoff": normal_cutoff,
-            "audit_cutoff": audit_cutoff,
-            "normal_entries_deleted": row["normal"],
-            "audit_entries_deleted": row["audit"],
-            "entries_deleted": row["normal"] + row["audit"],
-            "fields_deleted": row["fields"],
-        }
-        self._log_run(seq, "prune", "retention", "finished", started, id_base, self._counters(report))
-        return report
+            gone = expired(normal_cutoff, audit_cutoff)
+            partly = [r for r in touched if not r["whole"]]
+            dropped = [r for r in touched if r["whole"]]
+            counted = [r["path"] for r in (touched if known.of_table(TOMBSTONES) else partly)]
+            row = (
+                self._entries_of(known, counted)
+                .where(gone)
+                .agg(
+                    F.count_if(~F.col("is_audit")).alias("normal"),
+                    F.count_if("is_audit").alias("audit"),
+                    F.coalesce(F.sum("field_count"), F.lit(0)).alias("fields"),
+                )
+                .head()
+            )
+            known_sizes = [] if known.of_table(TOMBSTONES) else dropped  # the manifest says how many they hold
+            normal = row["normal"] + sum(r["rows"] for r in known_sizes if not r["is_audit"])
+            audit = row["audit"] + sum(r["rows"] for r in known_sizes if r["is_audit"])
+            after = self._rewritten(self._rewritten(known, dropped, None), partly, lambda rows: rows.where(~gone))
+            report = {
+                "normal_cutoff": normal_cutoff,
+                "audit_cutoff": audit_cutoff,
+                "normal_entries_deleted": normal,
+                "audit_entries_deleted": audit,
+                "entries_deleted": normal + audit,
+                "fields_deleted": row["fields"] + sum(r["fields"] for r in known_sizes),
+            }
+            self._commit(after, self._record("prune", "retention", started, self._counters(report)))
+            return report
 
     def compact(self, max_files: int = 4) -> list[Partition]:
-        """Rewrite the partitions that hold more than ``max_files`` small files."""
-        seq, id_base, home, _ = self._begin()
-        started = utc_now()
-        root = f"{home}/rows/line_kind={INGESTED}"
-        if not path_exists(self.spark, root):
-            return []
-        small = (
-            list_files(self.spark, root, "*.parquet")
-            .groupBy(F.regexp_replace("source_file", "/[^/]*$", "").alias("folder"))
-            .agg(F.count("*").alias("files"), F.avg("length").alias("mean_bytes"))
-            .where((F.col("files") > max_files) & (F.col("mean_bytes") < 64 * 1024 * 1024))
-        )
-        folders = {row["folder"] for row in small.collect()}  # one row per day and class
-        chosen = [p for p in self._partitions_at(home) if self._folder("", *p).split("record/", 1)[1] in folders]
-        self._rewrite(home, chosen, seq, lambda rows: rows)
-        self._log_run(seq, "compact", "partitions", "finished", started, id_base, {"partitions": len(chosen)})
-        return chosen
-
-    @staticmethod
-    def _folder(home: str, audit: bool, day: date | None) -> str:
-        name = day.isoformat() if day else _NULL_PARTITION
-        return f"{home}/rows/line_kind={INGESTED}/is_audit={str(audit).lower()}/event_date={name}"
-
-    def _rewrite(self, home: str, chosen: list[Partition], seq: int, keep: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace partitions by what ``keep`` leaves of them.
-
-        Survivors are written aside first. If the job dies while they are moved in, the next
-        run repeats the move from the staged copy.
-        """
-        if not chosen:
-            return
-        stage = f"{home}/rewrites/{seq}"
-        targets = self.spark.createDataFrame(chosen, "is_audit boolean, event_date date")
-        targets.coalesce(1).write.mode("overwrite").parquet(f"{stage}/targets")
-        rows = keep(self._entries_in(home, chosen))
-        rows = rows.withColumn("line_kind", F.lit(INGESTED))
-        self._write_rows(rows.select("line_kind", *ENTRY_COLUMNS), f"{stage}/rows", "overwrite")
-        self._apply_rewrite(home, stage)
-
-    def _apply_rewrite(self, home: str, stage: str) -> None:
-        targets = self.spark.read.parquet(f"{stage}/targets").collect()
-        staged_root = f"{stage}/rows/line_kind={INGESTED}"
-        left: set[Partition] = set()
-        if path_exists(self.spark, staged_root):
-            staged = self._read(staged_root, ENTRY_SCHEMA)
-            self._write_rows(
-                staged.withColumn("line_kind", F.lit(INGESTED)).select("line_kind", *ENTRY_COLUMNS),
-                f"{home}/rows",
-                "overwrite",
-                only_partitions=True,
-            )
-            left = set(self._partitions_at(stage))
-        for row in targets:
-            if (row["is_audit"], row["event_date"]) not in left:
-                delete_path(self.spark, self._folder(home, row["is_audit"], row["event_date"]))
-        delete_path(self.spark, stage)
-
-    def _recover(self, home: str) -> None:
-        """Finish or discard a rewrite that a crash left behind."""
-        root = f"{home}/rewrites"
-        if not path_exists(self.spark, root):
-            return
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(path):
-            stage = f"{root}/{status.getPath().getName()}"
-            if path_exists(self.spark, f"{stage}/rows/_SUCCESS"):
-                self._apply_rewrite(home, stage)
-            else:
-                delete_path(self.spark, stage)
+        """Rewrite the days that have more than ``max_files`` small files, and the files with hidden entries."""
+        with self._journal("compact", "partitions") as started:
+            known = self.snapshot()
+            live = self._live(known).where(F.col("line_kind") == INGESTED)
+            day = ["is_audit", "event_date"]
+            crowded = live.groupBy(*day).agg(F.count("*").alias("n"), F.avg("bytes").alias("mean"))
+            crowded = crowded.where((F.col("n") > max_files) & (F.col("mean") < 64 * 1024 * 1024)).select(*day)
+            same = [F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in day]
+            chosen = live.alias("f").join(crowded.alias("c"), all_of(same)).select("f.*")
+            if known.of_table(TOMBSTONES):
+                every = self._read(ENTRY_SCHEMA, [r["path"] for r in live.select("path").collect()])
+                name = F.concat(F.lit("data/"), F.substring_index(F.col("_metadata.file_path"), "/data/", -1))
+                held = every.select(name.alias("path"), "source_file", "id").join(self._hiding(known), self._is_hidden(), "left_semi")
+                chosen = chosen.unionByName(live.join(held.select("path").distinct(), "path", "left_semi")).dropDuplicates(["path"])
+            gone = chosen.select("path", "rows", "fields", *day).collect()  # the names of files that go
+            after = self._rewritten(known, gone, lambda rows: rows)
+            if known.of_table(TOMBSTONES):
+                after = replace(after.with_parts(TOMBSTONES, []), hidden=dict(NOTHING))
+            partitions = sorted({(r["is_audit"], r["event_date"]) for r in gone}, key=lambda p: (p[0], p[1] or date.min))
+            self._commit(after, self._record("compact", "partitions", started, {"partitions": len(partitions)}))
+            return partitions
+
+    def vacuum(self, keep_seconds: float = KEEP_SECONDS) -> int:
+        """Delete files below the index that the newest commit does not name and that are older than ``keep_seconds``."""
+        known = self.snapshot()
+        before = datetime.fromtimestamp(datetime.now(timezone.utc).timestamp() - keep_seconds, timezone.utc)
+        found = reduce(DataFrame.unionByName, [
+            list_files(self.spark, f"{self.path}/{folder}", "*").withColumn("_in", F.lit(folder)) for folder in ("data", "meta", "work")
+        ])
+        # A checksum file goes with the file that it is of.
+        name = F.regexp_replace(F.concat_ws("/", "_in", "source_file"), r"/\.([^/]+)\.crc$", "/$1")
+        old = found.where(F.col("modified_at") < F.lit(before)).withColumn("name", name)
+        used = self._live(known).select(F.col("path").alias("name"))
+        parts = [p.path for own in known.parts.values() for p in own]
+        named = F.substring_index("name", "/", 2).isin(parts) if parts else F.lit(False)
+        return delete_listed(old.where(~named).join(used, "name", "left_anti").select("path"), self.path)

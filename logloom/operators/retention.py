@@ -112,7 +112,7 @@ def clean_up_files(
     deleted only if the plan says so and its copy is complete.
     """
     plan_path = f"{work_dir}/expired"
-    listing = list_files(spark, root, glob, with_empty=True)
+    listing = list_files(spark, root, glob)
     expired_files(listing, now, days, audit_days).write.mode("overwrite").parquet(plan_path)
     plan = spark.read.parquet(plan_path)
     if backup:
@@ -154,6 +154,7 @@ def run_maintenance(
     compacted = report["entries_deleted"] > 0 or report["files_deleted"] > 0
     if compacted:
         index.compact()
+        index.vacuum()
     report["vacuum_runs"] = int(compacted)
     index.log_report("maintenance", "retention", now, report)
     return report

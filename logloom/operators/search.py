@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from datetime import date
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
@@ -18,6 +18,7 @@ from logloom.operators.filters import (
 )
 
 PAGE_COLUMNS = ["id", "timestamp", "level", "event", "message", "data_json", "source_file", "line_number"]
+GROWTH = 4  # how many times as many files each further step reads
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,15 @@ class LogPage:
     next_cursor: str | None
 
 
+@dataclass(frozen=True)
+class Zone:
+    """A data file, the newest timestamp in it and its number of rows."""
+
+    path: str
+    max_time: str
+    rows: int
+
+
 def matching(entries: DataFrame, query: LogQuery) -> DataFrame:
     """Entries that satisfy the filters and come after the cursor."""
     cursor = Cursor.decode(query.cursor)
@@ -57,39 +67,29 @@ def fetch_page(entries: DataFrame, query: LogQuery) -> LogPage:
     return build_page(page_frame(entries, query, look_ahead=1).collect(), limit)
 
 
-def fetch_page_by_day(read: Callable[[date | None], DataFrame], query: LogQuery, days: list[date]) -> LogPage:
-    """``fetch_page`` over a table partitioned by day, reading the newest days first.
+def newest_rows(
+    zones: Iterator[list[Zone]], read: Callable[[list[str]], DataFrame], query: LogQuery, count: int, first_files: int
+) -> list[Row]:
+    """The ``count`` newest matches, from data files given by their newest timestamp, latest first.
 
-    ``read(day)`` gives the entries from that day on and the undated ones, ``read(None)`` all.
-    The look-back doubles until the page is full, so a page costs the days it needs rather
-    than the whole history. A step counts only if its last row is at least as new as every
-    day left out; undated rows alone do not show that.
+    Files are read a few at a time, each once, and what was found is kept. The search ends when the last row
+    kept is newer than everything in the files that remain. (Python and Spark order text alike.)
     """
-    limit = clamp_limit(query.limit, DEFAULT_PAGE_LIMIT)
-    for oldest in look_backs(days):
-        rows = page_frame(read(oldest), query, look_ahead=1).collect()
-        if len(rows) > limit and rows[-1]["timestamp"] >= oldest.isoformat():
-            return build_page(rows, limit)
-    return fetch_page(read(None), query)
-
-
-def page_frame_by_day(read: Callable[[date | None], DataFrame], query: LogQuery, days: list[date]) -> DataFrame:
-    """``page_frame`` over the newest days that fill it, found by looking at timestamps only."""
-    limit = clamp_limit(query.limit, DEFAULT_PAGE_LIMIT)
-    for oldest in look_backs(days):
-        enough = matching(read(oldest), query).where(F.col("timestamp") >= oldest.isoformat()).select("timestamp")
-        if len(enough.limit(limit).collect()) == limit:
-            return page_frame(read(oldest), query)
-    return page_frame(read(None), query)
-
-
-def look_backs(days: list[date]) -> Iterator[date]:
-    """First days of look-backs over 1, 2, 4, ... of the days present, short of all of them."""
-    newest = sorted(days, reverse=True)
-    taken = 1
-    while taken < len(newest):
-        yield newest[taken - 1]
-        taken *= 2
+    rest = chain.from_iterable(zones)
+    ahead = next(rest, None)
+    found: list[Row] = []
+    files = first_files
+    while ahead is not None and (len(found) < count or found[-1]["timestamp"] <= ahead.max_time):
+        wave = [ahead, *islice(rest, files - 1)]
+        rows = page_rows(read([z.path for z in wave]), query, count)
+        found = sorted([*found, *rows], key=lambda r: (r["timestamp"], r["id"]), reverse=True)[:count]
+        ahead = next(rest, None)
+        files *= GROWTH
+    return found
+
+
+def page_rows(entries: DataFrame, query: LogQuery, count: int) -> list[Row]:
+    return newest_first(matching(entries, query).select(*PAGE_COLUMNS)).limit(count).collect()
 
 
 def count_logs(entries: DataFrame, query: LogQuery) -> DataFrame:

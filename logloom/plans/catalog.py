@@ -560,6 +560,7 @@ def _daily_runs(w: Workspace) -> DataFrame:
             F.lit("lines_scanned"), "lines_scanned", F.lit("records_inserted"), "records", F.lit("parse_errors"), "parse_errors"
         ),
         "error": F.lit(None),
+        "duration_ms": F.lit(0),
     }
     return days.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in RUN_SCHEMA.fields])
 

@@ -22,7 +22,6 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("event_date", T.DateType()),
     ]
 )
-PARTITION_COLUMNS = ["is_audit", "event_date"]
 ENTRY_COLUMNS = [f.name for f in ENTRY_SCHEMA.fields]
 
 # Fields that also have a column of their own: Parquet can skip data by a column, not by a map
@@ -54,9 +53,16 @@ RUN_SCHEMA = T.StructType(
         T.StructField("last_id", T.LongType()),
         T.StructField("counters", T.MapType(T.StringType(), T.LongType())),
         T.StructField("error", T.StringType()),
+        T.StructField("duration_ms", T.LongType()),
     ]
 )
 
+# Data files that are no longer part of the table.
+REMOVED_SCHEMA = T.StructType([T.StructField("path", T.StringType())])
+
+# Entries of the source file with ids up to ``max_id`` are gone.
+TOMBSTONE_SCHEMA = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("max_id", T.LongType())])
+
 ALERT_SCHEMA = T.StructType(
     [
         T.StructField("policy_id", T.StringType()),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,13 +12,15 @@ from logloom.sources.byte_ranges import (
     RANGE_BYTES,
     last_line_end,
     line_batches,
+    line_count,
     open_file,
     range_bytes,
-    split_lines,
 )
 from logloom.sources.files import path_prefix
 from logloom.sources.numbering import running_base
 
+_FIXED = (("source_file", pa.string()), ("path", pa.string()), ("generation", pa.int32()))
+MAX_TASKS = 100_000
 _RANGE_COLUMNS = ["source_file", "path", "generation", "lines_before", "first", "limit", "start", "end"]
 
 
@@ -28,26 +31,27 @@ def _limits(prefix: str, include_unterminated: bool):
         for batch in batches:
             limits = []
             for row in batch.to_pylist():
-                if include_unterminated or row["first"] >= row["length"]:
+                if row["first"] >= row["length"]:
                     limits.append(row["length"])
                     continue
                 with open_file(prefix, row["path"]) as source:
-                    limits.append(last_line_end(source, row["first"], row["length"]))
+                    # What was the end of a file when it was listed is the middle of a line once it has grown.
+                    whole = include_unterminated and source.size() <= row["length"]
+                    limits.append(row["length"] if whole else last_line_end(source, row["first"], row["length"]))
             yield batch.append_column("limit", pa.array(limits, pa.int64()))
 
     return run
 
 
-def _read_range(prefix: str, row: dict) -> list[bytes]:
+def _read_range(prefix: str, row: dict) -> bytes:
     with open_file(prefix, row["path"]) as source:
-        data = range_bytes(source, row["start"], row["end"], row["first"], row["limit"])
-    return split_lines(data)
+        return range_bytes(source, row["start"], row["end"], row["first"], row["limit"])
 
 
 def _counts(prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [len(_read_range(prefix, row)) for row in batch.to_pylist()]
+            counts = [line_count(_read_range(prefix, row)) for row in batch.to_pylist()]
             yield batch.append_column("range_lines", pa.array(counts, pa.int64()))
 
     return run
@@ -58,27 +62,17 @@ def _lines(prefix: str):
         for batch in batches:
             for row in batch.to_pylist():
                 for at, text in line_batches(_read_range(prefix, row)):
-                    n = len(text)
-                    seq = pa.array(range(row["seq_base"] + at + 1, row["seq_base"] + at + n + 1), pa.int64())
-                    shift = row["lines_before"] - row["file_base"]
-                    number = pa.array([value + shift for value in seq.to_pylist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["source_file"]] * n, pa.string()),
-                            pa.array([row["path"]] * n, pa.string()),
-                            pa.array([row["generation"]] * n, pa.int32()),
-                            number,
-                            seq,
-                            text,
-                        ],
-                        names=["source_file", "path", "generation", "line_number", "line_seq", "line"],
-                    )
+                    seq = np.arange(row["seq_base"] + at + 1, row["seq_base"] + at + len(text) + 1)
+                    fixed = [pa.repeat(pa.scalar(row[name], kind), len(text)) for name, kind in _FIXED]
+                    number = seq + (row["lines_before"] - row["file_base"])
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(number), pa.array(seq), text], [*(n for n, _ in _FIXED), "line_number", "line_seq", "line"])
 
     return run
 
 
-def _tasks(spark: SparkSession, wanted: int) -> int:
-    return max(1, min(wanted, 4 * spark.sparkContext.defaultParallelism, 100_000))
+def _tasks(spark: SparkSession, pieces: int, size: int, piece_bytes: int) -> int:
+    """A task for each piece's worth of bytes; many small pieces share as many tasks as run at once."""
+    return max(1, min(pieces, max(size // piece_bytes + 1, spark.sparkContext.defaultParallelism), MAX_TASKS))
 
 
 def read_appended(
@@ -101,7 +95,7 @@ def read_appended(
 
     plan = changes.select("source_file", "path", "generation", "lines_before", "first", "length")
     (
-        plan.repartition(_tasks(spark, n_files), "source_file")
+        plan.repartition(_tasks(spark, n_files, 0, piece_bytes), "source_file")
         .mapInArrow(
             _limits(prefix, include_unterminated),
             "source_file string, path string, generation int, lines_before bigint, first bigint, length bigint, "
@@ -115,8 +109,9 @@ def read_appended(
         "start", F.explode(F.sequence(F.col("first"), F.col("limit") - 1, F.lit(piece_bytes).cast("bigint")))
     )
     pieces = pieces.withColumn("end", F.least(F.col("start") + piece_bytes, F.col("limit"))).select(*_RANGE_COLUMNS)
-    n_ranges = files.agg(F.sum(F.ceil((F.col("limit") - F.col("first")) / piece_bytes))).head()[0] or 0
-    tasks = _tasks(spark, int(n_ranges))
+    unread = F.col("limit") - F.col("first")
+    n_ranges, size = files.agg(F.sum(F.ceil(unread / piece_bytes)), F.sum(unread)).head()
+    tasks = _tasks(spark, int(n_ranges or 0), int(size or 0), piece_bytes)
     columns = (
         "source_file string, path string, generation int, lines_before bigint, first bigint, limit bigint, "
         "start bigint, end bigint"

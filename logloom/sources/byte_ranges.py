@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 
@@ -35,10 +36,10 @@ def copy_file(source_prefix: str, source: str, target_prefix: str, target: str)
         return writer.tell()
 
 
-def modified_millis(prefix: str, path: str) -> int | None:
+def list_folder(prefix: str, path: str) -> list[pafs.FileInfo]:
+    """What lies directly in a folder; nothing if it is gone."""
     filesystem, inner = locate(prefix, path)
-    modified = filesystem.get_file_info(inner).mtime_ns
-    return None if modified is None else modified // 1_000_000
+    return filesystem.get_file_info(pafs.FileSelector(inner, allow_not_found=True))
 
 
 def delete_file(prefix: str, path: str) -> bool:
@@ -86,13 +87,35 @@ def range_bytes(source, start: int, end: int, first: int, limit: int) -> bytes:
     return source.read_at(stop - begin, begin)
 
 
-def split_lines(data: bytes) -> list[bytes]:
+def line_count(data: bytes) -> int:
     """Lines ended by LF, CR LF or CR; a final line needs no terminator."""
-    return data.splitlines()
-
-
-def line_batches(lines: list[bytes]) -> Iterator[tuple[int, pa.Array]]:
-    """(offset of the first line, text array) in batches; invalid UTF-8 becomes U+FFFD."""
+    if not data:
+        return 0
+    ends = data.count(b"\n")
+    if b"\r" in data:
+        ends += data.count(b"\r") - data.count(b"\r\n")
+    return ends + (data[-1] not in b"\r\n")
+
+
+def line_array(data: bytes) -> pa.StringArray:
+    """The lines as one text array over the bytes themselves; invalid UTF-8 becomes U+FFFD."""
+    if b"\r" in data:
+        data = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
+    if data and not data.endswith(b"\n"):
+        data += b"\n"
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    # Without the line ends every line ends as many bytes earlier as there are line ends before it.
+    offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)
+    lines = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data.replace(b"\n", b"")))
+    try:
+        lines.validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([line.decode("utf-8", "replace") for line in data.split(b"\n")[:-1]], pa.string())
+    return lines
+
+
+def line_batches(data: bytes) -> Iterator[tuple[int, pa.Array]]:
+    """(offset of the first line, text array) in batches."""
+    lines = line_array(data)
     for at in range(0, len(lines), _BATCH_LINES):
-        chunk = lines[at : at + _BATCH_LINES]
-        yield at, pa.array([line.decode("utf-8", "replace") for line in chunk], pa.string())
+        yield at, lines.slice(at, _BATCH_LINES)

@@ -14,9 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from logloom.functions.times import utc_now
 from logloom.operators.index import LogIndex
 from logloom.operators.ingest import accept_records, request_report, write_producer_files
-from logloom.sources.files import SINK_GLOB
+from logloom.sources.files import NDJSON_GLOB, SINK_GLOB, delete_path
 from logloom.sources.payloads import DEFAULT_MAX_BODY_BYTES
-from logloom.sources.tail import TailSource
 
 DEFAULT_INGEST_TRIGGER = {"processingTime": "2 seconds"}
 DEFAULT_FLUSH_TRIGGER = {"processingTime": "25 milliseconds"}
@@ -26,18 +25,23 @@ def follow_files(
     index: LogIndex,
     root: str,
     checkpoint: str,
-    glob: str = "*.ndjson",
+    glob: str = NDJSON_GLOB,
     trigger: dict | None = None,
     now: Callable[[], str] = utc_now,
 ) -> StreamingQuery:
-    """Index what is appended to files below ``root``, from where the index has read them to."""
-    index.spark.dataSource.register(TailSource)
-    lines = index.spark.readStream.format("logloom_tail").option("path", root).option("glob", glob).load()
+    """Index what is appended to files below ``root``, from where the index has read them to.
 
-    def add(batch: DataFrame, _: int) -> None:
-        index.index_tail_batch(batch, now(), root)
+    The stream carries ticks and nothing else. What has been read of each file is the index's ledger, which a
+    commit publishes together with the entries, so a batch that is repeated, a new checkpoint or a bulk run in
+    between all go on where the last commit ends. Folders are listed and files probed by tasks, for any
+    number of files.
+    """
+    ticks = index.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+
+    def add(_: DataFrame, __: int) -> None:
+        index.index_incremental(root, now(), glob, quiet=True)
 
-    writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    writer = ticks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DEFAULT_INGEST_TRIGGER)).start()
 
 

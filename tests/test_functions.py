@@ -1,5 +1,6 @@
 import json
 import math
+import os
 
 import pytest
 from conftest import line, write_lines
@@ -12,8 +13,8 @@ from logloom.functions.times import canonical_millis, date_prefix, iso_from_mill
 from logloom.operators.alerts import millis_around
 from logloom.operators.filters import Cursor, clamp_limit
 from logloom.operators.running import running
-from logloom.sources.byte_ranges import last_line_end, range_bytes, split_lines
-from logloom.sources.files import count_files, list_files
+from logloom.sources.byte_ranges import last_line_end, line_array, line_count, range_bytes
+from logloom.sources.files import list_files, name_pattern
 from logloom.sources.lines import scan_lines
 
 NOW = "2026-02-18T00:00:00.000Z"
@@ -189,8 +190,11 @@ def test_ranges_cover_a_file_once(data, step, skip):
     limit = last_line_end(source, first, len(data))
     lines = []
     for start in range(first, limit, step):
-        lines += split_lines(range_bytes(source, start, min(start + step, limit), first, limit))
-    assert lines == split_lines(data[first:limit])
+        part = range_bytes(source, start, min(start + step, limit), first, limit)
+        found = line_array(part).to_pylist()
+        assert len(found) == line_count(part)
+        lines += found
+    assert lines == [text.decode("utf-8", "replace") for text in data[first:limit].splitlines()]
 
 
 @pytest.mark.parametrize("split_bytes", ["200b", "1000b"])
@@ -208,13 +212,48 @@ def test_line_numbers_over_many_splits(spark, tmp_path, split_bytes):
     assert [row["line_seq"] for row in rows] == list(range(1, 294))
     got = [(row["source_file"], row["line_number"], json.loads(row["line"])["n"]) for row in rows]
     assert got == [(name, n, n) for name, count in sorted(files.items()) for n in range(1, count + 1)]
-    root = str(tmp_path / "logs")
-    assert count_files(spark, root) == 4
-    assert list_files(spark, root).count() == 3
-    sizes = {r["source_file"]: r["length"] for r in list_files(spark, root, with_empty=True).collect()}
+    sizes = {r["source_file"]: r["length"] for r in list_files(spark, str(tmp_path / "logs")).collect()}
     assert sizes.keys() == files.keys() and sizes["sub dir/empty.ndjson"] == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 4, 20_000])
+def test_walk_lists_every_name(spark, tmp_path, at_once):
+    names = ["a.ndjson", "_b.NDJSON", ".c.ndjson", "_deep/.er/d.ndjson", "x y/+%/e.ndjson", "f.txt", "_temporary/0/g.ndjson", "h.ndjson.bak"]
+    names += [f"many/{n % 7}/{n}.ndjson" for n in range(40)]
+    for name in names:
+        write_lines(tmp_path / "logs" / name, line(name=name))
+    (tmp_path / "logs" / "empty").mkdir()
+    listed = list_files(spark, str(tmp_path / "logs"), at_once=at_once)
+    wanted = {n for n in names if n.lower().endswith(".ndjson") and not n.startswith("_temporary")}
+    rows = listed.collect()
+    assert sorted(r["source_file"] for r in rows) == sorted(wanted)
+    assert all(os.stat(r["path"]).st_size == r["length"] and os.stat(r["path"]).st_mtime_ns // 10**6 == r["modified_at"].timestamp() * 1000 for r in rows)
+    some = spark.createDataFrame([(str(tmp_path / "logs" / "many" / "3"),), (str(tmp_path / "logs" / "gone"),)], "path string")
+    few = list_files(spark, str(tmp_path / "logs"), folders=some, at_once=at_once).collect()
+    assert sorted(r["source_file"] for r in few) == sorted(n for n in names if n.startswith("many/3/"))
+    assert list_files(spark, str(tmp_path / "nowhere")).collect() == []
+
+
+def test_name_patterns():
+    import re
+
+    for glob, yes, no in [("*.{txt,[nN]d}", ["a.txt", ".nd", "x.Nd"], ["a.txt2", "a.nD"]), ("a?[0-9]*", ["ab1", "ab1.x"], ["a1", "xab1"])]:
+        match = re.compile(name_pattern(glob)).match
+        assert all(map(match, yes)) and not any(map(match, no))
+
+
+def test_lines_appended_while_a_scan_runs(spark, tmp_path):
+    log = tmp_path / "logs" / "a.ndjson"
+    write_lines(log, line(n=1), line(n=2), '{"n":', newline_at_end=False)
+    write_lines(tmp_path / "logs" / "b.ndjson", line(n=1), line(n=2), newline_at_end=False)
+    lines = scan_lines(spark, str(tmp_path / "logs"), work_dir=str(tmp_path / "work"))
+    write_lines(log, "3}", line(n=4), append=True)
+    rows = sorted((r["source_file"], r["line_number"], r["line"]) for r in lines.collect())
+    assert rows[:2] == [("a.ndjson", n, line(n=n)) for n in (1, 2)] and rows[-2:] == [("b.ndjson", n, line(n=n)) for n in (1, 2)]
+    state = {r["source_file"]: (r["byte_offset"], r["split_lines"]) for r in spark.read.parquet(str(tmp_path / "work")).collect()}
+    assert state["a.ndjson"] == (log.read_bytes().index(b"3}"), 3) and len(rows) == 5
+
+
 def test_line_numbers_do_not_depend_on_packing(spark, tmp_path):
     for n in range(30):
         write_lines(tmp_path / "logs" / f"{n:02d}.ndjson", *[line(n=k) for k in range(1, 6)])
