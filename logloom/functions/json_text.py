@@ -10,6 +10,10 @@ JS_WHITESPACE = (
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 MAX_SAFE_INTEGER = 9007199254740992
+SMALLEST_WHOLE = 2.2250738585072014e-308  # smaller doubles have fewer bits
+_NUMBER = r"-?[0-9]++(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+"
+_TOKEN = rf'"(?:[^"\\]++|\\.)*+"|{_NUMBER}|[^"0-9-]++|-'
+_ODD_NUMBER = r"[0-9][.eE]|-0|[0-9]{16}"
 
 _SENTINEL = "\u2060end-of-line\u2060"
 
@@ -65,12 +69,17 @@ def is_json_null(parsed: str) -> Column:
 def js_number_text(number: Column) -> Column:
     """Shortest decimal text of a double, plain below 1e21 and down to 1e-6."""
     magnitude = F.abs(number)
-    # The built-in text is exact but sometimes longer than needed; take fewer digits if they round-trip.
+    # Every text of up to 15 digits is the only one of its length that reads back to its double, except for
+    # numbers so small that they have fewer bits; 17 digits always read back.
+    few = F.filter(
+        F.array(*[F.format_string(f"%.{digits}e", number) for digits in range(15)]), lambda t: t.cast("double") == number
+    )
     fifteen, sixteen = F.format_string("%.14e", number), F.format_string("%.15e", number)
-    text = F.lower(
-        F.when(fifteen.cast("double") == number, fifteen)
+    text = (
+        F.when((magnitude < SMALLEST_WHOLE) & (F.size(few) > 0), F.get(few, F.lit(0)))
+        .when(fifteen.cast("double") == number, fifteen)
         .when(sixteen.cast("double") == number, sixteen)
-        .otherwise(number.cast("string"))
+        .otherwise(F.format_string("%.16e", number))
     )
     mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "")
     power = F.substring_index(text, "e", -1).cast("int")
@@ -102,6 +111,15 @@ def scalar_text(value: Column, kind: Column) -> Column:
     )
 
 
+def canonical_numbers(json: Column) -> Column:
+    """JSON text with every number outside strings in its shortest form."""
+    tokens = F.regexp_extract_all(json, F.lit(f"(?s){_TOKEN}"), F.lit(0))
+    shortest = F.transform(
+        tokens, lambda t: F.when(F.rlike(t, F.lit(f"^{_NUMBER}$")), js_number_text(t.try_cast("double"))).otherwise(t)
+    )
+    return F.when(F.rlike(json, F.lit(_ODD_NUMBER)), F.array_join(shortest, "")).otherwise(json)
+
+
 def text_to_boolean(text: Column) -> Column:
     """``true/1/yes`` and ``false/0/no`` in any case; NULL for anything else."""
     word = F.lower(js_trim(text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.json_text import (
     bind,
+    canonical_numbers,
     is_json_null,
     js_trim,
     json_kind,
@@ -74,7 +75,7 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
         # members this reads the last, as the parser does.
         .when(
             message_kind.startswith("OBJECT") | message_kind.startswith("ARRAY"),
-            F.from_json("line", "message string")["message"],
+            canonical_numbers(F.from_json("line", "message string")["message"]),
         )
         .otherwise(scalar_text(member("message"), message_kind))
     )

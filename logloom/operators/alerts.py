@@ -17,13 +17,15 @@ from logloom.operators.filters import LogQuery
 from logloom.operators.index import LogIndex
 from logloom.operators.policies import AlertPolicy
 from logloom.operators.running import running
-from logloom.schema import ALERT_SCHEMA
+from logloom.schema import ALERT_SCHEMA, RUN_SCHEMA
+from logloom.session import scratch_path
 from logloom.sources.files import path_exists
 
 SOURCE = "logloom"
 ERROR_THRESHOLD, NO_LOGS, MANUAL_TEST = "error_threshold", "no_logs", "manual_test"
 SEVERITY = {ERROR_THRESHOLD: "critical", NO_LOGS: "warning", MANUAL_TEST: "warning"}
 SENT, FAILED, SUPPRESSED = "sent", "failed", "suppressed"
+FOLDED = 4096  # ticks of a spell that is folded in one piece
 
 
 # ---- replay over past ticks ---------------------------------------------------------
@@ -165,15 +167,39 @@ def apply_cooldown(fired: DataFrame, policy: AlertPolicy) -> DataFrame:
     """Add ``status`` sent or suppressed: a rule stays quiet until the cooldown since its last send is over.
 
     A trigger that comes a full cooldown after the one before it is always sent. Such triggers
-    cut a rule's history into independent spells, and only a spell is folded in order. A spell
-    holds at most one number per tick, whatever the amount of logs.
+    cut a rule's history into independent spells. A spell of up to ``FOLDED`` ticks is folded in order; in a
+    longer one ``reached`` follows links from each trigger to the first one a cooldown later.
     """
     gap = -(-int(policy.cooldownMs) // int(policy.intervalMs))  # whole ticks between two sends
+    fired = _kept(fired)
     keys = ["policy_id", "rule"]
     marked = running(fired, keys, "tick", {"_previous": ("max", F.col("tick"))}, include_current=False)
     fresh = F.col("_previous").isNull() | (F.col("tick") - F.col("_previous") >= gap)
     marked = marked.withColumn("_start", F.when(fresh, F.col("tick")))
     marked = running(marked, keys, "tick", {"_spell": ("max", F.col("_start"))})
+    marked = _kept(marked.select(*keys, "_spell", "tick"))
+    spell = [*keys, "_spell"]
+    lengths = marked.groupBy(*spell).agg((F.max("tick") - F.min("tick")).alias("_length"))
+    long = lengths.where(F.col("_length") > FOLDED)
+    found = _folded(marked, keys, gap) if long.isEmpty() else _folded(
+        marked.join(long, spell, "left_anti"), keys, gap
+    ).unionByName(reached(marked.join(long, spell, "left_semi"), spell, gap).select(*keys, "tick"))
+    return (
+        fired.join(found.withColumn("_sent", F.lit(True)), [*keys, "tick"], "left")
+        .withColumn("status", F.when(F.col("_sent"), F.lit(SENT)).otherwise(F.lit(SUPPRESSED)))
+        .drop("_sent")
+    )
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """The rows written down and read again, so that what they took is done once."""
+    path = scratch_path(rows.sparkSession, "cooldown")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _folded(marked: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """The ticks of short spells that are sent."""
     start = F.struct(F.lit(-gap).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("sends"))
 
     def send(state: Column, tick: Column) -> Column:
@@ -182,30 +208,47 @@ def apply_cooldown(fired: DataFrame, policy: AlertPolicy) -> DataFrame:
             ready, F.struct(tick.alias("last"), F.array_append(state["sends"], tick).alias("sends"))
         ).otherwise(state)
 
-    sends = (
-        marked.groupBy(*keys, "_spell")
-        .agg(F.sort_array(F.collect_list("tick")).alias("_ticks"))
-        .select(*keys, F.explode(F.aggregate("_ticks", start, send, lambda state: state["sends"])).alias("tick"))
-        .withColumn("_sent", F.lit(True))
-    )
-    return (
-        fired.join(sends, [*keys, "tick"], "left")
-        .withColumn("status", F.when(F.col("_sent"), F.lit(SENT)).otherwise(F.lit(SUPPRESSED)))
-        .drop("_sent")
-    )
+    ticks = marked.groupBy(*keys, "_spell").agg(F.sort_array(F.collect_list("tick")).alias("_ticks"))
+    return ticks.select(*keys, F.explode(F.aggregate("_ticks", start, send, lambda state: state["sends"])).alias("tick"))
+
+
+def reached(marked: DataFrame, spell: list[str], gap: int) -> DataFrame:
+    """The ticks of spells that are sent: those that links of a cooldown lead to from a spell's first tick.
+
+    Marks spread by doubling: what is marked marks what its links lead to, then every link is replaced by two
+    links in a row, so a chain of n sends takes log n rounds. Each round is written down.
+    """
+    # The next trigger at or after tick + gap: the running minimum from behind over triggers and questions.
+    asked = marked.select(*spell, F.col("tick").alias("at"), F.col("tick").alias("target"), F.lit(None).cast("bigint").alias("tick"))
+    asked = asked.unionByName(marked.select(*spell, (F.col("tick") + gap).alias("at"), F.lit(None).cast("bigint").alias("target"), "tick"))
+    order = (-2 * F.col("at") + F.when(F.col("target").isNull(), 1).otherwise(0)).alias("_order")  # a trigger is met before a question
+    placed = running(asked.select("*", order), spell, "_order", {"_next": ("max", -F.col("target"))})
+    links = _kept(placed.where("tick is not null and _next is not null").select(*spell, "tick", (-F.col("_next")).alias("next")))
+    marks = _kept(marked.where(F.col("tick") == F.col("_spell")).select(*spell, "tick"))
+    while not links.isEmpty():
+        ahead = marks.join(links, [*spell, "tick"]).select(*spell, F.col("next").alias("tick"))
+        marks = _kept(marks.unionByName(ahead))
+        far = links.select(*spell, F.col("tick").alias("next"), F.col("next").alias("_far"))
+        links = _kept(links.join(far, [*spell, "next"]).select(*spell, "tick", F.col("_far").alias("next")))
+    return marks.distinct()
 
 
 def alert_state(alerts: DataFrame) -> DataFrame:
-    """One row per policy: sent, suppressed and the last send of each rule."""
+    """One row per policy: sent, suppressed, failed, the last send of each rule, and the error of the newest alert if it failed."""
+    error = (F.col("error") if "error" in alerts.columns else F.lit(None).cast("string")).alias("error")
     by_rule = alerts.groupBy("policy_id", "rule").agg(
         F.count_if(F.col("status") == SENT).alias("sent"),
         F.count_if(F.col("status") == SUPPRESSED).alias("suppressed"),
+        F.count_if(F.col("status") == FAILED).alias("failed"),
         F.max(F.when(F.col("status") == SENT, F.col("triggered_at"))).alias("last"),
+        F.max(F.struct("triggered_at", error)).alias("newest"),
     )
     pairs = F.collect_list(F.when(F.col("last").isNotNull(), F.struct("rule", "last")))  # one per rule
     return by_rule.groupBy("policy_id").agg(
         F.sum("sent").alias("sent"),
         F.sum("suppressed").alias("suppressed"),
+        F.sum("failed").alias("failed"),
+        F.max("newest")["error"].alias("last_error"),
         F.map_from_entries(F.sort_array(pairs)).alias("last_trigger_by_rule"),
     )
 
@@ -338,6 +381,27 @@ class AlertLog:
         if rows:
             self.spark.createDataFrame(rows, ALERT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
+    def runs(self) -> DataFrame:
+        """One row per evaluation, whether anything fired or not; ``mode`` is the policy."""
+        if not path_exists(self.spark, f"{self.path}/_runs"):
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.path}/_runs")
+
+    def log_run(self, policy_id: str, at: str, took_ms: int, counters: dict[str, int], error: str | None) -> None:
+        row = {
+            "run_seq": time.time_ns() // 1000,
+            "kind": "alert",
+            "mode": policy_id,
+            "status": "finished" if error is None else "failed",
+            "started_at": at,
+            "finished_at": at,
+            "counters": counters,
+            "error": error,
+            "duration_ms": took_ms,
+        }
+        rows = self.spark.createDataFrame([tuple(row.get(f.name) for f in RUN_SCHEMA.fields)], RUN_SCHEMA)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/_runs")
+
     def last_sent(self, policy_id: str) -> dict[str, str]:
         sent = self.alerts().where((F.col("policy_id") == policy_id) & (F.col("status") == SENT))
         return {row["rule"]: row["at"] for row in sent.groupBy("rule").agg(F.max("sent_at").alias("at")).collect()}
@@ -376,11 +440,29 @@ def run_cycle(
 ) -> list[tuple]:
     """Evaluate the rules once on the index and deliver what fires.
 
-    A failed delivery ends the cycle: later rules wait for the next one and no cooldown starts.
+    A failed delivery ends the cycle: later rules wait for the next one and no cooldown starts. Every cycle
+    leaves a run record, with the error of what failed in it.
     """
     if not policy.enabled or not policy.webhookUrl:
         return []
-    now = now or utc_now()
+    now, began = now or utc_now(), time.monotonic()
+    rows: list[tuple] = []
+    problem: str | None = None
+    try:
+        rows = _evaluated(index, policy, log, send, now, service_url, sleep, clock)
+        problem = next((row[-1] for row in rows if row[5] == FAILED), None)
+        return rows
+    except Exception as error:
+        problem = f"{type(error).__name__}: {error}".split("\n")[0]
+        raise
+    finally:
+        counters = {status: sum(row[5] == status for row in rows) for status in (SENT, SUPPRESSED, FAILED)}
+        log.log_run(policy.policy_id, now, round((time.monotonic() - began) * 1000), counters, problem)
+
+
+def _evaluated(
+    index: LogIndex, policy: AlertPolicy, log: AlertLog, send: Sender, now: str, service_url: str, sleep: Callable[[float], None], clock: Callable[[], str]
+) -> list[tuple]:
     recent = index.entries(LogQuery(from_=min(_window_starts(policy, now))))
     fired = triggers(cycle_counts(recent, policy, now), policy).collect()  # at most two rows
     last_sent = log.last_sent(policy.policy_id) if fired else {}

@@ -8,15 +8,13 @@ reads a file only if the range and the filter leave a chance that it matches.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from logloom.functions.normalize import BAD, BLANK, INGESTED
+from logloom.functions.normalize import INGESTED
 from logloom.operators.filters import Cursor, LogQuery
 from logloom.schema import ENTRY_SCHEMA
 
@@ -172,17 +170,15 @@ def described(spark: SparkSession, root: str, folder: str) -> DataFrame:
 def may_hold(pairs: list[tuple[str, str]]) -> Column:
     """Whether a file may have an entry with one of the (name, value) pairs."""
 
-    def bit(hashed: Column, probe: int) -> Column:
+    def is_set(hashed: Column, probe: Column) -> Column:
         low, high = hashed.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(hashed, 32).bitwiseOR(F.lit(1).cast("bigint"))
         place = (low + probe * high) % F.col("bits")
         byte = F.conv(F.hex(F.substring(F.col("bloom"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.get(F.array(*(byte.bitwiseAND(F.lit(1 << n)) for n in range(8))), (place % 8).cast("int")) != 0
+        return F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
 
-    def held(name: str, value: str) -> Column:
-        hashed = pair_hash(F.lit(name), F.lit(value))
-        return reduce(and_, (bit(hashed, n) for n in range(PROBES)))
-
-    return reduce(or_, (held(*pair) for pair in pairs))
+    hashes = F.array(*(pair_hash(F.lit(name), F.lit(value)) for name, value in pairs))
+    probes = F.array(*(F.lit(n).cast("bigint") for n in range(PROBES)))
+    return F.exists(hashes, lambda h: F.forall(probes, lambda n: is_set(h, n)))
 
 
 def reachable(query: LogQuery) -> list[Column]:
@@ -201,7 +197,3 @@ def reachable(query: LogQuery) -> list[Column]:
     if query.level:
         found.append(may_hold([(LEVEL, query.level.upper())]))
     return found
-
-
-def line_kinds() -> tuple[str, ...]:
-    return INGESTED, BAD, BLANK

@@ -138,40 +138,51 @@ def parse_policy_updates(updates: DataFrame, allow_empty: bool = False, label: s
 
 
 def apply_policy_updates(policies: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Policies after at most one parsed update each, with ``applied`` and ``problem``.
+    """Policies after their parsed updates, one row each, with ``applied`` and ``problem`` of the last one.
 
-    A policy whose update is invalid, or would enable alerts without a webhook, stays as it is.
+    Several updates of a policy go in the order of column ``seq`` (without it, in that of their content), each
+    checked against the state that the earlier ones left. An update that is invalid, or would enable alerts
+    without a webhook, changes nothing. ``updates`` and ``applied_updates`` count them.
     """
-    fields = [f"u_{name}" for name in POLICY_FIELDS]
-    joined = policies.join(parsed.select("policy_id", "given", "problem", *fields), "policy_id", "left")
+    order = (F.col("seq") if "seq" in parsed.columns else F.lit(0)).cast("bigint").alias("seq")
+    own = [f"u_{name}" for name in POLICY_FIELDS]
+    steps = parsed.groupBy("policy_id").agg(F.sort_array(F.collect_list(F.struct(order, "given", "problem", *own))).alias("_steps"))
+    types = {name: _POLICY_TYPES.get(name, "double") for name in POLICY_FIELDS}
+    start = F.struct(
+        *[F.col(name).cast(types[name]).alias(name) for name in POLICY_FIELDS],
+        F.lit(False).alias("applied"),
+        F.lit(None).cast("string").alias("problem"),
+        F.lit(0).cast("bigint").alias("applied_updates"),
+    )
 
-    def present(name: str) -> Column:
-        return F.coalesce(F.array_contains("given", name), F.lit(False))
+    def step(state: Column, update: Column) -> Column:
+        def present(name: str) -> Column:
+            return F.array_contains(update["given"], name)
 
-    def chosen(name: str) -> Column:
-        return F.when(present(name), F.col(f"u_{name}")).otherwise(F.col(name))
+        def chosen(name: str) -> Column:
+            return F.when(present(name), update[f"u_{name}"]).otherwise(state[name])
 
-    url = chosen("webhookUrl")
-    enabled = (
-        F.when(present("enabled"), F.col("u_enabled"))
-        .when(present("webhookUrl"), F.col("u_webhookUrl").isNotNull())
-        .otherwise(F.col("enabled"))
-    )
-    no_url = F.when(
-        F.col("given").isNotNull() & enabled & url.isNull(),
-        F.lit("webhookUrl must be configured when alerting is enabled."),
-    )
-    checked = joined.withColumn("problem", F.coalesce("problem", no_url)).withColumn(
-        "applied", F.col("given").isNotNull() & F.col("problem").isNull()
-    )
-    after = {"enabled": enabled, "webhookUrl": url, **{name: chosen(name) for name in NUMBER_FIELDS}}
-    types = {f: _POLICY_TYPES.get(f, "double") for f in POLICY_FIELDS}
-    return checked.select(
-        "policy_id",
-        *[F.when(F.col("applied"), after[f]).otherwise(F.col(f)).cast(types[f]).alias(f) for f in POLICY_FIELDS],
-        "applied",
-        "problem",
-    )
+        url = chosen("webhookUrl")
+        enabled = (
+            F.when(present("enabled"), update["u_enabled"])
+            .when(present("webhookUrl"), update["u_webhookUrl"].isNotNull())
+            .otherwise(state["enabled"])
+        )
+        no_url = F.when(enabled & url.isNull(), F.lit("webhookUrl must be configured when alerting is enabled."))
+        problem = F.coalesce(update["problem"], no_url)
+        after = {"enabled": enabled, "webhookUrl": url, **{name: chosen(name) for name in NUMBER_FIELDS}}
+        return F.struct(
+            *[F.when(problem.isNull(), after[f]).otherwise(state[f]).cast(types[f]).alias(f) for f in POLICY_FIELDS],
+            problem.isNull().alias("applied"),
+            problem.alias("problem"),
+            (state["applied_updates"] + F.when(problem.isNull(), 1).otherwise(0)).alias("applied_updates"),
+        )
+
+    joined = policies.join(steps, "policy_id", "left")
+    none = F.array().cast(steps.schema["_steps"].dataType)
+    final = joined.select("policy_id", F.coalesce(F.size("_steps"), F.lit(0)).cast("bigint").alias("updates"), F.aggregate(F.coalesce("_steps", none), start, step).alias("_state"))
+    fields = [F.col(f"_state.{name}").alias(name) for name in (*POLICY_FIELDS, "applied", "problem", "applied_updates")]
+    return final.select("policy_id", *fields, F.when(F.col("updates") > 0, F.col("updates")).otherwise(0).alias("updates"))
 
 
 def masked(policies: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, time, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,7 @@ from logloom.functions.normalize import (
     entries_from_lines,
     is_audit_file,
 )
-from logloom.functions.times import iso_millis
+from logloom.functions.times import iso_millis, to_iso
 from logloom.operators import alerts, fields, ingest, policies, reports, retention, search
 from logloom.operators.aggregate import aggregate_logs
 from logloom.operators.filters import LogQuery
@@ -35,7 +36,7 @@ COMBINED = {
     "value": "7",
 }
 CUTOFFS = ("2024-01-16T06:30:00.000Z", "2024-01-26T00:00:00.000Z")
-FIRST_TICK, TICKS = "2024-01-01T00:30:00.000Z", 1500
+NO_DAY = date(2024, 1, 1)
 SPLIT_DAY = "2024-01-15"
 
 
@@ -448,7 +449,12 @@ def expired_audit_archive(w: Workspace) -> DataFrame:
 
 
 def _counts(w: Workspace) -> DataFrame:
-    return alerts.replay_counts(w.index.entries(), alert_policy(), FIRST_TICK, TICKS)
+    """Replay from the first interval that begins after midnight of the first day to the end of the day after the last."""
+    entries, policy = w.index.entries(), alert_policy()
+    first, last = entries.agg(F.min("event_date"), F.max("event_date")).head()
+    days = (last - first).days + 2 if first else 0
+    start = to_iso(datetime.combine(first or NO_DAY, time(), timezone.utc) + timedelta(milliseconds=policy.intervalMs))
+    return alerts.replay_counts(entries, policy, start, round(days * 86_400_000 / policy.intervalMs))
 
 
 @query
@@ -532,11 +538,13 @@ def policy_apply_updates(w: Workspace) -> DataFrame:
         F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("http://old/"), "user_id")).alias("webhookUrl"),
         *[F.lit(getattr(defaults, name)).alias(name) for name in policies.NUMBER_FIELDS],
     )
-    form = F.array(*[F.lit(text) for text in forms])[(F.col("user_id") % len(forms)).cast("int")]
+    user, texts = F.col("user_id"), F.array(*[F.lit(text) for text in forms])
+    turns = F.array(user % len(forms), (user + 5) % len(forms), (user * 7 + 1) % len(forms))  # three updates, one after another
     updates = users.where("user_id % 13 <> 0").select(
         F.col("user_id").cast("string").alias("policy_id"),
-        F.replace(form, F.lit("{u}"), F.col("user_id").cast("string")).alias("payload"),
+        F.posexplode(F.transform(turns, lambda n: F.get(texts, n.cast("int")))).alias("seq", "form"),
     )
+    updates = updates.withColumn("payload", F.replace("form", F.lit("{u}"), F.col("policy_id"))).drop("form")
     updated = policies.apply_policy_updates(current, policies.parse_policy_updates(updates))
     shown = policies.masked(updated.withColumn("_url", F.col("webhookUrl")))
     return shown.withColumnsRenamed({"webhookUrl": "masked_url", "_url": "webhookUrl"})
@@ -546,21 +554,22 @@ def policy_apply_updates(w: Workspace) -> DataFrame:
 
 
 def _daily_runs(w: Workspace) -> DataFrame:
-    """One ingest run per day of the logs, with the counters of that day's lines."""
+    """One ingest run per day of the logs, with the counters of that day's lines; those of every tenth day failed."""
     days = reports.line_counts(classify_lines(w.lines()).withColumn("day", _day()), "day")
+    failed = F.col("day").endswith("0")
     values = {
         "run_seq": F.replace(F.col("day"), F.lit("-")).cast("bigint"),
         "kind": F.lit("ingest"),
         "mode": F.lit("incremental"),
-        "status": F.lit("finished"),
+        "status": F.when(failed, F.lit("failed")).otherwise(F.lit("finished")),
         "started_at": F.col("day"),
         "finished_at": F.col("day"),
         "last_id": F.lit(0),
         "counters": F.create_map(
             F.lit("lines_scanned"), "lines_scanned", F.lit("records_inserted"), "records", F.lit("parse_errors"), "parse_errors"
         ),
-        "error": F.lit(None),
-        "duration_ms": F.lit(0),
+        "error": F.when(failed, F.concat(F.lit("lost on "), "day")),
+        "duration_ms": F.col("lines_scanned"),
     }
     return days.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in RUN_SCHEMA.fields])
 

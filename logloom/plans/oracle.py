@@ -100,7 +100,8 @@ ticks AS (
   SELECT n AS tick, strftime(t, '%Y-%m-%dT%H:%M:%S.%gZ') AS triggered_at,
     strftime(t - INTERVAL 60 MINUTE, '%Y-%m-%dT%H:%M:%S.%gZ') AS window_start,
     strftime(t - INTERVAL 7 MINUTE, '%Y-%m-%dT%H:%M:%S.%gZ') AS quiet_start
-  FROM (SELECT n, TIMESTAMP '2024-01-01 00:30:00' + n * INTERVAL 30 MINUTE AS t FROM range(1500) r(n))),
+  FROM (SELECT n, first + (n + 1) * INTERVAL 30 MINUTE AS t
+    FROM (SELECT date_trunc('day', min(ts)) AS first, unnest(range(48 * (date_diff('day', min(ts), max(ts)) + 2))) AS n FROM events) d)),
 counts AS (
   SELECT t.tick, any_value(t.triggered_at) AS triggered_at,
     count(*) FILTER (WHERE l.level = 'ERROR') AS error_count,
@@ -135,11 +136,6 @@ _COUNTS = """count(*) AS lines_scanned, count(*) FILTER (WHERE kind = 'record')
 _DAY_CASE = "CAST(day_number AS INTEGER) % 6"
 
 
-def _policy(field: str, cases: dict[int, str], default: str) -> str:
-    picks = " ".join(f"WHEN u % 13 <> 0 AND form = {form} AND problem IS NULL THEN {value}" for form, value in cases.items())
-    return f"CASE {picks} ELSE {default} END AS {field}"
-
-
 def oracle_sql() -> dict[str, str]:
     return {
         "ingest_roundtrip": _with(
@@ -316,33 +312,42 @@ def oracle_sql() -> dict[str, str]:
               CASE tick % 6 WHEN 1 THEN 250 WHEN 2 THEN 750 WHEN 4 THEN 750 WHEN 5 THEN 250 ELSE 0 END AS wait_ms
             FROM alerts WHERE status = 'sent'"""
         ),
-        "policy_apply_updates": f"""
-            WITH users AS (SELECT DISTINCT user_id AS u, user_id % 12 AS form FROM events),
-            old AS (SELECT *, u % 5 <> 0 AS old_on, CASE WHEN u % 5 <> 0 THEN 'http://old/' || u END AS old_url FROM users),
-            checked AS (SELECT *, CASE WHEN u % 13 = 0 THEN NULL
-              WHEN form = 0 AND old_url IS NULL OR form = 3 THEN 'webhookUrl must be configured when alerting is enabled.'
-              WHEN form = 4 THEN 'errorThreshold must be greater than or equal to 1.'
-              WHEN form = 5 THEN 'cooldownMs must be a finite number.'
-              WHEN form = 6 THEN 'Alert config payload includes unsupported field "nope".'
-              WHEN form = 7 THEN 'Alert config payload must be a JSON object.'
-              WHEN form = 8 THEN 'Alert config payload must include at least one updatable field.'
-              WHEN form = 10 THEN 'enabled must be a boolean.'
-              WHEN form = 11 THEN 'webhookUrl must be a string or null.' END AS problem FROM old),
-            next AS (SELECT CAST(u AS VARCHAR) AS policy_id,
-              {_policy('enabled', {0: 'true', 1: 'true', 2: 'false'}, 'old_on')},
-              {_policy('"webhookUrl"', {1: "'http://new/' || u", 2: 'NULL'}, 'old_url')},
-              {_policy('"intervalMs"', {0: '1500.0::DOUBLE'}, '30000.0::DOUBLE')},
-              {_policy('"windowMinutes"', {1: '7.0::DOUBLE'}, '5.0::DOUBLE')},
-              20.0::DOUBLE AS "errorThreshold",
-              {_policy('"noLogsThresholdMinutes"', {9: '1.0::DOUBLE'}, '0.0::DOUBLE')},
-              300000.0::DOUBLE AS "cooldownMs", 5000.0::DOUBLE AS "webhookTimeoutMs",
-              {_policy('"webhookRetryAttempts"', {9: '4'}, '3')},
-              250.0::DOUBLE AS "webhookBackoffMs",
-              u % 13 <> 0 AND problem IS NULL AS applied, problem FROM checked)
-            SELECT *, CASE WHEN "webhookUrl" IS NOT NULL THEN '[configured]' END AS masked_url FROM next""",
+        "policy_apply_updates": """
+            WITH RECURSIVE state AS (
+              SELECT user_id AS u, 0 AS n, user_id % 5 <> 0 AS enabled,
+                CASE WHEN user_id % 5 <> 0 THEN 'http://old/' || user_id END AS url, 30000.0::DOUBLE AS interval_ms, 5.0::DOUBLE AS minutes,
+                0.0::DOUBLE AS quiet, 3 AS attempts, false AS applied, CAST(NULL AS VARCHAR) AS problem, CAST(0 AS BIGINT) AS done
+              FROM (SELECT DISTINCT user_id FROM events) users
+              UNION ALL
+              SELECT u, n + 1, CASE WHEN wrong IS NULL THEN new_on ELSE enabled END, CASE WHEN wrong IS NULL THEN new_url ELSE url END,
+                CASE WHEN wrong IS NULL AND form = 0 THEN 1500.0 ELSE interval_ms END,
+                CASE WHEN wrong IS NULL AND form = 1 THEN 7.0 ELSE minutes END,
+                CASE WHEN wrong IS NULL AND form = 9 THEN 1.0 ELSE quiet END,
+                CASE WHEN wrong IS NULL AND form = 9 THEN 4 ELSE attempts END,
+                wrong IS NULL, wrong, done + CASE WHEN wrong IS NULL THEN 1 ELSE 0 END
+              FROM (SELECT *, CASE
+                    WHEN form = 4 THEN 'errorThreshold must be greater than or equal to 1.'
+                    WHEN form = 5 THEN 'cooldownMs must be a finite number.'
+                    WHEN form = 6 THEN 'Alert config payload includes unsupported field "nope".'
+                    WHEN form = 7 THEN 'Alert config payload must be a JSON object.'
+                    WHEN form = 8 THEN 'Alert config payload must include at least one updatable field.'
+                    WHEN form = 10 THEN 'enabled must be a boolean.'
+                    WHEN form = 11 THEN 'webhookUrl must be a string or null.'
+                    WHEN new_on AND new_url IS NULL THEN 'webhookUrl must be configured when alerting is enabled.' END AS wrong
+                  FROM (SELECT *, CASE form WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE enabled END AS new_on,
+                          CASE form WHEN 1 THEN 'http://new/' || u WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE url END AS new_url
+                        FROM (SELECT *, CASE n WHEN 0 THEN u % 12 WHEN 1 THEN (u + 5) % 12 ELSE (u * 7 + 1) % 12 END AS form
+                              FROM state WHERE n < 3 AND u % 13 <> 0) drawn) tried) checked)
+            SELECT CAST(u AS VARCHAR) AS policy_id, enabled, url AS "webhookUrl", interval_ms AS "intervalMs", minutes AS "windowMinutes",
+              20.0::DOUBLE AS "errorThreshold", quiet AS "noLogsThresholdMinutes", 300000.0::DOUBLE AS "cooldownMs",
+              5000.0::DOUBLE AS "webhookTimeoutMs", attempts AS "webhookRetryAttempts", 250.0::DOUBLE AS "webhookBackoffMs",
+              applied, problem, done AS applied_updates, CAST(n AS BIGINT) AS updates,
+              CASE WHEN url IS NOT NULL THEN '[configured]' END AS masked_url
+            FROM state WHERE n = CASE WHEN u % 13 = 0 THEN 0 ELSE 3 END""",
+
         "run_totals": _with(
             _LOGS,
-            f"daily AS (SELECT day, {_COUNTS} FROM all_lines GROUP BY day)",
+            f"daily AS (SELECT day, {_COUNTS} FROM all_lines WHERE day NOT LIKE '%0' GROUP BY day)",
             "pairs AS (SELECT day, 'lines_scanned' AS counter, lines_scanned AS value FROM daily "
             "UNION ALL SELECT day, 'records_inserted', records FROM daily "
             "UNION ALL SELECT day, 'parse_errors', parse_errors FROM daily)",
@@ -357,10 +362,13 @@ def oracle_sql() -> dict[str, str]:
             _SENDS,
             select="""
             SELECT (SELECT count(*) FROM logs) AS entry_count, (SELECT count(*) FROM field_rows) AS field_count,
-              (SELECT count(DISTINCT day) FROM logs) AS runs, (SELECT max(day) FROM logs) AS last_run_at,
-              (SELECT count(*) FROM logs) AS records_inserted_total,
-              (SELECT count(*) FROM all_lines WHERE kind = 'parse_error') AS parse_errors_total,
-              CAST(NULL AS VARCHAR) AS last_error,
+              (SELECT count(DISTINCT day) FROM logs WHERE day NOT LIKE '%0') AS runs,
+              (SELECT count(DISTINCT day) FROM logs WHERE day LIKE '%0') AS failed_runs,
+              (SELECT max(day) FROM logs) AS last_run_at, (SELECT max(day) FROM logs WHERE day NOT LIKE '%0') AS last_success_at,
+              (SELECT count(*) FROM all_lines WHERE day = (SELECT max(day) FROM logs)) AS last_duration_ms,
+              (SELECT count(*) FROM logs WHERE day NOT LIKE '%0') AS records_inserted_total,
+              (SELECT count(*) FROM all_lines WHERE kind = 'parse_error' AND day NOT LIKE '%0') AS parse_errors_total,
+              (SELECT CASE WHEN max(day) LIKE '%0' THEN 'lost on ' || max(day) END FROM logs) AS last_error,
               (SELECT count(*) FROM alerts WHERE status = 'sent') AS alerts_sent,
               (SELECT count(*) FROM alerts WHERE status = 'suppressed') AS alerts_suppressed""",
             recursive=True,

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -62,19 +63,22 @@ def alert_cycles(
 def lookback_windows(entries: DataFrame, policy: AlertPolicy) -> DataFrame:
     """Error and total counts of the sliding windows of a stream of entries.
 
+    Entries are counted once, in panes that both the window and the interval are multiples of; a second
+    step adds up the panes of each window, so it is panes that are repeated, not entries.
     Windows end at multiples of the interval. The watermark is one look-back, so an entry
     counts as long as a window it belongs to can still be open.
     """
     window_ms, interval_ms = int(policy.windowMinutes * 60_000), int(policy.intervalMs)
     floor_ms, _ = millis_around(F.col("timestamp"))
     timed = entries.select(F.timestamp_millis(floor_ms).alias("ts"), (F.col("level") == "ERROR").alias("is_error"))
-    span = F.window("ts", f"{window_ms} milliseconds", f"{interval_ms} milliseconds")
-    return (
+    panes = (
         timed.where(F.col("ts").isNotNull())
         .withWatermark("ts", f"{window_ms} milliseconds")
-        .groupBy(span.alias("window"))
-        .agg(F.count_if("is_error").alias("error_count"), F.count("*").alias("total_count"))
+        .groupBy(F.window("ts", f"{math.gcd(window_ms, interval_ms)} milliseconds").alias("pane"))
+        .agg(F.count_if("is_error").alias("errors"), F.count("*").alias("total"))
     )
+    span = F.window("pane", f"{window_ms} milliseconds", f"{interval_ms} milliseconds")
+    return panes.groupBy(span.alias("window")).agg(F.sum("errors").alias("error_count"), F.sum("total").alias("total_count"))
 
 
 def threshold_triggers(windows: DataFrame, policy: AlertPolicy) -> DataFrame:
@@ -204,15 +208,3 @@ def silence_alerts(entries: DataFrame, ticks: DataFrame, policy: AlertPolicy, ma
     return merged.groupBy("rule").applyInPandasWithState(
         decide, ALERT_STREAM_DDL, f"newest bigint, {_STATE_DDL}", "append", GroupStateTimeout.NoTimeout
     )
-
-
-def deliver_stream(
-    alerts: DataFrame, checkpoint: str, deliver: Callable[[DataFrame, int], None], trigger: dict | None = None
-) -> StreamingQuery:
-    """Hand the sent alerts of each batch to ``deliver``."""
-
-    def sent_only(batch: DataFrame, batch_id: int) -> None:
-        deliver(batch.where(F.col("status") == SENT), batch_id)
-
-    writer = alerts.writeStream.foreachBatch(sent_only).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logloom.functions.times import utc_now
 from logloom.operators.index import LogIndex
-from logloom.operators.ingest import accept_records, request_report, write_producer_files
-from logloom.sources.files import NDJSON_GLOB, SINK_GLOB, delete_path
+from logloom.operators.ingest import INGEST_FOLDER, accept_records, request_report, write_producer_files
+from logloom.sources.files import NDJSON_GLOB, SINK_GLOB, delete_path, root_path
 from logloom.sources.payloads import DEFAULT_MAX_BODY_BYTES
 
 DEFAULT_INGEST_TRIGGER = {"processingTime": "2 seconds"}
@@ -60,8 +60,9 @@ def ingest_requests(
 
     The name of a batch is ``stream_id`` and its number; a stream restarted with a new
     checkpoint needs a new ``stream_id``. A failed batch is repeated as a whole, and repeating
-    replaces its files and reports.
+    replaces its files and reports. The batch's own copy of the requests goes when all else is done.
     """
+    base = root_path(index.spark, root)
 
     def flush(batch: DataFrame, batch_id: int) -> None:
         name = f"{stream_id}-{batch_id:012d}"
@@ -71,7 +72,9 @@ def ingest_requests(
         parsed, stamped = accept_records(index.spark.read.parquet(work), producers, max_bytes)
         write_producer_files(stamped, root, name, flushed_at)
         request_report(parsed).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_reports/batch={name}")
-        index.index_incremental(root, flushed_at, SINK_GLOB)
+        written = index.spark.createDataFrame([(f"{base}/{INGEST_FOLDER}",)], "path string")
+        index.index_incremental(root, flushed_at, SINK_GLOB, folders=written)
+        delete_path(index.spark, work)
 
     writer = requests.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or DEFAULT_FLUSH_TRIGGER)).start()

@@ -59,7 +59,7 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("dtype", ["<u2", "<u4"])
 def test_parts_encode_as_the_whole(tokenizer, dtype):
-    texts = ["", " ", "a b  c", "a\n b", "a\n \nb", "a \nb ", " lead", "x\tb c", "it's we'll", "a\x00b c\x00", "<|endoftext|> x", "ü ß é", "  ", "\n", "a \n\nb", "1 2 345", "x y" * 3]
+    texts = ["", " ", "1b x", "1b", "b1 c", "'sa", " B", "a b  c", "a\n b", "a\n \nb", "a \nb ", " lead", "x\tb c", "it's we'll", "a\x00b c\x00", "<|endoftext|> x", "ü ß é", "  ", "\n", "a \n\nb", "1 2 345", "x y" * 3]
     found = tf.text_encoder(PATH, dtype)(texts + texts)
     assert [np.frombuffer(f, dtype).tolist() for f in found] == [expected(tokenizer, t)[:-1] for t in texts + texts]
 

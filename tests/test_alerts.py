@@ -3,6 +3,7 @@ from conftest import line, write_lines
 from pyspark.sql import functions as F
 
 from logloom import LogIndex
+from logloom.operators import alerts as alerts_module
 from logloom.operators.alerts import (
     AlertLog,
     Reply,
@@ -25,6 +26,8 @@ from logloom.operators.policies import (
     policy_frame,
 )
 
+from logloom.operators.reports import run_state, status_snapshot
+
 URL = "http://hook.invalid"
 
 
@@ -145,6 +148,76 @@ def test_replay_against_brute_force(spark):
     assert {(r["rule"], r["tick"], r["status"]) for r in result.collect()} == expected
 
 
+def by_hand(ticks, gap):
+    sent, last = set(), None
+    for tick in sorted(ticks):
+        if last is None or tick - last >= gap:
+            sent.add(tick)
+            last = tick
+    return sent
+
+
+@pytest.mark.parametrize("folded", [0, 12, 4096])
+def test_cooldown_of_short_and_long_spells(spark, monkeypatch, folded):
+    import random
+
+    monkeypatch.setattr(alerts_module, "FOLDED", folded)
+    rng = random.Random(folded)
+    fired = {rule: sorted(rng.sample(range(900), 250)) + list(range(1000, 1400)) + [2000] for rule in ("a", "b")}
+    rows = [("p", rule, tick) for rule, ticks in fired.items() for tick in ticks]
+    frame = spark.createDataFrame(rows, "policy_id string, rule string, tick bigint")
+    policy = create_policy("p", URL, intervalMs=60_000, cooldownMs=7 * 60_000)
+    found = apply_cooldown(frame, policy).collect()
+    assert len(found) == len(rows)
+    for rule, ticks in fired.items():
+        assert {r["tick"] for r in found if r["rule"] == rule and r["status"] == "sent"} == by_hand(ticks, 7)
+
+
+def test_cooldown_of_a_million_ticks(spark):
+    frame = spark.range(1_000_000).select(F.lit("p").alias("policy_id"), F.lit("r").alias("rule"), F.col("id").alias("tick"))
+    policy = create_policy("p", URL, intervalMs=1000, cooldownMs=999_000)
+    sent = apply_cooldown(frame, policy).where("status = 'sent'")
+    row = sent.agg(F.count("*").alias("n"), F.max("tick").alias("top"), F.count_if(F.col("tick") % 999 == 0).alias("fit")).head()
+    assert (row["n"], row["top"], row["fit"]) == (1002, 999_999 // 999 * 999, 1002)
+
+
+def test_cycles_leave_run_records(spark, tmp_path, index):
+    log = AlertLog(spark, str(tmp_path / "alerts"))
+    policy = create_policy("p", URL, errorThreshold=2, windowMinutes=60)
+    assert log.runs().count() == 0
+    send, _ = replies(204, 400)
+    run_cycle(index, policy, log, send, now="2026-02-17T10:00:00.000Z", clock=lambda: "2026-02-17T10:00:00.000Z")
+    run_cycle(index, create_policy("quiet", URL, errorThreshold=99), log, send, now="2026-02-17T10:00:05.000Z")
+    state = {r["mode"]: r for r in run_state(log.runs(), "mode").collect()}
+    assert (state["p"]["runs"], state["p"]["failed_runs"], state["p"]["last_error"]) == (1, 0, None)
+    assert (state["quiet"]["runs"], state["quiet"]["last_success_at"]) == (1, "2026-02-17T10:00:05.000Z")
+    run_cycle(index, policy, log, send, now="2026-02-17T11:00:00.000Z", sleep=lambda s: None)  # the reply is 400
+    with pytest.raises(ZeroDivisionError):
+        run_cycle(index, policy, log, lambda *_: 1 / 0, now="2026-02-17T11:00:01.000Z")
+    runs = log.runs().orderBy("run_seq").collect()
+    assert [r["error"] for r in runs] == [None, None, "Alert webhook failed (400)", "ZeroDivisionError: division by zero"]
+    assert alert_state(log.alerts()).head()["last_error"] == "Alert webhook failed (400)" and alert_state(log.alerts()).head()["failed"] == 1
+    snapshot = status_snapshot(index.stats(), log.runs(), log.alerts()).head()
+    assert (snapshot["runs"], snapshot["failed_runs"], snapshot["last_error"]) == (2, 2, "ZeroDivisionError: division by zero")
+    assert snapshot["last_run_at"] == "2026-02-17T11:00:01.000Z" and snapshot["last_duration_ms"] is not None
+
+
+def test_updates_go_in_order(spark):
+    policies = policy_frame(spark, [create_policy("a"), create_policy("b", URL), create_policy("c")])
+    payloads = {
+        "a": ['{"enabled":true}', '{"webhookUrl":"http://x"}', '{"intervalMs":2000}', '{"intervalMs":1}'],
+        "b": ['{"webhookUrl":null}', '{"enabled":true}', '{"cooldownMs":5000,"enabled":false}'],
+    }
+    rows = [(p, n, text) for p, texts in payloads.items() for n, text in enumerate(texts)]
+    updates = spark.createDataFrame(rows[::-1], "policy_id string, seq int, payload string").repartition(3)
+    found = {r["policy_id"]: r for r in apply_policy_updates(policies, parse_policy_updates(updates)).collect()}
+    a, b, c = (found[p] for p in "abc")
+    assert (a["enabled"], a["webhookUrl"], a["intervalMs"]) == (True, "http://x", 2000)
+    assert (a["updates"], a["applied_updates"], a["applied"], a["problem"]) == (4, 2, False, "intervalMs must be greater than or equal to 1000.")
+    assert (b["enabled"], b["webhookUrl"], b["cooldownMs"], b["applied_updates"], b["applied"]) == (False, None, 5000, 2, True)
+    assert (c["updates"], c["applied_updates"], c["applied"], c["problem"]) == (0, 0, False, None)
+
+
 def test_policies(spark, tmp_path):
     policies = policy_frame(spark, [create_policy("a"), create_policy("b", URL, intervalMs=5, windowMinutes=-1, errorThreshold=float("nan"))])
     floors = policies.where("policy_id = 'b'").head()

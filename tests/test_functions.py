@@ -1,6 +1,8 @@
 import json
 import math
 import os
+import struct
+import random
 
 import pytest
 from conftest import line, write_lines
@@ -118,6 +120,22 @@ def test_number_text(spark, values, power):
     assert [row["t"] for row in frame.collect()] == [js_text(n) for n in numbers]
 
 
+def test_number_text_is_the_shortest(spark):
+    rng = random.Random(4)
+    numbers = [5e-324, 1.5e-323, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 2e-3, 1e23, 9007199254740993.0, 0.1 + 0.2, 1 / 3]
+    numbers += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(3000)] + [rng.randrange(1, 1 << 52) * 5e-324 for _ in range(300)]
+    numbers += [float(rng.randrange(10**17)) / 10 ** rng.randrange(12) for _ in range(700)]
+    numbers = [n for n in numbers if math.isfinite(n)]
+    frame = spark.createDataFrame([(n,) for n in numbers], "d double").select(js_number_text(F.col("d")).alias("t"))
+    assert [(n, row["t"]) for n, row in zip(numbers, frame.collect())] == [(n, js_text(n)) for n in numbers]
+
+
+def test_nested_numbers_take_their_shortest_form(spark):
+    texts = ['{"message":{"x":2.0,"e":1e2,"s":"2.0 and 1e2 \\" 3.0","d":[-0.0,5e-324,12,1.50,123456789012]}}', '{"message":[1,"-",-7,{"a-1.0":1.0}]}', '{"message":{"n":-5,"t":true}}']
+    shown = [row["message"] for row in entries_from_lines(parse(spark, texts), NOW).orderBy("n").collect()]
+    assert shown == ['{"x":2,"e":100,"s":"2.0 and 1e2 \\" 3.0","d":[0,5e-324,12,1.5,123456789012]}', '[1,"-",-7,{"a-1.0":1}]', '{"n":-5,"t":true}']
+
+
 def test_text_to_boolean(spark):
     words = {"TRUE": True, " yes ": True, "1": True, "no": False, "0": False, "False": False, "on": None, "": None}
     frame = spark.createDataFrame([(w,) for w in words], "w string").select(text_to_boolean(F.col("w")).alias("b"))

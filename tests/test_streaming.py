@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from conftest import line, write_lines
@@ -19,6 +20,7 @@ from logloom.streaming.alert_stream import (
     with_cooldown,
     write_triggers,
 )
+from logloom.streaming.journal import RunJournal
 from logloom.streaming.ingest_stream import follow_files, ingest_requests
 
 NOW = "2026-02-18T00:00:00.000Z"
@@ -198,6 +200,46 @@ def test_threshold_stream_equals_replay(spark, tmp_path):
     assert live and live == batch
 
 
+def test_panes_count_late_entries_like_the_replay(spark, tmp_path):
+    """Windows that are no multiple of the interval, and entries that come late but within one look-back."""
+    policy = create_policy("p", "http://x", intervalMs=60_000, windowMinutes=2.5, errorThreshold=1, cooldownMs=1000)
+    logs = tmp_path / "logs"
+    seconds = [10, 200, 130, 260, 150, 290, 410, 300, 395, 520, 470, 600, 30 * 60]  # in the order they come
+    for n, at in enumerate(seconds):
+        stamp = f"2026-02-17T10:{at // 60:02d}:{at % 60:02d}.000Z"
+        write_lines(logs / f"{n:02d}.ndjson", line(timestamp=stamp, level="ERROR" if n % 3 else "INFO"))
+        os.utime(logs / f"{n:02d}.ndjson", (1_700_000_000 + n, 1_700_000_000 + n))
+    windows = lookback_windows(_entries(spark.readStream.option("maxFilesPerTrigger", 1).text(str(logs))), policy)
+    shown = windows.select(F.unix_millis("window.start").alias("start"), F.unix_millis("window.end").alias("end"), "error_count", "total_count")
+    found = {(r["start"], r["end"]): (r["error_count"], r["total_count"]) for r in _run_to_table(shown, "pane_windows", tmp_path)}
+    zero, checked = 1771322400000, 0
+    for (start, end), counts in found.items():
+        assert end - start == 150_000
+        inside = [n for n, at in enumerate(seconds) if start <= zero + at * 1000 < end]
+        assert counts == (sum(n % 3 > 0 for n in inside), len(inside))
+        checked += len(inside)
+    assert checked >= 2 * (len(seconds) - 1)
+
+
+def test_failed_streams_are_recorded(spark, tmp_path):
+    index = LogIndex(spark, str(tmp_path / "index"))
+    journal = RunJournal(index)
+    spark.streams.addListener(journal)
+    try:
+        write_lines(tmp_path / "logs" / "a.ndjson", line(event="one"))
+        query = follow_files(index, str(tmp_path / "logs"), str(tmp_path / "cp"), trigger=ONCE, now=lambda: 1 / 0)
+        with pytest.raises(Exception, match="division by zero"):
+            query.awaitTermination(120)
+        for _ in range(100):
+            if index.runs().count():
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(journal)
+    (run,) = index.runs().collect()
+    assert (run["kind"], run["status"]) == ("stream", "failed") and run["error"]
+
+
 def _silence(spark, tmp_path, minutes, files_at_once, **options):
     """Alerts of a clock whose files hold the given minutes, read in that order."""
     policy = create_policy("p", "http://x", noLogsThresholdMinutes=1, cooldownMs=120_000)
