@@ -176,14 +176,9 @@ def apply_cooldown(fired: DataFrame, policy: AlertPolicy) -> DataFrame:
     marked = running(fired, keys, "tick", {"_previous": ("max", F.col("tick"))}, include_current=False)
     fresh = F.col("_previous").isNull() | (F.col("tick") - F.col("_previous") >= gap)
     marked = marked.withColumn("_start", F.when(fresh, F.col("tick")))
-    marked = running(marked, keys, "tick", {"_spell": ("max", F.col("_start"))})
-    marked = _kept(marked.select(*keys, "_spell", "tick"))
-    spell = [*keys, "_spell"]
-    lengths = marked.groupBy(*spell).agg((F.max("tick") - F.min("tick")).alias("_length"))
-    long = lengths.where(F.col("_length") > FOLDED)
-    found = _folded(marked, keys, gap) if long.isEmpty() else _folded(
-        marked.join(long, spell, "left_anti"), keys, gap
-    ).unionByName(reached(marked.join(long, spell, "left_semi"), spell, gap).select(*keys, "tick"))
+    marked = running(marked, keys, "tick", {"_spell": ("max", F.col("_start"))}).select(*keys, "_spell", "tick")
+    span = fired.agg(F.max("tick") - F.min("tick")).head()[0] or 0
+    found = _folded(marked, keys, gap) if span <= FOLDED else _sent(_kept(marked), keys, gap)
     return (
         fired.join(found.withColumn("_sent", F.lit(True)), [*keys, "tick"], "left")
         .withColumn("status", F.when(F.col("_sent"), F.lit(SENT)).otherwise(F.lit(SUPPRESSED)))
@@ -191,6 +186,15 @@ def apply_cooldown(fired: DataFrame, policy: AlertPolicy) -> DataFrame:
     )
 
 
+def _sent(marked: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """The ticks that are sent, spells taken by their length."""
+    spell = [*keys, "_spell"]
+    lengths = marked.groupBy(*spell).agg((F.max("tick") - F.min("tick")).alias("_length"))
+    long = lengths.where(F.col("_length") > FOLDED)
+    short = _folded(marked.join(long, spell, "left_anti"), keys, gap)
+    return short.unionByName(reached(marked.join(long, spell, "left_semi"), spell, gap).select(*keys, "tick"))
+
+
 def _kept(rows: DataFrame) -> DataFrame:
     """The rows written down and read again, so that what they took is done once."""
     path = scratch_path(rows.sparkSession, "cooldown")

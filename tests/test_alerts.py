@@ -183,7 +183,7 @@ def test_cooldown_of_a_million_ticks(spark):
 
 def test_cycles_leave_run_records(spark, tmp_path, index):
     log = AlertLog(spark, str(tmp_path / "alerts"))
-    policy = create_policy("p", URL, errorThreshold=2, windowMinutes=60)
+    policy = create_policy("p", URL, errorThreshold=2, windowMinutes=180)
     assert log.runs().count() == 0
     send, _ = replies(204, 400)
     run_cycle(index, policy, log, send, now="2026-02-17T10:00:00.000Z", clock=lambda: "2026-02-17T10:00:00.000Z")
