@@ -23,13 +23,13 @@ repeated rows and null ids do no harm; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.llm.common import give_back, stored, worker_state
@@ -45,7 +45,7 @@ AMBIGUOUS = 0.55
 LENGTHS = (16, 64, 256)  # bytes of letters from which a text is measured with others of its length
 FARTHER = 3  # times the distance that 99 of 100 learned rows keep within is clearly farther than usual
 NEAR = 0.25  # distances below are never far: the bits agree well
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -91,7 +91,7 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
     columns = int(np.ceil(10 * np.log2(languages)))
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (languages, columns))
-        if (abs(code.sum(0)) == languages).any():
+        if (abs(code.sum(0)) == languages).any() or np.unique(code * code[0], axis=1).shape[1] < columns:
             continue
         apart = ((columns - code @ code.T) / 2 + columns * np.eye(languages)).min()
         if apart > most:

@@ -1,3 +1,7 @@
+import math
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pytest
 from cases import documents
@@ -45,6 +49,45 @@ def test_awkward_rows(spark, model):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 5, 6, 8, None, 9}
 
 
+def plain_prediction(model, text):
+    """Counting, classifying and decoding by the definition, in plain Python."""
+    if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+        return "und", 0.0
+    data = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in text.lower().encode())
+    data = b" " + b" ".join(data.split()) + b" "
+    counts = Counter()
+    for size in language.SIZES:
+        for at in range(len(data) - size + 1):
+            mixed = size
+            for byte in data[at : at + size]:
+                mixed = (mixed ^ byte) * 0x9E3779B1 % 2**32
+                mixed ^= mixed >> 15
+            counts[mixed % language.BUCKETS] += 1
+    total = sum(counts.values())
+    distances = []
+    for word, trust in zip(model.code.tolist(), model.trust.tolist()):
+        loss = 0.0
+        for bit, side in enumerate(word):
+            margin = sum(n * float(model.weights[bucket, bit]) for bucket, n in counts.items()) / total
+            loss += trust[bit] * math.log1p(math.exp(-4 * side * margin * float(model.scale[bit])))
+        distances.append(loss)
+    first, second = sorted(distances)[:2]
+    return model.languages[distances.index(first)], second / (first + second) if second else 0.5
+
+
+def test_predictions_equal_plain_decoding(spark, model):
+    rng = np.random.default_rng(5)
+    every = " ".join(WORDS.values()).split()
+    texts = [" ".join(rng.choice(every, n % 9)) + ["", " 12", "²", "É!", "日本"][n % 5] for n in range(60)]
+    texts += ["²", "½ ①", "x²", "12 ³", "ª", "Ⅷ", "ʰ", "_", "é"]
+    docs = documents(spark, [(n, t, None, "s") for n, t in enumerate(texts)])
+    for row in language.identify(docs, model).collect():
+        lang, score = plain_prediction(model, texts[row["doc_id"]])
+        assert (row["lang_pred"], row["ambiguous"]) == (lang, row["score"] < language.AMBIGUOUS), texts[row["doc_id"]]
+        assert abs(row["score"] - score) < 1e-5
+    assert [language.has_letter(t) for t in texts[-9:]] == [False, False, True, False, True, False, True, False, True]
+
+
 def test_mixed_text_is_ambiguous(model):
     lang, score = model.predict("the and of with " * 10 + "le la les et " * 11)
     assert lang in ("en", "fr") and score < model.predict("the and of with " * 10)[1]
@@ -64,6 +107,7 @@ def test_codewords_differ(languages):
     apart = [(a != b).sum() for n, a in enumerate(code) for b in code[:n]]
     assert min(apart) >= (1 if languages == 2 else 2)
     assert (abs(code.sum(0)) < languages).all()
+    assert languages == 2 or len({tuple(c * c[0]) for c in code.T}) == code.shape[1]  # no bit is another's or its opposite
 
 
 def test_few_labels(spark):
