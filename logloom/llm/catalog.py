@@ -27,6 +27,7 @@ from logloom.llm.common import table
 from logloom.llm.url_filter import Rule
 from logloom.session import scratch_path
 
+LINES = line_templates.Options(levels=True, long_tokens=50)
 URL_RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
@@ -38,7 +39,7 @@ URL_RULES = (
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_templates.without_recurring_lines(docs)
+    return line_templates.without_recurring_lines(docs, LINES)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ other places are variable fields and generalised too. A template must keep at le
 tokens constant, otherwise the line stands for itself: masked only, or as it is if it is mostly digits.
 
 A template that occurs in ``MIN_DOCUMENTS`` documents or more is recurring. Its lines are dropped from
-all documents but the first (the smallest doc_id), so that no content is lost altogether. Blank lines
+all documents but the first (the smallest doc_id); of generalised lines the values of their variable fields go
+with them. Blank lines
 stay, white space around and between tokens does not matter, and kept lines are returned as they were.
 
 A null text stays null and has no lines; an empty text is one blank line. Rows with one doc_id are one
@@ -22,8 +23,11 @@ share the leaf. Support then counts the documents of a line, not its occurrences
 ``Options(long_tokens=n)`` lets lines of n tokens or more, with no more than their digits masked, recur from
 two documents on; shorter lines and generalised ones still need ``MIN_DOCUMENTS``, which protects clean text.
 
-Long
-texts and lines are read whole. Columns but ``text`` pass through,
+``classes`` (doc_id, text_key, component_id) makes the documents of a class count as one: a line recurs only if
+several classes have it, and all documents of the first class keep it, so that near copies stay as alike as
+they are. Without it a copy loses the long lines that it shares.
+
+Long texts and lines are read whole. Columns but ``text`` pass through,
 except that ``n_lines`` and ``n_dropped`` replace columns of these names. An empty table gives no rows.
 
 Only DataFrame functions are used. Lines travel as digests; a hot line or template is counted before it
@@ -159,18 +163,21 @@ def generalised(docs: DataFrame, candidates: DataFrame, options: Options) -> Dat
     )
 
 
-def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
+def recurring_lines(docs: DataFrame, options: Options = Options(), classes: DataFrame | None = None) -> DataFrame:
     """doc_id, text_key and ``dropped``: a flag for each line up to the last that goes."""
     line = F.col("line")
+    owner = F.col("doc_id").alias("owner")
     is_long = [] if options.long_tokens is None else [(_tokens(line) >= options.long_tokens).alias("long")]
-    lines = stored(
-        parsed(docs, options).select(
-            "doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf"), *is_long
-        ),
-        "lines",
+    lines = parsed(docs, options).select(
+        "doc_id", "text_key", "pos", digest(line).alias("line_key"), _leaf(options).alias("leaf"), *is_long
     )
+    if classes is not None:
+        named = classes.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text"), F.col("component_id").alias("owner"))
+        named = _sized(stored(named.distinct(), "line-owners"))
+        lines = lines.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_text"))).drop("_id", "_text")
+    lines = stored(lines if classes is not None else lines.withColumn("owner", owner), "lines")
     groups = ["leaf", "line_key", *(["long"] if is_long else [])]
-    kinds = (lines.select("doc_id", *groups).distinct() if options.levels else lines).groupBy(*groups).agg(F.count("*").alias("n"))
+    kinds = (lines.select("owner", *groups).distinct() if options.levels else lines).groupBy(*groups).agg(F.count("*").alias("n"))
     if options.levels or is_long:
         kinds = stored(kinds, "line-kinds")
     leaves = (
@@ -186,14 +193,14 @@ def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
         own = kinds.where(F.col("long") & (F.col("n") >= options.long_documents))
         templates = templates.union(own.select("line_key", "line_key", F.lit(options.long_documents)))
     found = stored(
-        lines.join(_sized(stored(templates, "line-templates")), "line_key").select("doc_id", "text_key", "pos", "template", "needed"),
+        lines.join(_sized(stored(templates, "line-templates")), "line_key").select("doc_id", "text_key", "pos", "owner", "template", "needed"),
         "template-lines",
     )
     recurring = (
         found.groupBy("template", "needed")
         .agg(
-            (F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))).alias("documents"),
-            F.min("doc_id").alias("first"),
+            (F.count_distinct("owner") + F.max(F.col("owner").isNull().cast("int"))).alias("documents"),
+            F.min("owner").alias("first"),
         )
         .where(F.col("documents") >= F.col("needed"))
         .select("template", "needed", "first")
@@ -201,7 +208,7 @@ def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
     positions = F.sort_array(F.collect_set("pos"))
     dropped = (
         found.join(_sized(stored(recurring, "recurring-templates")), ["template", "needed"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("first")))
+        .where(~F.col("owner").eqNullSafe(F.col("first")))
         .groupBy("doc_id", "text_key")
         .agg(positions.alias("positions"))
     )
@@ -212,9 +219,9 @@ def recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return stored(dropped.select("doc_id", "text_key", flags.alias("dropped")), "dropped-lines")
 
 
-def without_recurring_lines(docs: DataFrame, options: Options = Options()) -> DataFrame:
+def without_recurring_lines(docs: DataFrame, options: Options = Options(), classes: DataFrame | None = None) -> DataFrame:
     """``docs`` (doc_id, text) with the remaining text, and ``n_lines`` and ``n_dropped`` added."""
-    marks = recurring_lines(docs, options)
+    marks = recurring_lines(docs, options, classes)
     marks = marks.select(F.struct(*(F.col(c) for c in marks.columns)).alias("_marks"))
     dropped = F.col("_marks.dropped")
     lines = _lines(F.col("text"))

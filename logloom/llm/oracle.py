@@ -16,26 +16,32 @@ WITH split AS (
            CASE WHEN len(list_filter(generic, lambda t: t <> '<*>')) >= 0.7 * len(generic) THEN generic ELSE tokens END AS line
     FROM masked
 ), kinds AS (
-    SELECT line, len(line) AS size, list_slice(line, 1, 3) AS lead, COUNT(*) AS n FROM parsed GROUP BY ALL
+    SELECT line, len(line) AS size, list_slice(line, 1, 3) AS lead,
+           COUNT(DISTINCT doc_id) + MAX(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS n
+    FROM parsed GROUP BY ALL
 ), candidates AS (
     SELECT *, COUNT(*) OVER leaf AS kinds FROM kinds
     WINDOW leaf AS (PARTITION BY size, lead) QUALIFY SUM(n) OVER leaf >= 5
 ), placed AS (
     SELECT *, unnest(line) AS token, unnest(range(size)) AS pos FROM candidates WHERE kinds > 1
 ), supported AS (
-    SELECT *, SUM(n) OVER (PARTITION BY size, lead, pos, token) >= 5 AND token <> '<*>' AS constant FROM placed
+    SELECT *, CASE WHEN token <> '<*>' THEN SUM(n) OVER (PARTITION BY size, lead, pos, token) END AS support FROM placed
+), levelled AS (
+    SELECT *, MAX(support) OVER (PARTITION BY line) AS most FROM supported
 ), generalised AS (
-    SELECT line, list(CASE WHEN constant THEN token ELSE '<*>' END ORDER BY pos) AS template
-    FROM supported GROUP BY line HAVING COUNT(*) FILTER (WHERE constant) >= 0.7 * COUNT(*)
+    SELECT line, level, list(CASE WHEN support >= level THEN token ELSE '<*>' END ORDER BY pos) AS template
+    FROM levelled JOIN (SELECT CAST(5 * 4 ** unnest(range(20)) AS BIGINT) AS level) levels ON level <= most
+    GROUP BY line, level HAVING COUNT(*) FILTER (WHERE support >= level) >= 0.7 * COUNT(*)
 ), templates AS (
-    SELECT c.line, COALESCE(g.template, c.line) AS template FROM candidates c LEFT JOIN generalised g ON c.line = g.line
+    SELECT DISTINCT c.line, COALESCE(g.template, c.line) AS template, 5 AS needed FROM candidates c LEFT JOIN generalised g ON c.line = g.line
+    UNION ALL SELECT line, line, 2 FROM kinds WHERE size >= 50 AND n >= 2
 ), found AS (
-    SELECT p.doc_id, p.text, p.pos, t.template FROM parsed p JOIN templates t ON p.line = t.line
+    SELECT p.doc_id, p.text, p.pos, t.template, t.needed FROM parsed p JOIN templates t ON p.line = t.line
 ), recurring AS (
-    SELECT template, MIN(doc_id) AS first FROM found GROUP BY template
-    HAVING COUNT(DISTINCT doc_id) + MAX(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 5
+    SELECT template, needed, MIN(doc_id) AS first FROM found GROUP BY template, needed
+    HAVING COUNT(DISTINCT doc_id) + MAX(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= needed
 ), dropped AS (
-    SELECT doc_id, text, list(DISTINCT pos) AS gone FROM found JOIN recurring USING (template)
+    SELECT doc_id, text, list(DISTINCT pos) AS gone FROM found JOIN recurring USING (template, needed)
     WHERE doc_id IS DISTINCT FROM first GROUP BY doc_id, text
 )
 SELECT s.doc_id,

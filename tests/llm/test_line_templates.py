@@ -3,48 +3,55 @@ from collections import Counter, defaultdict
 
 import pytest
 from cases import CLASHES, LONG, documents
+from pyspark.sql import functions as F
 
-import corpus_pipeline
 from logloom.llm import line_templates as lt
+from logloom.llm.catalog import LINES
 from logloom.llm.line_templates import Options
 
 
-def brute_force(rows, options):
-    """(doc_id, text) to remaining texts, by the definition."""
+def brute_force(rows, options, owner=lambda doc_id, text: doc_id):
+    """(doc_id, text) to remaining texts, by the definition; ``owner`` names the class of a document."""
     def parse(line):
         tokens = re.sub(r"[ \t-\r]+", " ", line).strip(" ").split(" ")
         masked = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
         return tuple(masked if sum(t != "<*>" for t in masked) >= options.similarity * len(masked) else tokens)
 
     blank = lambda line: not line.strip(" \t\n\v\f\r")
-    lines = Counter(parse(x) for _, t in rows if t is not None for x in t.split("\n") if not blank(x))
+    places = [(owner(d, t), parse(x)) for d, t in rows if t is not None for x in t.split("\n") if not blank(x)]
+    lines = Counter(line for _, line in (set(places) if options.levels else places))
     leaves = defaultdict(list)
     for line in lines:
         leaves[len(line), line[: options.leading]].append(line)
-    template = {}
+    templates = defaultdict(set)
     for members in leaves.values():
-        if sum(lines[m] for m in members) < options.min_documents:
-            continue
         support = Counter()
         for m in members:
             for place in enumerate(m):
-                support[place] += lines[m]
+                support[place] += lines[m] if place[1] != "<*>" else 0
         for m in members:
-            constant = [support[p] >= options.min_documents and p[1] != "<*>" for p in enumerate(m)]
-            general = tuple(t if c else "<*>" for t, c in zip(m, constant))
-            template[m] = general if len(members) > 1 and sum(constant) >= options.similarity * len(m) else m
-    places = defaultdict(set)
-    for doc_id, text in rows:
-        for line in (text or "").split("\n"):
-            if text is not None and not blank(line) and parse(line) in template:
-                places[template[parse(line)]].add(doc_id)
-    first = {t: min((d for d in ids if d is not None), default=None) for t, ids in places.items() if len(ids) >= options.min_documents}
-
-    def goes(doc_id, line):
-        found = None if blank(line) else template.get(parse(line))
-        return found in first and first[found] != doc_id
-
-    return [(d, t if t is None else "\n".join(x for x in t.split("\n") if not goes(d, x))) for d, t in rows]
+            if options.long_tokens is not None and len(m) >= options.long_tokens and lines[m] >= options.long_documents:
+                templates[m].add((m, options.long_documents))
+            if sum(lines[x] for x in members) < options.min_documents:
+                continue
+            most = max((support[p] for p in enumerate(m)), default=0)
+            levels = [options.min_documents * lt.STEP**k for k in range(20) if options.min_documents * lt.STEP**k <= most] if options.levels else [options.min_documents]
+            found = set()
+            for level in levels if len(members) > 1 else []:
+                general = tuple(p[1] if support[p] >= level else "<*>" for p in enumerate(m))
+                if sum(support[p] >= level for p in enumerate(m)) >= options.similarity * len(m):
+                    found.add((general, options.min_documents))
+            templates[m] |= found or {(m, options.min_documents)}
+    owners = defaultdict(set)
+    for who, line in places:
+        for template in templates[line]:
+            owners[template].add(who)
+    first = {t: min((d for d in ids if d is not None), default=None) for t, ids in owners.items() if len(ids) >= t[1]}
+
+    def goes(who, line):
+        return not blank(line) and any(t in first and first[t] != who for t in templates[parse(line)])
+
+    return [(d, t if t is None else "\n".join(x for x in t.split("\n") if not goes(owner(d, t), x))) for d, t in rows]
 
 
 def rows():
@@ -78,6 +85,36 @@ def test_equals_brute_force(spark):
     check(spark, rows(), Options(leading=1, similarity=0.5, min_documents=2))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_and_long_lines_equal_brute_force(spark, seed):
+    import random
+
+    rnd = random.Random(seed)
+    texts = []
+    for n in range(300):
+        made = [f"Posted in the {WORDS[rnd.randrange(9)]} section by {WORDS[rnd.randrange(7)]} on our public web site today"]
+        made.append("Posted in the " + " ".join(rnd.choice(WORDS[:6]) for _ in range(12)))
+        made.append(" ".join(WORDS[(n // 40 * k + k) % 60] for k in range(rnd.choice([49, 50, 60]))) + rnd.choice(["", " 7", " 12"]))
+        texts.append((rnd.choice([n, n, n, None, n // 2]), "\n".join(rnd.sample(made, rnd.randint(0, 3)))))
+    check(spark, texts, LINES)
+    check(spark, texts, Options(levels=True, min_documents=3, long_tokens=8))
+
+
+def test_classes_count_once_and_stay_alike(spark):
+    long, other = (" ".join(WORDS[(n * n + k) % 60] for n in range(60)) for k in (1, 5))
+    texts = [(1, f"{long}\nown one"), (2, f"{long}\nown one"), (3, f"{long}\nown one sea"), (4, f"{other}\nelse"), (5, f"{other}\nmore {WORDS[3]}"), (6, f"{other}\nmore {WORDS[3]}"), (None, long)]
+    owner = {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, None: None}
+    docs = documents(spark, [(d, t, "en", "s") for d, t in texts])
+    classes = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"))
+    pairs = spark.createDataFrame([(d, o) for d, o in owner.items()], "_d long, component_id long")
+    classes = classes.join(pairs, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d")
+    found = [(r["doc_id"], r["text"]) for r in lt.without_recurring_lines(docs, LINES, classes).collect()]
+    assert sorted(map(repr, found)) == sorted(map(repr, brute_force(texts, LINES, lambda d, _: owner[d])))
+    kept = dict(found)
+    assert kept[1] == kept[2] == texts[0][1] and kept[3] == texts[2][1] and kept[None] == ""
+    assert kept[4] == texts[3][1] and kept[5] == kept[6] == f"more {WORDS[3]}"
+
+
 def test_awkward_rows(spark):
     line = "The same line of seven words again"
     texts = [(n, line) for n in range(6)] + [(7, None), (8, ""), (9, " \n\t\n"), (10, f"{LONG}\n{line}"), (5, line)]
@@ -107,7 +144,7 @@ WORDS = [f"{chr(97 + n % 26)}{chr(98 + n // 26)}word" for n in range(60)]
 
 def left(spark, texts):
     docs = documents(spark, [(d, t, "en", "s") for d, t in texts])
-    return {r["doc_id"]: r["text"] for r in lt.without_recurring_lines(docs, corpus_pipeline.LINES).collect()}
+    return {r["doc_id"]: r["text"] for r in lt.without_recurring_lines(docs, LINES).collect()}
 
 
 @pytest.mark.parametrize("size", [60, 1000, 4000])

@@ -48,7 +48,8 @@ def test_stages(spark, folder):
 
     before, after = found["line_dedup"]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted(lines_left(rows, line_templates.Options()))
+    owner = {d: c for d, _, c, _ in groups(rows, corpus_pipeline.NEAR)}
+    assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted(lines_left(rows, corpus_pipeline.LINES, lambda d, _: owner[d]))
     assert all(r["n_chars"] == len(r["text"]) for r in after.collect())
     assert sum("annual report" in r["text"] for r in after.collect()) < 5
 
@@ -70,6 +71,18 @@ def test_stages(spark, folder):
     assert sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()) == [(d, len(i)) for d, i in want]
 
 
+def test_copies_leave_one_document_and_no_stub(spark, folder):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(rng.choice(WORDS["en"].split(), n))
+    body, passage = f"{words(120)}\n{words(70)}\n{words(9)}", words(60)
+    rows = [(n, body, "en", "s") for n in (1, 2, 3)] + [(4, body + " lamp", "en", "s"), (5, f"{words(80)}\n{passage}", "en", "s"), (6, f"{passage}\n{words(80)}", "en", "s")]
+    docs = spark.createDataFrame([(*r, f"own {r[0]}", "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_lines string, n_dropped string, document string")
+    lines = corpus_pipeline.line_dedup(spark, docs, folder)
+    assert lines.columns == docs.columns and {r["n_lines"] for r in lines.collect()} == {f"own {n}" for n in range(1, 7)}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, stored(lines, "stub-test"), folder).collect()}
+    assert kept.keys() == {1, 5, 6} and kept[1] == body and passage in kept[5] and passage not in kept[6]
+
+
 def test_empty_table(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
