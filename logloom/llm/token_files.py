@@ -36,9 +36,9 @@ from logloom.llm.pieces import PieceCache
 
 END_ID = 2
 NO_ID = -(1 << 63)
-TEXTS_AT_ONCE = 256
+TEXTS_AT_ONCE = 1024
 REMEMBERED = 250_000  # pieces of text
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 22
 # How byte-level tokenizers split text, and the characters they write bytes as.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
