@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from logloom.llm import language, line_templates, minhash, mixing, prefix_bpe
 from logloom.llm.common import prepare, stored, table
 
+NEAR = minhash.Options(shingle_words=5, percent=80)
 LINES = line_templates.Options(levels=True, long_tokens=50)
 ORACLE_SQL = None  # the first stage learns a model; tests compare the stages with brute force
 
@@ -24,27 +25,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines of recurring templates, and long lines that recur at all, from all documents but the first; documents stay."""
+    """Drops lines of recurring templates, and long lines that recur at all, from all documents but the first; documents stay.
+
+    Near copies count as one document and keep or lose the same lines, so the next stage finds them as they are.
+    Null, empty and repeated texts pass; columns of any name pass, n_chars (if there is one) is counted anew.
+    """
     prepare(spark)
-    rest = line_templates.without_recurring_lines(docs, LINES).drop("n_lines", "n_dropped")
-    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return rest.withColumn("n_chars", F.when(F.col("text").isNotNull(), n_chars).otherwise(F.col("n_chars"))).select(docs.columns)
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"), NEAR)
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), "doc_id", "text")
+    rest = line_templates.without_recurring_lines(own, LINES, classes)
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("text").isNotNull(), counted).otherwise(F.col("document.n_chars"))
+    return rest.select(*(new.get(c, F.col(f"document.`{c}`")).alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, that with the smallest doc_id."""
     prepare(spark)
-    return minhash.one_of_each(docs, minhash.Options(shingle_words=5, percent=80))
+    return minhash.one_of_each(docs, NEAR)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them."""
+    """Rows as often as the mix takes them; null and empty texts have no words and are never taken, a null source is one."""
     prepare(spark)
     return mixing.mixed(docs)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row."""
+    """Token ids of each row; a null or empty text has none, repeated rows are encoded alike."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return prefix_bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
 
