@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from logloom.session import configure, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"  # fixed value: a word is a run of other characters than ASCII white space
-BATCH_BYTES = "16m"  # most bytes in one Arrow batch, so that long texts come in few rows
+BATCH_BYTES = "4m"  # most bytes in one Arrow batch, so that long texts come in few rows
 
 
 def prepare(spark: SparkSession) -> SparkSession:
