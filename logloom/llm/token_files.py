@@ -32,15 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logloom.llm.common import stored, worker_state
 from logloom.llm.files import mapped, opened, written
-from logloom.llm.pieces import PieceCache
+from logloom.llm.pieces import ColumnPieces
 
 END_ID = 2
 NO_ID = -(1 << 63)
-TEXTS_AT_ONCE = 1024
+TEXTS_AT_ONCE = 8192
 REMEMBERED = 250_000  # pieces of text
 CHARS_AT_ONCE = 1 << 22
-# How byte-level tokenizers split text, and the characters they write bytes as.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The characters that byte-level tokenizers write bytes as.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in _VISIBLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 
@@ -86,7 +85,7 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
 
     if not is_byte_level(tokenizer):
         return whole
-    split = PieceCache(regex.compile(PATTERN), pieces, REMEMBERED).texts
+    split = ColumnPieces(pieces, REMEMBERED).texts
     names = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
     if not names:
         return split
