@@ -8,7 +8,9 @@ priority queue ordered by how far from the query a branch begins, and stops wher
 reached are ranked by their exact distances in double precision.
 
 Vectors of a leaf stay together in pages of neighbouring leaves, and queries travel to the pages they
-reach, in blocks of at most about ``QUERY_BLOCK`` queries; no page and no block is larger for a larger table.
+reach. A page that many queries reach is read once for each ``QUERY_BLOCK`` of them, and one that holds many
+vectors is cut into slices of about ``SLICE_ROWS``, each of which meets all the page's queries; pages that no
+query reaches are not read. So no task holds more for a larger table, and vectors travel about as often as queries.
 Equal vectors are one vector with its smallest ids, so copies neither fill leaves nor tie tasks: more
 than ``neighbours`` + 1 of them can't be in any answer.
 
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logloom.llm.common import stored
+from logloom.llm.common import small, stored
 
 TREES = 4
 LEAF_ROWS = 128
@@ -37,6 +39,8 @@ PAGE_ROWS = 4096
 REACH = 0.12
 SAMPLE_FLOATS = 1_000_000
 QUERY_BLOCK = 5000
+SLICE_ROWS = 8192
+PAGES_BROADCAST = 200_000
 SEED = 5
 
 
@@ -151,7 +155,6 @@ def nearest(rows: DataFrame, is_query: Column, neighbours: int = 10) -> DataFram
     total = vectors.count()
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "vector").distinct()
     asked = stored(asked.join(vectors.select("uid", "vector"), "vector"), "queries")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
     parts, wanted = 1 << 20, max(1, SAMPLE_FLOATS // size)
     share = min(parts, math.ceil(parts * wanted / total))
@@ -189,7 +192,7 @@ def nearest(rows: DataFrame, is_query: Column, neighbours: int = 10) -> DataFram
                 yield pa.RecordBatch.from_pydict(columns)
 
     def ranked(page: pa.Table, queries: pa.Table) -> pa.Table:
-        """The nearest vectors of one page for each of its queries."""
+        """The nearest vectors of a slice of a page for each query of a block."""
         columns: dict[str, list] = {"query": [], "uid": [], "score": [], "ids": []}
         if page.num_rows and queries.num_rows:
             leaf, uids, ids = page["leaf"].to_numpy(), page["uid"].to_numpy(), page["ids"].to_pylist()
@@ -207,12 +210,28 @@ def nearest(rows: DataFrame, is_query: Column, neighbours: int = 10) -> DataFram
         kinds = pa.schema([("query", pa.int64()), ("uid", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
         return pa.table(columns, kinds)
 
-    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")
+    page = ("tree", "page")
     places = "tree long, page long, leaf long, uid long, vector array<double>, ids array<long>"
-    index = vectors.mapInArrow(indexed, places).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    index = vectors.mapInArrow(indexed, places)
     once = asked.select("uid", "vector").dropDuplicates(["uid"])
-    probes = once.mapInArrow(searched, "tree long, page long, query long, vector array<double>, leaves array<long>").select("*", block)
-    keys = ("tree", "page", "block")
+    wanted_pages = "tree long, page long, query long, vector array<double>, leaves array<long>"
+    probes = stored(once.mapInArrow(searched, wanted_pages), "probes")
+
+    held, asking = (f.groupBy(*page).agg(F.count("*").alias("rows")) for f in (index, probes))
+    slices, blocks = (F.ceil(f["rows"] / most).alias(n) for f, most, n in ((held, SLICE_ROWS, "slices"), (asking, QUERY_BLOCK, "blocks")))
+    pages = stored(held.join(asking, [*page]).select(*page, slices, blocks), "pages")
+    if small(pages, PAGES_BROADCAST):
+        pages = F.broadcast(pages)
+
+    def part(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count))
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    index = index.join(pages, [*page]).withColumns({"slice": part("uid", "slices"), "block": every("blocks")}).drop("slices", "blocks")
+    probes = probes.join(pages, [*page]).withColumns({"block": part("query", "blocks"), "slice": every("slices")}).drop("slices", "blocks")
+    keys = (*page, "slice", "block")
     found = index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(ranked, "query long, uid long, score double, ids array<long>")
 
     by_distance = Window.partitionBy("query_id").orderBy("score", "vec_id")

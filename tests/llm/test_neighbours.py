@@ -70,3 +70,13 @@ def test_the_queue_gives_the_nearest_leaves_first():
     assert len(set(reached)) == len(reached)
     everything = forest.reached(vectors[5], np.inf, 0)
     assert len(everything) == nn.TREES * 16 and everything[: len(reached)] == reached
+
+
+def test_slices_and_blocks_of_a_page_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(n, rng.standard_normal(6).tolist()) for n in range(1500)] + [(2000 + n, [1.0] * 6) for n in range(30)]
+    frame, asks = table(spark, rows), F.col("vec_id") % 10 == 0
+    whole = answers(nn.nearest(frame, asks))
+    for name, value in (("SLICE_ROWS", 100), ("QUERY_BLOCK", 7), ("PAGES_BROADCAST", 0)):
+        monkeypatch.setattr(nn, name, value)
+    assert answers(nn.nearest(frame, asks)) == whole and len(whole) == 153
