@@ -5,8 +5,8 @@ them. Documents with equal sets are one class from the start; everything below i
 
 Candidates come from inverted lists of retained values. Two classes with a Jaccard similarity of at
 least ``percent`` share ``needed`` retained values or more: exactly so where the sets are no larger than
-their sketches, else with room for more than six standard deviations of the overlap. So in any common order
-of the values, each of them has a shared value among its first ``retained - needed + 1``. The order is by
+their sketches, else but for a chance of at most ``LOSS`` by the exact binomial tail (hash values drawn without
+replacement spread less than that). So in any common order of the values, each of them has a shared value among its first ``retained - needed + 1``. The order is by
 length of the value's list, shortest first, so lists of frequent values are hardly used; values that no
 other class retains stand first and make no list.
 
@@ -16,7 +16,8 @@ blocks: each task holds the sets of two blocks of the pivot's members and return
 them, never all pairs. Jaccard distance is a metric, so classes beyond twice the limit from the pivot need
 no comparison with its links. No list is cut.
 
-The estimate from the union's sketch drops pairs that are clearly apart; the others are confirmed on
+The estimate from the union's sketch drops pairs that share fewer values than that, so the same chance covers both
+steps: of a thousand million pairs at the limit one may go unseen, and fewer above it. The others are confirmed on
 their full sets. Components come from confirmed links.
 
 Without words (or text) a document is linked with nothing. Fewer words than a shingle are one shingle.
@@ -30,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ from logloom.llm.common import give_back, packed, small, stored, unpacked, worke
 from logloom.llm.components import components
 
 K = 64
+LOSS = 1e-9
 SMALL_LIST = 24
 BLOCK_MEMBERS = 400  # classes and shingles of one of the two blocks that meet in a task, on average
 BLOCK_SHINGLES = 400_000
@@ -56,16 +59,23 @@ class Options:
     percent: int = 80
     k: int = K
 
+    def least_shared(self, percent: float) -> int:
+        """Pairs of ``percent`` share fewer of their union's ``k`` smallest values with a chance of at most ``LOSS``."""
+        share, below = percent / 100, 0.0
+        for shared in range(self.k):
+            below += comb(self.k, shared) * share**shared * (1 - share) ** (self.k - shared)
+            if below > LOSS:
+                return shared
+        return self.k
+
     @property
     def most_needed(self) -> int:
-        """Shared retained values that a similar pair of large sets always has, to six deviations."""
-        share = self.percent / 100
-        return max(1, int(self.k * share - 6 * (self.k * share * (1 - share)) ** 0.5))
+        """Shared retained values that a similar pair of large sets has."""
+        return max(1, self.least_shared(self.percent))
 
     def likely(self, percent: float) -> float:
-        """An estimate below which a pair's similarity is below ``percent`` for all practical purposes."""
-        share = percent / 100
-        return share - 4.5 * (share * (1 - share) / self.k) ** 0.5
+        """An estimate below which a pair's similarity is below ``percent``."""
+        return self.least_shared(percent) / self.k
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:

@@ -1,6 +1,9 @@
 import random
 import re
+from fractions import Fraction
+from math import comb
 
+import numpy as np
 import pytest
 from cases import DOCUMENTS, documents
 
@@ -121,3 +124,22 @@ def test_components_of_chains_and_stars(spark):
     found = components(spark.createDataFrame(links, "a long, b long"))
     assert {r["node"]: r["component"] for r in found.collect()} == parent
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_tail_of_the_overlap():
+    options = Options()
+    assert [options.least_shared(p) for p in (0, 60, 80, 100)] == [0, 15, 30, 64]
+    for percent in (60, 80):
+        least, share = options.least_shared(percent), Fraction(percent, 100)
+        chance = [comb(64, n) * share**n * (1 - share) ** (64 - n) for n in range(least + 1)]
+        assert sum(chance[:-1]) <= minhash.LOSS < sum(chance)
+
+
+def test_estimates_of_sets_at_the_limit():
+    """Sets that share exactly 80 % of their union keep to the tail: none of many falls below it."""
+    rng, options = np.random.default_rng(9), Options()
+    for _ in range(3000):
+        union = rng.choice(1 << 40, 1000, replace=False)
+        shared = set(union[:800].tolist())
+        smallest = np.sort(union)[: options.k].tolist()
+        assert len(shared.intersection(smallest)) >= options.least_shared(80)
