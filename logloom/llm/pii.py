@@ -6,9 +6,10 @@ within their kind, of which those that fail their check go. They are found in ti
 The base spans label a sample of windows, of which some are written differently (``VARIANTS``: other
 separators, no plus sign, an @ in brackets). A character-level bidirectional LSTM with CRF transitions
 learns from them (``tagger``), and from windows with digits or an @ that hold no span. Texts are decoded
-in overlapping windows; windows without a digit and without an @ can hold none of the kinds and are not
-decoded. The spans of all windows of a text are reconciled: pieces of one kind that overlap or touch are one
-span, of overlapping kinds the longest stays, and base spans stand. A new span must still be a proper
+in overlapping windows, with the result of decoding every window: no new span is without a digit, an @ or an
+``at`` in brackets, so windows with one of these are decoded first, and then all that a piece found so far reaches
+or touches, until there are no more. The spans of all windows of a text are reconciled: pieces of one kind that
+overlap or touch are one span, of overlapping kinds the longest stays, and base spans stand. A new span must still be a proper
 address or number when its separators are read leniently (``proper``), so that clean text is left alone.
 
 Sample: at most ``PER_KIND`` windows of each kind and as many without any, those with the smallest hashes
@@ -53,6 +54,7 @@ _DIGITS = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 _PHONE = re.compile(PHONE)
 _DIGIT = re.compile("[0-9]")
 _TRIGGERS = re.compile("[0-9@]+")
+_NEEDED = re.compile(r"[0-9@]+|[\[(]\s*at\s*[\])]")  # what every proper span holds one of
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 Span = tuple[int, int, int]  # start, place of its kind in KINDS, end
 
@@ -198,11 +200,16 @@ def allowed_steps() -> np.ndarray:
     return found
 
 
+def last_window(size: int) -> int:
+    """The number of the last window of a text with ``size`` characters."""
+    return max(0, -(-(size - WIDTH) // STRIDE))
+
+
 def window_starts(text: str) -> np.ndarray:
-    """Where the windows that hold a digit or an @ begin."""
+    """Where the windows begin that hold something of what every proper span has."""
     found: list[np.ndarray] = []
-    last = max(0, -(-(len(text) - WIDTH) // STRIDE))
-    for run in _TRIGGERS.finditer(text):
+    last = last_window(len(text))
+    for run in _NEEDED.finditer(text):
         low = max(0, (run.start() - WIDTH) // STRIDE + 1)
         found.append(np.arange(min(low, last), min((run.end() - 1) // STRIDE, last) + 1))
     return np.unique(np.concatenate(found)) * STRIDE if found else np.zeros(0, np.int64)
@@ -354,19 +361,33 @@ class Decoder:
     def pieces(self) -> dict[int, list[Span]]:
         """Spans of each text's windows, in the order of the texts."""
         found: dict[int, list[Span]] = {}
-        owners = np.concatenate([np.full(len(s), n) for n, (_, _, s) in enumerate(self.texts)] or [np.zeros(0, np.int64)])
-        starts = np.concatenate([s for _, _, s in self.texts] or [np.zeros(0, np.int64)])
-        for at in range(0, len(owners), WINDOWS_AT_ONCE):
-            own, begin = owners[at : at + WINDOWS_AT_ONCE], starts[at : at + WINDOWS_AT_ONCE]
+        decoded = [set(starts.tolist()) for _, _, starts in self.texts]
+        todo = [(n, start) for n, starts in enumerate(decoded) for start in sorted(starts)]
+        while todo:
+            reached = set()
+            for owner, kind, start, end in self._decoded(todo):
+                found.setdefault(self.texts[owner][0], []).append((start, kind, end))
+                last = last_window(len(self.texts[owner][1]))
+                for n in range(max(0, -(-(start - WIDTH) // STRIDE)), min(end // STRIDE, last) + 1):
+                    if n * STRIDE not in decoded[owner]:
+                        decoded[owner].add(n * STRIDE)
+                        reached.add((owner, n * STRIDE))
+            todo = sorted(reached)
+        self.texts, self.windows = [], 0
+        return found
+
+    def _decoded(self, windows: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, kind, start, end) of the pieces in windows (text, start)."""
+        for at in range(0, len(windows), WINDOWS_AT_ONCE):
+            own = windows[at : at + WINDOWS_AT_ONCE]
             rows = np.zeros((len(own), WIDTH), np.uint8)
-            for n, (owner, start) in enumerate(zip(own.tolist(), begin.tolist())):
+            for n, (owner, start) in enumerate(own):
                 part = self.texts[owner][1][start : start + WIDTH]
                 rows[n, : len(part)] = part
             lengths = (rows > 0).sum(1)
             for row, kind, start, end in tagger.runs(tagger.decode(self.weights, rows, lengths)):
-                found.setdefault(self.texts[int(own[row])][0], []).append((int(begin[row]) + start, kind, int(begin[row]) + end))
-        self.texts, self.windows = [], 0
-        return found
+                owner, begin = own[row]
+                yield owner, kind, begin + start, begin + end
 
 
 _SPANS = "array<struct<kind: string, start: long, end: long>>"

@@ -227,3 +227,34 @@ def test_awkward_rows(spark, weights):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert pii.train(docs) is None and pii.personal_data(docs, None).collect() == []
+
+
+def every_window(text, weights):
+    """All spans of a text, each of its windows decoded whatever it holds."""
+    pieces = []
+    for start in range(0, max(1, len(text) - pii.WIDTH + pii.STRIDE) if text else 0, pii.STRIDE):
+        part = text[start : start + pii.WIDTH]
+        for _, kind, low, high in tagger.runs(tagger.decode(weights, pii.classes(part)[None], np.array([len(part)]))):
+            pieces.append((start + low, kind, start + high))
+    return pii.reconciled(text, pieces, pii.base_spans(text))
+
+
+def test_spans_equal_those_of_every_window(spark, monkeypatch, weights):
+    monkeypatch.setattr(pii, "WINDOWS_AT_ONCE", 5)
+    rnd = random.Random(11)
+    words = ["the", "of", "on", "report", "Wagen", "était", "end."]
+    marks = ["(at)", " [at] ", " (at) ", "[at]", "@", " @ "]
+    rows = []
+    for n in range(120):
+        found = [rnd.choice(words) for _ in range(rnd.randint(0, 120))]
+        name = lambda: "".join(rnd.choice("abcdefgh.") for _ in range(rnd.randint(3, 60))).strip(".")
+        for _ in range(n % 4):
+            host = ".".join("".join(rnd.choice("klmn") for _ in range(rnd.randint(2, 40))) for _ in range(rnd.randint(2, 5)))
+            found.insert(rnd.randint(0, len(found)), f"call x{name()}{rnd.choice(marks)}{host} now")
+        rows.append((n, " ".join(found), "en", "s"))
+    bare = 0
+    for row in pii.personal_data(documents(spark, rows), weights).collect():
+        text = rows[row["doc_id"]][1]
+        assert listed(row["spans"]) == every_window(text, weights)
+        bare += sum("at" in text[s:e] and not re.search("[0-9@]", text[max(0, s - 48) : e + 48]) for s, _, e in listed(row["spans"]))
+    assert bare > 0  # no digit and no @ anywhere near
