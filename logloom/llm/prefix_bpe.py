@@ -35,6 +35,7 @@ from logloom.llm.token_files import groups
 NEVER = 1 << 40  # a rank beyond all
 PAIRS_REMEMBERED = 250_000
 REMEMBERED = 80_000  # pieces of text
+CHARS_AT_ONCE = 1 << 19  # of texts that are split together; each of their pieces is an object
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -224,7 +225,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
         own = codec(path, pattern)
         for batch in batches:
             doc_ids, at = batch.column("doc_id"), 0
-            for texts in groups([t or "" for t in batch.column("text").to_pylist()]):
+            for texts in groups([t or "" for t in batch.column("text").to_pylist()], CHARS_AT_ONCE):
                 ids = own.encode(texts)
                 columns = {"doc_id": doc_ids.slice(at, len(ids)), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
                 if digests:

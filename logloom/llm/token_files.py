@@ -103,11 +103,11 @@ def text_encoder(path: str, dtype: str) -> Callable[[list[str]], list[bytes]]:
     return texts
 
 
-def groups(texts: list[str]) -> Iterator[list[str]]:
+def groups(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
     """Texts in order, few at a time where they are long."""
     held, chars = [], 0
     for text in texts:
-        if held and (len(held) >= TEXTS_AT_ONCE or chars + len(text) > CHARS_AT_ONCE):
+        if held and (len(held) >= TEXTS_AT_ONCE or chars + len(text) > most):
             yield held
             held, chars = [], 0
         held.append(text)

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from cases import DOCUMENTS, LONG, documents
@@ -88,3 +89,23 @@ def test_documents(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(documents(spark, []), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+class Docs:
+    """Gives the function that a query would run over batches."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_few_characters_are_split_together(spark, monkeypatch):
+    """A batch of many texts does not become piece objects all at once."""
+    own, most = bpe.codec(PATH, public_tokenizers.PATTERN), []
+    monkeypatch.setattr(own.cache, "texts", lambda texts: most.append(sum(map(len, texts))) or [b""] * len(texts))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400), pa.int64()), "text": ["some words " * 1000] * 400})
+    run = bpe.encode_documents(Docs(), PATH, public_tokenizers.PATTERN)
+    assert sum(len(b) for b in run(iter([batch]))) == 400
+    assert max(most) <= 1 << 19
