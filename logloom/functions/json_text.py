@@ -96,16 +96,15 @@ def js_number_text(number: Column) -> Column:
     )
 
 
-def scalar_text(value: Column, kind: Column) -> Column:
-    """Text of a JSON scalar; NULL for arrays and objects."""
-    number = value.cast("double")
-    text = value.cast("string")
+def scalar_text(text: Column, kind: Column) -> Column:
+    """Text of a JSON scalar of this kind from its plain one; NULL for arrays and objects."""
+    number = text.try_cast("double")
     # Up to 15 significant digits a decimal prints like the double it stands for.
     short_decimal = kind.startswith("DECIMAL") & (F.length(text) <= 15) & (F.abs(number) >= 1e-6)
     return (
         F.when(kind.isin("STRING", "BOOLEAN"), text)
         .when(kind == "VOID", F.lit("null"))
-        .when((kind == "BIGINT") & (F.abs(value.cast("double")) < MAX_SAFE_INTEGER), text)
+        .when((kind == "BIGINT") & (F.abs(number) < MAX_SAFE_INTEGER), text)
         .when(short_decimal, text)
         .when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE"), js_number_text(number))
     )

@@ -20,6 +20,7 @@ from logloom.schema import PROMOTED_FIELDS
 DEFAULT_LEVEL = "INFO"
 DEFAULT_EVENT = "log.event"
 INGESTED, BLANK, BAD = "record", "blank", "parse_error"
+_TYPED = ("timestamp", "level", "event", "message", "audit")  # members that are read by their kind
 
 
 def has_audit_segment(path: Column) -> Column:
@@ -52,21 +53,26 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
     Reads ``line``, ``parsed`` and ``path``; other columns pass through. ``now`` is the ISO
     text used where a record has no timestamp of its own.
     """
+    # Both maps list the members in the same order. Texts are made once for all members: taking a variant
+    # out of a line and casting it costs more than everything else here.
+    members = F.try_variant_get(F.col("parsed"), "$", "map<string,variant>")
+    as_text = F.try_variant_get(F.col("parsed"), "$", "map<string,string>")
+    found = bind(records, _kinds=F.transform_values(members, lambda _, value: json_kind(value)), _texts=as_text)
     typed = bind(
-        records.withColumn("_members", F.try_variant_get(F.col("parsed"), "$", "map<string,variant>")).drop("parsed"),
-        _names=F.map_keys("_members"),
-        _values=F.map_values("_members"),
-        _value_kinds=F.transform(F.map_values("_members"), json_kind),
-    ).withColumn("_kinds", F.map_from_arrays("_names", "_value_kinds"))
+        found.drop("parsed"),
+        _names=F.map_keys("_kinds"),
+        **{f"_{name}_kind": F.coalesce(F.try_element_at("_kinds", F.lit(name)), F.lit("ABSENT")) for name in _TYPED},
+        **{f"_{name}_text": F.try_element_at("_texts", F.lit(name)) for name in _TYPED},
+    )
 
     def kind(name: str) -> Column:
-        return F.coalesce(F.try_element_at("_kinds", F.lit(name)), F.lit("ABSENT"))
+        return F.col(f"_{name}_kind")
 
-    def member(name: str) -> Column:
-        return F.try_element_at("_members", F.lit(name))
+    def text(name: str) -> Column:
+        return F.col(f"_{name}_text")
 
     def non_empty_string(name: str) -> Column:
-        return F.when(kind(name) == "STRING", F.nullif(member(name).cast("string"), F.lit("")))
+        return F.when(kind(name) == "STRING", F.nullif(text(name), F.lit("")))
 
     message_kind = kind("message")
     message = (
@@ -77,20 +83,20 @@ def normalize(records: DataFrame, now: str) -> DataFrame:
             message_kind.startswith("OBJECT") | message_kind.startswith("ARRAY"),
             canonical_numbers(F.from_json("line", "message string")["message"]),
         )
-        .otherwise(scalar_text(member("message"), message_kind))
+        .otherwise(scalar_text(text("message"), message_kind))
     )
     audit_kind = kind("audit")
     audit_value = (
-        F.when(audit_kind == "BOOLEAN", member("audit").cast("boolean"))
+        F.when(audit_kind == "BOOLEAN", text("audit") == "true")
         .when(
             audit_kind.startswith("DECIMAL") | audit_kind.isin("BIGINT", "DOUBLE"),
-            member("audit").cast("double") != 0,
+            text("audit").try_cast("double") != 0,
         )
-        .when(audit_kind == "STRING", text_to_boolean(member("audit").cast("string")))
+        .when(audit_kind == "STRING", text_to_boolean(text("audit")))
     )
-    texts = F.map_from_arrays("_names", F.zip_with("_values", "_value_kinds", scalar_text))
+    texts = F.map_from_arrays("_names", F.zip_with(F.map_values("_texts"), F.map_values("_kinds"), scalar_text))
     fields = F.coalesce(
-        F.map_filter(texts, lambda _, text: text.isNotNull()),
+        F.map_filter(texts, lambda _, value: value.isNotNull()),
         F.create_map().cast("map<string,string>"),
     )
     derived = {

@@ -296,3 +296,12 @@ def test_running_over_blocks(spark):
         assert row["top"] == max((n for n in earlier if n * 7 % 11 < 5), default=None)
     before = {r["id"]: r["t"] for r in running(table, ["g"], "id", {"t": ("sum", F.col("v"))}, False, 8).collect()}
     assert before == {r["id"]: r["total"] - r["v"] for r in rows}
+
+
+def test_members_are_cast_to_text_once_for_a_line(spark):
+    lines = spark.createDataFrame([('{"message":1.50,"audit":0,"n":12345678901234567890,"o":{"b":1}}', "/x")], "line string, path string")
+    entries = entries_from_lines(lines, "now")
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert "_texts" in plan and "_members" not in plan  # no variant of a member lives on to be cast again
+    (row,) = entries.collect()
+    assert (row["message"], row["is_audit"], row["fields"]["n"]) == ("1.5", False, "12345678901234567000")
