@@ -147,12 +147,13 @@ def _sized(frame: DataFrame) -> DataFrame:
 
 def inverted_lists(classes: DataFrame, options: Options) -> DataFrame:
     """value, node, n and members (of the list): the lists that have two classes or more."""
-    retained = classes.select("node", "n", F.explode("sketch").alias("value"))
+    retained = classes.select("node", F.explode("sketch").alias("value"))
     lengths = retained.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
     shared = (
         retained.join(lengths, "value")
         .groupBy("node")
-        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("length", "value"))).alias("shared"))
+        .agg(F.sort_array(F.collect_list(F.struct("length", "value"))).alias("shared"))
+        .join(classes.select("node", "n"), "node")  # a size for each class, not one for each value
     )
     held = F.least("n", F.lit(options.k))
     needed = F.least(F.ceil(F.col("n") * options.percent / 100), F.lit(options.most_needed))

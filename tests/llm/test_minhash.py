@@ -143,3 +143,19 @@ def test_estimates_of_sets_at_the_limit():
         shared = set(union[:800].tolist())
         smallest = np.sort(union)[: options.k].tolist()
         assert len(shared.intersection(smallest)) >= options.least_shared(80)
+
+
+def test_sizes_are_not_moved_with_every_value(spark, monkeypatch):
+    """A class's size is joined once a class; the rows for its values hold only the value and the class."""
+    plans, kept = [], minhash.stored
+
+    def stored(frame, label):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return kept(frame, label)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    classes = spark.createDataFrame([(n, 2, [1, 2]) for n in range(3)], "node long, n long, sketch array<long>")
+    rows = minhash.inverted_lists(classes, Options()).collect()
+    assert sorted((r["value"], r["node"], r["n"], r["members"]) for r in rows) == [(1, n, 2, 3) for n in range(3)]
+    aggregated = [line for line in plans[0].splitlines() if "collect_list" in line]
+    assert aggregated and not any("first(n#" in line for line in aggregated)
