@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.times import iso_millis, utc_ntz
+from logloom.session import scratch_path
+from logloom.sources.byte_ranges import delete_file, list_folder, locate
+from logloom.sources.files import BEING_WRITTEN, MAX_TASKS, delete_path, path_prefix, root_path
 from logloom.sources.payloads import (
     DEFAULT_MAX_BODY_BYTES,
     assign_producers,
@@ -15,6 +25,10 @@ from logloom.sources.payloads import (
 # Fixed value: what a producer id may look like.
 PRODUCER_ID_PATTERN = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 INGEST_FOLDER = "ingest"
+FOLDERS_AT_ONCE = 1000  # folders that a task fills
+# As Spark names the folders of partitions.
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def stamp_records(records: DataFrame) -> DataFrame:
@@ -63,30 +77,102 @@ def request_report(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _folder(values: dict[str, str | None]) -> str:
+    return "/".join(f"{name}={_ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', value or '') or _NO_VALUE}" for name, value in values.items())
+
+
+def _runs(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+    return zip(edges, edges[1:])
+
+
+def _write_lines(prefix: str, staging: str, day: str, batch: str):
+    """Write each producer's rows to one file; returns the files (``name``) and where they belong (``folder``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, top = locate(prefix, staging)
+        own = f"{top}/{uuid.uuid4().hex}"  # a task that is run again writes files of its own
+        filesystem.create_dir(own, recursive=True)
+        written: list[str | None] = []
+        file = None
+        try:
+            for rows in batches:
+                for start, end in _runs(rows.column("producer")) if rows.num_rows else ():
+                    producer = rows.column("producer")[start].as_py()
+                    if file is None or producer != written[-1]:
+                        if file is not None:
+                            file.close()
+                        file = filesystem.open_output_stream(f"{own}/{len(written)}")
+                        written.append(producer)
+                    lines = pc.fill_null(rows.column("line").slice(start, end - start), "")
+                    file.write("".join(f"{text}\n" for text in lines.to_pylist()).encode())
+        finally:
+            if file is not None:
+                file.close()
+        folders = [_folder({"producer": producer, "day": day, "batch": batch}) for producer in written]
+        names = [f"{own.rpartition('/')[2]}/{n}" for n in range(len(written))]
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(folders, pa.string()), "name": pa.array(names, pa.string())})
+
+    return run
+
+
+def _publish(prefix: str, staging: str, target: str):
+    """Put the files of each folder in the place of those it holds; what is there already stays when a task is run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, top = locate(prefix, target)
+        _, source = locate(prefix, staging)
+        for batch in batches:
+            for row in batch.to_pylist():
+                new = {f"part-{name.replace('/', '-')}.txt": name for name in row["names"]}
+                folder = f"{top}/{row['folder']}"
+                filesystem.create_dir(folder, recursive=True)
+                there = {info.base_name for info in list_folder(prefix, f"{target}/{row['folder']}")}
+                for name, staged in new.items():
+                    if name not in there:
+                        filesystem.move(f"{source}/{staged}", f"{folder}/{name}")
+                for name in there.difference(new):
+                    delete_file(prefix, f"{target}/{row['folder']}/{name}")
+            yield pa.RecordBatch.from_pydict({"files": pa.array([len(names) for names in batch.column("names").to_pylist()], pa.int64())})
+
+    return run
+
+
 def write_producer_files(stamped: DataFrame, root: str, batch: str, flushed_at: str) -> None:
     """Write accepted records below ``root``/ingest by producer and UTC day of the flush.
 
     Files carry the name of the batch: writing the same batch again replaces its files, so a
-    repeated batch adds nothing. Busy producers are split over several files.
+    repeated batch adds nothing. Busy producers are split over several files. There may be very many
+    producers, so tasks write the files aside and then put them in their places; the driver touches none.
     """
+    spark = stamped.sparkSession
+    target = f"{root.rstrip('/')}/{INGEST_FOLDER}"
+    staging = f"{target}/{BEING_WRITTEN}/{uuid.uuid4().hex}"
+    place = path_prefix(spark, root), root_path(spark, staging)
     rows = stamped.where(F.col("line").isNotNull()).select(
-        "line",
-        "received_at",
-        "request_id",
-        "position",
-        F.col("producer_id").alias("producer"),
-        F.lit(flushed_at[:10]).alias("day"),
-        F.lit(batch).alias("batch"),
+        "line", "received_at", "request_id", "position", F.col("producer_id").alias("producer")
     )
+    listed = scratch_path(spark, "producer-files")
     (
         rows.hint("rebalance", "producer")
         .sortWithinPartitions("producer", "received_at", "request_id", "position")
-        .select("line", "producer", "day", "batch")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("producer", "day", "batch")
-        .text(f"{root.rstrip('/')}/{INGEST_FOLDER}")
+        .select("line", "producer")
+        .mapInArrow(_write_lines(*place, flushed_at[:10], batch), "folder string, name string")
+        .write.parquet(listed)
+    )
+    written = spark.read.schema("folder string, name string").parquet(listed)
+    tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, written.count() // FOLDERS_AT_ONCE + 1))
+    (
+        written.repartition(tasks, "folder")
+        .groupBy("folder")
+        .agg(F.collect_list("name").alias("names"))
+        .mapInArrow(_publish(*place, root_path(spark, target)), "files bigint")
+        .agg(F.sum("files"))
+        .collect()
     )
+    delete_path(spark, staging)
 
 
 def parse_producer_mappings(mappings: DataFrame) -> DataFrame:

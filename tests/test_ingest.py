@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,26 @@ def test_repeated_flush_replaces_files(spark, tmp_path):
     assert found == {(p, "2026-02-18", b): n for p, n in (("frontend-web", 2), ("ops", 1)) for b in ("b0", "b1")}
 
 
+def test_many_producers_are_written_by_tasks(spark, tmp_path):
+    def flush(root, producers):
+        rows = [(f"r{n}", producers[n % len(producers)], n % 3, f'{{"n":{n}}}') for n in range(1200)]
+        stamped = spark.createDataFrame(rows, "request_id string, producer_id string, position int, line string")
+        begun = time.time()
+        write_producer_files(stamped.withColumn("received_at", F.to_timestamp(F.lit("2026-02-17T10:00:00Z"))), root, "b0", "2026-02-18T00:00:00Z")
+        return time.time() - begun
+
+    root = str(tmp_path / "few")
+    odd = ["a b", "c/d=e%", "ü", None]
+    flush(root, odd)
+    once = min(flush(root, odd) for _ in range(2))
+    found = spark.read.text(f"{root}/ingest").groupBy("producer").count().collect()
+    assert {r["producer"]: r["count"] for r in found} == dict.fromkeys(odd, 300)
+    many = flush(str(tmp_path / "many"), [f"p{n}" for n in range(600)])
+    assert spark.read.text(str(tmp_path / "many" / "ingest")).groupBy("producer").count().count() == 600
+    assert many < once + 3  # the driver moved every folder by itself, some 13 ms each
+    assert os.listdir(tmp_path / "many" / "ingest" / "_temporary") == []
+
+
 @pytest.mark.parametrize(
     "mapping,problems",
     [
