@@ -14,7 +14,7 @@ from logloom.sources.byte_ranges import (
     line_batches,
     line_count,
     open_file,
-    range_bytes,
+    range_blocks,
 )
 from logloom.sources.files import path_prefix
 from logloom.sources.numbering import running_base
@@ -43,15 +43,15 @@ def _limits(prefix: str, include_unterminated: bool):
     return run
 
 
-def _read_range(prefix: str, row: dict) -> bytes:
+def _read_range(prefix: str, row: dict) -> Iterator[bytes]:
     with open_file(prefix, row["path"]) as source:
-        return range_bytes(source, row["start"], row["end"], row["first"], row["limit"])
+        yield from range_blocks(source, row["start"], row["end"], row["first"], row["limit"])
 
 
 def _counts(prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [line_count(_read_range(prefix, row)) for row in batch.to_pylist()]
+            counts = [sum(map(line_count, _read_range(prefix, row))) for row in batch.to_pylist()]
             yield batch.append_column("range_lines", pa.array(counts, pa.int64()))
 
     return run
@@ -61,8 +61,10 @@ def _lines(prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for at, text in line_batches(_read_range(prefix, row)):
-                    seq = np.arange(row["seq_base"] + at + 1, row["seq_base"] + at + len(text) + 1)
+                before = row["seq_base"]
+                for text in (lines for block in _read_range(prefix, row) for _, lines in line_batches(block)):
+                    seq = np.arange(before + 1, before + len(text) + 1)
+                    before += len(text)
                     fixed = [pa.repeat(pa.scalar(row[name], kind), len(text)) for name, kind in _FIXED]
                     number = seq + (row["lines_before"] - row["file_base"])
                     yield pa.RecordBatch.from_arrays([*fixed, pa.array(number), pa.array(seq), text], [*(n for n, _ in _FIXED), "line_number", "line_seq", "line"])

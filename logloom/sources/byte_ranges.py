@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 
 RANGE_BYTES = 32 * 1024 * 1024
+READ_BYTES = 1024 * 1024  # of a range that a task holds at once
 _BLOCK = 64 * 1024
 _BATCH_LINES = 20_000
 
@@ -74,17 +75,33 @@ def last_line_end(source, start: int, end: int) -> int:
     return start
 
 
-def range_bytes(source, start: int, end: int, first: int, limit: int) -> bytes:
-    """The whole lines that begin inside [start, end).
+def range_blocks(source, start: int, end: int, first: int, limit: int, size: int = READ_BYTES) -> Iterator[bytes]:
+    """The whole lines that begin inside [start, end), in blocks of about ``size`` bytes that end with a line.
 
     ``first`` is where the unread part of the file begins and ``limit`` where it ends. A line
     belongs to the range it begins in, so ranges of one file neither overlap nor leave gaps.
     """
-    begin = start if start == first else next_line_start(source, start - 1, limit)
-    if begin >= end:
-        return b""
+    position = start if start == first else next_line_start(source, start - 1, limit)
+    if position >= end:
+        return
     stop = end if end >= limit else next_line_start(source, end - 1, limit)
-    return source.read_at(stop - begin, begin)
+    held: list[bytes] = []
+    while position < stop and (data := source.read_at(min(size, stop - position), position)):
+        position += len(data)
+        # A CR at the end of the block may belong to a CR LF.
+        cut = data.rfind(b"\n") + 1 or data.rfind(b"\r", 0, len(data) - 1) + 1
+        if cut:
+            yield b"".join([*held, data[:cut]])
+            held = []
+        if cut < len(data):
+            held.append(data[cut:])
+    if held:
+        yield b"".join(held)
+
+
+def range_bytes(source, start: int, end: int, first: int, limit: int) -> bytes:
+    """All of ``range_blocks`` at once."""
+    return b"".join(range_blocks(source, start, end, first, limit))
 
 
 def line_count(data: bytes) -> int:

@@ -15,7 +15,7 @@ from logloom.functions.times import canonical_millis, date_prefix, iso_from_mill
 from logloom.operators.alerts import millis_around
 from logloom.operators.filters import Cursor, clamp_limit
 from logloom.operators.running import running
-from logloom.sources.byte_ranges import last_line_end, line_array, line_count, range_bytes
+from logloom.sources.byte_ranges import last_line_end, line_array, line_count, range_blocks, range_bytes
 from logloom.sources.files import list_files, name_pattern
 from logloom.sources.lines import scan_lines
 
@@ -215,6 +215,21 @@ def test_ranges_cover_a_file_once(data, step, skip):
     assert lines == [text.decode("utf-8", "replace") for text in data[first:limit].splitlines()]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.binary(max_size=60).map(lambda b: b.replace(b"a", b"\n").replace(b"b", b"\r\n").replace(b"c", b"\r")), st.integers(1, 9))
+def test_blocks_hold_whole_lines(data, size):
+    blocks = list(range_blocks(Bytes(data), 0, len(data), 0, len(data), size))
+    assert b"".join(blocks) == data
+    assert sum(map(line_count, blocks)) == line_count(data)
+    assert [text for block in blocks for text in line_array(block).to_pylist()] == line_array(data).to_pylist()
+
+
+def test_a_range_is_not_held_whole():
+    data = b"line of text\n" * 300_000
+    blocks = list(range_blocks(Bytes(data), 0, len(data), 0, len(data)))
+    assert b"".join(blocks) == data and max(map(len, blocks)) < len(data) / 3
+
+
 @pytest.mark.parametrize("split_bytes", ["200b", "1000b"])
 def test_line_numbers_over_many_splits(spark, tmp_path, split_bytes):
     files = {"a.ndjson": 250, "sub dir/b+c%.ndjson": 40, "sub dir/empty.ndjson": 0, "z.NDJSON": 3}
