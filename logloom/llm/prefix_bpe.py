@@ -34,7 +34,7 @@ from logloom.llm.token_files import groups
 
 NEVER = 1 << 40  # a rank beyond all
 PAIRS_REMEMBERED = 250_000
-REMEMBERED = 80_000  # pieces of text
+REMEMBERED = 200_000  # pieces of text
 CHARS_AT_ONCE = 1 << 19  # of texts that are split together; each of their pieces is an object
 
 
@@ -65,10 +65,9 @@ class Vocabulary:
         self.edges: dict[tuple[bytes, bool], list[tuple[bytes, int, int]]] = {}
         self.pairs: dict[int, bool] = {}
         self.size = max(ranks.values()) + 1
-        self.starts: dict[bytes, int] = {}  # longest token by its first three bytes
-        for token in ranks:
-            self.starts[token[:3]] = max(self.starts.get(token[:3], 0), len(token))
         self.made = {token: rank for token, rank in ranks.items() if len(token) == 1 or self.half(token)}
+        # What a token may begin with; -1 for what is not one itself.
+        self.begun = {token[:n]: -1 for token in self.made for n in range(1, len(token))} | self.made
 
     def half(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None for single bytes and what no merge makes."""
@@ -168,27 +167,29 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    size, made, pairs, may_follow = len(piece), vocabulary.made, vocabulary.pairs, vocabulary.may_follow
-    starts = vocabulary.starts
-    last: list[bytes | None] = [None] * (size + 1)
-    for start in range(size):
+    size, begun, pairs, tokens = len(piece), vocabulary.begun.get, vocabulary.pairs.get, vocabulary.bytes_of
+    last = [-1] * (size + 1)
+    for end in range(1, size + 1):
+        rank = begun(piece[:end])
+        if rank is None:
+            break
+        last[end] = rank
+    for start in range(1, size):
         before = last[start]
-        base = ranks[before] * vocabulary.size if start else 0
-        for end in range(start + 1, min(size, start + starts.get(piece[start : start + 3], 2)) + 1):
-            if last[end] is None:
-                token = piece[start:end]
-                rank = made.get(token)
-                if rank is not None:
-                    if not start:
-                        last[end] = token
-                    else:
-                        known = pairs.get(base + rank)
-                        if may_follow(before, token) if known is None else known:
-                            last[end] = token
+        base = before * vocabulary.size
+        for end in range(start + 1, size + 1):
+            if last[end] < 0:
+                rank = begun(piece[start:end])
+                if rank is None:  # no token goes on like this
+                    break
+                if rank >= 0:
+                    known = pairs(base + rank)
+                    if vocabulary.may_follow(tokens[before], tokens[rank]) if known is None else known:
+                        last[end] = rank
     found, end = [], size
     while end:
-        found.append(ranks[last[end]])
-        end -= len(last[end])
+        found.append(last[end])
+        end -= len(tokens[last[end]])
     return found[::-1]
 
 

@@ -109,3 +109,22 @@ def test_few_characters_are_split_together(spark, monkeypatch):
     run = bpe.encode_documents(Docs(), PATH, public_tokenizers.PATTERN)
     assert sum(len(b) for b in run(iter([batch]))) == 400
     assert max(most) <= 1 << 19
+
+
+def test_a_walk_ends_where_no_token_goes_on():
+    ranks = {bytes([n]): n for n in range(256)}
+    for n in range(2, 60):
+        ranks[b"a" * n] = 254 + n  # long tokens that begin like the piece
+    vocabulary = bpe.Vocabulary(ranks)
+    asked = []
+
+    class Asked(dict):
+        def get(self, token, default=None):
+            asked.append(token)
+            return super().get(token, default)
+
+    vocabulary.made = Asked(vocabulary.made)
+    vocabulary.begun = Asked(getattr(vocabulary, "begun", {}))
+    piece = b"aaab" * 40
+    assert b"".join(vocabulary.bytes_of[n] for n in bpe.encode_piece(vocabulary, piece)) == piece
+    assert len(asked) <= 4 * len(piece)
