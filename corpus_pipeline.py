@@ -7,6 +7,8 @@ as often as the mix takes it.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and repeated texts pass; columns of any name pass, n_chars (if there is one) is counted anew.
     """
     prepare(spark)
-    classes = minhash.near_duplicates(docs.select("doc_id", "text"), NEAR)
+    classes = minhash.near_duplicates(docs.select("doc_id", "text"), replace(NEAR, native=True))
     own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"), "doc_id", "text")
     rest = line_templates.without_recurring_lines(own, LINES, classes)
     new = {"text": F.col("text")}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.common import stored
+from logloom.llm.common import gathered, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -19,22 +19,23 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long, a <> b) to node and component, the smallest node reachable.
 
     Each round writes its links to the shared folder, so the plan stays short and a lost executor costs
-    one round. A hub's neighbours are never gathered in one place.
+    one round. A hub's neighbours are never gathered in one place. Few links are handled in few tasks.
     """
     links, before = stored(links.select("a", "b").distinct(), "links"), None
+    rows = links.count()
     while True:
         # Nodes beyond a node go to its least neighbour; then a node and those before it do.
         around = _both_ways(links)
         large = around.join(_least(around), "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        large = large.where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        large = gathered(large.where("a <> b"), rows).distinct()
+        down = gathered(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), rows)
         least = _least(down)
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        small = small.union(least.select("a", F.col("least").alias("b"))).where("a <> b").distinct()
-        links = stored(small, "links")
+        small = small.union(least.select("a", F.col("least").alias("b"))).where("a <> b")
+        links = stored(gathered(gathered(small, 2 * rows).distinct(), rows), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(links.select("b", "b")).distinct()
+    return gathered(nodes.union(links.select("b", "b")).distinct(), rows)

@@ -20,6 +20,9 @@ The estimate from the union's sketch drops pairs that share fewer values than th
 steps: of a thousand million pairs at the limit one may go unseen, and fewer above it. The others are confirmed on
 their full sets. Components come from confirmed links.
 
+``Options(native=True)`` does the same with DataFrame functions alone: other 64-bit hashes, and two blocks meet in a join
+that gives no pair but links.
+
 Without words (or text) a document is linked with nothing. Fewer words than a shingle are one shingle.
 Null ids: such rows join the component of equal or similar rows, and stay if it has no id at all.
 Repeated rows share their component. Whole texts count; extra columns do no harm; an empty table gives
@@ -36,9 +39,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from logloom.llm.common import give_back, packed, small, stored, unpacked, worker_state
+from logloom.functions.json_text import bind
+from logloom.llm.common import gathered, give_back, packed, small, stored, unpacked, worker_state
 from logloom.llm.components import components
 
 K = 64
@@ -49,6 +53,7 @@ BLOCK_SHINGLES = 400_000
 NEAR, UNSURE, FAR = 1, 2, 4  # how a class stands to its pivot: linked, perhaps near a link, or neither
 BROADCAST_ROWS = 300_000
 WORDS_KEPT = 100_000  # words whose hashes a worker remembers
+SPACES = " \t\n\v\f\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,6 +63,7 @@ class Options:
     shingle_words: int = 5
     percent: int = 80
     k: int = K
+    native: bool = False  # DataFrame functions only
 
     def least_shared(self, percent: float) -> int:
         """Pairs of ``percent`` share fewer of their union's ``k`` smallest values with a chance of at most ``LOSS``."""
@@ -107,6 +113,24 @@ def set_key(found: np.ndarray) -> bytes | None:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
 
 
+def with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with ``members``, the sorted hashes of the distinct shingles of ``text``, by DataFrame functions."""
+    text = F.coalesce("text", F.lit(""))
+    upper, lower = ("".join(map(chr, range(c, c + 26))) for c in (65, 97))
+    only_ascii = F.octet_length(text) == F.length(text)
+    plain = F.btrim(F.when(only_ascii, F.lower(text)).otherwise(F.translate(text, upper, lower)), F.lit(SPACES))
+    words = F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, f"[{SPACES}]+", -1))
+    width = F.least(F.lit(size), F.size("_words"))
+    starts = F.when(width > 0, F.sequence(F.lit(1), F.size("_words") - width + 1)).otherwise(F.array().cast("array<int>"))
+    hashes = F.transform(starts, lambda at: F.xxhash64(F.slice("_words", at, width)))
+    # Bound, so that no filter on them is pushed below and splits the text again for each shingle.
+    return bind(bind(rows, _words=words), members=F.sort_array(F.array_distinct(hashes))).drop("_words")
+
+
+def native_key(members: Column) -> Column:
+    return F.when(F.size(members) > 0, F.unhex(F.md5(F.array_join(members.cast("array<string>"), ","))))
+
+
 def sketches(docs: DataFrame, options: Options) -> DataFrame:
     """doc_id, text_key, n, set_key and sketch of each row of ``docs`` (doc_id, text)."""
 
@@ -125,6 +149,10 @@ def sketches(docs: DataFrame, options: Options) -> DataFrame:
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("text_key"), "text")
+    if options.native:
+        members = F.col("members")
+        columns = F.size(members).cast("long").alias("n"), native_key(members).alias("set_key"), F.slice(members, 1, options.k).alias("sketch")
+        return with_sets(rows, options.shingle_words).select("doc_id", "text_key", *columns)
     return rows.mapInArrow(run, "doc_id long, text_key binary, n long, set_key binary, sketch array<long>")
 
 
@@ -138,6 +166,9 @@ def full_sets(docs: DataFrame, options: Options) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"set_key": keys, "members": pa.array(sets, pa.list_(pa.int64()))})
         give_back()
 
+    if options.native:
+        sets = with_sets(docs.select("text"), options.shingle_words)
+        return bind(sets, set_key=native_key(F.col("members"))).select("set_key", "members")
     return docs.select("text").mapInArrow(run, "set_key binary, members array<long>")
 
 
@@ -283,6 +314,8 @@ def among_members(
     dealt = placed.withColumn("block", block).select("pivot", "node", "kind", "own", "n", "block", F.explode(meetings).alias("at"))
     dealt = dealt.join(comparison.sets, "node").select("pivot", "at.i", "at.j", "block", "node", "kind", "own", "n", "members")
     percent = comparison.options.percent
+    if comparison.options.native:
+        return member_links(dealt, percent)
 
     def compare(table: pa.Table) -> pa.Table:
         links = block_links(table, percent)
@@ -291,6 +324,19 @@ def among_members(
     return dealt.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
+def member_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """What ``block_links`` is for, as a join of two blocks: one link at least between a member and a component."""
+    at, own = ["pivot", "i", "j"], ["block", "node", "kind", "own", "n", "members"]
+    one, other = (dealt.where(F.col("block") == F.col(b)).select(*at, *(F.col(c).alias(f"{c}_{s}") for c in own)) for b, s in ("ia", "jb"))
+    open_ = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
+    open_ &= (F.col("own_a") != F.col("own_b")) & (F.col("kind_a") + F.col("kind_b") != NEAR + FAR)
+    open_ &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    shared = F.size(F.array_intersect("members_a", "members_b"))
+    alike = (100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))  # of the union
+    met = one.hint("merge").join(other, at).where(open_ & alike)
+    return met.groupBy(F.col("node_a").alias("a"), "own_b").agg(F.min("node_b").alias("b")).select("a", "b").distinct()
+
+
 def block_links(table: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Links between rows of the two blocks in ``table`` that connect what has not been connected."""
     block, kind, sizes = (table[c].to_numpy() for c in ("block", "kind", "n"))

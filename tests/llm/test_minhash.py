@@ -159,3 +159,35 @@ def test_sizes_are_not_moved_with_every_value(spark, monkeypatch):
     assert sorted((r["value"], r["node"], r["n"], r["members"]) for r in rows) == [(1, n, 2, 3) for n in range(3)]
     aggregated = [line for line in plans[0].splitlines() if "collect_list" in line]
     assert aggregated and not any("first(n#" in line for line in aggregated)
+
+
+@pytest.mark.parametrize("seed,small_list,words", [(1, 24, 2), (2, 3, 2), (3, 3, 5)])
+def test_dataframe_functions_alone_equal_brute_force(spark, monkeypatch, seed, small_list, words):
+    plans, kept = [], minhash.stored
+
+    def stored(frame, label):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return kept(frame, label)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(minhash, "SMALL_LIST", small_list)
+    awkward = [(d, t) for d, t, *_ in DOCUMENTS if d is not None] + [(9020, "one"), (9021, "ONE"), (9022, "one one"), (9023, "Ünlike É A"), (9024, "ünlike É a"), (9025, "Ünlike é a"), (9026, "\v\f\r one\x1cone\x85\t")]
+    check(spark, near_copies(seed) + awkward, Options(shingle_words=words, native=True))
+    assert plans and not any("Arrow" in p or "Python" in p for p in plans)
+    filters = [line for p in plans for line in p.splitlines() if "Filter" in line]
+    assert filters and not any("split(" in line for line in filters)  # there it would run once a shingle
+
+
+def test_few_links_take_few_tasks(spark):
+    """Each task of a shuffle leaves files, however few rows it has."""
+    conf = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(n, n + 1) for n in range(200)], "a long, b long"))
+        assert found.rdd.getNumPartitions() <= 2
+        assert {r["component"] for r in found.collect()} == {0} and found.count() == 201
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
