@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from cases import DOCUMENTS, LONG, documents
 
-from logloom.llm import syncmers as sm
+from logloom.llm import catalog, syncmers as sm
 
 
 def plain_syncmers(text):
@@ -119,3 +119,20 @@ def test_empty_table(spark):
 def test_fingerprint_text_round_trip():
     found = sm.sketch(LONG)
     assert np.array_equal(sm.parsed(sm.written_out(found)), found)
+
+
+def test_the_query_keeps_all_anchors(spark, tmp_path):
+    rnd = random.Random(6)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    passage = words(40)
+    texts = [f"{words(500)} {passage} {words(500)}", f"{words(900)} {passage}", words(30), "short", "", None]
+    documents(spark, [(n, t, "en", "s") for n, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in catalog.op6_syncmer_fingerprints(spark, str(tmp_path)).collect()}
+    for n, text in enumerate(texts):
+        whole, following = text or "", texts[(n + 1) % len(texts)] or ""
+        changed = whole[: len(whole) - len(whole) // 2] + following[: len(whole) // 2]
+        assert np.array_equal(sm.parsed(rows[n]["fingerprint"]), sm.sketch(whole))
+        assert np.array_equal(sm.parsed(rows[n]["edited_fingerprint"]), sm.sketch(changed))
+    one, other = (sm.parsed(rows[n]["fingerprint"]) for n in (0, 1))
+    inside = set(sm.sketch(passage)[:, 0].tolist())
+    assert inside <= set(np.intersect1d(one[:, 0], other[:, 0]).tolist()) and len(inside) > 40
