@@ -80,12 +80,13 @@ def ignore_known(rows: DataFrame, known: DataFrame, files: DataFrame) -> DataFra
     """Drop record rows whose (source_file, line_number) is already in ``known``.
 
     Rejected lines always stay, they are counted in every run. ``known`` is first cut down
-    to the ``files`` of the batch, given as a table so that rows need not be made twice.
+    to the ``files`` of the batch, given as a table so that rows need not be made twice. Its keys are
+    as many as lines and go to no driver: Spark takes what is made of a few byte ranges for a small table.
     """
     key = ["source_file", "line_number"]
     named = files.select("source_file").distinct()
     held = known.select(*key).join(named, "source_file", "left_semi").withColumn("_known", F.lit(True))
-    marked = rows.join(held, key, "left")
+    marked = rows.join(held.hint("merge"), key, "left")
     return marked.where(F.col("_known").isNull() | (F.col("line_kind") != INGESTED)).drop("_known")
 
 

@@ -9,6 +9,8 @@ from logloom.operators import index as index_module
 from logloom.operators.commit_log import CommitLog, ConcurrentWrite
 from logloom.operators.filters import Cursor
 from logloom.operators.search import result_json
+from logloom.sources.files import list_files
+from logloom.sources.lines import scan_lines
 from pyspark.sql import functions as F
 
 NOW = "2026-02-18T00:00:00.000Z"
@@ -486,3 +488,16 @@ def test_appends_equal_one_scan(spark, tmp_path):
         return sorted(tuple(str(row[name]) for name in names) for row in index.entries().collect())
 
     assert content(grown) == content(whole)
+
+
+def test_known_keys_do_not_pass_through_the_driver(spark, tmp_path):
+    for name in ("a", "b"):
+        write_lines(tmp_path / f"{name}.ndjson", *(line(event=f"{name}{n}") for n in range(40)), "not-json", "")
+    rows = index_module.to_rows(scan_lines(spark, str(tmp_path)), NOW, 0)
+    known = rows.where("line_kind = 'record' AND source_file = 'a.ndjson' AND line_number <= 30")
+    added = index_module.ignore_known(rows, known, list_files(spark, str(tmp_path)))
+    plan = added._jdf.queryExecution().sparkPlan().toString()
+    by_key = [x for x in plan.splitlines() if "Join" in x and "line_number" in x]
+    assert len(by_key) == 1 and "SortMergeJoin" in by_key[0], plan
+    found = {(r["source_file"], r["line_kind"]): r["count"] for r in added.groupBy("source_file", "line_kind").count().collect()}
+    assert found == {(f"{name}.ndjson", kind): n for name, records in (("a", 10), ("b", 40)) for kind, n in (("record", records), ("parse_error", 1), ("blank", 1))}
