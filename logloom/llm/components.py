@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logloom.llm.common import gathered, stored
+from logloom.llm.common import dropped, gathered, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def _least(neighbours: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long, a <> b) to node and component, the smallest node reachable.
 
-    Each round writes its links to the shared folder, so the plan stays short and a lost executor costs
-    one round. A hub's neighbours are never gathered in one place. Few links are handled in few tasks.
+    Each round writes its links to the shared folder and deletes those of the round before, so the plan stays
+    short and a lost executor costs one round. A hub's neighbours are never gathered in one place. Few links are handled in few tasks.
     """
     links, before = stored(links.select("a", "b").distinct(), "links"), None
     rows = links.count()
@@ -32,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
         least = _least(down)
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         small = small.union(least.select("a", F.col("least").alias("b"))).where("a <> b")
-        links = stored(gathered(gathered(small, 2 * rows).distinct(), rows), "links")
+        round_before, links = links, stored(gathered(gathered(small, 2 * rows).distinct(), rows), "links")
+        dropped(round_before)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -32,9 +32,10 @@ no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from math import comb
+from functools import reduce
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logloom.functions.json_text import bind
-from logloom.llm.common import gathered, give_back, packed, small, stored, unpacked, worker_state
+from logloom.llm.common import dropped, gathered, give_back, packed, small, stored, unpacked, worker_state
 from logloom.llm.components import components
 
 K = 64
@@ -52,6 +53,8 @@ BLOCK_MEMBERS = 400  # classes and shingles of one of the two blocks that meet i
 BLOCK_SHINGLES = 400_000
 NEAR, UNSURE, FAR = 1, 2, 4  # how a class stands to its pivot: linked, perhaps near a link, or neither
 BROADCAST_ROWS = 300_000
+PAIRS_AT_ONCE = 1_000_000  # pairs whose sketches, and shingles of pairs whose sets, are moved at once; more where the table has more
+SHINGLES_AT_ONCE = 4_000_000
 WORDS_KEPT = 100_000  # words whose hashes a worker remembers
 SPACES = " \t\n\v\f\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -195,7 +198,24 @@ def inverted_lists(classes: DataFrame, options: Options) -> DataFrame:
         "postings",
     )
     several = postings.groupBy("value").agg(F.count("*").alias("members")).where("members > 1")
-    return stored(postings.join(several, "value").select("value", "node", "n", "members"), "inverted-lists")
+    lists = stored(postings.join(several, "value").select("value", "node", "n", "members"), "inverted-lists")
+    dropped(postings)
+    return lists
+
+
+def _parts(load: int | None, most: int) -> int:
+    return max(1, ceil((load or 0) / most))
+
+
+def _in_parts(rows: DataFrame, parts: int, keys: list[str], step: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """``step`` of ``rows``, stored, a part of the keys at a time: disks hold what one part moves."""
+    if parts == 1:
+        return stored(step(rows), label)
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    found = [stored(step(rows.where(part == n)), label) for n in range(parts)]
+    whole = stored(reduce(DataFrame.union, found), label)
+    dropped(*found)
+    return whole
 
 
 class Comparison:
@@ -206,6 +226,11 @@ class Comparison:
         self.classes = classes
         self.options = options
         self.sets = classes.sparkSession.createDataFrame([], "node long, members array<long>")
+        self.made: list[DataFrame] = []
+        count, shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        # About the bytes of the texts themselves, whatever the number of pairs.
+        self.pairs_at_once = max(PAIRS_AT_ONCE, count)
+        self.shingles_at_once = max(SHINGLES_AT_ONCE, shingles // 2)
 
     def _beside(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
         """The columns of both classes of each pair; other classes' rows are not moved."""
@@ -226,19 +251,28 @@ class Comparison:
         rows = self.docs.join(_sized(keys.select("rep").distinct()), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         sets = full_sets(rows, self.options).join(_sized(keys), F.col("set_key") == F.col("key")).select("node", "members")
         sets = stored(sets.dropDuplicates(["node"]), "sets")  # rows may share an id or a text
+        dropped(missing, keys)
+        self.made.append(sets)
         self.sets = self.sets.union(sets)
 
+    def forget(self) -> None:
+        dropped(*self.made)
+
     def estimates(self, pairs: DataFrame, percent: float) -> DataFrame:
         """a, b, n_a, n_b and the estimated similarity of pairs that may reach ``percent``."""
         union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, self.options.k)
         both = F.array_intersect("sketch_a", "sketch_b")
-        found = (
-            self._beside(pairs, self.classes, ["n", "sketch"])
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .withColumn("union", union)
-            .withColumn("estimate", F.size(F.array_intersect("union", both)) / F.size("union"))
-        )
-        return stored(found.where(F.col("estimate") >= self.options.likely(percent)).select("a", "b", "n_a", "n_b", "estimate"), "estimates")
+
+        def estimated(part: DataFrame) -> DataFrame:
+            found = (
+                self._beside(part, self.classes, ["n", "sketch"])
+                .where(_sizes_fit("n_a", "n_b", percent))
+                .withColumn("union", union)
+                .withColumn("estimate", F.size(F.array_intersect("union", both)) / F.size("union"))
+            )
+            return found.where(F.col("estimate") >= self.options.likely(percent)).select("a", "b", "n_a", "n_b", "estimate")
+
+        return _in_parts(pairs, _parts(pairs.count(), self.pairs_at_once), ["a", "b"], estimated, "estimates")
 
     def links(self, estimated: DataFrame) -> DataFrame:
         """The pairs that are links; full sets decide."""
@@ -246,19 +280,29 @@ class Comparison:
         self.learn(near.select(F.col("a").alias("node")).union(near.select("b")))
         shared = F.size(F.array_intersect("members_a", "members_b")).cast("long").alias("shared")
         united = F.col("n_a") + F.col("n_b") - F.col("shared")
-        return (
-            self._beside(near, self.sets, ["members"])
-            .select("a", "b", "n_a", "n_b", shared)
-            .where(100 * F.col("shared") >= self.options.percent * united)
-            .select("a", "b")
-        )
+
+        def confirmed(part: DataFrame) -> DataFrame:
+            return (
+                self._beside(part, self.sets, ["members"])
+                .select("a", "b", "n_a", "n_b", shared)
+                .where(100 * F.col("shared") >= self.options.percent * united)
+                .select("a", "b")
+            )
+
+        load = near.agg(F.sum(F.col("n_a") + F.col("n_b"))).first()[0]
+        return _in_parts(near, _parts(load, self.shingles_at_once), ["a", "b"], confirmed, "links")
+
+
+def _sizes_fit(one: str, other: str, percent: float) -> Column:
+    """Whether sets of these sizes can be as similar as ``percent``."""
+    return 100 * F.least(one, other) >= percent * F.greatest(one, other)
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs within each list, each once; sizes too different for a link are left out."""
     one = lists.select("value", F.col("node").alias("a"), F.col("n").alias("own"))
     other = lists.select("value", F.col("node").alias("b"), F.col("n").alias("its"))
-    fits = (F.col("a") < F.col("b")) & (100 * F.least("own", "its") >= percent * F.greatest("own", "its"))
+    fits = (F.col("a") < F.col("b")) & _sizes_fit("own", "its", percent)
     return one.join(other, "value").where(fits).select("a", "b").distinct()
 
 
@@ -266,18 +310,25 @@ def confirmed_links(lists: DataFrame, comparison: Comparison) -> DataFrame:
     """Links (a, b) that connect what is to be connected."""
     options = comparison.options
     pairs = stored(_pairs(lists.where(F.col("members") <= SMALL_LIST), options.percent), "pairs")
-    found = stored(comparison.links(comparison.estimates(pairs, options.percent)), "links")
+    estimated = comparison.estimates(pairs, options.percent)
+    dropped(pairs)
+    found = comparison.links(estimated)
+    dropped(estimated)
     long = lists.where(F.col("members") > SMALL_LIST)
     if long.isEmpty():
         return found
-    pivots = long.groupBy("value").agg(F.min("node").alias("pivot"))
-    pairs = long.join(pivots, "value").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pivots = long.groupBy("value").agg(F.min(F.struct("node", "n")).alias("pivot"))
+    pairs = long.join(pivots, "value").where("node <> pivot.node")
+    pairs = pairs.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("n").alias("own"), F.col("pivot.n").alias("its"))
     pairs = stored(pairs.distinct(), "pairs")
     # Beyond twice the limit from a pivot, none can be within the limit of the pivot's links.
-    estimated = comparison.estimates(pairs, max(0, 2 * options.percent - 100))
-    linked = stored(comparison.links(estimated), "pivot-links")
+    percent = max(0, 2 * options.percent - 100)
+    estimated = comparison.estimates(pairs.where(_sizes_fit("own", "its", percent)).select("a", "b"), percent)
+    linked = comparison.links(estimated)
     found = stored(found.union(linked), "links")
-    return found.union(stored(among_members(pairs, estimated, linked, found, comparison), "member-links"))
+    among = among_members(pairs.select("a", "b"), estimated, linked, found, comparison)
+    dropped(pairs, estimated)
+    return found.union(among)
 
 
 def among_members(
@@ -288,7 +339,8 @@ def among_members(
     A pivot's members are dealt into blocks, and every two blocks meet in one task, which holds their
     sets and returns no more links than connect them.
     """
-    own = stored(components(found), "components").select(F.col("node").alias("a"), F.col("component").alias("own"))
+    grouped = stored(components(found), "components")
+    own = grouped.select(F.col("node").alias("a"), F.col("component").alias("own"))
     placed = (
         pairs.join(linked.select("a", "b", F.lit(NEAR).alias("near")), ["a", "b"], "left")
         .join(estimated.select("a", "b", F.lit(UNSURE).alias("unsure")), ["a", "b"], "left")
@@ -303,6 +355,7 @@ def among_members(
     )
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = stored(placed.join(groups.select("pivot", blocks.alias("blocks")), "pivot"), "members")
+    dropped(grouped)
     if placed.isEmpty():
         return found.where("false")
     comparison.learn(placed.select("node"))
@@ -312,16 +365,23 @@ def among_members(
         lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j")),
     )
     dealt = placed.withColumn("block", block).select("pivot", "node", "kind", "own", "n", "block", F.explode(meetings).alias("at"))
-    dealt = dealt.join(comparison.sets, "node").select("pivot", "at.i", "at.j", "block", "node", "kind", "own", "n", "members")
+    dealt = dealt.select("pivot", "at.i", "at.j", "block", "node", "kind", "own", "n")
     percent = comparison.options.percent
-    if comparison.options.native:
-        return member_links(dealt, percent)
 
     def compare(table: pa.Table) -> pa.Table:
         links = block_links(table, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return dealt.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    def met(part: DataFrame) -> DataFrame:
+        part = part.join(comparison.sets, "node").select(*dealt.columns, "members")
+        if comparison.options.native:
+            return member_links(part, percent)
+        return part.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+    load = placed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    links = _in_parts(dealt, _parts(load, comparison.shingles_at_once), ["pivot", "i", "j"], met, "member-links")
+    dropped(placed)
+    return links
 
 
 def member_links(dealt: DataFrame, percent: int) -> DataFrame:
@@ -379,11 +439,15 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     )
     classes = stored(classes, "classes")
     lists = inverted_lists(classes, options)
-    links = confirmed_links(lists, Comparison(docs, classes, options))
+    comparison = Comparison(docs, classes, options)
+    links = confirmed_links(lists, comparison)
+    dropped(lists)
+    comparison.forget()
     grouped = stored(components(links), "components")
     reps = classes.select("node", "rep")
     smallest = grouped.join(reps, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
     renamed = stored(grouped.join(smallest, "component").select("node", "smallest"), "smallest")
+    dropped(grouped)
     owners = classes.select("set_key", "node", "rep").join(_sized(renamed), "node", "left")
     owners = owners.select(F.col("set_key").alias("key"), F.coalesce("smallest", "rep").alias("owner"))
     component = F.when(F.col("n") > 0, F.col("owner")).otherwise(F.col("doc_id"))

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from fractions import Fraction
@@ -6,6 +7,7 @@ from math import comb
 import numpy as np
 import pytest
 from cases import DOCUMENTS, documents
+from pyspark.sql import functions as F
 
 from logloom.llm import minhash
 from logloom.llm.components import components
@@ -191,3 +193,37 @@ def test_few_links_take_few_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    one = spark.range(20_000).select("id", (F.col("id") % 977).alias("key"))
+    frame = one.join(one.select(F.col("id").alias("other"), "key").hint("merge"), "key").where("id = other").groupBy("key").count()
+    found = minhash.stored(frame, "test")
+    assert not shuffle_files(spark) - before
+    assert found.agg(F.sum("count")).first()[0] == 20_000
+
+
+@pytest.mark.parametrize("native", [False, True])
+def test_parts_equal_the_whole_and_go_again(spark, monkeypatch, native):
+    labels, places, kept = [], [], minhash.stored
+
+    def stored(frame, label):
+        found = kept(frame, label)
+        labels.append(label)
+        places.append(found.inputFiles()[0].removeprefix("file://").rpartition("/")[0])
+        return found
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(minhash, "_parts", lambda load, most: 3)
+    monkeypatch.setattr(minhash, "SMALL_LIST", 3)
+    check(spark, near_copies(5), Options(shingle_words=2, native=native))
+    assert labels.count("estimates") == 8 and labels.count("member-links") >= 4
+    gone = {label for label, place in zip(labels, places) if not os.path.exists(place)}
+    assert gone >= {"postings", "inverted-lists", "pairs", "estimates", "sets", "set-nodes", "set-keys", "members"}
+    assert not gone & {"sketches", "classes", "smallest"}
